@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import packing, simhash, wavelet
+from foliant.llm import lines, packing, quality, simhash, wavelet
 from foliant.llm.common import load
 
 
+def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base rules and host verdict of each document."""
+    judged = quality.judge(load(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
+
+
+def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that each document keeps once cross-site boilerplate is gone."""
+    kept = lines.deduplicate(load(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write wavelet-matrix shards, read them back."""
     table = wavelet.write_shards(load(spark, sf_dir, "documents"), end=1)
@@ -28,7 +40,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_wavelet_tokens, op8_simhash_near_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_host_quality, op5_wavelet_tokens, op6_line_spread, op8_simhash_near_dedup, op10_best_fit_packing)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_host_quality": quality.SQL, "op6_line_spread": lines.SQL}
