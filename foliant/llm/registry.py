@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import lines, packing, quality, simhash, wavelet
+from foliant.llm import lines, packing, quality, resample, simhash, toxicity, wavelet
 from foliant.llm.common import load
 
 
@@ -23,6 +23,12 @@ def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document."""
+    scored = toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_segments", "segment_first", "segment_end")
+
+
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write wavelet-matrix shards, read them back."""
     table = wavelet.write_shards(load(spark, sf_dir, "documents"), end=1)
@@ -34,13 +40,19 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling keeps."""
+    weighed = resample.weigh(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return weighed.where("kept").select("doc_id", "n_grams", "log_weight", "key", "kept")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequence and place of each piece of all documents."""
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_quality, op5_wavelet_tokens, op6_line_spread, op8_simhash_near_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_host_quality, op4_toxic_segments, op5_wavelet_tokens, op6_line_spread, op8_simhash_near_dedup, op9_importance_resampling, op10_best_fit_packing)
 }
 
 SQL: dict[str, str] = {"op1_host_quality": quality.SQL, "op6_line_spread": lines.SQL}

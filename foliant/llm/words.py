@@ -108,3 +108,46 @@ def starts_ngram(counts: np.ndarray, n: int) -> np.ndarray:
     total = int(counts.sum())
     last = np.repeat(np.cumsum(counts), counts)
     return np.arange(total) + n <= last
+
+
+#: Classes of bytes: 0 white space and control, 1 letters and all bytes of multi-byte characters, 2 digits, 3 other.
+CLASS = np.full(256, 3, dtype=np.int8)
+CLASS[:33] = 0
+CLASS[127] = 0
+CLASS[128:] = 1
+for _first, _last in (("A", "Z"), ("a", "z")):
+    CLASS[ord(_first) : ord(_last) + 1] = 1
+CLASS[ord("0") : ord("9") + 1] = 2
+
+
+class Runs:
+    """Runs of bytes of one class (white space is none) in some texts: bounds,
+    class, and per text the first run's index. ``wanted`` limits the classes."""
+
+    def __init__(self, texts: list[bytes], lower: bool = True, wanted: tuple[int, ...] = (1, 2, 3)):
+        raw = b"\n".join(texts)
+        self.raw = np.frombuffer(raw, dtype=np.uint8)
+        self.data = raw.lower() if lower else raw
+        self.bytes = np.frombuffer(self.data, dtype=np.uint8)
+        kind = np.zeros(len(self.bytes) + 2, dtype=np.int8)
+        kind[1:-1] = CLASS[self.bytes]
+        edge = np.flatnonzero(np.diff(kind))
+        starts, ends = edge[:-1], edge[1:]
+        self.kind = kind[starts + 1]
+        keep = np.isin(self.kind, wanted)
+        self.starts, self.ends, self.kind = starts[keep], ends[keep], self.kind[keep]
+        at = np.cumsum([0] + [len(x) + 1 for x in texts])
+        self.first = np.searchsorted(self.starts, at).astype(np.int64)
+        self.counts = np.diff(self.first)
+
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """Hashes of the runs, or of their first ``most`` bytes."""
+        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
+        return word_hashes(self.bytes, self.starts, ends)
+
+
+def sums_by(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of values; an empty group has 0."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
