@@ -95,59 +95,62 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(planes: np.ndarray, value: int, rows: int, order: list[int], first: int = 0) -> np.ndarray:
-    """Indexes (from word ``first`` on) of the fingerprints at two or fewer bits of ``value``.
+def pairs_within(planes: np.ndarray, values: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, other) at two or fewer bits, a query's index at most the other's.
 
-    ``one`` and ``two`` are a two-bit carry-save counter of 64 distances at
-    once, ``over`` marks those beyond two; words whose lanes are all over are
-    abandoned every eight planes.
+    An item is a query against one word of 64 columns. ``one`` and ``two`` are a
+    two-bit carry-save counter of its 64 distances at once, ``over`` marks
+    those beyond two; items whose lanes are all over are abandoned every eight
+    planes. Planes on which all values agree are left out.
     """
-    live = np.arange(first, planes.shape[1])
-    one = np.zeros(len(live), dtype=np.uint64)
-    two, over = one.copy(), one.copy()
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for k, plane in enumerate(order):
-        x = planes[plane, live]
-        if value >> (63 - plane) & 1:
-            x = ~x
+    asked = values[queries]
+    differ = np.bitwise_or.reduce(values ^ values[0])
+    words = planes.shape[1]
+    q = np.repeat(queries, words - queries // 64)
+    w = np.concatenate([np.arange(k // 64, words) for k in queries.tolist()])
+    value = np.repeat(asked, words - queries // 64)
+    one = np.zeros(len(q), dtype=np.uint64)
+    two, over = one.copy(), one.copy()
+    used = [k for k in range(64) if int(differ) >> (63 - k) & 1]
+    for k, plane in enumerate(used):
+        # 0 - bit is a word of 64 equal bits: the query's bit in every lane.
+        x = planes[plane, w] ^ (np.uint64(0) - (value >> np.uint64(63 - plane) & np.uint64(1)))
         carry = one & x
         one ^= x
-        over |= two & (carry | one & x)
+        over |= two & carry
         two |= carry
         over |= two & one
         if k % 8 == 7:
             keep = over != full
             if not keep.all():
-                live, one, two, over = live[keep], one[keep], two[keep], over[keep]
-                if not len(live):
-                    break
-    if not len(live):
-        return np.zeros(0, dtype=np.int64)
-    lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    word, lane = np.nonzero(lanes)
-    at = live[word] * 64 + lane
-    return at[at < rows]
+                q, w, value, one, two, over = (part[keep] for part in (q, w, value, one, two, over))
+    for first in range(0, len(q), 16_384):
+        lanes = np.unpackbits((~over[first : first + 16_384]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        item, lane = np.nonzero(lanes)
+        other = w[first + item] * 64 + lane
+        mine = q[first + item]
+        fits = (other < len(values)) & (other > mine)
+        yield mine[fits], other[fits]
 
 
 def bucket_roots(values: np.ndarray) -> np.ndarray:
     """For each of some distinct fingerprints, the index of its component's first one."""
     n = len(values)
     planes, root = bit_planes(values), np.arange(n)
-    varying = [p for p in range(64) if not (planes[p] == 0).all() and not ((values >> np.uint64(63 - p)) & np.uint64(1)).all()]
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for k, value in enumerate(values.tolist()):
-        for other in within(planes, value, n, varying, k // 64):
-            if other > k:
-                a, b = find(k), find(int(other))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-    return np.array([find(k) for k in range(n)], dtype=np.int64)
+    step = max(1, 65_536 // planes.shape[1])
+    for first in range(0, n, step):
+        for a, b in pairs_within(planes, values, np.arange(first, min(n, first + step))):
+            while True:
+                x, y = root[a], root[b]
+                apart = x != y
+                if not apart.any():
+                    break
+                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (root[root] != root).any():
+                    root = root[root]
+    return root
 
 
 def _bucket_edges(buckets: DataFrame) -> DataFrame:
@@ -180,7 +183,8 @@ def _bucket_edges(buckets: DataFrame) -> DataFrame:
             bucket, fp = bucket[cut:], fp[cut:]
         yield edges_of(bucket, fp)
 
-    return buckets.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    return buckets.select("bucket", "fp").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 def _key(block: int, sub: int | None, blocks: tuple[int, ...] = BLOCKS) -> Column:
