@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import lines, packing, quality, resample, simhash, toxicity, wavelet
+from foliant.llm import lines, packing, piece_counts, quality, resample, simhash, templates, toxicity, wavelet
 from foliant.llm.common import load
 
 
@@ -23,6 +23,11 @@ def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, verbatim or re-parameterised."""
+    return templates.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document."""
     scored = toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -35,6 +40,11 @@ def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(spark, table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of each document."""
+    return piece_counts.piece_counts(load(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -52,7 +62,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_host_quality, op4_toxic_segments, op5_wavelet_tokens, op6_line_spread, op8_simhash_near_dedup, op9_importance_resampling, op10_best_fit_packing)
+    f.__name__: f for f in (
+        op1_host_quality,
+        op2_template_decontamination,
+        op4_toxic_segments,
+        op5_wavelet_tokens,
+        op6_line_spread,
+        op7_piece_counts,
+        op8_simhash_near_dedup,
+        op9_importance_resampling,
+        op10_best_fit_packing,
+    )
 }
 
 SQL: dict[str, str] = {"op1_host_quality": quality.SQL, "op6_line_spread": lines.SQL}

@@ -97,7 +97,7 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     array start none. The order of words counts."""
     if len(h) < n:
         return np.zeros(0, dtype=np.uint64)
-    total = np.full(len(h) - n + 1, _ORDER[n - 1], dtype=np.uint64)
+    total = np.full(len(h) - n + 1, n, dtype=np.uint64) * _ODD
     for k in range(n):
         total = total * _ORDER[4] + h[k : len(h) - n + 1 + k] * _ORDER[k % 4]
     return mix(total)
