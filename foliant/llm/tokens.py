@@ -3,19 +3,31 @@
 A text is encoded word by word (ASCII white space divides; no rule of the
 tokenizers used here looks across it: white space is dropped, and neither
 normaliser, split pattern nor byte-pair merges cross it). Words repeat, so a
-worker keeps the ids of the words it has met, up to a bound; the library
-encodes the others, batch by batch.
+worker keeps the ids of the words it has met, up to a bound. A new word of plain
+letters and marks is divided into runs of either, which the tokenizer's own
+split pattern divides too; new runs are encoded by the library, many at a time,
+and told apart by the ids that end a word. Any other new word is encoded by
+the library as it is.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Words whose ids a worker keeps at most; the store is emptied when it is full.
-KEPT_WORDS = 400_000
+#: Words and runs whose ids a worker keeps at most; a store is emptied when it is full.
+KEPT_WORDS, KEPT_RUNS = 250_000, 500_000
+#: Runs to a text that the library gets.
+JOINED = 200
+
+# Letters of ASCII and Latin-1, which neither compose nor have special lower cases, and
+# ASCII marks without the apostrophe, which the split pattern treats apart.
+_RUN = r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+"
+_PLAIN = re.compile(rf"(?:{_RUN})+")
+_RUNS = re.compile(_RUN)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -26,14 +38,44 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer, and which ids end a word (none, where the file has no word ends)."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    found = Tokenizer.from_file(path)
+    known = found.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(known.values()) + 1, dtype=bool)
+    ends[[k for piece, k in known.items() if piece.endswith("</w>")]] = True
+    return found, ends if ends.any() else None
+
+
+_kept: dict[str, tuple[dict[bytes, bytes], dict[str, bytes]]] = {}
+
+
+def _encode_runs(runs: list[str], path: str) -> list[bytes]:
+    tokenizer, ends = _tokenizer(path)
+    parts = [runs[k : k + JOINED] for k in range(0, len(runs), JOINED)]
+    out: list[bytes] = []
+    for part, code in zip(parts, tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+        ids = np.array(code.ids, dtype="<u4")
+        cuts = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(cuts) != len(part):
+            raise ValueError("a run isn't one word of the tokenizer")
+        raw = ids.tobytes()
+        out += [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+    return out
 
 
-_kept: dict[str, dict[bytes, bytes]] = {}
+def _encode_words(words: list[bytes], path: str, known: dict[str, bytes]) -> list[bytes]:
+    tokenizer, ends = _tokenizer(path)
+    texts = [x.decode("utf-8", "replace") for x in words]
+    divided = [_RUNS.findall(x.lower()) if ends is not None and "<|" not in x and _PLAIN.fullmatch(x) else None for x in texts]
+    new = list({r for runs in divided if runs for r in runs if r not in known})
+    known.update(zip(new, _encode_runs(new, path), strict=True))
+    others = [k for k, runs in enumerate(divided) if runs is None]
+    whole = dict(zip(others, tokenizer.encode_batch_fast([texts[k] for k in others], add_special_tokens=False), strict=True))
+    return [np.array(whole[k].ids, dtype="<u4").tobytes() if runs is None else b"".join([known[r] for r in runs]) for k, runs in enumerate(divided)]
 
 
 def encode(texts: list[bytes], path: str, end: int | None) -> list[bytes]:
@@ -41,7 +83,7 @@ def encode(texts: list[bytes], path: str, end: int | None) -> list[bytes]:
 
     Words are looked up as bytes, exactly.
     """
-    kept = _kept.setdefault(path, {})
+    kept, known = _kept.setdefault(path, ({}, {}))
     tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
     out: list[bytes] = []
     size, part = 0, []
@@ -49,13 +91,13 @@ def encode(texts: list[bytes], path: str, end: int | None) -> list[bytes]:
         part.append(text.split())
         size += len(text)
         if size >= 4 << 20 or k + 1 == len(texts):
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
+            for store, most in ((kept, KEPT_WORDS), (known, KEPT_RUNS)):
+                if len(store) > most:
+                    store.clear()
             new = list(set().union(*part).difference(kept))
             for first in range(0, len(new), 20_000):
                 some = new[first : first + 20_000]
-                codes = _tokenizer(path).encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
-                kept.update(zip(some, (np.array(c.ids, dtype="<u4").tobytes() for c in codes), strict=True))
+                kept.update(zip(some, _encode_words(some, path, known), strict=True))
             get = kept.__getitem__
             out += [b"".join(map(get, words)) + tail for words in part]
             size, part = 0, []
