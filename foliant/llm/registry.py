@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import lines, packing, piece_counts, quality, resample, simhash, templates, toxicity, wavelet
+from foliant.llm import backoff, lines, packing, piece_counts, quality, resample, simhash, templates, toxicity, wavelet
 from foliant.llm.common import load
 
 
@@ -28,6 +28,11 @@ def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of each document under all others."""
+    return backoff.score(load(spark, sf_dir, "documents"))
+
+
 def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document."""
     scored = toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_host_quality,
         op2_template_decontamination,
+        op3_stupid_backoff,
         op4_toxic_segments,
         op5_wavelet_tokens,
         op6_line_spread,
