@@ -1,10 +1,4 @@
 """The library's queries by name, and the SQL that gives the same rows."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from foliant.queries import catalog, checks, extract, layout, metrics, plans, text, windows  # noqa: F401
+from foliant.queries.base import QUERIES, SQL  # noqa: F401
