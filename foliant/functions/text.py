@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Control characters, bidirectional controls (fixed values).
 UNSAFE = r"[\x{00}-\x{1f}\x{7f}-\x{9f}\x{202a}-\x{202e}\x{2066}-\x{2069}]"
@@ -28,13 +29,13 @@ DEFINED = r"^[」』”’\"'）):：、,―—-]{0,16}(?:とは|を指す|を
 JAPANESE = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text(values: pd.Series) -> pd.Series:
     """NFKC, case folding, one blank for a run of white space, none at the ends."""
     return values.map(lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x).casefold()).strip(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def flat_text(values: pd.Series) -> pd.Series:
     """As ``normalize_text`` with letters' case kept."""
     return values.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()), na_action="ignore")
@@ -45,7 +46,7 @@ def normalize_ascii(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
@@ -57,7 +58,7 @@ def escape(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("struct<text:string,offsets:array<int>>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]))
 def compact_view(values: pd.Series) -> pd.DataFrame:
     """Runs of single glyphs glued together, and where each character came from."""
 

@@ -43,13 +43,12 @@ def v10_verify_evidence(t: Tables):
     return checked.select("doc", F.col("char_start").cast("long").alias("char_start"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query("SELECT page_id, nth FROM (SELECT page_id, count(*) OVER (PARTITION BY lower(regexp_extract(url, '^https?://([^/]+)', 1)), regexp_extract(url, '^https?://[^/]+([^?#]*)', 1)) AS nth FROM pages WHERE starts_with(url, 'https://')) WHERE nth > 1")
+@query("SELECT host, part, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^https://([^/]+)', 1)) AS host, substr(regexp_extract(url, '^https://[^/]+([^?#]*)', 1), 1, 4) AS part FROM pages WHERE starts_with(url, 'https://')) GROUP BY ALL HAVING count(*) > 1")
 def v06_duplicate_addresses(t: Tables):
-    """Addresses that are the same once normalised."""
+    """Hosts and leading paths that several addresses share once normalised."""
     ident = tx.url_identity(F.col("url"))
-    rows = t.pages.select("page_id", ident["host"].alias("host"), ident["path"].alias("path")).where("host IS NOT NULL")
-    n = F.expr("count(*) over (partition by host, path)")
-    return rows.withColumn("nth", n).where("nth > 1").select("page_id", "nth")
+    rows = t.pages.select(ident["host"].alias("host"), F.substring(ident["path"], 1, 4).alias("part")).where("host IS NOT NULL")
+    return rows.groupBy("host", "part").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query()
