@@ -42,7 +42,7 @@ ORDER = 2
 BACKOFF = 0.4
 #: Count of a word that no other document has, as it is scored.
 UNKNOWN = 0.5
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 PARTITION_GRAMS = 1 << 20
 
 
@@ -55,7 +55,17 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def pack_places(values: np.ndarray) -> bytes:
+    """32-bit values in the same way."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
+    """Differences modulo 2^64, which are small where values are sorted."""
     return pack(np.diff(values, prepend=np.uint64(0)))
 
 
@@ -78,8 +88,13 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     words = Words(texts[a + first : a + last], lower=True)
                     counts.append(words.counts)
                     hashes.append(words.hashes())
-                vocabulary, place = np.unique(np.concatenate(hashes), return_inverse=True)
-                row = [(part << 32) + number, ids[a:b].tobytes(), np.concatenate(counts).astype("<u4").tobytes(), pack_sorted(vocabulary), place.astype("<u4").tobytes(), len(place)]
+                vocabulary, place, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+                # Frequent words first: most places are small numbers, which pack well.
+                order = np.argsort(-often, kind="stable")
+                rank = np.empty(len(order), dtype=np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                vocabulary, place = vocabulary[order], rank[place]
+                row = [(part << 32) + number, ids[a:b].tobytes(), np.concatenate(counts).astype("<u4").tobytes(), pack_sorted(vocabulary), pack_places(place), len(place)]
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "ids", "counts", "vocabulary", "places", "n"])
 
@@ -87,7 +102,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    vocabulary, places = unpack_sorted(row["vocabulary"]), np.frombuffer(row["places"], "<u4")
+    vocabulary, places = unpack_sorted(row["vocabulary"]), unpack_places(row["places"])
     return vocabulary[places] if len(places) else np.zeros(0, dtype=np.uint64), np.frombuffer(row["counts"], "<u4").astype(np.int64)
 
 
