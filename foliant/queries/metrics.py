@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.operators import metrics as m
+from foliant.operators.references import numbered
 from foliant.queries.base import Tables, query
 
 
@@ -230,7 +231,7 @@ def u02_ordered_union(t: Tables):
     first = t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("id"))
     extra = t.supplier.select(F.col("s_nationkey").alias("id")).distinct().join(first, "id", "left_anti")
     both = first.withColumn("extra", F.lit(0)).unionByName(extra.withColumn("extra", F.lit(1)))
-    return both.select("id", F.row_number().over(Window.orderBy("extra", "id")).cast("long").alias("place"))
+    return numbered(both, ["extra", "id"], "place").select("id", "place")
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region)) = 0 AS is_subset, (SELECT count(*) FROM (SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation)) = 0 AS is_covered")
