@@ -42,6 +42,8 @@ PREFIXES = (4, 5, 6)
 #: Features with the clearest log-odds that are kept, and how clear they must be.
 FEATURES = 20_000
 LEAST_Z = 3.0
+#: Least log-odds: features that are only somewhat likelier (by length or language of texts) say nothing of a passage.
+LEAST_ODDS = 3.0
 PRIOR_STRENGTH = 500.0
 THRESHOLD = 0.3
 
@@ -186,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> S
     a, b = F.col("toxic") + prior, F.col("other") + prior
     strength = PRIOR_STRENGTH
     odds = F.log(a / (n1 + strength - a)) - F.log(b / (n0 + strength - b))
-    clear = counted.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.col("z") >= LEAST_Z)
+    clear = counted.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
     best = clear.orderBy(F.col("z").desc(), "feature").limit(FEATURES).toPandas()  # at most FEATURES rows
     scorer = Scorer(best["feature"].to_numpy(dtype=np.int64).view(np.uint64), best["odds"].to_numpy(dtype=np.float64), 0.0)
 
