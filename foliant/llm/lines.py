@@ -64,7 +64,8 @@ def deduplicate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = Fals
     ``counts`` adds n_lines and n_removed.
     """
     drop = materialise(removals(docs, min_sites), "lines-removals").select(F.col("doc_id").alias("_id"), "_drop")
-    joined = docs.join(drop, docs["doc_id"].cast("long") == drop["_id"], "left")
+    # By shuffle at every size: a removal is a row per document, so its table grows with the corpus.
+    joined = docs.join(drop.hint("shuffle_hash"), docs["doc_id"].cast("long") == drop["_id"], "left")
     kept = F.filter(F.split("text", "\n"), lambda line: ~(_has_word(line) & F.array_contains("_drop", F.xxhash64(line))))
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("_text", text)
