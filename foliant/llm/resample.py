@@ -170,4 +170,4 @@ def weigh(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE,
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the sample holds, all columns."""
     kept = weigh(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)

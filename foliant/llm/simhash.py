@@ -260,7 +260,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     by source and text.
     """
     groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi")
+    kept = docs.join(groups.hint("shuffle_hash"), "doc_id", "left_semi")
     order = [F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"]
     one = Window.partitionBy("doc_id").orderBy(*order)
     return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)

@@ -170,4 +170,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leaked item, all columns."""
     leaked = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaked.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
