@@ -42,7 +42,7 @@ def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write wavelet-matrix shards, read them back."""
     table = wavelet.write_shards(load(spark, sf_dir, "documents"), end=1)
-    return wavelet.read_shards(spark, table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return wavelet.read_shards(table).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import fresh_path, materialise, text_of
@@ -200,10 +200,9 @@ def write_shards(docs: DataFrame, path: str | None = None, end: int = 1, shard_t
     ordered = codes.repartitionByRange(tasks, "doc_id", "crc", "n").sortWithinPartitions("doc_id", "crc", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, where = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, where = _store(folder)
         store.create_dir(where, recursive=True)
         part, shard = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
@@ -251,25 +250,30 @@ def with_starts(table: DataFrame) -> DataFrame:
     return table.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts, "part").withColumn("start", F.col("before") + F.col("inner")).drop("before", "inner")
 
 
-def read_shards(spark: SparkSession, table: DataFrame) -> DataFrame:
-    """Decode shard files: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) per document."""
-    placed = with_starts(table).select("name", "start")
-    folders = [r["folder"] for r in table.select(F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct().collect()]
-    if not folders:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    files = spark.read.format("binaryFile").load(folders).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+def _store(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+
+
+def read_shards(table: DataFrame) -> DataFrame:
+    """Decode shard files: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) per document.
+
+    The table's rows are dealt to tasks, which open the files that they name.
+    """
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                matrix = WaveletMatrix(content.as_py())
-                ids = matrix.decode()
+            for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, where = _store(file)
+                with store.open_input_file(where) as f:
+                    matrix = WaveletMatrix(f.read())
+                raw = matrix.decode().tobytes()
                 ends = np.cumsum(matrix.lengths, dtype=np.int64)
                 begins = ends - matrix.lengths
-                raw = ids.tobytes()
-                for first in range(0, len(ends), 5000):
-                    a, b = begins[first : first + 5000], ends[first : first + 5000]
-                    yield pa.RecordBatch.from_arrays([pa.array(matrix.doc_ids[first : first + 5000]), pa.array(start + a), pa.array(b - a), pa.array([raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                for first in range(0, len(ends), 2000):
+                    a, b = begins[first : first + 2000], ends[first : first + 2000]
+                    yield pa.RecordBatch.from_arrays([pa.array(matrix.doc_ids[first : first + 2000]), pa.array(start + a), pa.array(b - a), pa.array([raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    # The table is far smaller than the files: the join reads each file where it lies.
-    return files.join(F.broadcast(placed), "name").select("start", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return with_starts(table).select("file", "start").repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

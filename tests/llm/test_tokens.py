@@ -34,10 +34,10 @@ def test_wavelet_matrix():
     assert len(empty.decode()) == 0
 
 
-def test_shards_round_trip(spark, odd_docs, no_docs, library):
+def test_shards_round_trip(odd_docs, no_docs, library):
     rows = odd_docs.where("doc_id IS NOT NULL")
     table = wavelet.write_shards(rows, shard_tokens=50)
-    got = wavelet.read_shards(spark, table).orderBy("start").collect()
+    got = wavelet.read_shards(table).orderBy("start").collect()
     held = sorted(((r["doc_id"], r["text"] or "") for r in rows.collect()), key=lambda x: x[0])
     start = 0
     for r, (doc_id, text) in zip(got, held, strict=True):
@@ -45,7 +45,7 @@ def test_shards_round_trip(spark, odd_docs, no_docs, library):
         assert (r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) == (doc_id, start, len(ids) // 4, ids)
         start += len(ids) // 4
     assert table.count() > 1
-    assert wavelet.read_shards(spark, wavelet.write_shards(no_docs)).count() == 0
+    assert wavelet.read_shards(wavelet.write_shards(no_docs)).count() == 0
 
 
 def test_packing(odd_docs, no_docs, library):
