@@ -22,7 +22,7 @@ A frequent n-gram occurs once per block at most, so no hash partition is hot;
 a partition holds ``PARTITION_GRAMS`` n-grams or so at any size of corpus.
 
 Defined results: null and empty texts have score 0 and no words; repeated rows
-are documents of their own; an empty table gives no rows; other columns are
+are documents of their own, as are rows without a doc_id; an empty table gives no rows; other columns are
 ignored. A task holds one block (of ``BLOCK_BYTES``, or one longer document).
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import materialise, text_of
-from foliant.llm.words import Words, chunks, mix, ngram_hashes, starts_ngram, texts_of
+from foliant.llm.words import Words, chunks, id_array, ids_of, mix, ngram_hashes, starts_ngram, texts_of
 
 ORDER = 2
 BACKOFF = 0.4
@@ -81,7 +81,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, ids = texts_of(batch), np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], dtype="<i8")
+            texts, ids = texts_of(batch), ids_of(batch)
             for a, b in chunks(texts, block_bytes):
                 counts, hashes = [], []
                 for first, last in chunks(texts[a:b]):
@@ -94,7 +94,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 rank = np.empty(len(order), dtype=np.uint32)
                 rank[order] = np.arange(len(order), dtype=np.uint32)
                 vocabulary, place = vocabulary[order], rank[place]
-                row = [(part << 32) + number, ids[a:b].tobytes(), np.concatenate(counts).astype("<u4").tobytes(), pack_sorted(vocabulary), pack_places(place), len(place)]
+                row = [(part << 32) + number, ids[a:b].astype("<i8").tobytes(), np.concatenate(counts).astype("<u4").tobytes(), pack_sorted(vocabulary), pack_places(place), len(place)]
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "ids", "counts", "vocabulary", "places", "n"])
 
@@ -211,7 +211,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_b
                 unknown = np.flatnonzero(~done)
                 log[unknown] += np.log(UNKNOWN / np.maximum(rest[unknown], 1))
                 sums = np.bincount(doc, weights=log, minlength=len(counts)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array(sums)], ["doc_id", "n_words", "log_score"])
+                yield pa.RecordBatch.from_arrays([id_array(ids), pa.array(counts), pa.array(sums)], ["doc_id", "n_words", "log_score"])
 
     columns = joined.select("block", "ids", "counts", "vocabulary", "places", "answers")
     return columns.mapInArrow(run, "doc_id long, n_words long, log_score double")

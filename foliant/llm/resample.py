@@ -168,6 +168,7 @@ def weigh(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE,
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the sample holds, all columns."""
+    """The documents that the sample holds, all columns; rows without a doc_id, which can't be told apart, stay."""
     kept = weigh(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    known = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    return known.unionByName(docs.where("doc_id IS NULL").select(*docs.columns))

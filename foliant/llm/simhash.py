@@ -22,7 +22,7 @@ pairs. Components are then found by minimum labels with pointer jumping over
 written tables.
 
 Defined results: null text counts as empty (fingerprint zero); documents with a
-repeated doc_id each get a row; an empty table gives no rows; other columns are
+repeated doc_id each get a row; one without a doc_id gets its group's smallest, null if there is none; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -257,10 +257,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of which no linked one has a smaller doc_id; all columns stay.
 
     Rows that repeat a doc_id are one document: a single row stays, the first
-    by source and text.
+    by its other columns. Rows without a doc_id can't be told apart and stay.
     """
     groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(groups.hint("shuffle_hash"), "doc_id", "left_semi")
     order = [F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"]
     one = Window.partitionBy("doc_id").orderBy(*order)
-    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)
+    rest = docs.where("doc_id IS NULL")
+    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns).unionByName(rest.select(*docs.columns))

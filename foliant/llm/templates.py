@@ -21,7 +21,7 @@ the exact join. Items' windows are broadcast if there are at most
 passage that many documents hold is a skewed key that adaptive execution splits.
 
 Defined results: null and empty texts have no windows; rows that repeat a
-doc_id are one document; repeated items each match; empty tables give no rows;
+doc_id are one document, and so are rows without one (which decontamination keeps); repeated items each match; empty tables give no rows;
 other columns are ignored.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import materialise, text_of
-from foliant.llm.words import Runs, chunks, ngram_hashes, starts_ngram, texts_of
+from foliant.llm.words import NO_ID, Runs, chunks, ids_of, ngram_hashes, starts_ngram, texts_of
 
 WINDOW = 8
 LITERALS = 4
@@ -135,7 +135,7 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...], bitmap: bytes | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, dtype=np.uint8) if held is not None else None
         for batch in batches:
-            texts, ids = texts_of(batch), np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], dtype=np.int64)
+            texts, ids = texts_of(batch), ids_of(batch)
             for a, b in chunks(texts):
                 yield _rows(ids[a:b], [_windows(texts[a:b], sizes, bits, own_size)])
 
@@ -164,7 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     same = F.forall("pairs", lambda p: p["item_slots"] == p["slots"])
     share = F.col("n_windows") / F.col("total")
     hits = along.where(consistent & (share >= coverage)).select("doc_id", "item_id", F.struct(share.alias("coverage"), F.col("n_windows"), (-F.col("shift")).alias("first"), F.size("pairs").cast("long").alias("n_slots"), F.when(same, "verbatim").otherwise("re-parameterised").alias("kind")).alias("best"))
-    return hits.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select("doc_id", "item_id", "best.n_windows", "best.coverage", "best.n_slots", "best.kind")
+    return hits.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select(F.nullif("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.nullif("item_id", F.lit(int(NO_ID))).alias("item_id"), "best.n_windows", "best.coverage", "best.n_slots", "best.kind")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import fresh_path, materialise, text_of
 from foliant.llm.tokens import encode, vocabulary
-from foliant.llm.words import texts_of
+from foliant.llm.words import id_array, ids_of, texts_of
 
 MAGIC = b"WVMX1\0\0\0"
 #: Bits between rank samples, and bits in a compressed block.
@@ -180,11 +180,13 @@ class WaveletMatrix:
 
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id, n (ids, the end id too) and ids (16-bit where they fit) of each row."""
+    """doc_id, n (ids, the end id too) crc and ids (as 16-bit integers) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = encode(texts_of(batch), path, end)
+            if max((int(np.frombuffer(x, "<u4").max(initial=0)) for x in codes), default=0) > 0xFFFF:
+                raise ValueError("ids above 65,535 don't fit a shard's 16 planes")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in codes], pa.int64()), pa.array([zlib.crc32(x) for x in codes], pa.int64()), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in codes], pa.binary())], ["doc_id", "n", "crc", "ids"])
 
     return text_of(docs).mapInArrow(run, "doc_id long, n long, crc long, ids binary")
@@ -222,7 +224,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end: int = 1, shard_t
             return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "shard", "name", "n", "docs"])
 
         for batch in batches:
-            sizes, keys = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            sizes, keys = batch.column(1).to_numpy(), ids_of(batch)
             values = batch.column(3).to_pylist()
             first = 0
             while first < len(sizes):
@@ -274,6 +276,6 @@ def read_shards(table: DataFrame) -> DataFrame:
                 begins = ends - matrix.lengths
                 for first in range(0, len(ends), 2000):
                     a, b = begins[first : first + 2000], ends[first : first + 2000]
-                    yield pa.RecordBatch.from_arrays([pa.array(matrix.doc_ids[first : first + 2000]), pa.array(start + a), pa.array(b - a), pa.array([raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([id_array(matrix.doc_ids[first : first + 2000]), pa.array(start + a), pa.array(b - a), pa.array([raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return with_starts(table).select("file", "start").repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -31,6 +31,20 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+#: Stands for a null id in arrays of ids.
+NO_ID = np.iinfo(np.int64).min
+
+
+def ids_of(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
+    """The ids as integers, ``NO_ID`` for null."""
+    return batch.column(column).fill_null(int(NO_ID)).to_numpy().astype(np.int64)
+
+
+def id_array(ids: np.ndarray) -> pa.Array:
+    """The ids as a column, null where they are ``NO_ID``."""
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts come to about ``most`` bytes."""
     first, size = 0, 0

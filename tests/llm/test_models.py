@@ -10,7 +10,7 @@ from foliant.llm import backoff, registry, resample, templates, toxicity
 
 @pytest.mark.parametrize("order", [2, 3])
 def test_backoff_is_brute_force(docs, odd_docs, order):
-    rows = docs.select("doc_id", "text").where("doc_id < 60").union(odd_docs.selectExpr("doc_id + 1000 AS doc_id", "text").where("doc_id NOT IN (1001, 1005)")).localCheckpoint()
+    rows = docs.select("doc_id", "text").where("doc_id < 60").union(odd_docs.selectExpr("doc_id + 1000 AS doc_id", "text").where("doc_id NOT IN (1001, 1005)")).cache()
     held = {r["doc_id"]: re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().lower()) for r in rows.collect()}
     grams = {k: collections.Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for k, w in held.items()}
     total = sum(grams.values(), collections.Counter())
@@ -32,7 +32,9 @@ def test_backoff_is_brute_force(docs, odd_docs, order):
         assert got[k]["n_words"] == len(w) and got[k]["log_score"] == pytest.approx(score, rel=1e-9, abs=1e-9)
 
 
-def test_backoff_empty(no_docs):
+def test_backoff_odd_rows(odd_docs, no_docs):
+    got = backoff.score(odd_docs).collect()
+    assert len(got) == 9 and [r["n_words"] for r in got if r["doc_id"] is None] == [6]
     assert backoff.score(no_docs).count() == 0
 
 
@@ -85,6 +87,7 @@ def test_resampling_odd_rows(spark, odd_docs, no_docs):
     rows = resample.weigh(odd_docs, labels)
     assert rows.count() == 9 and rows.where("kept AND n_grams = 0").count() == 0
     assert resample.keep(odd_docs, labels).columns == odd_docs.columns
+    assert resample.keep(odd_docs, labels).where("doc_id IS NULL").count() == 1
     assert resample.weigh(no_docs, labels).count() == 0
     assert {r["kept"] for r in resample.weigh(odd_docs, labels.limit(0)).where("n_grams > 0").collect()} == {True}
 

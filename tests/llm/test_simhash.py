@@ -52,7 +52,8 @@ def test_components_are_brute_force(docs, odd_docs, bucket_rows):
 
 
 def test_keep_one_of_each(odd_docs, no_docs):
-    kept = simhash.keep_one(odd_docs.where("doc_id IS NOT NULL"))
+    kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5, 6]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 6]
+    assert simhash.near_duplicates(odd_docs).count() == 9
     assert simhash.near_duplicates(no_docs).count() == 0

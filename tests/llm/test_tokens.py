@@ -35,10 +35,10 @@ def test_wavelet_matrix():
 
 
 def test_shards_round_trip(odd_docs, no_docs, library):
-    rows = odd_docs.where("doc_id IS NOT NULL")
+    rows = odd_docs
     table = wavelet.write_shards(rows, shard_tokens=50)
     got = wavelet.read_shards(table).orderBy("start").collect()
-    held = sorted(((r["doc_id"], r["text"] or "") for r in rows.collect()), key=lambda x: x[0])
+    held = sorted(((r["doc_id"], r["text"] or "") for r in rows.collect()), key=lambda x: (x[0] is not None, x[0]))
     start = 0
     for r, (doc_id, text) in zip(got, held, strict=True):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
@@ -70,9 +70,9 @@ def check_sequences(got, capacity):
     assert (placed["offset"][~first] == ends.shift()[~first]).all()
 
 
-def test_repeated_rows_are_packed_each(odd_docs):
-    got = packing.pack(odd_docs.where("doc_id = 1")).toPandas()
-    assert len(got) == 2
+def test_repeated_rows_and_rows_without_id_are_packed_each(odd_docs):
+    got = packing.pack(odd_docs.where("doc_id = 1 OR doc_id IS NULL")).toPandas()
+    assert len(got) == 3
     check_sequences(got, packing.CAPACITY)
 
 
