@@ -44,6 +44,8 @@ BLOCKS = (22, 21, 21)
 #: The most fingerprints that are compared in one bucket.
 BUCKET_ROWS = 4096
 RADIUS = 2
+#: A fingerprint with more than one in so many documents is joined by broadcast.
+HOT_SHARE = 1000
 
 
 def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
@@ -243,14 +245,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, fp, fingerprint (hex) and component_id (the smallest doc_id reachable) per document."""
+    """doc_id, fp, fingerprint (hex) and component_id (the smallest doc_id reachable) per document.
+
+    Documents get their component by their fingerprint. Fingerprints with over
+    a thousandth of all documents, of which there are under a thousand, are
+    broadcast; the others are joined by shuffle, without a hot key.
+    """
     fps = materialise(fingerprints(docs), "simhash-fps")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), bucket_rows))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least_id")
     linked = member.join(member.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    whole = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(whole, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    whole = materialise(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-components")
+    hot = F.col("n") * HOT_SHARE > fps.count()
+    marked = fps.join(F.broadcast(whole.where(hot).select("fp", F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot"))), "fp", "left")
+    often = marked.where("_is_hot").select("doc_id", "fp", F.col("_hot").alias("component_id"))
+    others = marked.where("_is_hot IS NULL").select("doc_id", "fp").join(whole.where(~hot).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return often.unionByName(others).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
