@@ -12,14 +12,15 @@ the library as it is.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Words and runs whose ids a worker keeps at most; a store is emptied when it is full.
-KEPT_WORDS, KEPT_RUNS = 250_000, 500_000
+#: Words and runs whose ids a worker keeps in each of two generations.
+KEPT_WORDS, KEPT_RUNS = 200_000, 300_000
 #: Runs to a text that the library gets.
 JOINED = 200
 
@@ -50,7 +51,26 @@ def _tokenizer(path: str) -> tuple:
     return found, ends if ends.any() else None
 
 
-_kept: dict[str, tuple[dict[bytes, bytes], dict[str, bytes]]] = {}
+class _Store:
+    """Ids by word or run, in two generations: what the current one meets again survives."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.before, self.now = self.now, {}
+
+    def lacking(self, keys: set) -> list:
+        """Those of the keys that aren't kept; kept ones move to the current generation."""
+        now, before = self.now, self.before
+        missing = keys.difference(now)
+        for k in missing.intersection(before):
+            now[k] = before[k]
+        return list(missing.difference(now))
+
+
+_kept: dict[str, tuple[_Store, _Store]] = {}
 
 
 def _encode_runs(runs: list[str], path: str) -> list[bytes]:
@@ -67,15 +87,37 @@ def _encode_runs(runs: list[str], path: str) -> list[bytes]:
     return out
 
 
-def _encode_words(words: list[bytes], path: str, known: dict[str, bytes]) -> list[bytes]:
+def _encode_words(words: list[bytes], path: str, known: _Store) -> list[bytes]:
     tokenizer, ends = _tokenizer(path)
-    texts = [x.decode("utf-8", "replace") for x in words]
-    divided = [_RUNS.findall(x.lower()) if ends is not None and "<|" not in x and _PLAIN.fullmatch(x) else None for x in texts]
-    new = list({r for runs in divided if runs for r in runs if r not in known})
-    known.update(zip(new, _encode_runs(new, path), strict=True))
+    known.turn()
+    now = known.now
+    out: list[bytes | None] = []
+    later: list[int] = []
+    lowered = b"\n".join(words).decode("utf-8", "replace").lower().split("\n")  # words hold no newline
+    plain = len(lowered) == len(words) and ends is not None
+    for k, x in enumerate(lowered if plain else [""] * len(words)):
+        # Most new words are a known run, or one with a mark behind it.
+        ids = now.get(x)
+        if ids is None and x[-1:] in ",." and x[-2:-1].isalpha():
+            ids, mark = now.get(x[:-1]), now.get(x[-1:])
+            ids = ids + mark if ids and mark else None
+        out.append(ids)
+        if ids is None:
+            later.append(k)
+    texts = [words[k].decode("utf-8", "replace") for k in later]
+    divided: list[list[str] | None] = []
+    for x in texts:
+        divided.append(_RUNS.findall(x.lower()) if ends is not None and "<|" not in x and _PLAIN.fullmatch(x) else None)
+    new = known.lacking({r for runs in divided if runs for r in runs})
+    now.update(zip(new, _encode_runs(new, path), strict=True))
     others = [k for k, runs in enumerate(divided) if runs is None]
     whole = dict(zip(others, tokenizer.encode_batch_fast([texts[k] for k in others], add_special_tokens=False), strict=True))
-    return [np.array(whole[k].ids, dtype="<u4").tobytes() if runs is None else b"".join([known[r] for r in runs]) for k, runs in enumerate(divided)]
+    for k, (at, runs) in enumerate(zip(later, divided, strict=True)):
+        if runs is None:
+            out[at] = np.array(whole[k].ids, dtype="<u4").tobytes()
+        else:
+            out[at] = now[runs[0]] if len(runs) == 1 else b"".join([now[r] for r in runs])
+    return out
 
 
 def encode(texts: list[bytes], path: str, end: int | None) -> list[bytes]:
@@ -83,22 +125,26 @@ def encode(texts: list[bytes], path: str, end: int | None) -> list[bytes]:
 
     Words are looked up as bytes, exactly.
     """
-    kept, known = _kept.setdefault(path, ({}, {}))
+    kept, known = _kept.setdefault(path, (_Store(KEPT_WORDS), _Store(KEPT_RUNS)))
     tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
     out: list[bytes] = []
     size, part = 0, []
-    for k, text in enumerate(texts):
-        part.append(text.split())
-        size += len(text)
-        if size >= 4 << 20 or k + 1 == len(texts):
-            for store, most in ((kept, KEPT_WORDS), (known, KEPT_RUNS)):
-                if len(store) > most:
-                    store.clear()
-            new = list(set().union(*part).difference(kept))
-            for first in range(0, len(new), 20_000):
-                some = new[first : first + 20_000]
-                kept.update(zip(some, _encode_words(some, path, known), strict=True))
-            get = kept.__getitem__
-            out += [b"".join(map(get, words)) + tail for words in part]
-            size, part = 0, []
+    collecting = gc.isenabled()
+    gc.disable()  # millions of short-lived strings, no cycles
+    try:
+        for k, text in enumerate(texts):
+            part.append(text.split())
+            size += len(text)
+            if size >= 4 << 20 or k + 1 == len(texts):
+                kept.turn()
+                new = kept.lacking(set().union(*part))
+                for first in range(0, len(new), 20_000):
+                    some = new[first : first + 20_000]
+                    kept.now.update(zip(some, _encode_words(some, path, known), strict=True))
+                get = kept.now.__getitem__
+                out += [b"".join(map(get, words)) + tail for words in part]
+                size, part = 0, []
+    finally:
+        if collecting:
+            gc.enable()
     return out
