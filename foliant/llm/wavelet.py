@@ -63,7 +63,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
         blocks = [squeeze(packed[k : k + BLOCK_BITS // 8].tobytes()) for k in range(0, len(packed), BLOCK_BITS // 8)]
         offsets = np.cumsum([0] + [len(x) for x in blocks]).astype("<u4")
         out += [struct.pack("<Q", n - int(ones.sum())), ranks.tobytes(), offsets.tobytes(), *blocks]
-        level = np.concatenate([level[~bit], level[bit]])
+        level = np.concatenate([np.compress(~bit, level), np.compress(bit, level)])
     return b"".join(out)
 
 
@@ -173,8 +173,8 @@ class WaveletMatrix:
         for plane in range(self.bits - 1, -1, -1):
             bit = self.plane(plane)
             above = np.empty_like(values)
-            above[~bit] = values[: self.zeros[plane]]
-            above[bit] = values[self.zeros[plane] :] | kind(1 << (self.bits - 1 - plane))
+            above[np.flatnonzero(~bit)] = values[: self.zeros[plane]]
+            above[np.flatnonzero(bit)] = values[self.zeros[plane] :] | kind(1 << (self.bits - 1 - plane))
             values = above
         return values.astype("<u4")
 
@@ -185,9 +185,13 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = encode(texts_of(batch), path, end)
-            if max((int(np.frombuffer(x, "<u4").max(initial=0)) for x in codes), default=0) > 0xFFFF:
+            ids = np.frombuffer(b"".join(codes), "<u4")
+            if ids.max(initial=0) > 0xFFFF:
                 raise ValueError("ids above 65,535 don't fit a shard's 16 planes")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in codes], pa.int64()), pa.array([zlib.crc32(x) for x in codes], pa.int64()), pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in codes], pa.binary())], ["doc_id", "n", "crc", "ids"])
+            sizes = np.array([len(x) // 4 for x in codes], dtype=np.int64)
+            ends = np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int32)  # a batch has far less than 2 GiB
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([zlib.crc32(x) for x in codes], pa.int64()), packed], ["doc_id", "n", "crc", "ids"])
 
     return text_of(docs).mapInArrow(run, "doc_id long, n long, crc long, ids binary")
 
