@@ -19,8 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words and runs whose ids a worker keeps in each of two generations.
-KEPT_WORDS, KEPT_RUNS = 200_000, 300_000
+#: Words and runs whose ids a worker keeps at most; a store is emptied when it is full.
+KEPT_WORDS, KEPT_RUNS = 250_000, 500_000
 #: Runs to a text that the library gets.
 JOINED = 200
 
@@ -52,22 +52,18 @@ def _tokenizer(path: str) -> tuple:
 
 
 class _Store:
-    """Ids by word or run, in two generations: what the current one meets again survives."""
+    """Ids by word or run, emptied when it is full."""
 
     def __init__(self, most: int):
-        self.most, self.now, self.before = most, {}, {}
+        self.most, self.now = most, {}
 
     def turn(self) -> None:
         if len(self.now) > self.most:
-            self.before, self.now = self.now, {}
+            self.now.clear()
 
     def lacking(self, keys: set) -> list:
-        """Those of the keys that aren't kept; kept ones move to the current generation."""
-        now, before = self.now, self.before
-        missing = keys.difference(now)
-        for k in missing.intersection(before):
-            now[k] = before[k]
-        return list(missing.difference(now))
+        """Those of the keys that aren't kept."""
+        return list(keys.difference(self.now))
 
 
 _kept: dict[str, tuple[_Store, _Store]] = {}
