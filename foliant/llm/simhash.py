@@ -264,13 +264,17 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     return often.unionByName(others).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The documents of which no linked one has a smaller doc_id; all columns stay.
 
+    ``groups`` has the doc_id of each that stays; where it isn't given, the
+    fingerprints' links decide.
+
     Rows that repeat a doc_id are one document: a single row stays, the first
     by its other columns. Rows without a doc_id can't be told apart and stay.
     """
-    groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    if groups is None:
+        groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(groups.hint("shuffle_hash"), "doc_id", "left_semi")
     order = [F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"]
     one = Window.partitionBy("doc_id").orderBy(*order)
