@@ -1,14 +1,17 @@
 """Benchmark decontamination by template canonicalisation (operator 2).
 
 Texts become tokens (runs of letters, lower-cased, and numbers). Numbers, units
-after a number, and names (capitalised within a sentence) become typed
-placeholders; the token that stood there is the slot's value. Windows of
-``WINDOW`` tokens are hashed as templates and joined by hash between documents
-and benchmark items, whole texts on both sides. Along one alignment of an item
+after a number, and names (capitalised within a sentence; a run of them is one)
+become typed placeholders; the token that stood there is the slot's value. A
+capitalised word at a sentence's start may be a name or not: windows with one
+are made in both readings. Windows of ``WINDOW`` tokens, for short items of
+``SHORT`` as well, are hashed as templates and joined by hash between documents
+and benchmark items, whole texts on both sides. Along an alignment of an item
 in a document, the slots must be consistent: a value of the item always stands
-for the same value of the document. An alignment that covers ``COVERAGE`` of
-the item's windows with consistent slots is a leak: "verbatim" if all slots
-have the item's own values, "re-parameterised" otherwise.
+for the same value of the document. An alignment may change its shift where
+words were put in or left out. One that covers ``COVERAGE`` of the item's windows
+(of one size) with consistent slots is a leak: "verbatim" if all slots have the
+item's own values, "re-parameterised" otherwise.
 
 Windows with fewer than ``LITERALS`` plain tokens say too little and are left
 out on both sides (they don't count for coverage). An item with fewer tokens
@@ -27,6 +30,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import materialise, text_of
-from foliant.llm.words import NO_ID, Runs, chunks, ids_of, ngram_hashes, starts_ngram, texts_of
+from foliant.llm.words import NO_ID, Runs, chunks, ids_of, ngram_hashes, starts_ngram, texts_of, word_hashes
 
 WINDOW = 8
 LITERALS = 4
+#: Items below two windows' length are also read in windows of so many tokens, with so many plain ones.
+SHORT, SHORT_LITERALS = 5, 3
+LEAST = {WINDOW: LITERALS, SHORT: SHORT_LITERALS}
 COVERAGE = 0.5
 #: Bits of the bitmap that documents' windows pass first.
 BITMAP_BITS = 22
@@ -87,44 +94,69 @@ class Templates:
         for k in np.flatnonzero((kind[1:] == 1) & (kind[:-1] == 2) & (size[1:] <= 11)).tolist() if len(starts) else ():
             self.unit[k + 1] = runs.data[starts[k + 1] : ends[k + 1]].decode("latin-1") in _UNIT_SET and not begins[k + 1]
         number, name = kind == 2, capital & ~begins & ~self.unit
+        # Mary Ann is one name: a name joins the one before over one blank. Its value is its last word's.
+        runs_on = np.zeros(len(starts), dtype=bool)
+        if len(starts):
+            runs_on[1:] = name[1:] & name[:-1] & (starts[1:] - ends[:-1] == 1) & (raw[starts[1:] - 1] == 32)
+        heads = np.flatnonzero(~runs_on)
+        lasts = np.concatenate([heads[1:], [len(starts)]]).astype(np.int64) - 1 if len(starts) else heads
+        self.whole = word_hashes(runs.bytes, starts[heads], ends[lasts])
+        self.first = np.searchsorted(heads, self.first)
+        self.counts = np.diff(self.first)
+        self.value = self.value[lasts]
+        number, name, self.unit, leads = number[heads], name[heads], self.unit[heads], (capital & begins)[heads]
         self.slot = number | name | self.unit
         self.token = np.where(number, _NUMBER, np.where(self.unit, _UNIT, np.where(name, _NAME, self.value)))
+        # Capitalised at a sentence's start: a plain word in one reading, a name in the other.
+        self.readings = [(self.token, self.slot), (np.where(leads, _NAME, self.token), self.slot | leads)]
+        self.leads = leads
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and template hashes of the eligible windows of n tokens."""
-        h = ngram_hashes(self.token, n)
-        ok = starts_ngram(self.counts, n)[: len(h)]
-        plain = np.concatenate([[0], np.cumsum(~self.slot)])
-        literal = plain[n:] - plain[:-n] if len(h) else np.zeros(0)
-        at = np.flatnonzero(ok & (literal >= (LITERALS if n >= WINDOW else max(2, n - 2))))
-        return at, h[at]
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First tokens, template hashes and readings of the eligible windows of n tokens."""
+        ok = starts_ngram(self.counts, n)
+        found = []
+        for reading, (token, slot) in enumerate(self.readings):
+            h = ngram_hashes(token, n)
+            inside = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[[np.arange(len(h)), np.arange(len(h)) + n]], axis=0)[0]  # noqa: B023, E731
+            fits = ok[: len(h)] & (inside(~slot) >= LEAST.get(n, max(2, n - 2)))
+            if reading:
+                fits &= inside(self.leads) > 0
+            at = np.flatnonzero(fits)
+            found.append((at, h[at], np.full(len(at), reading)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 _UNIT_SET = frozenset(UNITS)
-_SCHEMA = "id long, h long, size int, place long, slots array<long>"
+_SCHEMA = "id long, h long, size int, place long, reading long, slots array<long>"
 
 
 def _rows(ids: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    row, h, size, place, slots = (np.concatenate(x) if k < 4 else [y for z in x for y in z] for k, x in enumerate(zip(*found, strict=True)))
-    return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(h.view(np.int64)), pa.array(size, pa.int32()), pa.array(place, pa.int64()), pa.array(slots, pa.list_(pa.int64()))], ["id", "h", "size", "place", "slots"])
+    row, h, size, place, reading, slots = (np.concatenate(x) if k < 5 else [y for z in x for y in z] for k, x in enumerate(zip(*found, strict=True)))
+    columns = [pa.array(ids[row], pa.int64()), pa.array(h.view(np.int64)), pa.array(size, pa.int32()), pa.array(place, pa.int64()), pa.array(reading, pa.int64()), pa.array(slots, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "h", "size", "place", "reading", "slots"])
 
 
 def _windows(texts: list[bytes], sizes: tuple[int, ...], bitmap: np.ndarray | None, own_size: bool) -> tuple[np.ndarray, ...]:
     t = Templates(texts)
     parts = []
     for n in sizes:
-        at, h = t.windows(n)
+        at, h, reading = t.windows(n)
         if bitmap is not None:
             key = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
             hit = (bitmap[key >> 3] >> (key & 7) & 1).astype(bool)
-            at, h = at[hit], h[hit]
+            at, h, reading = at[hit], h[hit], reading[hit]
         row = np.searchsorted(t.first, at, side="right") - 1
         if own_size:
-            mine = t.counts[row] == n if n < WINDOW else np.ones(len(at), dtype=bool)
-            at, h, row = at[mine], h[mine], row[mine]
-        slots = [t.value[a : a + n][t.slot[a : a + n]].view(np.int64) for a in at.tolist()]
-        parts.append((row, h, np.full(len(at), n), at - t.first[row], slots))
-    return tuple(np.concatenate([p[k] for p in parts]) if k < 4 else [s for p in parts for s in p[4]] for k in range(5))
+            size = t.counts[row]
+            mine = (size == n) | (n == WINDOW) & (size > n) | (n == SHORT) & (size >= WINDOW) & (size < 2 * WINDOW)
+            at, h, row, reading = at[mine], h[mine], row[mine], reading[mine]
+        # The slots' values, then whole names (of which the value is the last word).
+        slots = []
+        for a, r in zip(at.tolist(), reading.tolist(), strict=True):
+            slot = t.readings[r][1][a : a + n]
+            slots.append(np.concatenate([t.value[a : a + n][slot], t.whole[a : a + n][slot]]).view(np.int64))
+        parts.append((row, h, np.full(len(at), n), at - t.first[row], reading, slots))
+    return tuple(np.concatenate([p[k] for p in parts]) if k < 5 else [s for p in parts for s in p[5]] for k in range(6))
 
 
 def template_windows(rows: DataFrame, sizes: tuple[int, ...], bitmap: bytes | None = None, own_size: bool = False) -> DataFrame:
@@ -142,6 +174,62 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...], bitmap: bytes | No
     return text_of(rows).mapInArrow(run, _SCHEMA)
 
 
+def _join(known: dict[int, int], more: dict[int, int]) -> dict[int, int] | None:
+    """Both mappings in one, or None if they contradict each other."""
+    if any(known.get(k, v) != v for k, v in more.items()):
+        return None
+    return known | more
+
+
+def best_alignment(windows: list[dict], total: int, coverage: float) -> tuple | None:
+    """The alignment of an item in a document that covers most: coverage, windows, first place, slots, kind.
+
+    ``windows`` are the met ones of one size (shift, item_place, item_slots,
+    slots). A shift whose slots contradict each other doesn't count. From each
+    shift, those nearby are added, the largest first, as long as their slots
+    agree: a word put in or left out moves what follows to another shift.
+    """
+    shifts: dict[int, tuple[set[int], dict[int, int], bool] | None] = {}
+    for w in windows:
+        half = len(w["slots"]) // 2
+        held = shifts.get(w["shift"], (set(), {}, True))
+        if held is not None:
+            pairs = _join({}, held[1])
+            for a, b in zip(w["item_slots"][:half], w["slots"][:half], strict=True):
+                pairs = pairs if pairs is None else _join(pairs, {a: b})
+            held = None if pairs is None else (held[0] | {w["item_place"]}, pairs, held[2] and w["item_slots"] == w["slots"])
+        shifts[w["shift"]] = held
+    good = sorted(k for k, v in shifts.items() if v is not None)
+    reach, best = max(WINDOW, total), None
+    for seed in good:
+        places, pairs, same = shifts[seed]
+        near = good[bisect_left(good, seed - reach) : bisect_right(good, seed + reach)]
+        for k in sorted(near, key=lambda k: (-len(shifts[k][0]), abs(k - seed))):  # noqa: B023
+            if k != seed and not shifts[k][0] <= places and (both := _join(pairs, shifts[k][1])) is not None:
+                places, pairs, same = places | shifts[k][0], both, same and shifts[k][2]
+        share = len(places) / total
+        if share >= coverage:
+            best = max(best or (0.0,), (share, len(places), -seed, len(pairs), "verbatim" if same else "re-parameterised"))
+    return best
+
+
+def _aligned(met: DataFrame, coverage: float) -> DataFrame:
+    """doc_id, item_id and the best alignment of each pair and window size that covers enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                # With sentences' first words as plain words alone, then as names too.
+                plain = [w for w in row["windows"] if not w["reading"]]
+                found = max(best_alignment(plain, row["total"], coverage) or (), best_alignment(row["windows"], row["total"], coverage) or ())
+                if found:
+                    out.append({"doc_id": row["doc_id"], "item_id": row["item_id"], **dict(zip(("coverage", "n_windows", "first", "n_slots", "kind"), found, strict=True))})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_windows", pa.int64()), ("first", pa.int64()), ("n_slots", pa.int64()), ("kind", pa.string())]))
+
+    some = met.groupBy("doc_id", "item_id", "size").agg(F.count_distinct("item_place").alias("n"), F.max("total").alias("total"), F.collect_list(F.struct("shift", "item_place", "reading", "item_slots", "slots")).alias("windows"))
+    enough = some.where(F.col("n") / F.col("total") >= coverage).select("doc_id", "item_id", "total", "windows")
+    return enough.mapInArrow(run, "doc_id long, item_id long, coverage double, n_windows long, first long, n_slots long, kind string")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -155,15 +243,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
     bitmap[[r["bit"] for r in theirs.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("bit")).distinct().collect()]] = True  # at most 2^BITMAP_BITS rows
     mine = template_windows(docs, sizes, np.packbits(bitmap, bitorder="little").tobytes())
-    totals = theirs.groupBy("id").agg(F.count("*").alias("total"))
-    known = theirs.join(totals, "id").select(F.col("id").alias("item_id"), "h", "size", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "total")
+    totals = theirs.groupBy("id", "size").agg(F.count_distinct("place").alias("total"))
+    known = theirs.join(totals, ["id", "size"]).select(F.col("id").alias("item_id"), "h", "size", F.col("place").alias("item_place"), F.col("reading").alias("item_reading"), F.col("slots").alias("item_slots"), "total")
     known = F.broadcast(known) if number <= BROADCAST_WINDOWS else known
-    met = mine.join(known, ["h", "size"]).select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "total", F.arrays_zip("item_slots", "slots").alias("pairs"))
-    along = met.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("item_place").alias("n_windows"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct("pairs.item_slots"))
-    same = F.forall("pairs", lambda p: p["item_slots"] == p["slots"])
-    share = F.col("n_windows") / F.col("total")
-    hits = along.where(consistent & (share >= coverage)).select("doc_id", "item_id", F.struct(share.alias("coverage"), F.col("n_windows"), (-F.col("shift")).alias("first"), F.size("pairs").cast("long").alias("n_slots"), F.when(same, "verbatim").otherwise("re-parameterised").alias("kind")).alias("best"))
+    met = mine.join(known, ["h", "size"]).select(F.col("id").alias("doc_id"), "item_id", "size", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "total", F.greatest("item_reading", "reading").alias("reading"), "item_slots", "slots")
+    hits = _aligned(met, coverage).select("doc_id", "item_id", F.struct("coverage", "n_windows", "first", "n_slots", "kind").alias("best"))
     return hits.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select(F.nullif("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.nullif("item_id", F.lit(int(NO_ID))).alias("item_id"), "best.n_windows", "best.coverage", "best.n_slots", "best.kind")
 
 
