@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import materialise, text_of
 from foliant.llm.words import Words, chunks, id_array, ids_of, mix, ngram_hashes, starts_ngram, texts_of
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 #: Count of a word that no other document has, as it is scored.
 UNKNOWN = 0.5

@@ -126,3 +126,10 @@ def test_templates_find_every_embedded_item(spark):
     want = {(r["doc_id"], k) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() for k, x in items.items() if x in norm(r["text"])}
     got = {(r["doc_id"], r["item_id"]) for r in registry.op2_template_decontamination(spark, folder).collect()}
     assert want == got
+
+
+def test_query_looks_beyond_bigrams(spark, docs):
+    known = {r["doc_id"]: r["log_score"] for r in backoff.score(docs, order=3).collect()}
+    got = {r["doc_id"]: r["log_score"] for r in registry.op3_stupid_backoff(spark, "/root/testdata/sf0.001").collect()}
+    assert got == pytest.approx(known)
+    assert got != pytest.approx({r["doc_id"]: r["log_score"] for r in backoff.score(docs, order=2).collect()})
