@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from foliant.llm import packing, piece_counts, wavelet
+from foliant.llm import packing, piece_counts, tokens, wavelet
 from foliant.llm.tokens import encode, vocabulary
 
 ODD = ["Foo's don't I'LL x_y é é Ä̈b ﬁ 12a3 ÿß İ Σς ok...!? a-b (c)​ 　 日本語", "", "  ", "\ttab\x0bvt \x1c fs \x85 nel", "a" * 3000]
@@ -21,6 +21,47 @@ def test_ids_are_the_librarys(docs, library):
     assert encode([t.encode() for t in texts], vocabulary(), 1) == want
 
 
+def test_items_of_every_kind(library):
+    texts = [
+        "a", "A1b22'S don't 'sup !!'s a'", "É×÷ éÉ <|endoftext|>x a<|b|> x<|startoftext|>", "日本語 テスト のs 1.5 ½", "x y\x85z \x1c \x00 a\x00b\x7f",
+        "ΑΣ Straße ẞ ÿŸ µ ª", "x" * 100 + " " + "!" * 100, "ab\ncd\x0bef\x0cg \r\n\t  h", "l'Été qu'il c'est 'll they'LL", "a < | b <| c", "\u0301a A\u030a e\u0301e",
+    ]
+    for text in texts:
+        assert encode([text.encode()], vocabulary(), None) == [np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()], text
+
+
+def test_long_texts_and_a_full_table(docs, library, monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNK", 700)
+    monkeypatch.setattr(tokens, "KEPT", 300)
+    texts = [r["text"] for r in docs.limit(40).collect()]
+    long = "\n".join(texts) + " " + "y" * 5000 + " end"
+    for text, ids in zip([long, "", "a"], encode([x.encode() for x in (long, "", "a")], vocabulary(), None), strict=True):
+        assert ids == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_table_grows():
+    table, rng = tokens._Table(), np.random.default_rng(3)
+    keys = np.unique(rng.integers(1, 1 << 63, 1_500_000).astype(np.uint64) << np.uint64(1))
+    lengths = rng.integers(0, 4, len(keys))
+    ids = rng.integers(0, 1000, lengths.sum()).astype(np.uint32)
+    ends = np.cumsum(lengths)
+    for a in range(0, len(keys), 400_000):
+        b = min(len(keys), a + 400_000)
+        table.add(keys[a:b], lengths[a:b], ids[ends[a] - lengths[a] : ends[b - 1]])
+    some = rng.permutation(len(keys))[:50_000]
+    got, n = table.ids_at(table.find(keys[some]))
+    assert (n == lengths[some]).all() and (got == np.concatenate([ids[ends[k] - lengths[k] : ends[k]] for k in some])).all()
+    assert (table.find(keys[:100] + np.uint64(1)) == -1).all()
+
+
+def test_other_tokenizers_are_used_as_they_are(library):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode("Two  words, don't", add_special_tokens=False).ids
+    assert encode([b"Two  words, don't"], path, None) == [np.array(want, dtype="<u4").tobytes()]
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(1).integers(0, 50_000, 40_000).astype("u4")
     ids[100:900] = 7
