@@ -9,20 +9,32 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to Python workers, unless the session sets its own: what a task holds doesn't follow the texts' lengths.
+BATCH_BYTES = 4 << 20
+#: Rows of a small intermediate table that are worth a task and a file of their own.
+ROWS_A_TASK = 250_000
+
+_scratch: list[str] = []
+
 
 def package_root() -> str:
     """The folder that holds the package; on a cluster, ship it with --py-files."""
     return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the data folder; the path may be any that Spark can read.
-
-    Python workers get the package's folder on their path.
-    """
+def prepare(spark: SparkSession) -> None:
+    """Python workers get the package's folder on their path and batches of bounded size."""
     known = spark.sparkContext.environment
     if package_root() not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = ":".join(filter(None, [package_root(), known.get("PYTHONPATH", "")]))
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the data folder; the path may be any that Spark can read."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -40,18 +52,56 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _scratch:
+        _scratch.remove(path)
 
 
-def materialise(df: DataFrame, name: str, partition_by: Iterable[str] = (), codec: str = "zstd") -> DataFrame:
+def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete the intermediate tables written so far by this process, but for some paths.
+
+    Results are read from them when an action runs, so call this once the results
+    in use are written.
+    """
+    for path in [x for x in _scratch if x not in set(keep)]:
+        discard(spark, path)
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks (and files) for a table with so many short rows."""
+    return max(8, -(-rows // ROWS_A_TASK))
+
+
+def write(df: DataFrame, name: str, rows: int | None = None, codec: str = "zstd") -> str:
+    """Write ``df`` to the shared folder; its path. With the number of ``rows`` it has at most, a small table has few files."""
+    path = fresh_path(df.sparkSession, name)
+    (df if rows is None else df.coalesce(tasks_for(rows))).write.option("compression", codec).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name, rows, codec))
 
 
 def text_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone (extra columns and their names don't
     matter), a null text as the empty one, typed as the operators expect."""
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever case Spark compares names in."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -36,11 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, text_of
+from foliant.llm.common import discard, materialise, spare_name, text_of, write
 from foliant.llm.words import Words, chunks, texts_of
 
 #: Bits of the three blocks, most significant first.
 BLOCKS = (22, 21, 21)
+#: Bytes of text whose shingles are hashed at once: each takes some hundred bytes of memory.
+CHUNK = 1 << 18
 #: The most fingerprints that are compared in one bucket.
 BUCKET_ROWS = 4096
 RADIUS = 2
@@ -51,7 +53,7 @@ HOT_SHARE = 1000
 def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     """Unsigned 64-bit fingerprints of the texts."""
     out = np.zeros(len(texts), dtype=np.uint64)
-    for first, last in chunks(texts):
+    for first, last in chunks(texts, CHUNK):
         part = texts[first:last]
         words = Words(part, lower=True)
         digests: list[bytes] = []
@@ -204,12 +206,13 @@ def _key(block: int, sub: int | None, blocks: tuple[int, ...] = BLOCKS) -> Colum
 
 def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (a, b) that join the fingerprints of each component; ``distinct`` has a column fp."""
+    number = distinct.count()
     size = lambda rows: rows.groupBy("bucket").agg(F.count("*").alias("n"))
 
     def split(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Rows of buckets with two or more and with too many fingerprints."""
         counted = size(rows).where("n > 1")
-        full = materialise(counted, name)
+        full = materialise(counted, name, rows=3 * number)
         few = rows.join(full.where(F.col("n") <= bucket_rows).select("bucket"), "bucket")
         many = rows.join(full.where(F.col("n") > bucket_rows).select("bucket"), "bucket")
         return few, many
@@ -231,17 +234,22 @@ def components(edges: DataFrame) -> DataFrame:
     label's label. The tables of a round are written to the shared folder. Hub
     nodes cost nothing extra: a node's neighbours meet in a partial minimum.
     """
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "components-edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "components-labels")
+    spark = edges.sparkSession
+    found = materialise(edges.select("a", "b"), "components-found")
+    most = 2 * found.count()
+    both = materialise(found.union(found.select("b", "a")).distinct(), "components-edges", rows=most)
+    path = write(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "components-labels", rows=most)
     while True:
+        labels = spark.read.parquet(path).select("node", "root")
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("seen"))
         near = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("seen", "root")).alias("near"))
         up = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
-        new = materialise(near.join(up, "near", "left").select("node", "old", F.least("near", F.coalesce("far", "near")).alias("root")), "components-labels")
-        changed = new.where("root <> old").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
-            return labels
+        new = write(near.join(up, "near", "left").select("node", "old", F.least("near", F.coalesce("far", "near")).alias("root")), "components-labels", rows=most)
+        discard(spark, path)
+        path = new
+        labels = spark.read.parquet(path)
+        if labels.where("root <> old").isEmpty():
+            return labels.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -252,12 +260,13 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     broadcast; the others are joined by shuffle, without a hot key.
     """
     fps = materialise(fingerprints(docs), "simhash-fps")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "simhash-distinct")
+    number = fps.count()
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "simhash-distinct", rows=number)
     roots = components(links(distinct.select("fp"), bucket_rows))
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least_id")
     linked = member.join(member.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    whole = materialise(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-components")
-    hot = F.col("n") * HOT_SHARE > fps.count()
+    whole = materialise(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-components", rows=number)
+    hot = F.col("n") * HOT_SHARE > number
     marked = fps.join(F.broadcast(whole.where(hot).select("fp", F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot"))), "fp", "left")
     often = marked.where("_is_hot").select("doc_id", "fp", F.col("_hot").alias("component_id"))
     others = marked.where("_is_hot IS NULL").select("doc_id", "fp").join(whole.where(~hot).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -275,8 +284,10 @@ def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """
     if groups is None:
         groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups.hint("shuffle_hash"), "doc_id", "left_semi")
-    order = [F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"]
+    # The key has a name of its own: ids of any type are compared as longs, and other columns may have any name.
+    key, row = spare_name(docs, "kept_id"), spare_name(docs, "row_of_id")
+    kept = docs.join(groups.select(F.col("doc_id").alias(key)).hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(key), "left_semi")
+    order = [F.col(f"`{c}`").asc_nulls_last() for c in docs.columns if c != "doc_id"]
     one = Window.partitionBy("doc_id").orderBy(*order)
-    rest = docs.where("doc_id IS NULL")
-    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
