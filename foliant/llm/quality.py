@@ -4,7 +4,8 @@ Every document is measured in place, without exploding its words: words
 ``[^\\x20\\x09-\\x0D]+``, symbols, repeated lines, and the words that lie in
 3-word windows found twice or more. For the windows, each one's hash and place
 are packed into one long and sorted, so that equal windows lie next to each
-other; neighbours are then compared word by word.
+other; neighbours are then compared word by word (and the windows of a text in
+which different ones share a hash are sorted themselves).
 
 A document that breaks a rule counts as a failure of its host (``source``). The
 hosts' rates are shrunk by a beta prior whose two parameters are fitted to all
@@ -33,23 +34,29 @@ HOST_LIMIT = 0.5
 BROADCAST_HOSTS = 50_000
 SALTS = 32
 
-_SAME = "(get(w, CAST({a} & m AS INT)) = get(w, CAST({b} & m AS INT)) AND get(w, CAST({a} & m AS INT) + 1) = get(w, CAST({b} & m AS INT) + 1) AND get(w, CAST({a} & m AS INT) + 2) = get(w, CAST({b} & m AS INT) + 2))"
-
-
 def _let(name: str, value: str, body: str) -> str:
     """``body`` with ``name`` bound to ``value``, which is evaluated once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def repeated_words_sql(words: str) -> str:
-    """SQL for the number of words in 3-word windows that occur twice or more in an array of words."""
-    same_before, same_after = _SAME.format(a="s", b="get(k, i - 1)"), _SAME.format(a="s", b="get(k, i + 1)")
-    repeated = f"filter(k, (s, i) -> (i > 0 AND ((s ^ get(k, i - 1)) & ~m) = 0 AND {same_before}) OR (i < size(k) - 1 AND ((s ^ get(k, i + 1)) & ~m) = 0 AND {same_after}))"
-    places = f"sort_array(transform({repeated}, s -> CAST(s & m AS INT)))"
+def repeated_words_sql(words: str, place_bits: int = 20) -> str:
+    """SQL for the number of words in 3-word windows that occur twice or more in an array of words.
+
+    The low ``place_bits`` of a key are the window's place (32 for longer texts),
+    the others its hash. Where two windows that aren't equal have the same hash,
+    the windows themselves are sorted: the number is exact at any length.
+    """
+    same = "(" + " AND ".join(f"get(w, CAST(s & m AS INT) + {k}) = get(w, CAST(get(k, i - 1) & m AS INT) + {k})" for k in range(3)) + ")"
+    # For each key: 0 if its hash is another one than the key's before, 1 if the windows are equal, 2 if only the hashes are.
+    steps = f"transform(k, (s, i) -> IF(i = 0 OR ((s ^ get(k, i - 1)) & ~m) <> 0, 0, IF({same}, 1, 2)))"
+    keyed = "filter(k, (s, i) -> get(f, i) = 1 OR get(f, i + 1) = 1)"
+    texts = "sort_array(transform(sequence(0, size(w) - 3), i -> named_struct('t', concat_ws(' ', get(w, i), get(w, i + 1), get(w, i + 2)), 'i', i)))"
+    whole = _let("x", texts, "transform(filter(x, (s, i) -> s.t = get(x, i - 1).t OR s.t = get(x, i + 1).t), s -> s.i)")
+    places = _let("f", steps, f"sort_array(IF(array_contains(f, 2), {whole}, transform({keyed}, s -> CAST(s & m AS INT))))")
     covered = _let("p", places, "CAST(aggregate(p, named_struct('n', 0, 'next', 0), (a, x) -> named_struct('n', a.n + x + 3 - greatest(x, a.next), 'next', x + 3), a -> a.n) AS BIGINT)")
-    keyed = _let("k", "sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) & ~m) | CAST(i AS BIGINT)))", covered)
-    whole = _let("m", "IF(size(w) < 1048576, 1048575L, 4294967295L)", keyed)
-    return _let("w", words, f"IF(size(w) < 3, 0L, {whole})")
+    keys = _let("k", "sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) & ~m) | CAST(i AS BIGINT)))", covered)
+    masked = _let("m", f"IF(size(w) < {1 << place_bits}, {(1 << place_bits) - 1}L, 4294967295L)", keys)
+    return _let("w", words, f"IF(size(w) < 3, 0L, {masked})")
 
 
 def measures(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from foliant.llm.common import load
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base rules and host verdict of each document."""
     judged = quality.judge(load(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
 
 
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

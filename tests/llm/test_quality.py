@@ -1,6 +1,8 @@
 import collections
 import re
 
+from pyspark.sql import functions as F
+
 from foliant.llm import quality
 
 
@@ -22,6 +24,24 @@ def test_measures_are_brute_force(spark, docs, odd_docs):
     assert collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
 
 
+def test_windows_whose_hashes_collide(spark, docs):
+    # Sixteen hashes for all windows: most texts have different windows with the same one.
+    rows = docs.select("text").limit(60).collect() + [("a b c a b c d e f a b c",), ("x y",), ("q q q q q",)]
+    held = spark.createDataFrame([(r[0] or "",) for r in rows], "t string")
+    got = held.select("t", F.expr(quality.repeated_words_sql("array_remove(split(t, '[ \t\n]+'), '')", place_bits=60)).alias("n")).collect()
+    assert all(r["n"] == brute(r["t"])[4] for r in got)
+
+
+def test_texts_of_over_a_million_words(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [f"v{rng.randrange(60)}" for _ in range(700_000)] + [f"u{k}" for k in range(400_000)]
+    text = " ".join(words)
+    got = quality.measures(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert got["n_words"] == 1_100_000 and got["n_repeat_words"] == brute(text)[4]
+
+
 def test_bad_hosts_take_their_documents_along(spark):
     good, junk = " ".join(f"word{k}" for k in range(80)), "### " * 60
     rows = [(k, good if k < 50 or k % 20 == 0 else junk, "ok" if k < 50 else "bad") for k in range(100)] + [(200, good, "new")]
