@@ -36,7 +36,8 @@ def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document."""
     scored = toxicity.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted", "n_segments", "segment_first", "segment_end")
+    strongest = F.try_element_at(F.array_sort("segments", lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise(x["first"].cast("int") - y["first"].cast("int"))), F.lit(1))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("segments").cast("long").alias("n_segments"), strongest["first"].alias("segment_first"), strongest["end"].alias("segment_end"))
 
 
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

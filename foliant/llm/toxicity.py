@@ -2,26 +2,34 @@
 
 Tokens are runs of letters, lower-cased. A token's features are the token and its
 first 4, 5 and 6 bytes (so that forms of a stem that no label covers are met).
-For each feature the log-odds between toxic and other labelled documents (the
-number of documents that have it) are taken with an informative Dirichlet prior
-(the features' overall frequencies) and divided by their standard deviation; those clearly on the toxic side score
-their log-odds, every other token the log-likelihood ratio of meeting none,
-which is a little below zero. Under these scores the expected exponential of a
-token's score is 1 in other text: the extreme-value scale of maximal segments is 1.
+A feature's count is the number of times it occurs, at most ``MOST_A_TEXT`` a
+document. Its log-odds between toxic and other labelled documents are taken with
+an informative Dirichlet prior (the features' overall frequencies); a feature
+that ``LEAST_TEXTS`` toxic documents have and whose log-odds are clear scores
+their lower bound, ``BOUND`` standard errors below. Every other token scores the
+log-likelihood ratio of meeting none, which is a little below zero.
 
 Per document one linear scan finds all maximal-scoring segments. A segment with
-score S in n tokens is expected K n exp(-S) times by chance; K is fitted to the
-other labelled documents. The significances of the segments, log of the inverse
-of that number where it is positive, are summed (a document with none has its best one's),
-and a logistic curve fitted to the labelled documents turns the sum into a probability.
-
+score S is expected K n exp(-lambda S) times by chance in n tokens. Lambda starts
+from the positive root of the expected exponential of a token's score in other
+text and is fitted, with K, to the segments there (texts without any included). Segments
+count by the log of one plus the inverse of that number; their sum is the
+document's evidence, which is 0 where there are no segments, and a logistic
+curve turns it into a probability.
+
+Chance and curve are fitted to labelled documents too, each scored by features
+that weren't learnt from its own fold (of ``FOLDS``), so they hold for new texts.
 Only labelled rows whose crc32(doc_id as text) mod 4 is not 2 are used, at most
-``TRAIN_ROWS`` a class (a documented parameter; the first by hash of doc_id).
-Scores use the text alone; every document is scanned whole.
-
-Defined results: null and empty texts score as documents without segments;
-without labelled rows of both classes every score is 0; a null doc_id isn't held out; repeated rows are scored
-each; an empty table gives no rows; contradictory labels of a doc_id count as toxic.
+``TRAIN_ROWS`` a class (a documented parameter; the first by hash of doc_id); the
+constants below were chosen by cross-validation within such rows. What is
+collected are the clear features of that sample. Scores use the text alone;
+every document is scanned whole.
+
+Defined results: null and empty texts, and all others without a segment, have
+the lowest score there is; without labelled rows of both classes every score is
+0; a null doc_id isn't held out; repeated rows are scored each (of several
+labelled texts with one doc_id the first by hash is learnt from); an empty table
+gives no rows; contradictory labels of a doc_id count as toxic.
 """
 
 from __future__ import annotations
@@ -39,12 +47,12 @@ from foliant.llm.words import Runs, chunks, mix, texts_of
 TRAIN_ROWS = 10_000
 #: Bytes of the prefixes that are features.
 PREFIXES = (4, 5, 6)
-#: Features with the clearest log-odds that are kept, and how clear they must be.
-FEATURES = 20_000
-LEAST_Z = 3.0
-#: Least log-odds: features that are only somewhat likelier (by length or language of texts) say nothing of a passage.
-LEAST_ODDS = 3.0
-PRIOR_STRENGTH = 500.0
+#: The most times that a document counts for a feature, and how many toxic documents must have it.
+MOST_A_TEXT, LEAST_TEXTS = 3, 2
+#: Least log-odds of a feature, their least ratio to their standard error, standard errors taken off, and what must be left.
+LEAST_ODDS, LEAST_Z, BOUND, LEAST_SCORE = 2.0, 2.5, 1.5, 1.5
+PRIOR_STRENGTH, PRIOR_LEAST = 500.0, 0.5
+FOLDS = 4
 THRESHOLD = 0.3
 
 
@@ -90,12 +98,12 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 
 class Scorer:
-    """Scores of tokens and the segments of texts."""
+    """Scores of tokens, the segments of texts and what they say."""
 
-    def __init__(self, features: np.ndarray, odds: np.ndarray, miss: float, log_k: float = 0.0, slope: float = 0.0, offset: float = -40.0):
+    def __init__(self, features: np.ndarray, odds: np.ndarray, miss: float = -1e-3, scale: float = 1.0, log_k: float = 0.0, slope: float = 0.0, offset: float = -40.0):
         order = np.argsort(features)
         self.features, self.odds = features[order], odds[order]
-        self.miss, self.log_k, self.slope, self.offset = miss, log_k, slope, offset
+        self.miss, self.scale, self.log_k, self.slope, self.offset = miss, scale, log_k, slope, offset
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(features >> np.uint64(44)).astype(np.int64)] = True
 
@@ -133,14 +141,16 @@ class Scorer:
                     previous = p
                 yield n, [(where[x], where[y - 1] + 1, s) for x, y, s in maximal_segments(items)]
 
-    def significance(self, n: int, segments: list[tuple[int, int, float]]) -> float:
+    def significances(self, n: int, segments: list[tuple[int, int, float]]) -> list[float]:
+        """Log of the inverse of how often each segment is expected by chance in n tokens; above 0 it is a significant one."""
         chance = self.log_k + np.log(max(n, 1))
-        each = [s - chance for _, _, s in segments]
-        clear = [x for x in each if x > 0]
-        return sum(clear) if clear else max(each, default=-chance)
+        return [self.scale * s - chance for _, _, s in segments]
+
+    def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
+        return float(np.logaddexp(0.0, self.significances(n, segments)).sum())
 
-    def score(self, significance: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * significance + self.offset, -40, 40))))
+    def score(self, evidence: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.offset, -40, 40))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -159,81 +169,138 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(w[1] - slope * centre)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
-    """Fit features, chance and curve to the labelled rows that aren't held out."""
+def chance_scale(scores: np.ndarray, counts: np.ndarray, misses: float, miss: float) -> float:
+    """The positive root x of the mean of exp(x * score) = 1 over some scores and a number of misses."""
+    total = counts.sum() + misses
+
+    def mean(x: float) -> float:
+        return float((counts * np.exp(np.minimum(x * scores, 700))).sum() + misses * np.exp(x * miss)) / total - 1
+
+    low, high = 1e-6, 1.0
+    while mean(high) < 0 and high < 64:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if mean(mid) < 0 else (low, mid)
+    return high
+
+
+def sample_of_labels(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, toxic, fold and text of the rows that are learnt from, written to the shared folder."""
     each = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [each.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows) for k in (0, 1)]
     sample = materialise(first[0].unionByName(first[1]), "toxicity-labels")
-    rows = materialise(text_of(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "toxicity-sample")
+    rows = text_of(docs).join(F.broadcast(sample), "doc_id")  # at most 2 * train_rows rows
+    one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    return materialise(one.select("doc_id", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "text"), "toxicity-sample")
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """Per feature and fold: toxic and other (times it occurs, so many a document at most), texts (toxic documents)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic = texts_of(batch), batch.column(2).to_numpy()
+            texts, toxic, fold = texts_of(batch), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for a, b in chunks(texts):
                 features, counts = token_features(texts[a:b])
-                ends = np.cumsum(counts)
-                each = [np.unique(features[y - n : y]) for n, y in zip(counts.tolist(), ends.tolist(), strict=True)]
-                flat, label = np.concatenate(each), np.repeat(toxic[a:b], [len(x) for x in each])
-                flat, label = flat[flat != 0], label[flat != 0]
+                if not len(features):
+                    continue
+                doc = np.repeat(np.arange(a, b), counts * features.shape[1])
+                flat = features.ravel()
                 kinds, at = np.unique(flat, return_inverse=True)
-                sums = [np.bincount(at[label == k], minlength=len(kinds)) for k in (1, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums)], ["feature", "toxic", "other"])
-
-    counted = rows.select("doc_id", "text", "toxic").mapInArrow(count, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counted = materialise(counted, "toxicity-counts")
-    n1, n0 = (int(x or 0) for x in counted.agg(F.sum("toxic"), F.sum("other")).first())
+                pair, n = np.unique(doc * len(kinds) + at, return_counts=True)
+                n = np.minimum(n, MOST_A_TEXT)
+                label, kind = toxic[pair // len(kinds)], pair % len(kinds)
+                key, place = np.unique(fold[pair // len(kinds)] * len(kinds) + kind, return_inverse=True)
+                sums = [np.bincount(place, weights=w, minlength=len(key)).astype(np.int64) for w in (n * (label == 1), n * (label == 0), label == 1)]
+                real = kinds[key % len(kinds)] != 0  # a token shorter than a prefix has none
+                yield pa.RecordBatch.from_arrays([pa.array(x[real]) for x in (kinds[key % len(kinds)].view(np.int64), (key // len(kinds)).astype(np.int32), *sums)], ["feature", "fold", "toxic", "other", "texts"])
+
+    found = rows.select("text", "toxic", "fold").mapInArrow(run, "feature long, fold int, toxic long, other long, texts long")
+    return found.groupBy("feature", "fold").agg(*[F.sum(x).alias(x) for x in ("toxic", "other", "texts")])
+
+
+def clear_features(counted: DataFrame, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and scores of the clear features, learnt from all folds or from all but one."""
+    some = counted if without is None else counted.where(F.col("fold") != without)
+    each = some.groupBy("feature").agg(*[F.sum(x).alias(x) for x in ("toxic", "other", "texts")])
+    n1, n0 = (int(x or 0) for x in some.agg(F.sum("toxic"), F.sum("other")).first())
     if not n1 or not n0:
-        return Scorer(np.zeros(0, dtype=np.uint64), np.zeros(0), -1e-3)
-    prior = 0.5 + PRIOR_STRENGTH * (F.col("toxic") + F.col("other")) / F.lit(float(n1 + n0))
+        return np.zeros(0, dtype=np.uint64), np.zeros(0)
+    prior = F.lit(PRIOR_LEAST) + PRIOR_STRENGTH * (F.col("toxic") + F.col("other")) / F.lit(float(n1 + n0))
     a, b = F.col("toxic") + prior, F.col("other") + prior
-    strength = PRIOR_STRENGTH
-    odds = F.log(a / (n1 + strength - a)) - F.log(b / (n0 + strength - b))
-    clear = counted.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
-    best = clear.orderBy(F.col("z").desc(), "feature").limit(FEATURES).toPandas()  # at most FEATURES rows
-    scorer = Scorer(best["feature"].to_numpy(dtype=np.int64).view(np.uint64), best["odds"].to_numpy(dtype=np.float64), 0.0)
+    odds = F.log(a / (n1 + PRIOR_STRENGTH - a)) - F.log(b / (n0 + PRIOR_STRENGTH - b))
+    found = each.where(F.col("texts") >= LEAST_TEXTS).select("feature", odds.alias("odds"), F.sqrt(1 / a + 1 / b).alias("error"))
+    found = found.withColumn("score", F.col("odds") - BOUND * F.col("error")).where((F.col("odds") >= LEAST_ODDS) & (F.col("odds") >= LEAST_Z * F.col("error")) & (F.col("score") >= LEAST_SCORE))
+    best = found.select("feature", "score").toPandas()  # features of the bounded sample
+    return best["feature"].to_numpy(dtype=np.int64).view(np.uint64), best["score"].to_numpy(dtype=np.float64)
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch)
-            got = [(n, sum(b - a for a, b, _ in found)) for n, found in Scorer(scorer.features, scorer.odds, -1e9).segments(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["toxic", "n", "hits"])
 
-    rates = {r["toxic"]: (r["hits"] + 0.5) / (r["n"] + 1.0) for r in rows.select("doc_id", "text", "toxic").mapInArrow(hits, "toxic int, n long, hits long").groupBy("toxic").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()}
-    scorer.miss = min(-1e-3, float(np.log1p(-rates.get(1, 0.02)) - np.log1p(-rates.get(0, 0.0001))))
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
+    """Fit features, chance and curve to the labelled rows that aren't held out."""
+    rows = sample_of_labels(docs, labels, train_rows)
+    counted = materialise(feature_counts(rows), "toxicity-counts")
+    features, odds = clear_features(counted)
+    if {r["toxic"] for r in rows.select("toxic").distinct().collect()} != {0, 1} or not len(features):
+        return Scorer(np.zeros(0, dtype=np.uint64), np.zeros(0))
+    apart = [clear_features(counted, k) for k in range(FOLDS)]
 
-    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [Scorer(*x) for x in apart]
         for batch in batches:
-            got = list(scorer.segments(texts_of(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([n for n, _ in got], pa.int64()), pa.array([[s for _, _, s in found] for _, found in got], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
+            texts, fold = texts_of(batch), batch.column(2).to_pylist()
+            got: list[np.ndarray] = []
+            sizes: list[int] = []
+            for text, k in zip(texts, fold, strict=True):
+                found, counts = token_features([text])
+                got.append(scorers[k].token_scores(found)[1])
+                sizes.append(int(counts[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.array(got, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
+
+    met = rows.select("text", "toxic", "fold").mapInArrow(hits, "toxic int, n long, scores array<double>")
+    sums = {r["toxic"]: (r["n"] or 0, r["hits"] or 0) for r in met.groupBy("toxic").agg(F.sum("n").alias("n"), F.sum(F.size("scores")).alias("hits")).collect()}
+    chance = met.where("toxic = 0").select(F.explode("scores").alias("s")).groupBy(F.round("s", 1).alias("s")).count().toPandas()  # a row a tenth
+    rate = {k: (h + 0.5) / (n + 1.0) for k, (n, h) in sums.items()}
+    # Half a hit of the mean score stands for what no other text happens to have.
+    values = np.append(chance["s"].to_numpy(dtype=float), odds.mean())
+    times = np.append(chance["count"].to_numpy(dtype=float), 0.5)
+    misses = max(1.0, sums[0][0] - sums[0][1])
+    drift = float((values * times).sum() / misses)
+    scorer = Scorer(features, odds, min(-1e-3, float(np.log1p(-rate[1]) - np.log1p(-rate[0])), -2 * drift))
+    scorer.scale = chance_scale(values, times, misses, scorer.miss)
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [Scorer(*x, scorer.miss) for x in apart]
+        for batch in batches:
+            got = [next(iter(scorers[k].segments([text]))) for text, k in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([[s for _, _, s in found] for _, found in got], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
 
-    known = rows.select("doc_id", "text", "toxic").mapInArrow(best_of, "toxic int, n long, scores array<double>").toPandas()  # at most 2 * train_rows rows
-    # Moments of maxima under chance: S - log n has mean log K + 0.5772 where there is a segment.
-    top = np.array([max(x, default=np.nan) for x in known["scores"]], dtype=float)
+    known = rows.select("text", "toxic", "fold").mapInArrow(segments, "toxic int, n long, scores array<double>").toPandas()  # at most 2 * train_rows rows
     n, y = known["n"].to_numpy(dtype=float), known["toxic"].to_numpy(dtype=float)
-    chance = (y == 0) & ~np.isnan(top)
-    scorer.log_k = float(np.clip((top[chance] - np.log(np.maximum(n[chance], 1))).mean() - 0.5772, -4, 0)) if chance.sum() >= 30 else float(np.log(0.1))
-    x = np.array([scorer.significance(int(k), [(0, 0, s) for s in found]) for k, found in zip(n, known["scores"], strict=True)])
-    scorer.slope, scorer.offset = _logistic(x, y)
+    by_chance = np.concatenate([np.zeros(0), *known["scores"][y == 0]])
+    beyond = by_chance - odds.min()  # every segment scores so much
+    # The root as one observation more: how fast the tail of segments by chance falls, as it was met.
+    scorer.scale = float((len(beyond) + 1) / (np.maximum(beyond, 0).sum() + 1 / scorer.scale))
+    scorer.log_k = float(np.log((len(by_chance) + 0.5) / max(1.0, n[y == 0].sum())) + scorer.scale * odds.min())
+    x = np.array([scorer.evidence(int(k), [(0, 0, s) for s in found]) for k, found in zip(n, known["scores"], strict=True)])
+    scorer.slope, scorer.offset = _logistic(np.log1p(x), y)
     return scorer
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, score, predicted, n_segments (significant ones) and the strongest one's token places."""
+    """doc_id, score, segments (first and last + 1 of their tokens, score; the significant ones in order), held_out, predicted."""
     scorer = train(docs, labels, train_rows)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             mine = shared.value
-            rows = []
+            scores, clear = [], []
             for n, found in mine.segments(texts_of(batch)):
-                x = mine.significance(n, found)
-                clear = sum(s > mine.log_k + np.log(max(n, 1)) for _, _, s in found)
-                strongest = max(found, key=lambda f: f[2], default=(None, None, 0))
-                rows.append((mine.score(x), int(clear), strongest[0], strongest[1]))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "score", "n_segments", "segment_first", "segment_end"])
-
-    out = text_of(docs).mapInArrow(run, "doc_id long, score double, n_segments long, segment_first long, segment_end long")
+                scores.append(mine.score(mine.evidence(n, found)))
+                clear.append([dict(zip(("first", "end", "score"), x, strict=True)) for x, s in zip(found, mine.significances(n, found), strict=True) if s > 0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(clear, pa.list_(segment))], ["doc_id", "score", "segments"])
+
+    out = text_of(docs).mapInArrow(run, "doc_id long, score double, segments array<struct<first:long,end:long,score:double>>")
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
