@@ -59,7 +59,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling keeps."""
     weighed = resample.weigh(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
-    return weighed.where("kept").select("doc_id", "n_grams", "log_weight", "key", "kept")
+    return weighed.where("kept").select("doc_id", "n_grams", "log_weight", "key", "beyond_cut", "kept")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ neighbouring shapes: a mark is its own shape, letters have their case, and a
 token that equals the one before has the shape "again".
 
 Documents are sampled without replacement by Gumbel top-k: to each log weight
-per token, taken against the share that the labelled rows give, standard Gumbel
-noise times ``temperature`` is added (fixed by seed and doc_id), and the k
-largest stay; k is the number of documents whose unperturbed weight is on the
-target's side of the boundary. The k-th largest is found by counting in bins
-that are refined, so neither keys nor documents are collected.
+standard Gumbel noise (fixed by seed and doc_id) is added, and the k largest
+stay, which draws k documents in proportion to their weights. k is a share of the
+corpus: as many documents as lie beyond the cut on the log weight per n-gram that
+tells the labelled rows of either class apart best (column ``beyond_cut``;
+whether a document lies there doesn't decide about it). The k-th largest is
+found by counting in bins that are refined, so neither keys nor documents are
+collected.
 
 Bounds: the target model and the boundary are fitted to at most
 ``TRAIN_ROWS`` labelled documents a class (a documented parameter; the first by
@@ -20,8 +22,9 @@ hash of doc_id); the raw model counts the whole corpus, and every document is
 scored on its whole text.
 
 Defined results: null and empty texts have log weight 0 and no tokens; they are
-rejected; rows that repeat a doc_id get the same noise, and ties at the cut are
-kept together; without labelled rows of both classes every document with a
+rejected; rows that repeat a doc_id get the same noise (of several labelled texts
+with one doc_id the least weight per n-gram counts for the cut), and ties at the
+k-th key are kept together; without labelled rows of both classes every document with a
 token is kept; an empty table gives no rows; a null label counts as none.
 """
 
@@ -34,14 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, text_of
-from foliant.llm.words import Runs, chunks, mix, sums_by, texts_of
+from foliant.llm.common import materialise, spare_name, text_of
+from foliant.llm.words import Runs, chunks, ids_of, mix, sums_by, texts_of
 
 #: Hash buckets of each model.
 BUCKETS = 1 << 14
 #: Labelled documents of each class that are used to fit.
 TRAIN_ROWS = 10_000
-TEMPERATURE = 0.01
 SEED = 17
 
 _AGAIN, _LOWER, _TITLE, _UPPER, _DIGITS = (np.uint64(x) for x in (11, 12, 13, 14, 15))
@@ -62,8 +64,12 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shape[marks] = token[marks]
     again = np.zeros(len(token), dtype=bool)
     again[1:] = token[1:] == token[:-1]
+    first = runs.first[:-1][runs.counts > 0]
+    again[first] = False
     shape[again] = _AGAIN
-    pair = mix(mix(shape) + np.concatenate([[np.uint64(1)], shape[:-1]]) * np.uint64(0x9E3779B97F4A7C15))
+    before = np.concatenate([[np.uint64(1)], shape[:-1]])
+    before[first] = 1  # no text follows on another
+    pair = mix(mix(shape) + before * np.uint64(0x9E3779B97F4A7C15))
     both = np.stack([token, pair], axis=1).ravel()
     return (both >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), 2 * runs.counts
 
@@ -117,8 +123,8 @@ def _kth_largest(keys: DataFrame, k: int) -> float:
     return low
 
 
-def weigh(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, n_grams, log_weight, key (perturbed) and kept of every row."""
+def weigh(docs: DataFrame, labels: DataFrame, seed: int = SEED, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, n_grams, log_weight, key (perturbed), beyond_cut and kept of every row."""
     sample = materialise(sample_of_labels(labels, train_rows), "resample-labels")
     marked = text_of(docs).join(F.broadcast(sample), "doc_id", "left")  # at most 2 * train_rows rows
 
@@ -151,24 +157,26 @@ def weigh(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE,
 
     scored = materialise(marked.mapInArrow(score, "doc_id long, good int, n_grams long, log_weight double"), "resample-scores")
     per = F.col("log_weight") / F.greatest(F.col("n_grams"), F.lit(1))
-    known = scored.where("good IS NOT NULL AND n_grams > 0").select("doc_id", per.alias("per"), "good").dropDuplicates(["doc_id"]).toPandas()  # at most 2 * train_rows rows
+    known = scored.where("good IS NOT NULL AND n_grams > 0").groupBy("doc_id", "good").agg(F.min(per).alias("per")).toPandas()  # at most 2 * train_rows rows
     cut = _boundary(known["per"].to_numpy(), known["good"].to_numpy())
-    beyond = per - F.lit(cut if np.isfinite(cut) else -1e3)
 
     def noise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array([x or 0 for x in batch.column(0).to_pylist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(batch.column(3).to_numpy() + temperature * gumbel(ids, seed))], ["doc_id", "n_grams", "log_weight", "key"])
+            key = batch.column(2).to_numpy() + gumbel(ids_of(batch), seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], ["doc_id", "n_grams", "log_weight", "beyond_cut", "key"])
 
-    keys = materialise(scored.select("doc_id", "n_grams", "log_weight", beyond.alias("beyond")).mapInArrow(noise, "doc_id long, n_grams long, log_weight double, key double"), "resample-keys")
-    some = keys.where("n_grams > 0")
-    k = scored.where((F.col("n_grams") > 0) & (beyond >= 0)).count()
-    least = _kth_largest(some, k) if k else float("inf")
-    return keys.withColumn("kept", (F.col("n_grams") > 0) & (F.col("key") >= F.lit(least)))
+    beyond = (F.col("n_grams") > 0) & (per >= F.lit(cut if np.isfinite(cut) else -1e300))
+    keyed = scored.select("doc_id", "n_grams", "log_weight", beyond.alias("beyond_cut")).mapInArrow(noise, "doc_id long, n_grams long, log_weight double, beyond_cut boolean, key double")
+    keys = materialise(keyed, "resample-keys")
+    k = keys.where("beyond_cut").count()
+    least = _kth_largest(keys.where("n_grams > 0"), k) if k else float("inf")
+    return keys.select("doc_id", "n_grams", "log_weight", "key", "beyond_cut", ((F.col("n_grams") > 0) & (F.col("key") >= F.lit(least))).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the sample holds, all columns; rows without a doc_id, which can't be told apart, stay."""
-    kept = weigh(docs, labels).where("kept").select("doc_id").distinct()
-    known = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    return known.unionByName(docs.where("doc_id IS NULL").select(*docs.columns))
+    key = spare_name(docs, "sampled_id")
+    kept = weigh(docs, labels).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    known = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(key), "left_semi").select(*columns)
+    return known.unionByName(docs.where("doc_id IS NULL").select(*columns))
