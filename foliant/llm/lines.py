@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise
+from foliant.llm.common import materialise, spare_name
 from foliant.llm.quality import WHITE
 
 MIN_SITES = 5
@@ -29,33 +29,46 @@ MIN_SITES = 5
 SKETCH_BITS = 10
 
 
+#: A line with more than one in so many occurrences is joined by broadcast (there are fewer such lines than that).
+HOT_SHARE = 1000
+
+
 def _has_word(line):
     return F.length(F.translate(line, WHITE, "")) > 0
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def line_places(docs: DataFrame) -> DataFrame:
+    """doc_id, site and h (hash) of every line with a word, once a document."""
     site = F.coalesce(F.xxhash64(F.col("source").cast("string")), F.lit(0).cast("long"))
-    line = F.explode(F.split("text", "\n")).alias("line")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), site.alias("site"), line).where(_has_word(F.col("line"))).select("doc_id", "site", F.xxhash64("line").alias("h"))
+    each = F.filter(F.split(F.col("text").cast("string"), "\n"), _has_word)
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), site.alias("site"), F.transform(each, lambda x: F.xxhash64(x)).alias("hs"))
+    return hashed.select("doc_id", "site", F.explode(F.array_distinct("hs")).alias("h"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h (line hash), keeper (the smallest doc_id that has it) and sites of lines on ``min_sites`` or more sites."""
-    lines = _lines(docs)
+def boilerplate(places: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """h (line hash), keeper (the smallest doc_id that has it), sites and documents of lines on ``min_sites`` or more sites."""
+    number = places.count()
     band = max(1, math.ceil(3 * 1.04 / math.sqrt(1 << SKETCH_BITS) * min_sites))
-    sketched = lines.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"))
-    wide = materialise(sketched.select("h", "keeper", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= min_sites - band), "lines-spread")
+    sketched = places.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n"), F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"))
+    wide = materialise(sketched.select("h", "keeper", "n", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= min_sites - band), "lines-spread", rows=number)
     near = wide.where(F.col("estimate") <= min_sites + band)
-    exact = lines.join(near.select("h"), "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("sites"))
-    sure = wide.where(F.col("estimate") > min_sites + band).select("h", "keeper", F.col("estimate").alias("sites"))
-    return sure.unionByName(near.join(exact, "h").where(F.col("sites") >= min_sites).select("h", "keeper", "sites"))
+    # Distinct first, partly on the map side: a near line has few sites, however many documents have it.
+    exact = places.select("h", "site").distinct().join(near.select("h"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("sites"))
+    sure = wide.where(F.col("estimate") > min_sites + band).select("h", "keeper", F.col("estimate").alias("sites"), "n")
+    return sure.unionByName(near.join(exact, "h").where(F.col("sites") >= min_sites).select("h", "keeper", "sites", "n"))
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id and the hashes of the lines to remove from it (no more than the document has)."""
-    found = materialise(boilerplate(docs, min_sites), "lines-boilerplate")
-    hits = _lines(docs).join(found, "h").where(F.col("doc_id") != F.col("keeper")).select("doc_id", "h").distinct()
-    return hits.groupBy("doc_id").agg(F.collect_list("h").alias("_drop"))
+    places = materialise(line_places(docs), "lines-places")
+    number = places.count()
+    found = materialise(boilerplate(places, min_sites), "lines-boilerplate", rows=number)
+    hot = F.col("n") * HOT_SHARE > number
+    # Lines that many documents hold go to the documents; the others are joined by shuffle, without a hot key.
+    often = places.join(F.broadcast(found.where(hot).select("h", "keeper")), "h")
+    few = places.join(found.where(~hot).select("h", "keeper").hint("shuffle_hash"), "h")
+    hits = often.select("doc_id", "h", "keeper").unionByName(few.select("doc_id", "h", "keeper")).where(F.col("doc_id") != F.col("keeper"))
+    return hits.groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
 
 
 def deduplicate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
@@ -63,16 +76,16 @@ def deduplicate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = Fals
 
     ``counts`` adds n_lines and n_removed.
     """
-    drop = materialise(removals(docs, min_sites), "lines-removals").select(F.col("doc_id").alias("_id"), "_drop")
+    key, drop, text = (spare_name(docs, x) for x in ("removal_id", "removal_lines", "text_kept"))
+    found = removals(docs, min_sites).select(F.col("doc_id").alias(key), F.col("drop").alias(drop))
     # By shuffle at every size: a removal is a row per document, so its table grows with the corpus.
-    joined = docs.join(drop.hint("shuffle_hash"), docs["doc_id"].cast("long") == drop["_id"], "left")
-    kept = F.filter(F.split("text", "\n"), lambda line: ~(_has_word(line) & F.array_contains("_drop", F.xxhash64(line))))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_text", text)
-    columns = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(key), "left")
+    kept = F.filter(F.split("text", "\n"), lambda line: ~(_has_word(line) & F.array_contains(drop, F.xxhash64(line))))
+    out = joined.withColumn(text, F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    columns = [F.col(text).alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        before, after = (F.coalesce(F.size(F.split(x, "\n")), F.lit(0)).cast("long") for x in ("text", "_text"))
-        gone = F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(before - F.size(kept))
+        before = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+        gone = F.when(F.col(drop).isNull(), F.lit(0).cast("long")).otherwise(before - F.size(kept))
         columns += [before.alias("n_lines"), gone.alias("n_removed")]
     return out.select(*columns)
 

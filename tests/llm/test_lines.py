@@ -26,3 +26,21 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[7][0]["text"] == "Alpha beta gamma delta." and by[7][0]["n_chars"] == len(by[7][0]["text"])
     assert by[None][0]["text"] == "Nobody's text.\nSame line here today."
     assert lines.deduplicate(no_docs).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(k, f"shared\nown {k}", f"s{k}", k, "a", "b") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, removal_id int, Removal_Lines string, text_kept string")
+    got = {r["doc_id"]: r for r in lines.deduplicate(docs).collect()}
+    assert got[3].asDict() == {"doc_id": 3, "text": "own 3", "source": "s3", "removal_id": 3, "Removal_Lines": "a", "text_kept": "b"}
+    assert got[0]["text"] == "shared\nown 0"
+    other = docs.withColumnsRenamed({"removal_id": "h", "Removal_Lines": "drop", "text_kept": "keeper"})
+    assert lines.deduplicate(other).columns == other.columns and lines.deduplicate(other).where("text LIKE 'shared%'").count() == 1
+
+
+def test_lines_that_all_documents_hold(spark, monkeypatch):
+    rows = [(k, "everywhere\n" + ("often" if k % 3 else f"own {k}"), f"s{k % 9}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["doc_id"]: r["text"] for r in lines.deduplicate(docs).collect()}
+    monkeypatch.setattr(lines, "HOT_SHARE", 0)  # all by shuffle
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicate(docs).collect()} == want and want[1] == "often" and want[2] == ""
