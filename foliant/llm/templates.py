@@ -1,27 +1,28 @@
 """Benchmark decontamination by template canonicalisation (operator 2).
 
-Texts become tokens (runs of letters, lower-cased, and numbers). Numbers, units
-after a number, and names (capitalised within a sentence; a run of them is one)
-become typed placeholders; the token that stood there is the slot's value. A
-capitalised word at a sentence's start may be a name or not: windows with one
-are made in both readings. Windows of ``WINDOW`` tokens, for short items of
-``SHORT`` as well, are hashed as templates and joined by hash between documents
-and benchmark items, whole texts on both sides. Along an alignment of an item
-in a document, the slots must be consistent: a value of the item always stands
-for the same value of the document. An alignment may change its shift where
-words were put in or left out. One that covers ``COVERAGE`` of the item's windows
-(of one size) with consistent slots is a leak: "verbatim" if all slots have the
-item's own values, "re-parameterised" otherwise.
+Texts become tokens (runs of letters, lower-cased, and numbers, written in digits
+or as words). Numbers, with the unit behind them if there is one, and names
+(capitalised within a sentence; a run of them is one) become typed placeholders;
+what stood there is the slot's value. A capitalised word at a sentence's start
+may be a name or not: windows with one are made in both readings. Windows of
+``WINDOW`` tokens, for short items of ``SHORT`` as well, are hashed as templates
+and joined by hash between documents and benchmark items, whole texts on both
+sides. Along an alignment of an item in a document, the slots must be
+consistent: a value of the item always stands for the same value of the
+document, and no two values for one: names never, numbers only where both were
+changed (two new numbers may happen to be equal). An alignment may change its
+shift where words were put in or left out. One that covers ``COVERAGE`` of the
+item's windows (of one size) with consistent slots is a leak: "verbatim" if all
+slots have the item's own values, "re-parameterised" otherwise.
 
 Windows with fewer than ``LITERALS`` plain tokens say too little and are left
 out on both sides (they don't count for coverage). An item with fewer tokens
 than a window is one window of its own length; one with fewer than three
 tokens, or no eligible window, can't be found.
 
-Documents' windows first pass a bitmap of the items' hashes (fixed size), then
-the exact join. Items' windows are broadcast if there are at most
-``BROADCAST_WINDOWS`` of them; beyond that Spark joins them by shuffle, where a
-passage that many documents hold is a skewed key that adaptive execution splits.
+Documents' windows first pass a bitmap of the items' hashes (fixed size, built on
+the executors), then the exact join, in which windows that very many documents
+hold are broadcast.
 
 Defined results: null and empty texts have no windows; rows that repeat a
 doc_id are one document, and so are rows without one (which decontamination keeps); repeated items each match; empty tables give no rows;
@@ -38,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, text_of
-from foliant.llm.words import NO_ID, Runs, chunks, ids_of, ngram_hashes, starts_ngram, texts_of, word_hashes
+from foliant.functions.rolling import bitmap, has_bits
+from foliant.llm.common import materialise, spare_name, spread_join, text_of
+from foliant.llm.words import NO_ID, Runs, chunks, ids_of, ngram_hashes, starts_ngram, texts_of, word_bounds, word_hashes
 
 WINDOW = 8
 LITERALS = 4
@@ -49,7 +51,6 @@ LEAST = {WINDOW: LITERALS, SHORT: SHORT_LITERALS}
 COVERAGE = 0.5
 #: Bits of the bitmap that documents' windows pass first.
 BITMAP_BITS = 22
-BROADCAST_WINDOWS = 200_000
 
 #: Unit words (fixed values).
 UNITS = (
@@ -59,7 +60,13 @@ UNITS = (
     "mph kmh kph hz khz mhz ghz w kw kwh v a j kj cal kcal pa kpa n c f k"
 ).split()
 
-_NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F))
+#: Number words (fixed values); "one" is mostly none.
+NUMBERS = (
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+
+_NUMBER, _NAME = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
 
 
 class Templates:
@@ -81,7 +88,6 @@ class Templates:
         self.counts = np.diff(self.first)
         self.value = runs.hashes()
         raw = runs.raw
-        size = ends - starts
         lead = raw[starts] if len(starts) else np.zeros(0, dtype=np.uint8)
         after = raw[np.minimum(starts + 1, max(0, len(raw) - 1))] if len(starts) else lead
         capital = (kind == 1) & (((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (after >= 0x80) & (after <= 0x9E)))
@@ -90,23 +96,28 @@ class Templates:
         begins[1:] = stops[starts[1:]] > stops[ends[:-1]]
         if len(starts):
             begins[self.first[:-1][self.counts > 0]] = True
-        self.unit = np.zeros(len(starts), dtype=bool)
-        for k in np.flatnonzero((kind[1:] == 1) & (kind[:-1] == 2) & (size[1:] <= 11)).tolist() if len(starts) else ():
-            self.unit[k + 1] = runs.data[starts[k + 1] : ends[k + 1]].decode("latin-1") in _UNIT_SET and not begins[k + 1]
-        number, name = kind == 2, capital & ~begins & ~self.unit
-        # Mary Ann is one name: a name joins the one before over one blank. Its value is its last word's.
-        runs_on = np.zeros(len(starts), dtype=bool)
+        words = np.isin(self.value, _NUMBER_WORDS) & (kind == 1)
+        number = (kind == 2) | words
+        unit = np.zeros(len(starts), dtype=bool)
+        if len(starts):
+            unit[1:] = np.isin(self.value[1:], _UNIT_WORDS) & (kind[1:] == 1) & number[:-1] & ~begins[1:] & ~number[1:]
+        name = capital & ~begins & ~unit & ~number
+        # Mary Ann is one name, 10 kg and twenty five one number: a token joins the one before. A name's value is its last word's, a number's its first one's.
+        joins = unit.copy()
         if len(starts):
-            runs_on[1:] = name[1:] & name[:-1] & (starts[1:] - ends[:-1] == 1) & (raw[starts[1:] - 1] == 32)
-        heads = np.flatnonzero(~runs_on)
+            joins[1:] |= name[1:] & name[:-1] & (starts[1:] - ends[:-1] == 1) & (raw[starts[1:] - 1] == 32)
+            joins[1:] |= words[1:] & words[:-1] & (starts[1:] - ends[:-1] == 1) & np.isin(raw[starts[1:] - 1], [32, 45])
+        heads = np.flatnonzero(~joins)
         lasts = np.concatenate([heads[1:], [len(starts)]]).astype(np.int64) - 1 if len(starts) else heads
         self.whole = word_hashes(runs.bytes, starts[heads], ends[lasts])
         self.first = np.searchsorted(heads, self.first)
         self.counts = np.diff(self.first)
-        self.value = self.value[lasts]
-        number, name, self.unit, leads = number[heads], name[heads], self.unit[heads], (capital & begins)[heads]
-        self.slot = number | name | self.unit
-        self.token = np.where(number, _NUMBER, np.where(self.unit, _UNIT, np.where(name, _NAME, self.value)))
+        number, name, leads = number[heads], name[heads], (capital & begins & ~number)[heads]
+        self.value = np.where(number, self.value[heads], self.value[lasts])
+        self.slot = number | name
+        # The last bit of a slot's value is its type.
+        self.value = np.where(number, self.value & ~np.uint64(1), self.value | np.uint64(1))
+        self.token = np.where(number, _NUMBER, np.where(name, _NAME, self.value))
         # Capitalised at a sentence's start: a plain word in one reading, a name in the other.
         self.readings = [(self.token, self.slot), (np.where(leads, _NAME, self.token), self.slot | leads)]
         self.leads = leads
@@ -126,7 +137,12 @@ class Templates:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-_UNIT_SET = frozenset(UNITS)
+def _word_set(words: list[str]) -> np.ndarray:
+    data = " ".join(words).encode()
+    return word_hashes(*word_bounds(data))
+
+
+_UNIT_WORDS, _NUMBER_WORDS = _word_set(UNITS), _word_set(NUMBERS)
 _SCHEMA = "id long, h long, size int, place long, reading long, slots array<long>"
 
 
@@ -136,14 +152,13 @@ def _rows(ids: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, ["id", "h", "size", "place", "reading", "slots"])
 
 
-def _windows(texts: list[bytes], sizes: tuple[int, ...], bitmap: np.ndarray | None, own_size: bool) -> tuple[np.ndarray, ...]:
+def _windows(texts: list[bytes], sizes: tuple[int, ...], bits: np.ndarray | None, own_size: bool) -> tuple[np.ndarray, ...]:
     t = Templates(texts)
     parts = []
     for n in sizes:
         at, h, reading = t.windows(n)
-        if bitmap is not None:
-            key = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-            hit = (bitmap[key >> 3] >> (key & 7) & 1).astype(bool)
+        if bits is not None:
+            hit = has_bits(bits, (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64))
             at, h, reading = at[hit], h[hit], reading[hit]
         row = np.searchsorted(t.first, at, side="right") - 1
         if own_size:
@@ -159,26 +174,32 @@ def _windows(texts: list[bytes], sizes: tuple[int, ...], bitmap: np.ndarray | No
     return tuple(np.concatenate([p[k] for p in parts]) if k < 5 else [s for p in parts for s in p[5]] for k in range(6))
 
 
-def template_windows(rows: DataFrame, sizes: tuple[int, ...], bitmap: bytes | None = None, own_size: bool = False) -> DataFrame:
+def template_windows(rows: DataFrame, sizes: tuple[int, ...], bits: bytes | None = None, own_size: bool = False) -> DataFrame:
     """Windows of each row's text. ``rows`` has doc_id and text; ``own_size``
     limits windows below ``WINDOW`` to texts of exactly that many tokens."""
-    held = rows.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
+    held = rows.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, dtype=np.uint8) if held is not None else None
+        own = np.frombuffer(held.value, dtype=np.uint8) if held is not None else None
         for batch in batches:
             texts, ids = texts_of(batch), ids_of(batch)
             for a, b in chunks(texts):
-                yield _rows(ids[a:b], [_windows(texts[a:b], sizes, bits, own_size)])
+                yield _rows(ids[a:b], [_windows(texts[a:b], sizes, own, own_size)])
 
     return text_of(rows).mapInArrow(run, _SCHEMA)
 
 
 def _join(known: dict[int, int], more: dict[int, int]) -> dict[int, int] | None:
-    """Both mappings in one, or None if they contradict each other."""
+    """Both mappings of slots in one, or None if a value stands for two, or two for one."""
     if any(known.get(k, v) != v for k, v in more.items()):
         return None
-    return known | more
+    both = known | more
+    source: dict[int, int] = {}
+    for k, v in both.items():
+        other = source.setdefault(v, k)
+        if other != k and (v & 1 or v in (k, other)):
+            return None
+    return both
 
 
 def best_alignment(windows: list[dict], total: int, coverage: float) -> tuple | None:
@@ -236,22 +257,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     """doc_id, item_id, n_windows matched, coverage, n_slots, kind: one row per leaked item of a document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     theirs = materialise(template_windows(items, tuple(range(3, WINDOW + 1)), own_size=True).distinct(), "templates-items")
-    number = theirs.count()
     sizes = tuple(sorted(r["size"] for r in theirs.select("size").distinct().collect()))  # at most WINDOW sizes
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, coverage double, n_slots long, kind string")
-    bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
-    bitmap[[r["bit"] for r in theirs.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("bit")).distinct().collect()]] = True  # at most 2^BITMAP_BITS rows
-    mine = template_windows(docs, sizes, np.packbits(bitmap, bitorder="little").tobytes())
+    bits = bitmap(theirs, F.shiftrightunsigned("h", 64 - BITMAP_BITS), BITMAP_BITS)
+    mine = materialise(template_windows(docs, sizes, bits.tobytes()), "templates-windows")
     totals = theirs.groupBy("id", "size").agg(F.count_distinct("place").alias("total"))
     known = theirs.join(totals, ["id", "size"]).select(F.col("id").alias("item_id"), "h", "size", F.col("place").alias("item_place"), F.col("reading").alias("item_reading"), F.col("slots").alias("item_slots"), "total")
-    known = F.broadcast(known) if number <= BROADCAST_WINDOWS else known
-    met = mine.join(known, ["h", "size"]).select(F.col("id").alias("doc_id"), "item_id", "size", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "total", F.greatest("item_reading", "reading").alias("reading"), "item_slots", "slots")
+    met = spread_join(mine.withColumnRenamed("size", "own_size"), known, "h").where("size = own_size").select(F.col("id").alias("doc_id"), "item_id", "size", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "total", F.greatest("item_reading", "reading").alias("reading"), "item_slots", "slots")
     hits = _aligned(met, coverage).select("doc_id", "item_id", F.struct("coverage", "n_windows", "first", "n_slots", "kind").alias("best"))
     return hits.groupBy("doc_id", "item_id").agg(F.max("best").alias("best")).select(F.nullif("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.nullif("item_id", F.lit(int(NO_ID))).alias("item_id"), "best.n_windows", "best.coverage", "best.n_slots", "best.kind")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leaked item, all columns."""
-    leaked = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    key = spare_name(docs, "leaked_id")
+    leaked = leaks(docs, benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(leaked.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(key), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -225,12 +226,63 @@ def test_templates(spark, odd_docs, no_docs):
         (6, "So Bob sells apples, 10 of them, and has 20 pears. At the market."),
     ]
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
-    assert got == {(1, 9): "verbatim", (2, 9): "re-parameterised", (3, 9): "re-parameterised", (3, 10): "re-parameterised", (5, 13): "verbatim"}
+    assert got == {(1, 9): "verbatim", (2, 9): "re-parameterised", (3, 10): "re-parameterised", (5, 13): "verbatim"}
     assert templates.decontaminate(odd_docs, items).count() == 9
     assert templates.leaks(no_docs, items).count() == 0
     assert templates.leaks(odd_docs, items.limit(0)).count() == 0
 
 
+def kinds(spark, item, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["kind"] for r in templates.leaks(rows, spark.createDataFrame([(1, item)], "item_id int, text string")).collect()}
+    return [found.get(k) for k in range(len(texts))]
+
+
+def test_numbers_as_words_units_and_slots(spark):
+    item = "So Bob buys 12 apples and 5 pears at the small market near the old Berlin station today."
+    as_words = "So Ann buys ten apples and twenty five pears at the small market near the old Rome station today."
+    unit = "So Ann buys 10 kg apples and 7 pears at the small market near the old Rome station today."
+    equal = "So Ann buys 4 apples and 4 pears at the small market near the old Rome station today."
+    clash = "So Ann buys 5 apples and 5 pears at the small market near the old Rome station today."  # 12 became 5, 5 stayed
+    one_name = "So Ann buys 4 apples and 3 pears at the small market near the old Ann station today."
+    assert kinds(spark, item, item, as_words, unit, equal) == ["verbatim", *["re-parameterised"] * 3]
+    assert kinds(spark, item, clash, one_name) == [None, None]
+
+
+def test_recall_of_re_parameterised_items(spark):
+    """Items with numbers and names put in, planted with others in their place among the documents."""
+    rng = random.Random(6)
+    folder = "/root/testdata/sf0.01"
+    names = ["Bob", "Ann", "Tom Hill", "Mary", "Oskar", "Lea Maria", "Paul"]
+
+    def filled(words, slots):
+        out, k = [], 0
+        for at, w in enumerate(words):
+            out.append(w)
+            if at % 7 == 3 and not w.endswith("."):
+                out.append(slots[k])
+                k += 1
+        return " ".join(out)
+
+    items, planted = [], []
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        words = r["text"].split()
+        of_kind = [rng.random() < 0.6 for _ in words]
+        first = [str(rng.randrange(2, 900)) if x else rng.choice(names) for x in of_kind]
+        renamed = dict(zip(names, rng.sample(["Ida", "Emil Braun", "Jo", "Karl", "Rosa Luise", "Max", "Nele"], len(names)), strict=True))
+        renumbered = {x: rng.choice([str(rng.randrange(1000, 9000)), f"{rng.randrange(2, 90)}.5", f"{rng.randrange(1001, 1999)} kg"]) for x in first}
+        items.append((r["item_id"], filled(words, first)))
+        planted.append((r["item_id"], filled(words, [renumbered[x] if x.isdigit() else renamed[x] for x in first])))
+    docs = [r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").limit(400).collect()]
+    rows = [(k, x) for k, x in enumerate(docs)]
+    for item_id, text in planted:
+        k = rng.randrange(len(docs))
+        rows.append((10_000 + item_id, docs[k][: len(docs[k]) // 2] + " " + text + " " + docs[k][len(docs[k]) // 2 :]))
+    got = {(r["doc_id"], r["item_id"]) for r in templates.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(10_000 + k, k) for k, _ in planted}
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
 def test_templates_find_every_embedded_item(spark):
     folder = "/root/testdata/sf0.01"
     norm = lambda x: " ".join(re.findall(r"\w+", x.lower()))
