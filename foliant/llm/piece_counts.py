@@ -10,7 +10,8 @@ its pops are counted and its link followed. Pieces themselves are never built.
 The end mark alone costs nothing (a last piece needs none); a byte that the
 vocabulary lacks is a piece of its own. Words repeat, so a worker keeps counts
 of those it has met, up to a bound; the others are walked together, one
-position of all words at a time.
+position of all words at a time, but for very long ones (text without white
+space), each of which is walked alone.
 
 Defined results: null and empty texts have no pieces; repeated rows are counted
 each; an empty table gives no rows; other columns are ignored.
@@ -22,6 +23,7 @@ import json
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ END = 256
 SYMBOLS = 257
 #: Words whose counts a worker keeps at most.
 KEPT_WORDS = 500_000
+#: Longer words (texts without white space) walk the automaton alone, and aren't kept.
+LONG = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -94,10 +98,35 @@ class Automaton:
         self.fail, self.pops = np.array(fail), np.array(pops)
         edges = sorted((at * SYMBOLS + symbol, node) for at, x in enumerate(children) for symbol, node in x.items())
         self.keys, self.nodes = (np.array(x, dtype=np.int64) for x in zip(*edges, strict=True))
-        self.root = np.array([children[0][s] for s in range(SYMBOLS)])
+        self.edges, self.links = dict(edges), (pops, fail)
+
+    def count_long(self, word: bytes) -> int:
+        """Pieces of one word, a step a byte."""
+        edge, (pops, fail) = self.edges.get, self.links
+        state = count = 0
+        for symbol in chain(word, (END,)):
+            node = edge(state * SYMBOLS + symbol)
+            while node is None:  # the root has every symbol
+                count += pops[state]
+                state = fail[state]
+                node = edge(state * SYMBOLS + symbol)
+            state = node
+        while state:
+            count += pops[state]
+            state = fail[state]
+        return count
 
     def counts(self, words: list[bytes]) -> np.ndarray:
-        """Pieces of each word."""
+        """Pieces of each word: short ones walk side by side, a step a position."""
+        out = np.zeros(len(words), dtype=np.int64)
+        short = [k for k, x in enumerate(words) if len(x) <= LONG]
+        out[short] = self._counts_together([words[k] for k in short])
+        for k, x in enumerate(words):
+            if len(x) > LONG:
+                out[k] = self.count_long(x)
+        return out
+
+    def _counts_together(self, words: list[bytes]) -> np.ndarray:
         sizes = np.array([len(x) for x in words])
         data = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
@@ -152,6 +181,8 @@ def count_pieces(texts: list[bytes], path: str) -> list[tuple[int, int]]:
                 kept.update(zip(new, automaton(path).counts(new).tolist(), strict=True))
             get = kept.__getitem__
             out += [(len(words), sum(map(get, words))) for words in part]
+            for word in [x for x in new if len(x) > LONG]:
+                del kept[word]
             size, part = 0, []
     return out
 

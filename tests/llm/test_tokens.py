@@ -135,15 +135,19 @@ def test_piece_counts_are_greedy():
 
     def greedy(word):
         s, k, n = (*word, piece_counts.END), 0, 0
-        while s[k:] not in ((), (piece_counts.END,)):
-            k = next(j for j in range(len(s), k, -1) if s[k:j] in known)
+        while s[k : k + 2] not in ((), (piece_counts.END,)):
+            k = next(j for j in range(min(len(s), k + longest), k, -1) if s[k:j] in known)
             n += 1
         return n
 
+    longest = max(map(len, known))
     rng = np.random.default_rng(0)
     words = [w.encode() for w in ("the", "theatre", "unbelievably", "a", "日本語", "éléphant", "x" * 70, "!!??", "they're")]
     words += [bytes(rng.choice(list(b"abcdefehinorst"), rng.integers(1, 14)).tolist()) for _ in range(500)]
+    words += [bytes(rng.choice(list(b"abcdefehinorst\xe6\x97"), n).tolist()) for n in (255, 256, 257, 20_000)]
     assert piece_counts.automaton(vocabulary()).counts(words).tolist() == [greedy(w) for w in words]
+    got = piece_counts.count_pieces([words[-1] + b" the " + words[-2], b"the"], vocabulary())
+    assert got == [(3, greedy(words[-1]) + 1 + greedy(words[-2])), (1, 1)]
 
 
 def test_piece_count_rows(odd_docs, no_docs):
