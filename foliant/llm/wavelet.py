@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import fresh_path, materialise, text_of
 from foliant.llm.tokens import encode, vocabulary
-from foliant.llm.words import id_array, ids_of, texts_of
+from foliant.llm.words import chunks, id_array, ids_of, texts_of
 
 MAGIC = b"WVMX1\0\0\0"
 #: Bits between rank samples, and bits in a compressed block.
@@ -185,13 +185,18 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = encode(texts_of(batch), path, end)
-            ids = np.frombuffer(b"".join(codes), "<u4")
-            if ids.max(initial=0) > 0xFFFF:
-                raise ValueError("ids above 65,535 don't fit a shard's 16 planes")
-            sizes = np.array([len(x) // 4 for x in codes], dtype=np.int64)
-            ends = np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int32)  # a batch has far less than 2 GiB
-            packed = pa.BinaryArray.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([zlib.crc32(x) for x in codes], pa.int64()), packed], ["doc_id", "n", "crc", "ids"])
+            # A column of binary values holds up to 2 GiB: rows go out in parts well below.
+            for first, last in chunks(codes, 1 << 29):
+                part = codes[first:last]
+                ids = np.frombuffer(b"".join(part), "<u4")
+                if ids.max(initial=0) > 0xFFFF:
+                    raise ValueError("ids above 65,535 don't fit a shard's 16 planes")
+                sizes = np.array([len(x) // 4 for x in part], dtype=np.int64)
+                ends = np.concatenate([[0], 2 * np.cumsum(sizes)])
+                if ends[-1] >= 1 << 31:
+                    raise ValueError("a document of a thousand million ids doesn't fit a row")
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sizes), pa.array([zlib.crc32(x) for x in part], pa.int64()), packed], ["doc_id", "n", "crc", "ids"])
 
     return text_of(docs).mapInArrow(run, "doc_id long, n long, crc long, ids binary")
 

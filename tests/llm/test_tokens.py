@@ -71,6 +71,18 @@ def test_wavelet_matrix():
     assert m.count(7) == (ids == 7).sum() and m.count(7, 50, 300) == (ids[50:300] == 7).sum() and m.count(1 << 20) == 0
     places = np.flatnonzero(ids == 7)
     assert [m.select(7, k) for k in (0, 400, len(places) - 1)] == places[[0, 400, -1]].tolist()
+    rng = np.random.default_rng(2)
+    for most, n in ((1, 5), (2, 700), (3, 513), (300, 5000), (65_536, 33_000), (7, 1)):
+        ids = rng.integers(0, most, n).astype("u4")
+        m = wavelet.WaveletMatrix(wavelet.build(ids, np.arange(1), np.array([n])))
+        assert (m.decode() == ids).all()
+        for token in {0, most - 1, int(ids[0]), int(ids[-1])}:
+            places = np.flatnonzero(ids == token)
+            a, b = sorted(rng.integers(0, n + 1, 2).tolist())
+            assert m.count(token) == len(places) and m.count(token, a, b) == (ids[a:b] == token).sum()
+            assert [m.select(token, k) for k in range(0, len(places), 1 + len(places) // 9)] == places[:: 1 + len(places) // 9].tolist()
+            with pytest.raises(IndexError):
+                m.select(token, len(places))
     empty = wavelet.WaveletMatrix(wavelet.build(np.zeros(0, "u4"), np.zeros(0, "i8"), np.zeros(0, "u4")))
     assert len(empty.decode()) == 0
 
