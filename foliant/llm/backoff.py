@@ -8,18 +8,25 @@ word; single words have count / all words, and unknown words ``UNKNOWN`` / all.
 A document's score is the sum of the logarithms over its words.
 
 Tables are relations between blocks of documents and hash partitions of
-n-grams, with columns packed into arrays (sorted 64-bit hashes, stored as
-differences, byte by byte, which the shuffle's codec shrinks):
+n-grams, with columns packed into binary values:
 
-1. blocks: whole documents, the block's vocabulary as word hashes, and the
-   words as places in it, written once to the shared folder;
+1. blocks: whole documents, their texts compressed together, written once to
+   the shared folder;
 2. n-grams exploded by block, distinct there with their counts, partitioned by hash;
 3. the count table: in each hash partition the blocks' counts are summed;
-4. joined back: each block's n-grams with their totals, partitioned by block;
+4. joined back: how often the other blocks have each of a block's n-grams;
 5. the block is scored, summed per document.
 
-A frequent n-gram occurs once per block at most, so no hash partition is hot;
-a partition holds ``PARTITION_GRAMS`` n-grams or so at any size of corpus.
+An n-gram's hash has so many bits as tell all n-grams of the corpus apart
+(``SPARE_BITS`` beyond their number: some 10^-7 of them are taken for another);
+a block's sorted hashes are written as differences in the manner of Elias and
+Fano, which takes about two bits more than the set itself.
+
+A frequent n-gram occurs once per block at most, so no hash partition is hot; a
+partition holds ``PARTITION_GRAMS`` n-grams or so at any size of corpus. Beyond
+``MOST_TASKS`` partitions a task works on several, one after the other. With very
+many blocks a row holds few n-grams of a block and a partition, at least one:
+the work stays in proportion to the n-grams, and larger blocks make it less.
 
 Defined results: null and empty texts have score 0 and no words; repeated rows
 are documents of their own, as are rows without a doc_id; an empty table gives no rows; other columns are
@@ -32,123 +39,162 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import materialise, text_of
-from foliant.llm.words import Words, chunks, id_array, ids_of, mix, ngram_hashes, starts_ngram, texts_of
+from foliant.llm.words import CHUNK_BYTES, Words, chunks, id_array, ids_of, mix, ngram_hashes, starts_ngram, texts_of, word_bounds
 
 ORDER = 3
 BACKOFF = 0.4
 #: Count of a word that no other document has, as it is scored.
 UNKNOWN = 0.5
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 5 << 20
 PARTITION_GRAMS = 1 << 20
+MOST_TASKS = 20_000
+SPARE_BITS = 24
+#: Bytes of a block's texts to a row of the shuffle.
+SLICE = 1 << 18
 
 
 def pack(values: np.ndarray) -> bytes:
-    """64-bit values with the bytes of each rank together."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Unsigned integers, compressed with the bytes of each rank together."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
-def pack_places(values: np.ndarray) -> bytes:
-    """32-bit values in the same way."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def unpack_places(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Differences modulo 2^64, which are small where values are sorted."""
-    return pack(np.diff(values, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _low_bits(n: int, bits: int) -> int:
+    """How many low bits of each of n values below 2^bits are written as they are."""
+    return max(0, bits - max(1, n).bit_length() + 1)
+
+
+def pack_set(values: np.ndarray, bits: int) -> bytes:
+    """Sorted distinct values below 2^bits: whole bytes and odd bits of their low parts, and a bitmap of the high ones, each moved on by its place."""
+    n = len(values)
+    low = _low_bits(n, bits)
+    whole, odd = divmod(low, 8)
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    planes = np.ascontiguousarray(raw[:, :whole].T).tobytes()
+    rest = np.packbits(np.unpackbits(raw[:, whole : whole + 1], axis=1, count=odd, bitorder="little"), bitorder="little").tobytes() if odd else b""
+    places = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    steps = np.zeros(int(places[-1]) + 1 if n else 0, dtype=np.uint8)
+    steps[places] = 1
+    return n.to_bytes(4, "little") + planes + rest + np.packbits(steps, bitorder="little").tobytes()
+
+
+def unpack_set(data: bytes, bits: int) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    low = _low_bits(n, bits)
+    whole, odd = divmod(low, 8)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :whole] = np.frombuffer(data, np.uint8, whole * n, 4).reshape(whole, n).T
+    at = 4 + whole * n
+    if odd:
+        size = -(-odd * n // 8)
+        part = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=odd * n, bitorder="little").reshape(n, odd)
+        out[:, whole] = np.packbits(part, axis=1, bitorder="little")[:, 0]
+        at += size
+    steps = np.unpackbits(np.frombuffer(data, np.uint8, offset=at), bitorder="little")
+    high = (np.flatnonzero(steps) - np.arange(n)).astype(np.uint64)
+    return out.view("<u8").ravel() | high << np.uint64(low)
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents: ids, words per document, vocabulary, places of the words in it."""
+    """Blocks of documents: ids, bytes per document, texts, number of words."""
+
+    def row(number: int, texts: list[bytes], ids: list[np.ndarray]) -> pa.RecordBatch:
+        words = sum(len(word_bounds(b"\n".join(texts[a:b]))[1]) for a, b in chunks(texts))
+        squeezed = zstandard.ZstdCompressor(level=9).compress(b"".join(texts).lower())
+        values = [number, pack(np.concatenate(ids).view(np.uint64)), pack(np.array([len(x) for x in texts])), squeezed, words]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], ["block", "ids", "sizes", "texts", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 32
+        texts: list[bytes] = []
+        ids: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            texts, ids = texts_of(batch), ids_of(batch)
-            for a, b in chunks(texts, block_bytes):
-                counts, hashes = [], []
-                for first, last in chunks(texts[a:b]):
-                    words = Words(texts[a + first : a + last], lower=True)
-                    counts.append(words.counts)
-                    hashes.append(words.hashes())
-                vocabulary, place, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-                # Frequent words first: most places are small numbers, which pack well.
-                order = np.argsort(-often, kind="stable")
-                rank = np.empty(len(order), dtype=np.uint32)
-                rank[order] = np.arange(len(order), dtype=np.uint32)
-                vocabulary, place = vocabulary[order], rank[place]
-                row = [(part << 32) + number, ids[a:b].astype("<i8").tobytes(), np.concatenate(counts).astype("<u4").tobytes(), pack_sorted(vocabulary), pack_places(place), len(place)]
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "ids", "counts", "vocabulary", "places", "n"])
-
-    return materialise(text_of(docs).mapInArrow(run, "block long, ids binary, counts binary, vocabulary binary, places binary, n long"), "backoff-blocks")
+            mine, keys = texts_of(batch), ids_of(batch)
+            for a, b in chunks(mine, min(block_bytes, CHUNK_BYTES)):
+                more = sum(map(len, mine[a:b]))
+                if texts and size + more > block_bytes:
+                    yield row(number, texts, ids)
+                    number, texts, ids, size = number + 1, [], [], 0
+                texts += mine[a:b]
+                ids.append(keys[a:b])
+                size += more
+        if texts:
+            yield row(number, texts, ids)
+
+    return materialise(text_of(docs).mapInArrow(run, "block long, ids binary, sizes binary, texts binary, n long"), "backoff-blocks", codec="none")
 
 
 def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    vocabulary, places = unpack_sorted(row["vocabulary"]), unpack_places(row["places"])
-    return vocabulary[places] if len(places) else np.zeros(0, dtype=np.uint64), np.frombuffer(row["counts"], "<u4").astype(np.int64)
+    """Hashes of all words of a block, and words per document."""
+    data = zstandard.ZstdDecompressor().decompress(row["texts"])
+    ends = np.cumsum(unpack(row["sizes"]).astype(np.int64)).tolist()
+    texts = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    found = [Words(texts[a:b]) for a, b in chunks(texts)]
+    return np.concatenate([x.hashes() for x in found]), np.concatenate([x.counts for x in found])
 
 
-def _grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 .. order, where n-grams start and their hashes (the orders don't mix)."""
+def _grams(words: np.ndarray, counts: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 .. order, where n-grams start and their hashes of so many bits (the orders don't mix)."""
     out = []
     for n in range(1, order + 1):
         h = mix(words) if n == 1 else ngram_hashes(words, n)
         at = np.flatnonzero(starts_ngram(counts, n)[: len(h)])
-        out.append((at, h[at]))
+        out.append((at, h[at] >> np.uint64(64 - bits)))
     return out
 
 
-def _dicts(batch: pa.RecordBatch) -> list[dict]:
-    return [dict(zip(batch.schema.names, (c[k].as_py() for c in batch.columns), strict=True)) for k in range(batch.num_rows)]
-
-
-def _bounds(parts: int) -> np.ndarray:
-    return np.array([k * (1 << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield dict(zip(batch.schema.names, (c[k].as_py() for c in batch.columns), strict=True))
 
 
-def exploded(found: DataFrame, order: int, parts: int) -> DataFrame:
-    """Distinct n-grams of each block with their counts, cut by hash partition."""
+def exploded(found: DataFrame, order: int, bits: int, part_bits: int) -> DataFrame:
+    """Distinct n-grams of each block with their counts, cut by hash partition: the hashes' top ``part_bits``."""
+    rest = bits - part_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _dicts(batch):
-                grams = np.concatenate([h for _, h in _grams(*_words(row), order)])
-                distinct, count = np.unique(grams, return_counts=True)
-                cuts = [0, *np.searchsorted(distinct, _bounds(parts)).tolist(), len(distinct)]
-                some = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                columns = ([k for k, _, _ in some], [row["block"]] * len(some), [pack_sorted(distinct[a:b]) for _, a, b in some], [pack(count[a:b]) for _, a, b in some])
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "grams", "counts"])
+                distinct, count = np.unique(np.concatenate([h for _, h in _grams(*_words(row), order, bits)]), return_counts=True)
+                part = (distinct >> np.uint64(rest)).astype(np.int64)
+                distinct &= np.uint64((1 << rest) - 1)
+                cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+                for first in range(0, len(cuts) - 1, 1000):
+                    some = list(zip(cuts[first : first + 1000], cuts[first + 1 : first + 1001], strict=False))
+                    columns = [pa.array(part[[a for a, _ in some]]), pa.array([row["block"]] * len(some)), pa.array([pack_set(distinct[a:b], rest) for a, b in some], pa.binary()), pa.array([pack(count[a:b]) for a, b in some], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "block", "grams", "counts"])
 
-    return found.select("block", "counts", "vocabulary", "places").mapInArrow(run, "part int, block long, grams binary, counts binary")
+    return found.select("block", "sizes", "texts").mapInArrow(run, "part long, block long, grams binary, counts binary")
 
 
-def totals(requests: DataFrame, parts: int) -> DataFrame:
-    """For each part and block the corpus counts of its n-grams, in their order."""
+def others(requests: DataFrame, bits: int, part_bits: int) -> DataFrame:
+    """For each part and block how often the other blocks have its n-grams, in their order."""
+    rest = bits - part_bits
 
     def answer(part: int, blocks: list[int], grams: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts).astype(np.float64), minlength=len(distinct)).astype(np.uint64)
-        ends = np.cumsum([len(x) for x in grams])
-        packed = [pack(total[at[e - len(x) : e]]) for x, e in zip(grams, ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array(packed, pa.binary())], ["part", "block", "totals"])
+        mine = np.concatenate(counts)
+        total = np.bincount(at, weights=mine, minlength=len(distinct)).astype(np.uint64)
+        other, ends = total[at] - mine, np.cumsum([len(x) for x in grams])
+        packed = [pack(other[e - len(x) : e]) for x, e in zip(grams, ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int64()), pa.array(blocks, pa.int64()), pa.array(packed, pa.binary())], ["part", "block", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, ([], [], [])
@@ -158,60 +204,85 @@ def totals(requests: DataFrame, parts: int) -> DataFrame:
                     yield answer(part, *held)
                     held = ([], [], [])
                 part = row["part"]
-                for store, x in zip(held, (row["block"], unpack_sorted(row["grams"]), unpack(row["counts"])), strict=True):
+                for store, x in zip(held, (row["block"], unpack_set(row["grams"], rest), unpack(row["counts"])), strict=True):
                     store.append(x)
         if held[0]:
             yield answer(part, *held)
 
-    return requests.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "part int, block long, totals binary")
+    tasks = min(1 << part_bits, MOST_TASKS)
+    return requests.repartition(tasks, "part").sortWithinPartitions("part", "block").mapInArrow(run, "part long, block long, others binary")
+
+
+def _scores(words: np.ndarray, counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], other: np.ndarray, all_words: int, backoff: float) -> np.ndarray:
+    """The score of each word of a block; ``other`` has the other blocks' counts of its sorted distinct n-grams."""
+    distinct, place, own = np.unique(np.concatenate([h for _, h in grams]), return_inverse=True, return_counts=True)
+    total = other.astype(np.int64) + own
+    doc = np.repeat(np.arange(len(counts)), counts)
+    count = []  # by order and start, without the document's own
+    first = 0
+    for start, _ in grams:
+        at, first = place[first : first + len(start)], first + len(start)
+        _, pair, same = np.unique(doc[start] * max(1, len(distinct)) + at, return_inverse=True, return_counts=True)
+        x = np.zeros(len(words))
+        x[start] = total[at] - same[pair]
+        count.append(x)
+    rest = all_words - np.repeat(counts, counts).astype(np.float64)
+    inside = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    log, done = np.zeros(len(words)), np.zeros(len(words), dtype=bool)
+    for n in range(len(grams), 0, -1):
+        last = np.flatnonzero(~done & (inside >= n - 1))
+        start = last - n + 1
+        top = count[n - 1][start]
+        known = top > 0
+        base = count[n - 2][start[known]] if n > 1 else rest[last[known]]
+        log[last[known]] += np.log(top[known] / base)
+        done[last[known]] = True
+        if n > 1:
+            log[last[~known]] += np.log(backoff)
+    unknown = np.flatnonzero(~done)
+    log[unknown] += np.log(UNKNOWN / np.maximum(rest[unknown], 1))
+    return log
+
+
+def _parts_of(found: DataFrame) -> DataFrame:
+    """Blocks as rows of bounded size: block, part (-3 ids, -2 sizes, -1 texts), place and data."""
+    rows = f"""concat(array(named_struct('part', -3L, 'place', 0, 'data', ids), named_struct('part', -2L, 'place', 0, 'data', sizes)),
+        transform(sequence(0, length(texts) - 1, {SLICE}), i -> named_struct('part', -1L, 'place', i, 'data', substring(texts, i + 1, {SLICE}))))"""
+    return found.select("block", F.explode(F.expr(rows)).alias("x")).select("block", "x.part", "x.place", "x.data")
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
     """doc_id, n_words and log_score of each row."""
     found = blocks(docs, block_bytes)
-    all_words = int(found.agg(F.sum("n")).first()[0] or 0)
-    parts = max(1, -(-order * all_words // partition_grams))
-    answers = totals(exploded(found, order, parts), parts)
-    joined = found.join(answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "totals"))).alias("answers")), "block", "left")
+    size = found.agg(F.count("*").alias("blocks"), F.sum("n").alias("words")).first()
+    all_words = int(size["words"] or 0)
+    bits = min(64, max(1, order * all_words).bit_length() + SPARE_BITS)
+    part_bits = max(0, (order * all_words - 1) // partition_grams).bit_length()
+    answers = others(exploded(found, order, bits, part_bits), bits, part_bits).select("block", "part", F.lit(0).alias("place"), F.col("others").alias("data"))
+    # A block's texts and answers meet as rows in order, not as one long row.
+    tasks = min(MOST_TASKS, max(1, -(-size["blocks"] // 2)))
+    met = _parts_of(found).unionByName(answers).repartition(tasks, "block").sortWithinPartitions("block", "part", "place").select("block", "part", "data")
+
+    def scored(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        parts: dict[int, list[bytes]] = {-3: [], -2: [], -1: [], 0: []}
+        for part, data in held:
+            parts[min(part, 0)].append(data)
+        words, counts = _words({"texts": b"".join(parts[-1]), "sizes": parts[-2][0]})
+        other = np.concatenate([np.zeros(0, dtype=np.uint64), *map(unpack, parts[0])])
+        log = _scores(words, counts, _grams(words, counts, order, bits), other, all_words, backoff)
+        sums = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=log, minlength=len(counts)).astype(np.float64)
+        return pa.RecordBatch.from_arrays([id_array(unpack(parts[-3][0]).view(np.int64)), pa.array(counts), pa.array(sums)], ["doc_id", "n_words", "log_score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
         for batch in batches:
             for row in _dicts(batch):
-                words, counts = _words(row)
-                ids = np.frombuffer(row["ids"], "<i8")
-                found = _grams(words, counts, order)
-                distinct, at = np.unique(np.concatenate([h for _, h in found]), return_inverse=True)
-                total = np.concatenate([unpack(x["totals"]) for x in row["answers"] or []] or [np.zeros(0, dtype=np.uint64)]).astype(np.float64)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                # Counts within the same document, to be left out.
-                owner = doc[np.concatenate([a for a, _ in found])]
-                _, pair, own = np.unique(owner * max(1, len(distinct)) + at, return_inverse=True, return_counts=True)
-                count = total[at] - own[pair]
-                log = np.zeros(len(words))
-                rest = all_words - np.repeat(counts, counts).astype(np.float64)
-                done = np.zeros(len(words), dtype=bool)
-                cuts = np.cumsum([0] + [len(a) for a, _ in found])
-                by_start = []
-                for k, (a, _) in enumerate(found):
-                    x = np.zeros(len(words))
-                    x[a] = count[cuts[k] : cuts[k + 1]]
-                    by_start.append(x)
-                inside = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-                for n in range(order, 0, -1):
-                    can = ~done & (inside >= n - 1)
-                    last = np.flatnonzero(can)
-                    start = last - n + 1
-                    top = by_start[n - 1][start]
-                    known = top > 0
-                    base = by_start[n - 2][start[known]] if n > 1 else rest[last[known]]
-                    log[last[known]] += np.log(top[known] / base)
-                    done[last[known]] = True
-                    if n > 1:
-                        log[last[~known]] += np.log(backoff)
-                unknown = np.flatnonzero(~done)
-                log[unknown] += np.log(UNKNOWN / np.maximum(rest[unknown], 1))
-                sums = np.bincount(doc, weights=log, minlength=len(counts)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([id_array(ids), pa.array(counts), pa.array(sums)], ["doc_id", "n_words", "log_score"])
-
-    columns = joined.select("block", "ids", "counts", "vocabulary", "places", "answers")
-    return columns.mapInArrow(run, "doc_id long, n_words long, log_score double")
+                if row["block"] != block and held:
+                    yield scored(held)
+                    held = []
+                block = row["block"]
+                held.append((row["part"], row["data"]))
+        if held:
+            yield scored(held)
+
+    return met.mapInArrow(run, "doc_id long, n_words long, log_score double")
