@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a batch that goes to Python workers, unless the session sets its own: what a task holds doesn't follow the texts' lengths.
-BATCH_BYTES = 4 << 20
+#: Bytes of a batch that goes to Python workers, and rows that are read from Parquet at once: rows are whole texts, so
+#: that Spark's own 64 MB and 4,096 rows would be large objects in every task. A session may set its own.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 #: Rows of a small intermediate table that are worth a task and a file of their own.
 ROWS_A_TASK = 250_000
 
@@ -27,9 +29,9 @@ def prepare(spark: SparkSession) -> None:
     known = spark.sparkContext.environment
     if package_root() not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = ":".join(filter(None, [package_root(), known.get("PYTHONPATH", "")]))
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(bound, None) is None:
-        spark.conf.set(bound, str(BATCH_BYTES))
+    for name, most in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, most)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,14 +67,19 @@ def discard(spark: SparkSession, path: str) -> None:
         _scratch.remove(path)
 
 
-def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Delete the intermediate tables written so far by this process, but for some paths.
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables that are written within, at the end.
 
-    Results are read from them when an action runs, so call this once the results
-    in use are written.
+    An operator's result is read from such tables when an action runs, so the
+    action belongs within as well.
     """
-    for path in [x for x in _scratch if x not in set(keep)]:
-        discard(spark, path)
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        for path in [x for x in _scratch if x not in before]:
+            discard(spark, path)
 
 
 def tasks_for(rows: int) -> int:
@@ -105,3 +112,35 @@ def spare_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: A key with more than one in so many rows is a hot one; there are fewer of these than that.
+HOT_SHARE = 1000
+
+
+def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> list[int]:
+    """The whole-number keys that more than one in ``share`` rows have, and maybe some with a little less.
+
+    One pass with a sketch of frequent items per task, so that nothing is
+    shuffled by key; which keys count as hot decides about work, never about results.
+    """
+    if rows.isEmpty():
+        return []
+    found = rows.agg(F.count(key).alias("n"), F.expr(f"approx_top_k({key}, {share}, {16 * share})").alias("top")).first()
+    return sorted(x["item"] for x in found["top"] if x["item"] is not None and x["count"] * share > found["n"])
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: list[int] | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table by a whole-number key, without a hot key in one task.
+
+    The table's rows of hot keys (of which there are fewer than ``HOT_SHARE``) are
+    broadcast: each key is there a bounded number of times. All others are joined
+    as Spark sees fit. ``how`` is inner or left_semi.
+    """
+    hot = hot_keys(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(table, key, how)
+    known = F.broadcast(rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in hot])).alias(key)))
+    often = rows.join(known, key, "left_semi").join(F.broadcast(table.join(known, key, "left_semi")), key, how)
+    seldom = rows.join(known, key, "left_anti").join(table, key, how)
+    return often.unionByName(seldom)

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, spare_name
+from foliant.llm.common import HOT_SHARE, materialise, spare_name, spread_join
 from foliant.llm.quality import WHITE
 
 MIN_SITES = 5
@@ -29,10 +29,6 @@ MIN_SITES = 5
 SKETCH_BITS = 10
 
 
-#: A line with more than one in so many occurrences is joined by broadcast (there are fewer such lines than that).
-HOT_SHARE = 1000
-
-
 def _has_word(line):
     return F.length(F.translate(line, WHITE, "")) > 0
 
@@ -63,11 +59,9 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     places = materialise(line_places(docs), "lines-places")
     number = places.count()
     found = materialise(boilerplate(places, min_sites), "lines-boilerplate", rows=number)
-    hot = F.col("n") * HOT_SHARE > number
-    # Lines that many documents hold go to the documents; the others are joined by shuffle, without a hot key.
-    often = places.join(F.broadcast(found.where(hot).select("h", "keeper")), "h")
-    few = places.join(found.where(~hot).select("h", "keeper").hint("shuffle_hash"), "h")
-    hits = often.select("doc_id", "h", "keeper").unionByName(few.select("doc_id", "h", "keeper")).where(F.col("doc_id") != F.col("keeper"))
+    # A line that very many documents hold would be one task's: the few such lines are broadcast.
+    hot = [r["h"] for r in found.where(F.col("n") * HOT_SHARE > number).select("h").collect()]  # fewer than HOT_SHARE
+    hits = spread_join(places, found.select("h", "keeper"), "h", hot).where(F.col("doc_id") != F.col("keeper"))
     return hits.groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
 
 

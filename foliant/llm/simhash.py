@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, materialise, spare_name, text_of, write
+from foliant.llm.common import HOT_SHARE, discard, hot_keys, materialise, spare_name, spread_join, tasks_for, text_of, write
 from foliant.llm.words import Words, chunks, texts_of
 
 #: Bits of the three blocks, most significant first.
@@ -46,8 +46,6 @@ CHUNK = 1 << 18
 #: The most fingerprints that are compared in one bucket.
 BUCKET_ROWS = 4096
 RADIUS = 2
-#: A fingerprint with more than one in so many documents is joined by broadcast.
-HOT_SHARE = 1000
 
 
 def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
@@ -231,20 +229,22 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node it reaches) of every node of the edges (a, b).
 
     Each round, every node takes the smallest label next to it, then its
-    label's label. The tables of a round are written to the shared folder. Hub
-    nodes cost nothing extra: a node's neighbours meet in a partial minimum.
+    label's label. The tables of a round are written to the shared folder. A hub's
+    label goes to its neighbours by broadcast, and they meet in a partial minimum.
     """
     spark = edges.sparkSession
     found = materialise(edges.select("a", "b"), "components-found")
     most = 2 * found.count()
     both = materialise(found.union(found.select("b", "a")).distinct(), "components-edges", rows=most)
     path = write(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "components-labels", rows=most)
+    hubs = hot_keys(both, "b")
     while True:
         labels = spark.read.parquet(path).select("node", "root")
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("seen"))
+        seen = spread_join(both, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy("a").agg(F.min("root").alias("seen"))
         near = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("seen", "root")).alias("near"))
+        # A root's own label is its label, so that every label has one; a large component's root is a hot one.
         up = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
-        new = write(near.join(up, "near", "left").select("node", "old", F.least("near", F.coalesce("far", "near")).alias("root")), "components-labels", rows=most)
+        new = write(spread_join(near, up, "near", hot_keys(labels, "root")).select("node", "old", F.least("near", "far").alias("root")), "components-labels", rows=most)
         discard(spark, path)
         path = new
         labels = spark.read.parquet(path)
@@ -266,11 +266,9 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least_id")
     linked = member.join(member.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
     whole = materialise(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-components", rows=number)
-    hot = F.col("n") * HOT_SHARE > number
-    marked = fps.join(F.broadcast(whole.where(hot).select("fp", F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot"))), "fp", "left")
-    often = marked.where("_is_hot").select("doc_id", "fp", F.col("_hot").alias("component_id"))
-    others = marked.where("_is_hot IS NULL").select("doc_id", "fp").join(whole.where(~hot).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-    return often.unionByName(others).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    hot = [r["fp"] for r in whole.where(F.col("n") * HOT_SHARE > number).select("fp").collect()]  # fewer than HOT_SHARE
+    joined = spread_join(fps, whole.select("fp", "component_id"), "fp", hot)
+    return joined.coalesce(tasks_for(number)).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:

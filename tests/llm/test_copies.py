@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from foliant.llm import copies, simhash
+from foliant.llm import common, copies, simhash
 
 
 def shingles(text):
@@ -53,9 +53,40 @@ def test_near_copies_are_brute_force(spark, monkeypatch):
     want = brute_first(rows)
     assert {r["doc_id"] for r in copies.first_copies(docs).collect()} == want
     monkeypatch.setattr(copies, "SAMPLE_COUNT", 10**6)  # no frequent shingles: another order, the same pairs
+    monkeypatch.setattr(copies, "BLOCK_SETS", 3)  # buckets in blocks
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
     assert {r["doc_id"] for r in copies.first_copies(docs).collect()} == want
 
 
+def test_links_between_components():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        pool = rng.integers(0, 2**63, 14, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool, rng.integers(1, 14))) for _ in range(rng.integers(1, 25))]
+        roots = np.unique(rng.integers(0, 12, len(sets)), return_inverse=True)[1]
+        label = roots.copy()
+        while True:
+            before = label.copy()
+            for i, x in enumerate(sets):
+                for j, y in enumerate(sets):
+                    both = len(np.intersect1d(x, y))
+                    if roots[i] != roots[j] and 5 * both >= 4 * (len(x) + len(y) - both):
+                        label[(roots == roots[i]) | (roots == roots[j])] = min(label[i], label[j])
+            if (label == before).all():
+                break
+        assert copies.links_between(sets, roots).tolist() == label.tolist()
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k, 7 if k % 2 else k) for k in range(4000)] + [(9999, None)], "id long, k long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 4000, 3)] + [(7, "seven")], "k long, v string")
+    assert common.hot_keys(rows, "k") == [7] and common.hot_keys(rows.limit(0), "k") == []
+    for how in ("inner", "left_semi"):
+        want = sorted(map(str, rows.join(table, "k", how).collect()))
+        got = common.spread_join(rows, table, "k", how=how)
+        assert sorted(map(str, got.select(rows.join(table, "k", how).columns).collect())) == want and len(want) > 2000
+
+
 def test_stage_drops_copies_beyond_the_radius(spark):
     import corpus_pipeline
 

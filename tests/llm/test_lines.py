@@ -42,5 +42,5 @@ def test_lines_that_all_documents_hold(spark, monkeypatch):
     rows = [(k, "everywhere\n" + ("often" if k % 3 else f"own {k}"), f"s{k % 9}") for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     want = {r["doc_id"]: r["text"] for r in lines.deduplicate(docs).collect()}
-    monkeypatch.setattr(lines, "HOT_SHARE", 0)  # all by shuffle
+    monkeypatch.setattr(lines, "HOT_SHARE", 0)  # none is hot
     assert {r["doc_id"]: r["text"] for r in lines.deduplicate(docs).collect()} == want and want[1] == "often" and want[2] == ""
