@@ -64,5 +64,6 @@ def extractive_use(strings: DataFrame, by: list[str], value: str, source: str, l
 
 def enforce_limit(rows: DataFrame, most: int, what: str) -> DataFrame:
     """The rows, or an error if there are more than ``most``: limits fail, they never cut."""
-    n = rows.agg(F.count("*").alias("n")).select(F.when(F.col("n") > most, F.raise_error(F.format_string("%d %s exceed %d", "n", F.lit(what), F.lit(most)))).alias("_fine"))
-    return rows.join(F.broadcast(n.where("_fine IS NULL").select(F.lit(1).alias("_one"))), F.lit(1) == F.col("_one")).drop("_one")
+    number = rows.agg(F.count("*")).scalar()
+    too_many = F.raise_error(F.concat(number.cast("string"), F.lit(f" {what} exceed {most}"))).cast("boolean")
+    return rows.where(F.when(number > most, too_many).otherwise(F.lit(True)))

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.lineage import checkpointed
+
 
 def findings(rows: DataFrame, severity: str | Column, code: str, path: Column, message: str | Column) -> DataFrame:
     """Rows as findings."""
@@ -63,7 +65,8 @@ def numbered(rows: DataFrame, order: list[str], name: str, parts: int | None = N
     """Consecutive numbers from 1 in a total order, without one task that sorts everything."""
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    # Written once: bounds that are sampled anew for each use could number rows twice.
+    ranged = checkpointed(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     inner = Window.partitionBy("_part").orderBy(*order)
     counted = ranged.withColumn("_place", F.row_number().over(inner))
     sums = counted.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -123,15 +126,23 @@ def two_levels(units: DataFrame, unit: str, parent: str, order: str, title: str)
     return top.join(lists, top[unit] == lists["_up"], "left").join(grand, top[unit] == grand["_g"], "left").select(unit, title, F.coalesce("sections", F.array().cast("array<string>")).alias("sections"), F.coalesce("deeper", F.lit(0)).alias("deeper"))
 
 
-def cyclic(units: DataFrame, unit: str, parent: str, deepest: int = 64) -> DataFrame:
-    """Units that don't reach a root: parents are followed in doubling steps."""
-    reach = units.select(F.col(unit).alias("u"), F.col(parent).alias("up"))
-    steps = 1
-    while steps < deepest:
-        above = reach.select(F.col("u").alias("_u"), F.col("up").alias("_up"))
-        reach = reach.join(above, reach["up"] == above["_u"], "left").select("u", F.col("_up").alias("up"))
-        steps *= 2
-    return reach.where("up IS NOT NULL").select(F.col("u").alias(unit))
+def cyclic(units: DataFrame, unit: str, parent: str) -> DataFrame:
+    """Units that don't reach a root (or a parent that isn't there), however deep the tree.
+
+    Ancestors are followed in doubling steps among the units that haven't got
+    there yet. While any of them still can, some do in every round, so those left
+    when a round changes nothing are on or below a cycle.
+    """
+    ancestors = units.where(F.col(parent).isNotNull()).select(F.col(unit).alias("u"), F.col(parent).alias("up")).distinct()
+    reach = checkpointed(ancestors)
+    left = reach.count()
+    while left:
+        above = reach.select(F.col("u").alias("up"), F.col("up").alias("top"))
+        reach = checkpointed(reach.join(above, "up").select("u", F.col("top").alias("up")))
+        before, left = left, reach.count()
+        if left == before:
+            break
+    return reach.select(F.col("u").alias(unit))
 
 
 def coverage_faults(targets: DataFrame, answers: DataFrame, key: str) -> DataFrame:

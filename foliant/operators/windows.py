@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.rolling import bitmap, has_bits, window_hashes
+from foliant.functions.text import normalized
+
 
 def page_ranges(rows: DataFrame, by: list[str], start: str, end: Column) -> DataFrame:
     """Last page of each unit: the next one's first page less one, the end for the last."""
@@ -81,20 +88,53 @@ def rising(rows: DataFrame, by: list[str], order: str, pos: str, apart: int = 32
     return rows.withColumn("_b", before).where(F.col("_b").isNull() | (F.col(pos) - F.col("_b") >= apart)).drop("_b")
 
 
-def copy_pairs(docs: DataFrame, sources: DataFrame, doc_id: str, source_id: str, limit: int = 160, block: int = 512, most: int = 200_000) -> DataFrame:
-    """Pairs whose texts share a window of a source: sampled every half limit there, every place in documents.
-
-    Both have a column ``t`` of normalised text. Documents are cut into blocks
-    before places are, so that a long text costs what its length does; windows are
-    joined by hash and then compared. Sources' windows are broadcast if there are
-    at most ``most``, else joined by shuffle.
+#: Bits of the bitmap that documents' windows pass before they are joined.
+COPY_BITS = 22
+#: Shares that one window's documents are dealt to, so that a passage that very many hold isn't one task's.
+COPY_SALTS = 32
+
+
+def _windows(rows: DataFrame, key: str, text: str, width: int, step: int, least: int, bits: np.ndarray | None) -> DataFrame:
+    """key, h and w of each window of normalised texts of ``least`` characters or more, every ``step`` characters; only those on the bitmap, if there is one."""
+    held = rows.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, h long, w string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hashes, windows = [], [], []
+            for k, value in enumerate(batch.column(1).to_pylist()):
+                norm = normalized(value or "")
+                if len(norm) < least:
+                    continue
+                h = window_hashes(norm, width)[::step]
+                places = np.arange(len(h)) * step
+                if held is not None:
+                    hit = has_bits(held.value, (h >> np.uint64(64 - COPY_BITS)).astype(np.int64))
+                    h, places = h[hit], places[hit]
+                h, first = np.unique(h, return_index=True)
+                at += [k] * len(h)
+                hashes.append(h)
+                windows += [norm[p : p + width] for p in places[first].tolist()]
+            flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(flat.view(np.int64)), pa.array(windows, pa.string())], [key, "h", "w"])
+
+    return rows.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def copy_pairs(docs: DataFrame, sources: DataFrame, doc_id: str, source_id: str, text: str = "text", limit: int = 160) -> DataFrame:
+    """Pairs whose normalised texts share a window of a source: sampled every half limit there, every place in documents.
+
+    A copy of ``limit`` characters or more holds a whole sampled window, so none
+    is missed. Documents' windows are hashed in place (no row per character) and
+    pass a bitmap of fixed size made of the sources' hashes; what is left is joined
+    by hash and compared. A window that very many documents hold is dealt to
+    ``COPY_SALTS`` shares.
     """
+    if limit < 64:
+        raise ValueError("a limit has 64 characters or more")
     width = limit // 2
-    windows = sources.where(F.length("t") >= width).select(F.col(source_id), F.explode(F.expr(f"transform(sequence(0, length(t) - {width}, {width}), p -> substring(t, p + 1, {width}))")).alias("w")).distinct()
-    keyed = windows.select(source_id, "w", F.xxhash64("w").alias("h"))
-    few = keyed.limit(most + 1).count() <= most
-    blocks = docs.where(F.length("t") >= limit).select(doc_id, F.explode(F.expr(f"transform(sequence(0, length(t) - {width}, {block}), b -> substring(t, b + 1, {block + width - 1}))")).alias("b"))
-    places = blocks.select(doc_id, F.explode(F.expr(f"transform(sequence(0, length(b) - {width}), p -> substring(b, p + 1, {width}))")).alias("v"))
-    hashed = places.select(doc_id, "v", F.xxhash64("v").alias("h"))
-    met = hashed.join(F.broadcast(keyed) if few else keyed, "h").where("v = w")
-    return met.select(doc_id, source_id).distinct()
+    theirs = _windows(sources, source_id, text, width, width, width, None)
+    bits = bitmap(theirs, F.shiftrightunsigned("h", 64 - COPY_BITS), COPY_BITS)
+    mine = _windows(docs, doc_id, text, width, 1, limit, bits).withColumn("salt", F.pmod(F.xxhash64(doc_id), F.lit(COPY_SALTS)))
+    salted = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPY_SALTS - 1).cast("long"))))
+    return mine.join(salted, ["h", "w", "salt"]).select(doc_id, source_id).distinct()

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.functions.text import normalize_ascii
 from foliant.operators import references as ref
 from foliant.operators import windows as w
 from foliant.queries.base import Tables, query
 
-_T = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+_T = r"trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))"
 
 
 @query(f"""
@@ -19,9 +18,7 @@ SELECT DISTINCT doc_id, item_id FROM d JOIN s ON length(d.t) >= 160 AND contains
 """)
 def w13_copy_pairs(t: Tables):
     """Documents that hold a window of a benchmark item verbatim."""
-    docs = t.documents.select("doc_id", normalize_ascii(F.col("text")).alias("t"))
-    items = t.benchmark.select("item_id", normalize_ascii(F.col("text")).alias("t"))
-    return w.copy_pairs(docs, items, "doc_id", "item_id")
+    return w.copy_pairs(t.documents, t.benchmark, "doc_id", "item_id")
 
 
 @query("SELECT o_custkey, o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 100000) - 1 AS last_page FROM orders")

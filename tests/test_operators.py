@@ -1,10 +1,13 @@
 """Edge cases that the tables don't have."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.errors.exceptions.captured import SparkRuntimeException
 from pyspark.sql import functions as F
 
-from foliant.functions import hashing, text
+from foliant.functions import hashing, rolling, text
 from foliant.operators import catalog, extract, layout, metrics, plans, references, windows
 
 
@@ -95,11 +98,61 @@ def test_containing_crosses_cells(spark):
 
 def test_copy_at_exactly_the_limit(spark):
     body = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(400))
-    docs = spark.createDataFrame([(1, "?" * 100 + body[40:200] + "!" * 100), (2, "?" * 700 + body[1:80] + "!" * 100)], "d int, t string")
-    got = windows.copy_pairs(docs, spark.createDataFrame([(9, body)], "s int, t string"), "d", "s").collect()
+    docs = spark.createDataFrame([(1, "?" * 100 + body[40:200] + "!" * 100), (2, "?" * 700 + body[1:80] + "!" * 100), (3, None), (4, "")], "d int, text string")
+    got = windows.copy_pairs(docs, spark.createDataFrame([(9, body), (8, None)], "s int, text string"), "d", "s").collect()
     assert [(r["d"], r["s"]) for r in got] == [(1, 9)]
 
 
+def test_copies_are_brute_force(spark):
+    """Texts in several scripts, with forms that normalisation changes, against every window of every pair."""
+    rng = random.Random(3)
+    alphabet = "abc déß ﬁＡÉ 日本語\u3000\tΣς"
+    make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    sources = [(k, make(rng.randrange(50, 400))) for k in range(12)]
+    docs = [(k, make(100) + sources[k % 12][1][k : k + rng.randrange(60, 300)].upper() + make(rng.randrange(0, 40_000))) for k in range(30)]
+    norm = {("d", k): text.normalized(x) for k, x in docs} | {("s", k): text.normalized(x) for k, x in sources}
+    want = {(d, s) for d, _ in docs for s, _ in sources if len(norm["d", d]) >= 80 and any(norm["s", s][p : p + 40] in norm["d", d] for p in range(0, len(norm["s", s]) - 39, 40))}
+    got = windows.copy_pairs(spark.createDataFrame(docs, "d int, text string"), spark.createDataFrame(sources, "s int, text string"), "d", "s", limit=80).collect()
+    assert len(want) > 10 and {(r["d"], r["s"]) for r in got} == want
+
+
+def test_window_hashes():
+    value = "añ日b" * 20_000
+    h = rolling.window_hashes(value, 7)
+    assert len(h) == len(value) - 6 and len(set(h.tolist())) == 4
+    assert h[5] == rolling.window_hashes(value[5:12], 7)[0] and h[60_001] == rolling.window_hashes(value[60_001:60_008], 7)[0]
+    assert len(rolling.window_hashes("abc", 7)) == 0
+
+
+def test_bitmap(spark):
+    places = [0, 1, 32_767, 32_768, (1 << 17) - 1]
+    bits = rolling.bitmap(spark.createDataFrame([(p,) for p in places], "p long"), F.col("p"), 17)
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == places
+    assert rolling.has_bits(bits, np.array([0, 2, 32_768])).tolist() == [True, False, True]
+
+
+def test_deep_trees_have_no_cycles(spark):
+    chain = [(k, k - 1 if k else None) for k in range(1000)] + [(2000, 2001), (2001, 2002), (2002, 2000), (2003, 2000), (3000, 9999)]
+    got = references.cyclic(spark.createDataFrame(chain, "u int, up int"), "u", "up")
+    assert sorted(r["u"] for r in got.collect()) == [2000, 2001, 2002, 2003]
+
+
+def test_numbers_are_consecutive(spark):
+    rows = spark.range(5000).selectExpr("id % 7 AS a", "id")
+    got = sorted((r["n"], r["a"], r["id"]) for r in references.numbered(rows, ["a", "id"], "n", 9).collect())
+    assert [x[0] for x in got] == list(range(1, 5001)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+
+
+def test_needles_with_quotation_marks(spark):
+    df = spark.createDataFrame([(r"a\Eb.c\Eb", r"\Eb"), ("x.y.z", ".")], "t string, w string")
+    assert values(df.select(text.positions(F.col("t"), F.col("w")).alias("p")), "p") == [[1, 6], [1, 3]]
+
+
+def test_headings_with_several_endings(spark):
+    df = spark.createDataFrame([("One ##",), ("Two :tag:x: ##",), ("Three {#id}",), ("C# and &amp; {#a} :t: #",), ("Four # five",)], "t string")
+    assert values(df.select(text.clean_heading(F.col("t")).alias("h")), "h") == ["One", "Two", "Three", "C# and &", "Four # five"]
+
+
 def test_evidence_outside_the_text(spark):
     refs = spark.createDataFrame([(1, 0, 3, "x"), (1, 0, 99, "x"), (2, 0, 1, "x")], "doc int, char_start int, char_end int, span_sha256 string")
     got = [r["reason"] for r in catalog.verify_evidence(refs, spark.createDataFrame([(1, "abc")], "doc int, t string"), "doc", "t").orderBy("doc", "char_end").collect()]
