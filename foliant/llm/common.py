@@ -118,16 +118,15 @@ def spare_name(df: DataFrame, name: str) -> str:
 HOT_SHARE = 1000
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> list[int]:
+def hot_keys(rows: DataFrame, key: str, share: int | None = None) -> list[int]:
     """The whole-number keys that more than one in ``share`` rows have, and maybe some with a little less.
 
     One pass with a sketch of frequent items per task, so that nothing is
     shuffled by key; which keys count as hot decides about work, never about results.
     """
-    if rows.isEmpty():
-        return []
+    share = share or HOT_SHARE
     found = rows.agg(F.count(key).alias("n"), F.expr(f"approx_top_k({key}, {share}, {16 * share})").alias("top")).first()
-    return sorted(x["item"] for x in found["top"] if x["item"] is not None and x["count"] * share > found["n"])
+    return sorted(x["item"] for x in found["top"] or [] if x["item"] is not None and x["count"] * share > found["n"])
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: list[int] | None = None, how: str = "inner") -> DataFrame:

@@ -54,7 +54,7 @@ def test_near_copies_are_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in copies.first_copies(docs).collect()} == want
     monkeypatch.setattr(copies, "SAMPLE_COUNT", 10**6)  # no frequent shingles: another order, the same pairs
     monkeypatch.setattr(copies, "BLOCK_SETS", 3)  # buckets in blocks
-    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 400)
     assert {r["doc_id"] for r in copies.first_copies(docs).collect()} == want
 
 
