@@ -77,6 +77,17 @@ def test_links_between_components():
         assert copies.links_between(sets, roots).tolist() == label.tolist()
 
 
+def test_sketches_leave_all_that_may_link():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        pool = rng.integers(0, 2**63, 90, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool[: rng.integers(2, 90)], rng.integers(1, 80))) for _ in range(20)]
+        sketches, sizes = [copies.sketch(x) for x in sets], np.array([len(x) for x in sets])
+        roots = rng.integers(0, 6, len(sets))
+        want = [any(roots[i] != roots[j] and copies.may_be_similar(sketches[i], sketches[j], sizes[i], sizes[j]) and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]) for j in range(len(sets))) for i in range(len(sets))]
+        assert copies.may_link(sketches, sizes, roots).tolist() == want
+
+
 def test_spread_join(spark):
     rows = spark.createDataFrame([(k, 7 if k % 2 else k) for k in range(4000)] + [(9999, None)], "id long, k long")
     table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 4000, 3)] + [(7, "seven")], "k long, v string")
