@@ -53,3 +53,33 @@ def verify_evidence(refs: DataFrame, texts: DataFrame, doc: str, text: str) -> D
         .when(F.sha2(span, 256) != F.col("span_sha256"), "hash_mismatch")
     )
     return joined.withColumn("reason", reason).drop("_t")
+
+
+def links(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key and links (absolute addresses in order) of each page."""
+    return pages.select(key, F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*["'](https?://[^"']+)["']"""), F.lit(1)).alias("links"))
+
+
+def duplicate_addresses(rows: DataFrame, url: str) -> DataFrame:
+    """host, port, path, query and n of addresses that several rows have once normalised (fragments don't count)."""
+    same = ["host", "port", "path", "query"]
+    parts = {k: c for k, c in tx.url_identity(F.col(url)).items() if k in same}
+    return rows.select(*[c.alias(k) for k, c in parts.items()]).where("host IS NOT NULL").groupBy(*same).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def grounded_pairs(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """key and term of the texts that hold a term, both normalised: every text against every term, by joins on words.
+
+    A plain term (words of ASCII letters and digits) is found by its first word among the text's
+    distinct words; any other by its first two characters. Rows of the joins hold keys alone; a
+    text is looked up again where a term of several words has to be checked.
+    """
+    plain = F.col(term).rlike(r"^[a-z0-9][a-z0-9 ._'’-]*$")
+    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[a-z0-9]+"), F.lit(0)))).alias("lead"))
+    met = words.join(terms.where(plain).select(term, F.regexp_extract(term, "^[a-z0-9]+", 0).alias("lead")), "lead")
+    others = terms.where(~plain & (F.length(term) > 0)).select(term, F.substring(term, 1, 2).alias("lead"))
+    starts = F.array_union(F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.substring(F.col(text), k, F.lit(2))), F.split(text, ""))
+    near = texts.where(F.length(text) > 0).select(key, F.explode(starts).alias("lead")).join(others, "lead")
+    asked = met.where(F.col(term) != F.col("lead")).select(key, term).unionByName(near.select(key, term)).distinct()
+    checked = asked.join(texts.select(key, text), key).where(tx.grounded(F.col(text), F.col(term))).select(key, term)
+    return met.where(F.col(term) == F.col("lead")).select(key, term).unionByName(checked)

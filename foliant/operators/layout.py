@@ -71,3 +71,11 @@ def publish(versions: DataFrame, published: DataFrame, path: str, digest: str) -
     old = published.select(F.col(path), F.col(digest).alias("_there"))
     state = F.when(F.col("_there").isNull(), "new").when(F.col("_there") == F.col(digest), "same").otherwise("conflict")
     return versions.join(old, path, "left").withColumn("state", state).drop("_there")
+
+
+def record_units(rows: DataFrame, keys: list[str], text: Column, mark: str) -> DataFrame:
+    """keys, ordinal (from 0), unit and offset (bytes before it) of a section's indivisible slices; joined by the mark they are the section again."""
+    units = rows.select(*keys, F.posexplode(F.split(text, F.lit("\\Q" + mark + "\\E"))).alias("ordinal", "unit"))
+    before = Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = F.octet_length("unit") + len(mark.encode())
+    return units.withColumn("offset", F.coalesce(F.sum(sizes).over(before), F.lit(0)))

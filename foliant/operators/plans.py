@@ -113,3 +113,53 @@ def commit_version(df: DataFrame, folder: str, expected: str | None, version: st
         os.close(handle)
         os.unlink(lock)
     return version
+
+
+def register(registry: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """A registry after a registration: known entries stay as they are, new ones are added; ``state`` is "kept", "same", "conflict" or "added"."""
+    a = registry.select(key, *[F.col(c).alias(f"old_{c}") for c in columns], F.lit(True).alias("was"))
+    b = new.select(key, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("given"))
+    equal = F.lit(True)
+    for c in columns:
+        equal = equal & F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
+    state = F.when(F.col("was").isNull(), "added").when(F.col("given").isNull(), "kept").when(equal, "same").otherwise("conflict")
+    return a.join(b, key, "full").select(key, *[F.when(F.col("was"), F.col(f"old_{c}")).otherwise(F.col(f"new_{c}")).alias(c) for c in columns], state.alias("state"))
+
+
+def ingest(items: DataFrame, responses: DataFrame, key: str, request: str, asked: str, response: str) -> DataFrame:
+    """Responses with ``outcome``: "accepted", "unknown" (no such item), "foreign" (another request), "repeated" (answered the same before) or "conflict"."""
+    held = items.select(key, F.col(request).alias("own_request"), F.col(response).alias("held_response"), F.lit(True).alias("is_item"))
+    outcome = (
+        F.when(F.col("is_item").isNull(), "unknown")
+        .when(~F.col(asked).eqNullSafe(F.col("own_request")), "foreign")
+        .when(F.col("held_response").isNull(), "accepted")
+        .when(F.col("held_response") == F.col(response), "repeated")
+        .otherwise("conflict")
+    )
+    return responses.join(held, key, "left").withColumn("outcome", outcome).drop("own_request", "held_response", "is_item")
+
+
+def classified(items: DataFrame, classes: DataFrame, key: str, kind: str, otherwise: str = "unclassified") -> DataFrame:
+    """Items with a kind from a classification by key; the others stay unclassified."""
+    return items.join(classes.select(key, F.col(kind).alias("given_kind")), key, "left").withColumn(kind, F.coalesce("given_kind", F.lit(otherwise))).drop("given_kind")
+
+
+def signed_off(rows: DataFrame, by: list[str], gates: dict[str, Column]) -> DataFrame:
+    """Each group's gates (open where every row meets them) and ``signed``: all are."""
+    opened = rows.groupBy(*by).agg(*[F.bool_and(F.coalesce(c, F.lit(False))).alias(name) for name, c in gates.items()])
+    signed = F.lit(True)
+    for name in gates:
+        signed = signed & F.col(name)
+    return opened.withColumn("signed", signed)
+
+
+def receipts(runs: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Per group the number of runs that led to its state, and a hash over them in order."""
+    listed = F.transform(F.sort_array(F.collect_list(order)), lambda x: x.cast("string"))
+    return runs.groupBy(*by).agg(F.count("*").alias("n_runs"), F.sha2(F.array_join(listed, ">"), 256).alias("receipt"))
+
+
+def manifests(parts: DataFrame, by: list[str], order: str, content: str) -> DataFrame:
+    """Per group a hash over its parts' hashes in order, and how many there are."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.sha2(content, 256).alias("h")))), lambda x: x["h"])
+    return parts.groupBy(*by).agg(F.sha2(F.array_join(listed, ""), 256).alias("manifest"), F.count("*").alias("n_parts"))

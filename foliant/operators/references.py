@@ -156,3 +156,154 @@ def coverage_faults(targets: DataFrame, answers: DataFrame, key: str) -> DataFra
 def grid(items: DataFrame, labels: list[str], name: str) -> DataFrame:
     """Every item with every one of a few labels (a list, so no join)."""
     return items.withColumn(name, F.explode(F.array(*[F.lit(x) for x in labels])))
+
+
+def provenance_faults(records: DataFrame, registry: DataFrame, source_id: str, source_hash: str, registry_id: str, registry_hash: str, exempt: Column | None = None) -> DataFrame:
+    """Records whose source isn't registered or has another hash there, with ``state`` "unregistered" or "stale"; exempt ones (the primary book's) aren't asked."""
+    asked = records if exempt is None else records.where(~F.coalesce(exempt, F.lit(False)))
+    known = registry.select(F.col(registry_id).alias("known_id"), F.col(registry_hash).alias("known_hash"))
+    joined = asked.join(known, asked[source_id] == F.col("known_id"), "left")
+    state = F.when(F.col("known_id").isNull(), "unregistered").when(~F.col("known_hash").eqNullSafe(F.col(source_hash)), "stale")
+    return joined.withColumn("state", state).where("state IS NOT NULL").drop("known_id", "known_hash")
+
+
+def base_states(candidates: DataFrame, base: DataFrame, keys: list[str], structure: list[str]) -> DataFrame:
+    """Candidates beside their base record: ``state`` is "unmatched", "changed" (some structural field differs) or "same"."""
+    held = base.select(*keys, *[F.col(c).alias(f"base_{c}") for c in structure], F.lit(True).alias("has_base"))
+    equal = F.lit(True)
+    for c in structure:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"base_{c}"))
+    state = F.when(F.col("has_base").isNull(), "unmatched").when(equal, "same").otherwise("changed")
+    return candidates.join(held, keys, "left").withColumn("state", state).drop("has_base", *[f"base_{c}" for c in structure])
+
+
+def work_matches(candidates: DataFrame, work: DataFrame, collection: str, chapters: str, module: str, scope: str, book: object) -> DataFrame:
+    """Candidates with the work items of their collection's module: those of their chapters, or of the whole book where they name none."""
+    scopes = F.when(F.size(chapters) > 0, F.array_distinct(chapters)).otherwise(F.array(F.lit(book)))
+    each = candidates.withColumn("work_scope", F.explode(scopes))
+    return each.join(work, (F.col(collection) == work[module]) & (F.col("work_scope") == work[scope])).drop("work_scope")
+
+
+def contained(rows: DataFrame, *parents: tuple[DataFrame, str, str]) -> DataFrame:
+    """Rows all of whose keys are known: each of ``parents`` is a table, its key, and the rows' column for it."""
+    for table, parent_key, key in parents:
+        rows = rows.join(table.select(F.col(parent_key).alias(key)).distinct(), key, "left_semi")
+    return rows
+
+
+def merge_match(units: DataFrame, existing: DataFrame, unit: str, kind: str, title: str, by_id: bool = False) -> DataFrame:
+    """unit, matched (the existing unit or null) and state: "matched", "ambiguous", "reused" or "unmatched".
+
+    A manual outline matches by id, an import by kind and normalised title. A
+    title that several existing units have is ambiguous; an existing unit that
+    several units match is reused. Both are errors, and so is what isn't matched.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    keys = (lambda rows: [F.col(unit).cast("string").alias("k")]) if by_id else (lambda rows: [F.concat_ws("\x00", F.col(kind), norm(F.col(title))).alias("k")])
+    theirs = existing.select(F.col(unit).alias("matched"), *keys(existing)).groupBy("k").agg(F.count("*").alias("n"), F.min("matched").alias("matched"))
+    found = units.select(unit, *keys(units)).join(theirs, "k", "left")
+    times = F.count("*").over(Window.partitionBy("matched"))
+    state = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").when(times > 1, "reused").otherwise("matched")
+    return found.withColumn("state", state).select(unit, F.when(F.col("state") == "matched", F.col("matched")).alias("matched"), "state")
+
+
+def existence_flags(rows: DataFrame, others: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Rows with a flag a collection: whether it mentions their key. A collection is its table, its column (a value or a list) and the rows' key."""
+    for name, (table, column, key) in others.items():
+        listed = F.explode(column) if table.schema[column].dataType.typeName() == "array" else F.col(column)
+        there = table.select(listed.alias(key)).distinct().withColumn(name, F.lit(True))
+        rows = rows.join(there, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return rows
+
+
+def seed_or_recall(candidates: DataFrame, inventory: DataFrame, value: str, chapter: str | None = None) -> DataFrame:
+    """Candidates with ``origin``: "seed" where the inventory has their normalised value (in their chapter), else "recall"."""
+    norm = F.trim(F.regexp_replace(F.lower(value), r"\s+", " ")).alias("norm_value")
+    keys = ["norm_value", *([chapter] if chapter else [])]
+    known = inventory.select(norm, *([chapter] if chapter else [])).distinct().withColumn("is_seed", F.lit(True))
+    joined = candidates.withColumn("norm_value", norm).join(known, keys, "left")
+    return joined.withColumn("origin", F.when(F.col("is_seed"), "seed").otherwise("recall")).drop("norm_value", "is_seed")
+
+
+def relinked(secondary: DataFrame, primary: DataFrame, keys: list[str], linked: str, current: str, status: str, draft: str = "draft") -> DataFrame:
+    """Translations linked to the primary's current hash; those whose link moved are drafts again, those without a primary are left as they are."""
+    now = primary.select(*keys, F.col(current).alias("current_hash"))
+    joined = secondary.join(now, keys, "left")
+    moved = F.col("current_hash").isNotNull() & ~F.col(linked).eqNullSafe(F.col("current_hash"))
+    return joined.withColumn(status, F.when(moved, draft).otherwise(F.col(status))).withColumn(linked, F.coalesce("current_hash", linked)).drop("current_hash")
+
+
+def facet_states(plan: DataFrame, source: DataFrame, keys: list[str], facets: list[str]) -> DataFrame:
+    """Planned items with the facets of the source read again: ``state`` is "missing", "stale" (some facet differs) or "current", ``stale`` names those."""
+    again = source.select(*keys, *[F.col(c).alias(f"again_{c}") for c in facets], F.lit(True).alias("is_there"))
+    names = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"again_{c}")), c) for c in facets]))
+    joined = plan.join(again, keys, "left").withColumn("stale", names)
+    state = F.when(F.col("is_there").isNull(), "missing").when(F.size("stale") > 0, "stale").otherwise("current")
+    return joined.withColumn("state", state).drop("is_there", *[f"again_{c}" for c in facets])
+
+
+def decided(units: DataFrame, groups: DataFrame, by: list[str], own: str, group: str, otherwise: str = "pending") -> DataFrame:
+    """Units with ``decision``: their own, else their group's, else pending."""
+    return units.join(groups.select(*by, F.col(group).alias("group_decision")), by, "left").withColumn("decision", F.coalesce(own, "group_decision", F.lit(otherwise))).drop("group_decision")
+
+
+def bulk_eligible(units: DataFrame, states: DataFrame, provided: DataFrame, key: str, unit_hash: str, state_hash: str, provided_hash: str) -> DataFrame:
+    """Units with ``bulk``: their module's state and what the authority provided both have the unit's hash."""
+    held = states.select(key, F.col(state_hash).alias("held_hash")).distinct()
+    given = provided.select(key, F.col(provided_hash).alias("given_hash")).distinct()
+    same = units.select(key, F.col(unit_hash).alias("own_hash")).distinct()
+    bound = same.join(held, (same[key] == held[key]) & (F.col("own_hash") == F.col("held_hash")), "left_semi").join(given, (same[key] == given[key]) & (F.col("own_hash") == F.col("given_hash")), "left_semi")
+    known = bound.select(key, F.col("own_hash").alias(unit_hash)).withColumn("bulk", F.lit(True))
+    return units.join(known, [key, unit_hash], "left").withColumn("bulk", F.coalesce("bulk", F.lit(False)))
+
+
+def within_span(evidence: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, first: str, last: str) -> DataFrame:
+    """Evidence with ``inside``: its chapter's span holds it wholly; false where the chapter has no span."""
+    held = spans.select(*keys, F.col(first).alias("span_first"), F.col(last).alias("span_last"))
+    fits = (F.col(start) >= F.col("span_first")) & (F.col(end) <= F.col("span_last"))
+    return evidence.join(held, keys, "left").withColumn("inside", F.coalesce(fits, F.lit(False))).drop("span_first", "span_last")
+
+
+def looked_up(rows: DataFrame, contracts: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Rows with a contract's columns by key; a key that has none gets the defaults. A contract table is a few rows."""
+    joined = rows.join(F.broadcast(contracts), key, "left")
+    for column, value in defaults.items():
+        joined = joined.withColumn(column, F.coalesce(column, F.lit(value)))
+    return joined
+
+
+def current_bindings(snapshot: DataFrame, current: DataFrame, key: str, digest: str) -> DataFrame:
+    """A snapshot's keys with ``current``: the hash is still the same; false where the key is gone."""
+    now = current.select(key, F.col(digest).alias("digest_now"))
+    return snapshot.join(now, key, "left").withColumn("current", F.coalesce(F.col(digest) == F.col("digest_now"), F.lit(False))).drop("digest_now")
+
+
+def binding(runs: DataFrame, inventories: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Runs with ``bound``: their inventory names the same value in every field, none of them unknown."""
+    held = inventories.select(key, *[F.col(c).alias(f"held_{c}") for c in fields])
+    equal = F.lit(True)
+    for c in fields:
+        equal = equal & (F.col(c) == F.col(f"held_{c}"))
+    return runs.join(held, key, "left").withColumn("bound", F.coalesce(equal, F.lit(False))).drop(*[f"held_{c}" for c in fields])
+
+
+def state_faults(states: DataFrame, data: DataFrame, keys: list[str], digest: str, status: str | None = None) -> DataFrame:
+    """keys and code of records whose state doesn't fit the data: RP500 gone, RP501 without state, RP502 changed since."""
+    now = data.select(*keys, F.col(digest).alias("digest_now"), F.lit(True).alias("is_there"))
+    then = states.select(*keys, F.col(digest).alias("digest_then"), F.lit(True).alias("has_state"))
+    code = F.when(F.col("is_there").isNull(), "RP500").when(F.col("has_state").isNull(), "RP501").when(~F.col("digest_then").eqNullSafe(F.col("digest_now")), "RP502")
+    return then.join(now, keys, "full").select(*keys, code.alias("code")).where("code IS NOT NULL")
+
+
+def addition_faults(additions: DataFrame, spans: DataFrame, texts: DataFrame, doc: str, text: str, value: str) -> DataFrame:
+    """Generated additions with what is wrong: evidence outside its chapter, or that doesn't hold the value.
+
+    ``additions`` has doc, chapter_id, char_start, char_end and the value;
+    ``spans`` has doc, chapter_id, char_first, char_last. Values are compared normalised.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    placed = within_span(additions, spans, [doc, "chapter_id"], "char_start", "char_end", "char_first", "char_last")
+    joined = placed.join(texts.select(doc, F.col(text).alias("whole_text")), doc, "left")
+    said = F.substring("whole_text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    reason = F.when(F.col("whole_text").isNull(), "missing_source").when(~F.col("inside"), "outside_chapter").when(~F.contains(norm(said), norm(F.col(value))), "value_not_held")
+    return joined.withColumn("reason", reason).where("reason IS NOT NULL").drop("whole_text", "inside")

@@ -138,3 +138,10 @@ def copy_pairs(docs: DataFrame, sources: DataFrame, doc_id: str, source_id: str,
     mine = _windows(docs, doc_id, text, width, 1, limit, bits).withColumn("salt", F.pmod(F.xxhash64(doc_id), F.lit(COPY_SALTS)))
     salted = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPY_SALTS - 1).cast("long"))))
     return mine.join(salted, ["h", "w", "salt"]).select(doc_id, source_id).distinct()
+
+
+def labelled(rows: DataFrame, by: list[str], pos: str, label: Column, value: Column) -> DataFrame:
+    """The least value (``found``) that stands on the line right behind a label line, per key that has one."""
+    behind = F.lead("labelled_value").over(Window.partitionBy(*by).orderBy(pos))
+    marked = rows.select(*by, pos, label.alias("is_label"), value.alias("labelled_value")).withColumn("behind", behind)
+    return marked.where(F.col("is_label") & F.col("behind").isNotNull()).groupBy(*by).agg(F.min("behind").alias("found"))

@@ -43,12 +43,11 @@ def v10_verify_evidence(t: Tables):
     return checked.select("doc", F.col("char_start").cast("long").alias("char_start"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query("SELECT host, part, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^https://([^/]+)', 1)) AS host, substr(regexp_extract(url, '^https://[^/]+([^?#]*)', 1), 1, 4) AS part FROM pages WHERE starts_with(url, 'https://')) GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT host, path, query, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^https://([^/?#:]+)', 1)) AS host, coalesce(nullif(regexp_extract(url, '^https://[^/?#]+([^?#]*)', 1), ''), '/') AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query FROM (SELECT url FROM pages UNION ALL SELECT replace(url, 'https://', 'https://') || '#top' FROM pages WHERE page_id % 4 = 0) WHERE starts_with(url, 'https://')) GROUP BY ALL HAVING count(*) > 1")
 def v06_duplicate_addresses(t: Tables):
-    """Hosts and leading paths that several addresses share once normalised."""
-    ident = tx.url_identity(F.col("url"))
-    rows = t.pages.select(ident["host"].alias("host"), F.substring(ident["path"], 1, 4).alias("part")).where("host IS NOT NULL")
-    return rows.groupBy("host", "part").agg(F.count("*").alias("n")).where("n > 1")
+    """Addresses that are the same once normalised; every fourth stands there with a fragment too."""
+    urls = t.pages.select("url").unionByName(t.pages.where("page_id % 4 = 0").select(F.concat("url", F.lit("#top")).alias("url")))
+    return catalog.duplicate_addresses(urls, "url").select("host", "path", "query", "n")
 
 
 @query()
@@ -62,5 +61,5 @@ def f30_preferred_mention(t: Tables):
 @query("SELECT page_id, regexp_extract(html, 'href=\"(https?://[^\"]+)\"', 1) AS first_link, len(regexp_extract_all(html, 'href=\"(https?://[^\"]+)\"', 1)) AS n_links FROM pages")
 def f12_links(t: Tables):
     """Addresses that pages link to."""
-    links = F.regexp_extract_all("html", F.lit('href="(https?://[^"]+)"'), F.lit(1))
-    return t.pages.select("page_id", F.coalesce(F.get(links, F.lit(0)), F.lit("")).alias("first_link"), F.size(links).cast("long").alias("n_links"))
+    found = catalog.links(t.pages, "page_id", "html")
+    return found.select("page_id", F.coalesce(F.get("links", F.lit(0)), F.lit("")).alias("first_link"), F.size("links").cast("long").alias("n_links"))

@@ -62,10 +62,8 @@ WHERE s_suppkey IS NULL OR s_nationkey <> l_suppkey % 25
 """)
 def j06_provenance(t: Tables):
     """Records whose source isn't registered, or has another hash there."""
-    registry = t.supplier.where("s_suppkey % 10 <> 0").select("s_suppkey", "s_nationkey")
-    joined = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey").join(registry, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    state = F.when(F.col("s_suppkey").isNull(), "unregistered").when(F.col("s_nationkey") != F.col("l_suppkey") % 25, "stale")
-    return joined.select("l_orderkey", "l_linenumber", state.alias("state")).where("state IS NOT NULL")
+    records = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_suppkey") % 25).alias("source_hash"))
+    return ref.provenance_faults(records, t.supplier.where("s_suppkey % 10 <> 0"), "l_suppkey", "source_hash", "s_suppkey", "s_nationkey").select("l_orderkey", "l_linenumber", "state")
 
 
 _SPANS = "SELECT doc_id, k * 700 AS f, least((k + 1) * 700, length(text)) AS l, k AS chapter FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 700.0) AS BIGINT))) AS k FROM documents)"
@@ -86,15 +84,13 @@ def j07_containing_chapter(t: Tables):
 
 
 @query("""
-SELECT c.c_custkey, CASE WHEN o.n IS NULL THEN 'unmatched' WHEN c.c_mktsegment = 'BUILDING' THEN 'changed' ELSE 'same' END AS state
-FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = o_custkey
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'unmatched' WHEN c_mktsegment = 'BUILDING' OR c_custkey % 7 = 0 THEN 'changed' ELSE 'same' END AS state FROM customer
 """)
 def j08_base_records(t: Tables):
     """Candidates beside their base records, by equal structure."""
-    base = t.orders.select("o_custkey").distinct()
-    joined = t.customer.join(base, F.col("c_custkey") == F.col("o_custkey"), "left")
-    state = F.when(F.col("o_custkey").isNull(), "unmatched").when(F.col("c_mktsegment") == "BUILDING", "changed").otherwise("same")
-    return joined.select("c_custkey", state.alias("state"))
+    k = F.col("c_custkey")
+    base = t.customer.where(k % 5 != 0).select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "x").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"), F.when(k % 7 == 0, None).otherwise(F.col("c_nationkey")).alias("c_nationkey"))
+    return ref.base_states(t.customer, base, ["c_custkey"], ["c_mktsegment", "c_nationkey"]).select("c_custkey", "state")
 
 
 @query("""
@@ -103,24 +99,24 @@ ON e.event_type = w.module AND (w.scope = 0 AND e.event_id % 3 = 0 OR list_conta
 """)
 def j09_work_matches(t: Tables):
     """Candidates with the work items whose module and scope they fit (whole book: no chapters)."""
-    work = t.events.select(F.col("event_type").alias("module"), (F.col("user_id") % 20).alias("scope")).distinct()
-    work = work.withColumn("work", F.concat_ws(":", "module", "scope"))
-    chapters = F.when(F.col("event_id") % 3 != 0, F.array(F.col("user_id") % 20, F.col("event_id") % 20)).otherwise(F.array(F.lit(0).cast("long")))
-    rows = t.events.select("event_id", "event_type", F.explode(F.array_distinct(chapters)).alias("scope"))
-    return rows.join(work, (F.col("event_type") == F.col("module")) & (rows["scope"] == work["scope"])).select("event_id", "work")
+    work = t.events.select(F.col("event_type").alias("module"), (F.col("user_id") % 20).alias("scope")).distinct().withColumn("work", F.concat_ws(":", "module", "scope"))
+    chapters = F.when(F.col("event_id") % 3 != 0, F.array(F.col("user_id") % 20, F.col("event_id") % 20)).otherwise(F.array().cast("array<bigint>"))
+    rows = t.events.select("event_id", "event_type", chapters.alias("chapters"))
+    return ref.work_matches(rows, work, "event_type", "chapters", "module", "scope", 0).select("event_id", "work")
 
 
 @query("""
-WITH a AS (SELECT c_custkey AS id, lower(c_name) AS title FROM customer), b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'same title' ELSE lower(c_name) END AS title FROM customer WHERE c_custkey % 6 <> 0),
- one AS (SELECT title, max(id) AS id, count(*) AS n FROM b GROUP BY title)
-SELECT a.id, CASE WHEN one.n = 1 THEN 'matched' WHEN one.n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS state FROM a LEFT JOIN one USING (title)
+WITH a AS (SELECT c_custkey AS id, c_mktsegment AS kind, CASE WHEN c_custkey % 50 = 1 THEN 'twin' ELSE lower(c_name) END AS title FROM customer),
+ b AS (SELECT c_custkey AS id, c_mktsegment AS kind, CASE WHEN c_custkey % 9 = 0 THEN 'same title' WHEN c_custkey = 1 THEN 'twin' ELSE lower(c_name) END AS title FROM customer WHERE c_custkey % 6 <> 0),
+ one AS (SELECT kind, title, min(id) AS m, count(*) AS n FROM b GROUP BY ALL), j AS (SELECT a.id, m, n FROM a LEFT JOIN one ON a.kind = one.kind AND a.title = one.title)
+SELECT id, CASE WHEN n = 1 AND count(*) OVER (PARTITION BY m) = 1 THEN m END AS matched, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN count(*) OVER (PARTITION BY m) > 1 THEN 'reused' ELSE 'matched' END AS state FROM j
 """)
 def j12_merge_match(t: Tables):
-    """Units matched by kind and normalised title; several are ambiguous."""
-    a = t.customer.select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("title"))
-    b = a.where("id % 6 <> 0").withColumn("title", F.when(F.col("id") % 9 == 0, "same title").otherwise(F.col("title")))
-    one = b.groupBy("title").agg(F.count("*").alias("n"))
-    return a.join(one, "title", "left").select("id", F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("unmatched").alias("state"))
+    """Units matched by kind and normalised title: several are ambiguous, one that is matched twice is reused."""
+    k = F.col("c_custkey")
+    units = t.customer.select(k.alias("id"), F.col("c_mktsegment").alias("kind"), F.when(k % 50 == 1, " Twin ").otherwise(F.col("c_name")).alias("title"))
+    there = t.customer.where(k % 6 != 0).select(k.alias("id"), F.col("c_mktsegment").alias("kind"), F.when(k % 9 == 0, "Same  title").when(k == 1, "twin").otherwise(F.col("c_name")).alias("title"))
+    return ref.merge_match(units, there, "id", "kind", "title")
 
 
 @query("""
@@ -147,39 +143,38 @@ def j14_two_levels(t: Tables):
 @query("SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem) AS sold, p_brand IN (SELECT p_brand FROM part WHERE p_size > 49) AS large_brand FROM part")
 def j15_existence_flags(t: Tables):
     """Whether other collections mention a record, as flags."""
-    sold = t.lineitem.select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("sold", F.lit(True))
-    brand = t.part.where("p_size > 49").select("p_brand").distinct().withColumn("large_brand", F.lit(True))
-    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("sold", "large_brand")]
-    return t.part.select("p_partkey", "p_brand").join(sold, "p_partkey", "left").join(brand, "p_brand", "left").select("p_partkey", *flags)
+    others = {"sold": (t.lineitem, "l_partkey", "p_partkey"), "large_brand": (t.part.where("p_size > 49"), "p_brand", "p_brand")}
+    return ref.existence_flags(t.part.select("p_partkey", "p_brand"), others).select("p_partkey", "sold", "large_brand")
 
 
-@query("SELECT c_custkey, CASE WHEN lower(c_mktsegment) IN (SELECT lower(p_type) FROM part UNION SELECT 'building') THEN 'seed' ELSE 'recall' END AS origin FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey % 2 = 0 THEN 'seed' ELSE 'recall' END AS origin FROM customer")
 def j16_seed_or_recall(t: Tables):
-    """Candidates that the inventory has by normalised value, and those it hasn't."""
-    known = t.part.select(F.lower("p_type").alias("v")).union(t.spark.createDataFrame([("building",)], "v string")).distinct().withColumn("seed", F.lit(True))
-    rows = t.customer.select("c_custkey", F.lower("c_mktsegment").alias("v"))
-    return rows.join(known, "v", "left").select("c_custkey", F.when(F.col("seed"), "seed").otherwise("recall").alias("origin"))
+    """Candidates that the inventory has by normalised value and chapter, and those it hasn't."""
+    inventory = t.customer.where("c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey % 2 = 0").select(F.concat(F.lit(" "), F.lower("c_mktsegment")).alias("value"), "c_nationkey")
+    return ref.seed_or_recall(t.customer.select("c_custkey", F.col("c_mktsegment").alias("value"), "c_nationkey"), inventory, "value", "c_nationkey").select("c_custkey", "origin")
 
 
 @query("""
-SELECT c_custkey, sha256(c_name) AS source_hash, CASE WHEN c_custkey % 8 = 0 THEN 'draft' ELSE 'reviewed' END AS translation_status FROM customer
+SELECT c_custkey, CASE WHEN c_custkey % 10 = 1 THEN 'none' ELSE sha256(c_name) END AS source_hash, CASE WHEN c_custkey % 8 = 0 THEN 'draft' ELSE 'reviewed' END AS translation_status FROM customer
 """)
 def j17_relink(t: Tables):
     """Translations linked to the current primary hash; those that moved are drafts again."""
-    primary = t.customer.select("c_custkey", F.sha2("c_name", 256).alias("h"))
-    second = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 8 == 0, "old").otherwise(F.sha2("c_name", 256)).alias("source_hash"))
-    moved = ~F.col("source_hash").eqNullSafe(F.col("h"))
-    return second.join(primary, "c_custkey", "left").select("c_custkey", F.col("h").alias("source_hash"), F.when(moved, "draft").otherwise("reviewed").alias("translation_status"))
+    k, h = F.col("c_custkey"), F.sha2("c_name", 256)
+    primary = t.customer.where(k % 10 != 1).select("c_custkey", h.alias("h"))
+    second = t.customer.select("c_custkey", F.when(k % 10 == 1, "none").when(k % 8 == 0, "old").otherwise(h).alias("source_hash"), F.lit("reviewed").alias("translation_status"))
+    return ref.relinked(second, primary, ["c_custkey"], "source_hash", "h", "translation_status")
 
 
 @query("""
-SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'stale' ELSE 'current' END AS state FROM conversations WHERE role = 'assistant' AND conv_id % 5 <> 0
+SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'missing' WHEN turn % 4 = 3 THEN 'stale' ELSE 'current' END AS state, CASE WHEN conv_id % 5 = 0 THEN 'digest,size' WHEN turn % 4 = 3 THEN 'digest,size' ELSE '' END AS stale FROM conversations WHERE role = 'assistant'
 """)
 def j18_stale_facets(t: Tables):
-    """Planned turns joined to the source read again: those whose hash moved are stale."""
-    plan = t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.sha2("text", 256).alias("planned"))
-    again = t.conversations.where("conv_id % 5 <> 0").select("conv_id", "turn", F.sha2(F.when(F.col("turn") % 4 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("now"))
-    return plan.join(again, ["conv_id", "turn"]).select("conv_id", "turn", F.when(F.col("planned") == F.col("now"), "current").otherwise("stale").alias("state"))
+    """Planned turns joined to the source read again: the facets that moved."""
+    text = F.col("text")
+    facets = lambda rows, c: rows.select("conv_id", "turn", F.sha2(c, 256).alias("digest"), F.length(c).alias("size"))
+    plan = facets(t.conversations.where("role = 'assistant'"), text)
+    again = facets(t.conversations.where("conv_id % 5 <> 0"), F.when(F.col("turn") % 4 == 3, F.concat(text, F.lit("!"))).otherwise(text))
+    return ref.facet_states(plan, again, ["conv_id", "turn"], ["digest", "size"]).select("conv_id", "turn", "state", F.array_join("stale", ",").alias("stale"))
 
 
 @query("""
@@ -203,9 +198,9 @@ SELECT o_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 'revise' WHEN o
 """)
 def j21_decisions(t: Tables):
     """Group decisions fanned out to units; a unit's own decision comes first."""
-    groups = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "approve").alias("g"))
+    groups = t.orders.select(F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", "approve").alias("choice"))
     units = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.when(F.col("l_linenumber") == 3, "revise").alias("own"))
-    return units.join(groups, "o_orderkey").select("o_orderkey", "l_linenumber", F.coalesce("own", "g", F.lit("pending")).alias("decision"))
+    return ref.decided(units, groups, ["o_orderkey"], "own", "choice").select("o_orderkey", "l_linenumber", "decision")
 
 
 @query("""
@@ -244,22 +239,27 @@ def j24_hash_chain(t: Tables):
 
 
 @query("""
-SELECT p_partkey, coalesce(n_sup >= 1, false) AND p_size > 10 AS bulk FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_sup FROM lineitem GROUP BY 1) ON p_partkey = l_partkey
+SELECT p_partkey, p_size > 10 AND p_partkey % 4 <> 0 AS bulk FROM part
 """)
 def j25_bulk_eligible(t: Tables):
     """Units bound to an authority and a state, as a flag."""
-    bound = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_suppkey").alias("n"))
-    return t.part.select("p_partkey", "p_size").join(bound, "p_partkey", "left").select("p_partkey", (F.coalesce(F.col("n") >= 1, F.lit(False)) & (F.col("p_size") > 10)).alias("bulk"))
+    k, h = F.col("p_partkey"), F.sha2("p_name", 256)
+    units = t.part.select("p_partkey", h.alias("own"))
+    states = t.part.where("p_size > 10").select("p_partkey", h.alias("held"))
+    provided = t.part.select("p_partkey", F.when(k % 4 == 0, "other").otherwise(h).alias("given"))
+    return ref.bulk_eligible(units, states, provided, "p_partkey", "own", "held", "given").select("p_partkey", "bulk")
 
 
 @query(f"""
-WITH spans AS ({_SPANS}) SELECT doc_id, chapter, instr(text, ' with') - 1 >= f AND instr(text, ' with') + 4 <= l AS inside FROM documents JOIN spans USING (doc_id) WHERE instr(text, ' with') > 0 AND chapter = 0
+WITH spans AS ({_SPANS}) SELECT doc_id, CAST(chapter AS INT) AS chapter, coalesce(s >= f AND s + 5 <= l, false) AS inside FROM (SELECT doc_id, instr(text, ' with') - 1 AS s, doc_id % 2 AS chapter FROM documents WHERE instr(text, ' with') > 0) LEFT JOIN spans USING (doc_id, chapter)
 """)
 def j26_evidence_in_chapter(t: Tables):
     """Whether evidence lies within the chapter that it is said to be from."""
-    p = F.locate(" with", F.col("text"))
-    rows = t.documents.select("doc_id", F.lit(0).cast("long").alias("chapter"), p.alias("p"), F.least(F.lit(700), F.length("text")).alias("l")).where("p > 0")
-    return rows.select("doc_id", "chapter", ((F.col("p") - 1 >= 0) & (F.col("p") + 4 <= F.col("l"))).alias("inside"))
+    evidence = t.documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("chapter"), (F.locate(" with", F.col("text")) - 1).alias("s")).where("s >= 0").withColumn("e", F.col("s") + 5)
+    n = F.length("text")
+    spans = t.documents.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(700))).alias("chapter", "f"), n.alias("n"))
+    spans = spans.select("doc_id", "chapter", "f", F.least(F.col("f") + 700, "n").alias("l"))
+    return ref.within_span(evidence, spans, ["doc_id", "chapter"], "s", "e", "f", "l").select("doc_id", "chapter", "inside")
 
 
 @query("""

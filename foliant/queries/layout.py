@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions import records as fields
 from foliant.operators import layout
 from foliant.queries.base import Tables, query
 
@@ -53,7 +54,7 @@ def d01_parse_pack(t: Tables):
 @query("SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS ordinal, md5(unnest(string_split(text, chr(10)))) AS unit_md5 FROM documents")
 def d02_record_units(t: Tables):
     """Indivisible units of a section: its lines."""
-    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "unit")).select("doc_id", "ordinal", F.md5("unit").alias("unit_md5"))
+    return layout.record_units(t.documents, ["doc_id"], F.col("text"), "\n").select("doc_id", "ordinal", F.md5("unit").alias("unit_md5"))
 
 
 @query("SELECT c_custkey, 'Customer ' || c_name || ' (' || c_mktsegment || ')' AS text FROM customer")
@@ -81,4 +82,4 @@ def k04_publish(t: Tables):
 @query("SELECT doc_id, sha256(text) AS sha, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
 def s14_fingerprints(t: Tables):
     """Fingerprints of contents."""
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return t.documents.select("doc_id", fields.fingerprint(F.col("text")).alias("f")).select("doc_id", F.col("f.sha256").alias("sha"), F.col("f.size_bytes").alias("n_bytes"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliant.functions import records as fields
 from foliant.operators import metrics as m
+from foliant.operators import profiles, records
 from foliant.operators.references import numbered
 from foliant.queries.base import Tables, query
 
@@ -16,8 +17,7 @@ SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, C
 """)
 def a01_content_metrics(t: Tables):
     """Counts and sizes by language."""
-    n = F.length("text")
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_chars"), F.sum(F.size(F.split("text", "\n"))).alias("n_lines"), F.count_if(F.length(F.trim("text")) == 0).alias("n_empty"), F.count_distinct("source").alias("n_sources"), F.max(n).cast("long").alias("longest"), F.count_if(n > 2000).alias("n_long"))
+    return m.content_metrics(t.documents, ["lang"], "text", "source")
 
 
 @query("SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1")
@@ -33,7 +33,7 @@ _LEDGER = "SELECT event_type AS module, count(*) AS total, count(*) FILTER (even
 def a03_ledger(t: Tables):
     """Work by module, and over all."""
     pending = (F.col("event_id") % 9 == 0) & (F.col("event_type") != "view")
-    return t.events.rollup(F.col("event_type").alias("module")).agg(F.count("*").alias("total"), F.count_if(pending).alias("pending")).select(F.coalesce("module", F.lit("all")).alias("module"), "total", "pending")
+    return m.ledger_summary(t.events, "event_type", pending).select("module", "total", "pending")
 
 
 @query(f"SELECT module, CASE WHEN pending > 0 THEN 'incomplete' WHEN generated = total THEN 'fully_generated' ELSE 'fully_accounted' END AS state FROM ({_LEDGER})")
@@ -45,11 +45,14 @@ def a04_coverage_state(t: Tables):
 
 
 @query("""
-SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase' AND event_id % 3 <> 0) AS blocking FROM events GROUP BY 1
+SELECT user_id, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type <> 'error') AS n_warning,
+ count(*) FILTER (event_type = 'error' AND event_id % 3 <> 0) AS blocking FROM (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'error' ELSE 'warning' END AS event_type FROM events) GROUP BY 1
 """)
 def a05_semantic_summary(t: Tables):
     """Findings by severity, and those that block because they aren't dismissed."""
-    return t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if((F.col("event_type") == "purchase") & (F.col("event_id") % 3 != 0)).alias("blocking"))
+    severity = F.when(F.col("event_type") == "purchase", "error").otherwise("warning")
+    decision = F.when(F.col("event_id") % 3 == 0, "dismissed").when(F.col("event_id") % 3 == 1, "confirmed")
+    return m.semantic_summary(t.events, ["user_id"], severity, decision, ["error", "warning"])
 
 
 @query("""
@@ -71,7 +74,7 @@ def a07_term_collapse(t: Tables):
 @query("SELECT p_brand AS kind, count(*) AS n, count(*) FILTER (p_size < 5) AS unresolved FROM part GROUP BY 1")
 def a08_kind_counters(t: Tables):
     """Counts and unresolved counts by kind."""
-    return t.part.groupBy(F.col("p_brand").alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("p_size") < 5).alias("unresolved"))
+    return m.histogram(t.part, F.col("p_brand").alias("kind"), unresolved=F.col("p_size") < 5)
 
 
 @query("SELECT lang, count(*) FILTER (quality = 1 AND toxic = 0) * 1.0 / nullif(count(*) FILTER (toxic = 0), 0) AS prec, count(*) FILTER (quality = 1 AND toxic = 0) * 1.0 / nullif(count(*) FILTER (quality = 1), 0) AS recall FROM documents JOIN labels USING (doc_id) GROUP BY lang")
@@ -85,36 +88,34 @@ def a11_precision_recall(t: Tables):
 @query("SELECT r_name, CAST(1 + count(n_nationkey) AS BIGINT) AS units FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 def a12_structure_inventory(t: Tables):
     """Chapters and their sections."""
-    return t.region.join(t.nation, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg((F.count("n_nationkey") + 1).alias("units"))
+    return m.structure_inventory(t.region, t.nation, "r_regionkey", "n_regionkey", ["r_name"])
 
 
 @query("SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS unlabelled, count(*) FILTER (length(text) < 100) AS short, count(*) FILTER (source IS NULL) AS unbound FROM documents")
 def a13_gaps(t: Tables):
     """Gap counts: labels, context, sources."""
     known = t.labels.select("doc_id").distinct().withColumn("known", F.lit(True))
-    rows = t.documents.join(known, "doc_id", "left")
-    return rows.agg(F.count_if(F.col("known").isNull()).alias("unlabelled"), F.count_if(F.length("text") < 100).alias("short"), F.count_if(F.col("source").isNull()).alias("unbound"))
+    gaps = {"unlabelled": F.col("known").isNull(), "short": F.length("text") < 100, "unbound": F.col("source").isNull()}
+    return m.gap_counts(t.documents.join(known, "doc_id", "left"), gaps)
 
 
 @query("SELECT l_returnflag, l_linestatus, l_linenumber, 'G-' || upper(substr(sha256(string_agg(CAST(l_orderkey AS VARCHAR), chr(0) ORDER BY l_orderkey)), 1, 16)) AS group_id, count(*) AS n FROM lineitem WHERE l_quantity = 1 GROUP BY 1, 2, 3")
 def a14_authority_groups(t: Tables):
     """Units grouped by several keys, with an id from their ordered list."""
-    g = t.lineitem.where("l_quantity = 1").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.sort_array(F.collect_list("l_orderkey")).alias("u"))
-    joined = F.array_join(F.transform("u", lambda x: x.cast("string")), "\x00")
-    return g.select("l_returnflag", "l_linestatus", "l_linenumber", F.concat(F.lit("G-"), F.upper(F.substring(F.sha2(joined, 256), 1, 16))).alias("group_id"), F.size("u").cast("long").alias("n"))
+    return m.content_groups(t.lineitem.where("l_quantity = 1"), ["l_returnflag", "l_linestatus", "l_linenumber"], "l_orderkey").drop("units")
 
 
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
 def a15_decision_histogram(t: Tables):
     """Decisions counted."""
-    return t.labels.groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    return m.histogram(t.labels, "quality", "toxic")
 
 
 @query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, CAST(sum(n_chars) AS BIGINT) AS chars, CASE WHEN max(n_chars) > 10000 THEN 'review' WHEN count(*) > 40 THEN 'ready' ELSE 'open' END AS state FROM documents GROUP BY source")
 def a16_section_statistics(t: Tables):
     """Sections' counts, distinct languages and state."""
-    state = F.when(F.max("n_chars") > 10000, "review").when(F.count("*") > 40, "ready").otherwise("open")
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.sum("n_chars").alias("chars"), state.alias("state"))
+    lattice = [(F.max("n_chars") > 10000, "review"), (F.count("*") > 40, "ready")]
+    return m.section_statistics(t.documents, ["source"], {"langs": "lang"}, {"chars": "n_chars"}, lattice, "open")
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, length(text) AS n_chars, round_even(100.0 * strlen(text) / 4096, 3) AS percent, strlen(text) >= 0.9 * 4096 AS warns FROM documents")
@@ -126,13 +127,13 @@ def a19_sizes(t: Tables):
 @query("SELECT source, bool_or(lang = 'de') AS any_german, bool_and(length(trim(text)) > 0) AS all_filled FROM documents GROUP BY source")
 def a20_flags(t: Tables):
     """Any and all flags."""
-    return t.documents.groupBy("source").agg(F.bool_or(F.col("lang") == "de").alias("any_german"), F.bool_and(F.length(F.trim("text")) > 0).alias("all_filled"))
+    return m.flags(t.documents, ["source"], {"any_german": F.col("lang") == "de"}, {"all_filled": F.length(F.trim("text")) > 0})
 
 
-@query("SELECT conv_id, count(*) AS n, count(*) FILTER (text IS NULL OR role = 'user') AS depth FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n, count(*) FILTER (text IS NOT NULL AND role <> 'user') AS answered, count(*) FILTER (text IS NULL OR role = 'user') AS depth FROM conversations GROUP BY conv_id")
 def a21_session_summary(t: Tables):
     """Sessions and their queues' depth."""
-    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull() | (F.col("role") == "user")).alias("depth"))
+    return m.session_summary(t.conversations, "conv_id", F.col("text").isNotNull() & (F.col("role") != "user"))
 
 
 @query("""
@@ -161,18 +162,17 @@ def a24_partial_updates(t: Tables):
     return m.latest_fields(rows, ["user_id"], "event_id", ["kind", "value"], ["evidence"]).withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query("SELECT o_orderkey, n = l AS consistent FROM (SELECT o_orderkey, o_orderkey % 7 + 1 AS n FROM orders) JOIN (SELECT l_orderkey, count(*) AS l FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey, o_orderkey % 7 + 1 = coalesce(l, 0) AS consistent FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS l FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
 def a25_totals(t: Tables):
     """Whether parts' totals are the whole's."""
-    parts = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("l"))
-    return t.orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", (F.col("o_orderkey") % 7 + 1 == F.col("l")).alias("consistent"))
+    return m.totals_match(t.orders, t.lineitem, "o_orderkey", "l_orderkey", F.col("o_orderkey") % 7 + 1).select("o_orderkey", "consistent")
 
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type ILIKE 'a%' THEN 0 WHEN p_type ILIKE 's%' THEN 1 ELSE 2 END, lower(p_name), p_partkey) AS place FROM part")
 def t01_catalog_order(t: Tables):
     """Catalogue order: rank of kind, then normalised label."""
-    rank = F.when(F.col("p_type").ilike("a%"), 0).when(F.col("p_type").ilike("s%"), 1).otherwise(2)
-    return t.part.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(rank, F.lower("p_name"), "p_partkey")).cast("long").alias("place"))
+    rank = m.rank_of(F.lower(F.substring("p_type", 1, 1)), ["a", "s"])
+    return m.placed(t.part, ["p_brand"], [rank, F.lower("p_name"), "p_partkey"]).select("p_partkey", "place")
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, (CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END) * 10000000000 + o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
@@ -184,7 +184,7 @@ def t04_preferred(t: Tables):
 @query("SELECT event_id, event_type FROM events WHERE event_id % 4 = 3 ORDER BY event_id LIMIT 1")
 def t07_next_item(t: Tables):
     """The next pending item, first in first out."""
-    return t.events.where("event_id % 4 = 3").orderBy("event_id").select("event_id", "event_type").limit(1)
+    return m.next_pending(t.events, F.col("event_id") % 4 == 3, ["event_id"]).select("event_id", "event_type")
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -193,36 +193,36 @@ def t08_limits_fail(t: Tables):
     return m.enforce_limit(t.nation.select("n_nationkey", "n_name"), 2000, "records")
 
 
-@query("SELECT l_suppkey, array_to_string(list_slice(list_sort(list_distinct(list(l_orderkey))), 1, 200), ',') AS places FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, array_to_string(list_slice(list_sort(list_distinct(list(l_orderkey))), 1, 200), ',') AS places, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n_places FROM lineitem GROUP BY 1")
 def t09_capped_places(t: Tables):
-    """At most 200 places of an item, the first ones."""
-    return t.lineitem.groupBy("l_suppkey").agg(F.array_join(F.slice(F.sort_array(F.collect_set("l_orderkey")), 1, 200), ",").alias("places"))
+    """At most 200 places of an item, the first ones, and how many there are."""
+    return m.capped_places(t.lineitem, ["l_suppkey"], "l_orderkey", 200).withColumn("places", F.array_join("places", ","))
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 10")
 def t10_tail(t: Tables):
     """The last rows of a history."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("event_id").desc()))
-    return t.events.select("user_id", "event_id", k.alias("k")).where("k <= 10").drop("k")
+    return m.tail(t.events.select("user_id", "event_id"), ["user_id"], "event_id", 10)
 
 
-@query("SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: lpad(CAST(list_position(w, x) AS VARCHAR), 6, '0') || x)), lambda x: substr(x, 7)), ' ') AS words FROM (SELECT doc_id, string_split(substr(text, 1, 80), ' ') AS w FROM documents)")
+@query("SELECT doc_id, count(*) AS n_words, md5(string_agg(w, ' ' ORDER BY p)) AS words_md5 FROM (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents) WHERE w <> '' GROUP BY 1, 2) GROUP BY doc_id")
 def t11_ordered_distinct(t: Tables):
-    """Distinct words in order of their first place."""
-    return t.documents.select("doc_id", F.array_join(F.array_distinct(F.split(F.substring("text", 1, 80), " ")), " ").alias("words"))
+    """Distinct words of whole texts in order of their first place."""
+    words = t.documents.select("doc_id", fields.ordered_distinct(F.split("text", " ")).alias("w"))
+    return words.where("size(w) > 0").select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
 @query("SELECT source, array_to_string(list_sort(list_distinct(list(lang))), ',') AS reasons FROM documents GROUP BY source")
 def t12_sorted_distinct(t: Tables):
     """Reason codes, distinct and sorted."""
-    return t.documents.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("reasons"))
+    return m.sorted_distinct(t.documents, ["source"], "lang").select("source", F.array_join("codes", ",").alias("reasons"))
 
 
 @query("SELECT event_id, array_to_string(list_sort(list_filter(['kind', 'page', 'ref'], lambda k: NOT list_contains(json_keys(props), k))), ',') AS lacking, array_to_string(list_sort(list_filter(json_keys(props), lambda k: NOT list_contains(['kind', 'page', 'ref'], k))), ',') AS unexpected FROM events")
 def u01_keys(t: Tables):
     """Keys that a record lacks, and that it shouldn't have."""
-    keys, known = F.map_keys(F.from_json("props", "map<string,string>")), F.array(*[F.lit(x) for x in ("kind", "page", "ref")])
-    return t.events.select("event_id", F.array_join(F.sort_array(F.array_except(known, keys)), ",").alias("lacking"), F.array_join(F.sort_array(F.array_except(keys, known)), ",").alias("unexpected"))
+    lacking, unexpected = fields.key_differences(F.map_keys(F.from_json("props", "map<string,string>")), ["kind", "page", "ref"])
+    return t.events.select("event_id", F.array_join(lacking, ",").alias("lacking"), F.array_join(unexpected, ",").alias("unexpected"))
 
 
 @query("SELECT id, row_number() OVER (ORDER BY extra, id) AS place FROM (SELECT n_nationkey AS id, 0 AS extra FROM nation WHERE n_nationkey < 20 UNION SELECT s_nationkey, 1 FROM supplier WHERE s_nationkey >= 20)")
@@ -237,26 +237,21 @@ def u02_ordered_union(t: Tables):
 @query("SELECT (SELECT count(*) FROM (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region)) = 0 AS is_subset, (SELECT count(*) FROM (SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation)) = 0 AS is_covered")
 def u06_set_checks(t: Tables):
     """Whether a set is part of another, and covers it."""
-    a, b = t.nation.select("n_regionkey").distinct(), t.region.select("r_regionkey")
-    count = lambda rows, name: rows.agg((F.count("*") == 0).alias(name))
-    one = count(a.exceptAll(b.distinct()), "is_subset").withColumn("k", F.lit(1))
-    return one.join(count(b.exceptAll(a), "is_covered").withColumn("k", F.lit(1)), "k").drop("k")
+    return m.set_checks(t.nation.select("n_regionkey"), t.region.select("r_regionkey"))
 
 
 @query("SELECT coalesce(a.k, b.k) AS path, CASE WHEN a.k IS NULL THEN 'unexpected' WHEN b.k IS NULL THEN 'missing' ELSE 'different' END AS state FROM (SELECT doc_id AS k, md5(text) AS h FROM documents WHERE doc_id % 10 <> 1) a FULL JOIN (SELECT doc_id AS k, CASE WHEN doc_id % 25 = 0 THEN '' ELSE md5(text) END AS h FROM documents WHERE doc_id % 10 <> 2) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.h <> b.h")
 def u07_snapshots(t: Tables):
     """Files that two snapshots don't share byte by byte."""
     rows = t.documents.select(F.col("doc_id").alias("path"), F.md5("text").alias("h"))
-    a = rows.where("path % 10 <> 1")
-    b = rows.where("path % 10 <> 2").select("path", F.when(F.col("path") % 25 == 0, "").otherwise(F.col("h")).alias("g"))
-    state = F.when(F.col("h").isNull(), "unexpected").when(F.col("g").isNull(), "missing").when(F.col("h") != F.col("g"), "different")
-    return a.join(b, "path", "full").select("path", state.alias("state")).where("state IS NOT NULL")
+    after = rows.where("path % 10 <> 2").withColumn("h", F.when(F.col("path") % 25 == 0, "").otherwise(F.col("h")))
+    return m.snapshot_differences(rows.where("path % 10 <> 1"), after, "path", "h")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 6 = 0 INTERSECT SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
 def u08_shared_ids(t: Tables):
     """Ids that two runs share."""
-    return t.documents.where("doc_id % 6 = 0").select("doc_id").intersect(t.documents.where("doc_id % 10 = 0").select("doc_id"))
+    return m.shared_ids(t.documents.where("doc_id % 6 = 0"), t.documents.where("doc_id % 10 = 0"), "doc_id")
 
 
 @query("""
@@ -271,33 +266,41 @@ def u05_merge_sources(t: Tables):
     return m.first_by(rows, ["norm", "chapter"], [F.col("origin"), F.col("label")], ["label", "origin"]).select("label", "chapter", "origin")
 
 
-@query("SELECT n_nationkey, kind FROM (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'index' WHEN 1 THEN 'chapter' ELSE 'notes' END AS kind FROM nation) WHERE kind NOT IN ('index', 'notes')")
+@query("SELECT n_nationkey, kind FROM (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'index' WHEN 1 THEN 'chapter' ELSE 'notes' END AS kind, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS summary FROM nation) WHERE summary IS NULL AND kind <> 'index'")
 def p20_exempt_kinds(t: Tables):
-    """Records whose kind isn't exempt from a field."""
-    k = F.col("n_nationkey") % 3
-    rows = t.nation.select("n_nationkey", F.when(k == 0, "index").when(k == 1, "chapter").otherwise("notes").alias("kind"))
-    exempt = t.spark.createDataFrame([("index",), ("notes",)], "kind string")
-    return rows.join(F.broadcast(exempt), "kind", "left_anti").select("n_nationkey", "kind")
+    """Records without a summary, of a kind that needs one."""
+    k = F.col("n_nationkey")
+    rows = t.nation.select("n_nationkey", F.when(k % 3 == 0, "index").when(k % 3 == 1, "chapter").otherwise("notes").alias("kind"), F.when(k % 2 == 0, F.col("n_name")).alias("summary"))
+    exempt = t.spark.createDataFrame([(f, x) for f, kinds in profiles.EXEMPT.items() for x in kinds.split()], "field string, kind string")
+    return records.lacking_required(rows, "kind", "summary", exempt).select("n_nationkey", "kind")
 
 
-@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rule FROM part WHERE p_type LIKE 'S%'")
+@query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS number FROM part WHERE p_type LIKE 'S%' AND p_brand < 'Brand#4' UNION ALL SELECT p_brand, NULL, 0 FROM part GROUP BY p_brand HAVING count(*) FILTER (p_type LIKE 'S%' AND p_brand < 'Brand#4') = 0")
 def p06_approved_rules(t: Tables):
-    """Approved policies, numbered."""
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return t.part.where("p_type LIKE 'S%'").select("p_partkey", n.cast("long").alias("rule"))
+    """Approved policies, numbered; a note where there are drafts alone."""
+    return records.approved_rules(t.part.select("p_brand", "p_partkey", "p_type"), ["p_brand"], ["p_partkey"], F.col("p_type").like("S%") & (F.col("p_brand") < "Brand#4")).select("p_brand", "p_partkey", "number")
 
 
-@query("SELECT o_orderkey, array_to_string(list_filter(['o_orderstatus', 'o_totalprice', 'o_custkey'], lambda f: (f = 'o_orderstatus' AND o_orderkey % 2 = 0 AND o_orderstatus <> 'Z') OR (f = 'o_totalprice' AND o_orderkey % 3 = 0)), ',') AS changed FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'removed' WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 'changed' ELSE 'same' END AS change, CASE WHEN o_orderkey % 13 <> 0 THEN array_to_string(list_filter(['o_orderstatus', 'o_totalprice'], lambda f: (f = 'o_orderstatus' AND o_orderkey % 2 = 0) OR (f = 'o_totalprice' AND o_orderkey % 3 = 0)), ',') ELSE 'o_orderstatus,o_totalprice,o_custkey' END AS changed FROM orders")
 def p16_changed_fields(t: Tables):
     """Names of the fields that two versions of a record don't share."""
-    old = t.orders.select("o_orderkey", F.create_map(F.lit("o_orderstatus"), "o_orderstatus", F.lit("o_totalprice"), F.col("o_totalprice").cast("string"), F.lit("o_custkey"), F.col("o_custkey").cast("string")).alias("old"))
-    new = F.transform_values("old", lambda k, v: F.when((k == "o_orderstatus") & (F.col("o_orderkey") % 2 == 0), F.lit("Z")).when((k == "o_totalprice") & (F.col("o_orderkey") % 3 == 0), F.lit("0")).otherwise(v))
-    both = old.withColumn("new", new)
-    return both.select("o_orderkey", F.array_join(F.filter(F.map_keys("old"), lambda f: ~F.element_at("old", f).eqNullSafe(F.element_at("new", f))), ",").alias("changed"))
+    k = F.col("o_orderkey")
+    old = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+    new = old.where(k % 13 != 0).withColumns({"o_orderstatus": F.when(k % 2 == 0, "Z").otherwise(F.col("o_orderstatus")), "o_totalprice": F.when(k % 3 == 0, 0.0).otherwise(F.col("o_totalprice"))})
+    return records.changed_fields(old, new, ["o_orderkey"], ["o_orderstatus", "o_totalprice", "o_custkey"]).select("o_orderkey", "change", F.array_join("changed", ",").alias("changed"))
 
 
-@query("SELECT lang, array_to_string(list_sort(list_filter(list_distinct(list_concat(['bib', 'map'], list(DISTINCT source))), lambda x: x <> 'src3')), ',') AS modules FROM documents GROUP BY lang")
+@query("SELECT lang, array_to_string(list_sort(list_distinct(list(module))), ',') AS modules FROM (SELECT DISTINCT lang, source AS module FROM documents UNION SELECT DISTINCT lang, 'map' FROM documents) WHERE module <> (SELECT min(source) FROM documents) GROUP BY lang")
 def p17_effective_modules(t: Tables):
     """A profile's required modules with overrides added and taken away."""
-    own = F.array_union(F.array(F.lit("bib"), F.lit("map")), F.collect_set("source"))
-    return t.documents.groupBy("lang").agg(F.array_join(F.sort_array(F.array_except(own, F.array(F.lit("src3")))), ",").alias("modules"))
+    required = t.documents.select("lang", F.col("source").alias("module")).distinct()
+    langs = t.documents.select("lang").distinct()
+    first = t.documents.agg(F.min("source")).scalar()
+    overrides = langs.select("lang", first.alias("module"), F.lit("remove").alias("mode")).unionByName(langs.select("lang", F.lit("map").alias("module"), F.lit("add").alias("mode")))
+    return records.effective_modules(required, overrides, "lang", "module", "mode").groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("module")), ",").alias("modules"))
+
+
+@query("SELECT source, count(*) FILTER (lang = 'en') AS n_claims, count(*) FILTER (lang = 'fr') AS n_names, count(*) FILTER (lang IN ('en', 'fr')) AS n_records FROM documents WHERE lang IN ('en', 'fr') GROUP BY source")
+def a18_trailer_counts(t: Tables):
+    """How many records a pack has of each collection."""
+    return m.trailer_counts({"claims": t.documents.where("lang = 'en'"), "names": t.documents.where("lang = 'fr'")}, ["source"])

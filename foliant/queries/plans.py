@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions import records as fields
 from foliant.operators import plans
 from foliant.queries.base import Tables, query
 
@@ -78,23 +79,24 @@ def m09_adjudicate(t: Tables):
     return plans.adjudicate(findings, decided, "doc_id").select("doc_id", "decision", "refused")
 
 
-@query("SELECT c_custkey, coalesce(o, 'none') AS best FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS o FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'added' WHEN c_custkey % 3 = 0 THEN 'kept' WHEN c_custkey % 7 = 0 THEN 'conflict' ELSE 'same' END AS state, c_name FROM customer WHERE NOT (c_custkey % 4 = 0 AND c_custkey % 3 = 0)")
 def m07_registry_upsert(t: Tables):
-    """A registry's entries with what is known of each."""
-    best = t.orders.groupBy("o_custkey").agg(F.min("o_orderpriority").alias("o"))
-    return t.customer.join(best, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("o", F.lit("none")).alias("best"))
+    """A registry after a registration: entries added, the same, kept, or in conflict."""
+    k = F.col("c_custkey")
+    registry = t.customer.where(k % 4 != 0).select("c_custkey", "c_name")
+    new = t.customer.where(k % 3 != 0).select("c_custkey", F.when((k % 7 == 0) & (k % 4 != 0), "other").otherwise(F.col("c_name")).alias("c_name"))
+    return plans.register(registry, new, "c_custkey", ["c_name"])
 
 
 @query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size < 3 THEN 'invalid_size' END, CASE WHEN p_type NOT LIKE '%E%' THEN 'missing_field' END, CASE WHEN p_retailprice > 1500 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS reasons FROM part")
 def f31_reason_codes(t: Tables):
     """Rules of a record as a list of reason codes."""
-    rules = F.array(F.when(F.col("p_size") < 3, "invalid_size"), F.when(~F.col("p_type").like("%E%"), "missing_field"), F.when(F.col("p_retailprice") > 1500, "too_long"))
-    return t.part.select("p_partkey", F.array_join(F.array_compact(rules), ",").alias("reasons"))
+    rules = [("invalid_size", F.col("p_size") < 3), ("missing_field", ~F.col("p_type").like("%E%")), ("too_long", F.col("p_retailprice") > 1500)]
+    return t.part.select("p_partkey", F.array_join(fields.reason_codes(rules), ",").alias("reasons"))
 
 
 @query("SELECT event_id, array_to_string(list_sort(list_concat(list_filter(json_keys(props), lambda k: k <> 'ref'), ['note'])), ',') AS keys FROM events")
 def f37_corrections(t: Tables):
     """Corrections of a record: a field set, another removed."""
-    props = F.from_json("props", "map<string,string>")
-    fixed = F.map_concat(F.map_filter(props, lambda k, v: k != "ref"), F.create_map(F.lit("note"), F.lit("x")))
+    fixed = fields.corrected(F.from_json("props", "map<string,string>"), {"note": F.lit("x")}, ["ref"])
     return t.events.select("event_id", F.array_join(F.sort_array(F.map_keys(fixed)), ",").alias("keys"))

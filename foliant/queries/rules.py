@@ -6,6 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import hashing, text
+from foliant.functions import records as fields
+from foliant.operators import metrics as m
+from foliant.operators import plans, profiles, records
 from foliant.operators import references as ref
 from foliant.operators import rules as r
 from foliant.queries.base import Tables, query
@@ -47,21 +50,24 @@ def v03_release_rules(t: Tables):
 
 
 @query("""
-SELECT source, metric, value, floor_ AS least FROM (SELECT source, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1)
- UNPIVOT (value FOR metric IN (documents, chars)) JOIN (SELECT 'documents' AS m, 12 AS floor_ UNION ALL SELECT 'chars', 120000) ON m = metric WHERE value < floor_
+SELECT source, metric, value, least, CASE WHEN metric = 'documents' THEN 'QP010' ELSE 'QP011' END AS code FROM (
+ SELECT source, metric, value, CASE metric WHEN 'documents' THEN 12 ELSE 120000 END AS least FROM (SELECT source, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1)
+ UNPIVOT (value FOR metric IN (documents, chars))) WHERE value < least
 """)
 def v04_profile_contract(t: Tables):
-    """Metrics below the floors of a quality profile (a small table of contracts)."""
-    floors = t.spark.createDataFrame([("documents", 12), ("chars", 120000)], "metric string, least int")
-    values = t.documents.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars")).unpivot("source", ["documents", "chars"], "metric", "value")
-    return values.join(F.broadcast(floors), "metric").where("value < least").select("source", "metric", "value", "least")
+    """Metrics below the floors of a quality profile."""
+    values = t.documents.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"))
+    floors = [profiles.Floor("documents", 12, "QP010"), profiles.Floor("chars", 120000, "QP011")]
+    return profiles.below_floors(values, "source", floors).select("source", "metric", F.col("value").cast("long").alias("value"), F.col("least").cast("int").alias("least"), "code")
 
 
 @query("SELECT lang FROM (SELECT lang, count(*) FILTER (quality = 1) * 1.0 / count(*) AS p, CASE WHEN lang = 'fr' THEN 0.5 ELSE count(*) FILTER (quality = 1) * 1.0 / count(*) END AS stated FROM documents JOIN labels USING (doc_id) GROUP BY lang) WHERE abs(p - stated) > 1e-12")
 def v05_rederived_metrics(t: Tables):
     """Stated metrics that the evidence doesn't give again."""
-    c = t.documents.join(t.labels, "doc_id").groupBy("lang").agg((F.count_if(F.col("quality") == 1) / F.count("*")).alias("p"))
-    return c.withColumn("stated", F.when(F.col("lang") == "fr", 0.5).otherwise(F.col("p"))).where("abs(p - stated) > 1e-12").select("lang")
+    rows = t.documents.join(t.labels, "doc_id")
+    evidence = rows.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("matched"), F.count("*").alias("observed"))
+    stated = evidence.select("lang", F.when(F.col("lang") == "fr", 0.5).otherwise(F.col("matched") / F.col("observed")).alias("stated_precision"))
+    return profiles.rederived_metrics(stated, evidence, "lang", "stated_precision", "matched", "observed").select("lang")
 
 
 @query("SELECT n_nationkey FROM nation WHERE n_nationkey % 6 = 0")
@@ -85,8 +91,9 @@ def v09_run_rules(t: Tables):
 @query("SELECT module, stated, n FROM (SELECT event_type AS module, count(*) AS n, count(*) + (event_type = 'view')::INT AS stated FROM events GROUP BY 1) WHERE stated <> n")
 def v11_ledger_summary(t: Tables):
     """Summaries of a ledger that its items don't give."""
-    c = t.events.groupBy(F.col("event_type").alias("module")).agg(F.count("*").alias("n"))
-    return c.withColumn("stated", F.col("n") + (F.col("module") == "view").cast("int")).where("stated <> n").select("module", "stated", "n")
+    items = t.events.select(F.col("event_type").alias("module"))
+    stated = items.groupBy("module").agg((F.count("*") + F.max((F.col("module") == "view").cast("int"))).alias("stated"))
+    return m.summary_faults(items, ["module"], stated).select("module", "stated", "n")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'both' ELSE 'none' END AS fault FROM customer WHERE (c_custkey % 3 = 0) = (c_custkey % 2 = 0)")
@@ -105,29 +112,33 @@ def v13_dependent_fields(t: Tables):
     return rows.where(r.dependent("AR1", "decision", "reviewer", "reviewed_at").wrong).select("c_custkey")
 
 
-@query("SELECT d.doc_id FROM documents d JOIN (SELECT DISTINCT source, min(doc_id) OVER (PARTITION BY source) AS first_id FROM documents) s USING (source) WHERE d.doc_id - first_id > 600 AND contains(d.text, ' with ')")
+@query("""
+SELECT doc_id, CASE WHEN s + 5 > n THEN 'outside_chapter' ELSE 'value_not_held' END AS reason FROM (
+ SELECT doc_id, instr(text, ' with') - 1 AS s, least(700, length(text)) AS n FROM documents WHERE instr(text, ' with') > 0) WHERE s + 5 > n OR doc_id % 7 = 0
+""")
 def v14_evidence_of_value(t: Tables):
-    """Additions whose evidence holds the value, far from the section's start."""
-    first = t.documents.groupBy("source").agg(F.min("doc_id").alias("first_id"))
-    return t.documents.join(first, "source").where((F.col("doc_id") - F.col("first_id") > 600) & F.contains("text", F.lit(" with "))).select("doc_id")
+    """Additions whose evidence lies outside its chapter, or doesn't hold the value."""
+    at = F.locate(" with", F.col("text")) - 1
+    found = t.documents.select("doc_id", at.alias("char_start")).where("char_start >= 0")
+    additions = found.select("doc_id", F.lit(0).alias("chapter_id"), "char_start", (F.col("char_start") + 5).alias("char_end"), F.when(F.col("doc_id") % 7 == 0, "without").otherwise("WITH").alias("value"))
+    spans = t.documents.select("doc_id", F.lit(0).alias("chapter_id"), F.lit(0).alias("char_first"), F.least(F.lit(700), F.length("text")).alias("char_last"))
+    return ref.addition_faults(additions, spans, t.documents, "doc_id", "text", "value").select("doc_id", "reason")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'RP500' ELSE 'RP502' END AS code FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 14 = 0")
 def v15_state_against_data(t: Tables):
     """Records whose state doesn't fit: not there any more, or changed since."""
-    data = t.customer.where("c_custkey % 9 <> 0").select("c_custkey", F.sha2("c_name", 256).alias("now"))
-    state = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 14 == 0, "old").otherwise(F.sha2("c_name", 256)).alias("then"))
-    both = state.join(data, "c_custkey", "left")
-    code = F.when(F.col("now").isNull(), "RP500").when(F.col("now") != F.col("then"), "RP502")
-    return both.select("c_custkey", code.alias("code")).where("code IS NOT NULL")
+    data = t.customer.where("c_custkey % 9 <> 0").select("c_custkey", F.sha2("c_name", 256).alias("h"))
+    states = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 14 == 0, "old").otherwise(F.sha2("c_name", 256)).alias("h"))
+    return ref.state_faults(states, data, ["c_custkey"], "h")
 
 
 @query("SELECT p_partkey, p_size > 10 AND p_size <= 40 AS bound FROM part")
 def v17_binding(t: Tables):
-    """Whether an inventory and a run name the same source, text and hash."""
-    run = t.part.select("p_partkey", F.when(F.col("p_size") > 10, F.sha2("p_name", 256)).alias("source"), F.when(F.col("p_size") <= 40, F.sha2("p_type", 256)).alias("norm"))
-    held = t.part.select("p_partkey", F.sha2("p_name", 256).alias("_s"), F.sha2("p_type", 256).alias("_n"))
-    return run.join(held, "p_partkey").select("p_partkey", (F.col("source").eqNullSafe(F.col("_s")) & F.col("norm").eqNullSafe(F.col("_n"))).alias("bound"))
+    """Whether an inventory and a run name the same source and text."""
+    held = t.part.select("p_partkey", F.sha2("p_name", 256).alias("source"), F.sha2("p_type", 256).alias("norm"))
+    runs = t.part.select("p_partkey", F.when(F.col("p_size") > 10, F.sha2("p_name", 256)).alias("source"), F.when(F.col("p_size") <= 40, F.sha2("p_type", 256)).alias("norm"))
+    return ref.binding(runs, held, "p_partkey", ["source", "norm"]).select("p_partkey", "bound")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND length(trim(text)) < 60")
@@ -145,56 +156,62 @@ def p02_review_projection(t: Tables):
     return kept.select("n_nationkey", F.sha2(hashing.canonical_json(kept, ["n_name"]), 256).alias("review_sha"))
 
 
-@query("SELECT event_id, 'draft' AS status, len(list_filter(json_keys(props), lambda k: k NOT IN ('page', 'ref'))) > 0 AS has_unknown FROM events")
+@query("""
+SELECT event_id, 'draft' AS status, len(list_filter(json_keys(props), lambda k: k NOT IN ('page', 'ref'))) > 0 AS has_unknown,
+ CAST(1 + len(list_filter(json_keys(props), lambda k: k IN ('page', 'ref'))) AS INT) AS n_kept FROM events
+""")
 def p03_allowed_fields(t: Tables):
     """Allowed fields kept, the status set to draft, unknown ones noted."""
-    unknown = F.array_except(F.map_keys(F.from_json("props", "map<string,string>")), F.array(F.lit("page"), F.lit("ref")))
-    return t.events.select("event_id", F.lit("draft").alias("status"), (F.size(unknown) > 0).alias("has_unknown"))
+    kept, unknown = fields.allowed_fields(F.from_json("props", "map<string,string>"), ["page", "ref"])
+    return t.events.select("event_id", kept["status"].alias("status"), (F.size(unknown) > 0).alias("has_unknown"), F.size(kept).alias("n_kept"))
 
 
-@query("SELECT source, lang, count(*) FILTER (length(text) > 500) = 0 AS unfilled FROM documents GROUP BY ALL")
+@query("""
+SELECT source, lang, lang <> 'es' AND count(*) FILTER (length(text) > 500) = 0 AS unfilled FROM documents GROUP BY source, lang
+""")
 def p07_generation_gaps(t: Tables):
-    """Modules without a filled record."""
-    return t.documents.groupBy("source", "lang").agg((F.count_if(F.length("text") > 500) == 0).alias("unfilled"))
+    """Modules that are to be generated and have no filled record; one language isn't generated."""
+    modules = t.documents.select("source", "lang").distinct().withColumn("mode", F.when(F.col("lang") == "es", "provided").otherwise("generate"))
+    return records.generation_gaps(modules, t.documents, ["source", "lang"], F.col("mode"), F.length("text") > 500).select("source", "lang", "unfilled")
 
 
-@query("SELECT event_id FROM events WHERE event_type <> 'view' OR user_id % 2 = 0")
+@query("SELECT event_id, (SELECT count(*) FROM events WHERE event_type = 'view' AND user_id % 2 <> 0) AS dropped FROM events WHERE event_type <> 'view' OR user_id % 2 = 0")
 def p10_actionable(t: Tables):
-    """Items with a reference or a resolved chapter."""
-    return t.events.where((F.col("event_type") != "view") | (F.col("user_id") % 2 == 0)).select("event_id")
+    """Items with a reference or a resolved chapter, and how many have neither."""
+    kept, dropped = records.actionable(t.events, F.col("event_type") != "view", F.col("user_id") % 2 == 0)
+    return kept.select("event_id", dropped.scalar().alias("dropped"))
 
 
 @query("SELECT p_partkey, regexp_replace(p_name, '^(red|small|new) ', '') AS label FROM part WHERE p_type NOT IN (SELECT min(p_type) FROM part)")
 def p11_stop_list(t: Tables):
     """Labels without a leading stop word, stop-listed ones left out."""
     stop = t.part.agg(F.min("p_type").alias("p_type"))
-    return t.part.join(F.broadcast(stop), "p_type", "left_anti").select("p_partkey", F.regexp_replace("p_name", "^(red|small|new) ", "").alias("label"))
+    kept = records.without_stop_words(t.part.select("p_partkey", "p_name", "p_type"), "p_type", stop, "p_type", [])
+    return records.without_stop_words(kept, "p_name", stop.limit(0), "p_type", ["red", "small", "new"]).select("p_partkey", F.col("p_name").alias("label"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_type = (SELECT min(p_type) FROM part) AND p_brand = 'Brand#11' AND p_size > 5")
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#11' AND p_size = 5")
 def p14_companions(t: Tables):
-    """Records that three fields declare as companions."""
-    kind = t.part.agg(F.min("p_type").alias("p_type"))
-    return t.part.join(F.broadcast(kind), "p_type").where("p_brand = 'Brand#11' AND p_size > 5").select("p_partkey")
+    """Records in which all declared fields have their companion's values."""
+    return records.companions(t.part, {"p_brand": "Brand#11", "p_size": 5}).select("p_partkey")
 
 
 @query("SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 3 = 0")
 def p15_review_scope(t: Tables):
     """Records of a review by module and id."""
-    return t.documents.where(F.col("lang").isin("en", "fr") & (F.col("doc_id") % 3 == 0)).select("doc_id")
+    return records.in_scope(t.documents, "lang", ["en", "fr"], "doc_id", t.documents.where("doc_id % 3 = 0")).select("doc_id")
 
 
 @query("SELECT doc_id, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines FROM documents")
 def p18_baseline(t: Tables):
     """Counts that a work item starts from."""
-    return t.documents.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    return records.baseline(t.documents, ["doc_id"], {"n_chars": F.length("text"), "n_lines": F.size(F.split("text", "\n"))})
 
 
 @query("SELECT r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey > 12)")
 def p19_optional_sections(t: Tables):
     """Sections that have records."""
-    there = t.nation.where("n_nationkey > 12").select(F.col("n_regionkey").alias("r_regionkey")).distinct()
-    return t.region.join(there, "r_regionkey", "left_semi").select("r_name")
+    return records.optional_sections(t.region, t.nation.where("n_nationkey > 12"), "r_regionkey", "n_regionkey").select("r_name")
 
 
 @query("SELECT c_custkey, s FROM (SELECT c_custkey, unnest([c_custkey % 30, c_custkey % 17 + 20]) AS s FROM customer) WHERE s NOT IN (SELECT n_nationkey FROM nation)")
@@ -207,10 +224,8 @@ def j04_claim_references(t: Tables):
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20)")
 def j11_finding_containment(t: Tables):
     """Findings whose work, candidate and evidence are all known."""
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    rows = rows.join(t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    rows = rows.join(t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_semi")
-    return rows.join(t.part.where("p_size > 20").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
+    work, candidates, evidence = t.orders.where("o_orderstatus = 'F'"), t.supplier.where("s_acctbal > 0"), t.part.where("p_size > 20")
+    return ref.contained(t.lineitem, (work, "o_orderkey", "l_orderkey"), (candidates, "s_suppkey", "l_suppkey"), (evidence, "p_partkey", "l_partkey")).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT p_partkey FROM part WHERE p_size > 30 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -222,31 +237,30 @@ def j29_risks_without_replacement(t: Tables):
 
 @query("SELECT s_suppkey, CASE r_name WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 1 END AS level FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def j30_profile_lookup(t: Tables):
-    """Contracts looked up in small dimension tables."""
-    levels = t.spark.createDataFrame([("ASIA", 2), ("EUROPE", 3)], "r_name string, level int")
+    """Contracts looked up in a small dimension table."""
+    levels = t.region.where("r_name IN ('ASIA', 'EUROPE')").select("r_name", F.when(F.col("r_name") == "ASIA", 2).otherwise(3).alias("level"))
     rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.join(F.broadcast(levels), "r_name", "left").select("s_suppkey", F.coalesce("level", F.lit(1)).alias("level"))
+    return ref.looked_up(rows, levels, "r_name", {"level": 1}).select("s_suppkey", "level")
 
 
 @query("SELECT n_nationkey, n_nationkey % 4 <> 0 AS current FROM nation")
 def j31_current_bindings(t: Tables):
     """Snapshots whose hash is still the current one."""
     now = t.nation.select("n_nationkey", F.sha2("n_name", 256).alias("h"))
-    then = t.nation.select("n_nationkey", F.sha2(F.when(F.col("n_nationkey") % 4 == 0, F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name")), 256).alias("was"))
-    return now.join(then, "n_nationkey").select("n_nationkey", (F.col("h") == F.col("was")).alias("current"))
+    then = t.nation.select("n_nationkey", F.sha2(F.when(F.col("n_nationkey") % 4 == 0, F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name")), 256).alias("h"))
+    return ref.current_bindings(then, now, "n_nationkey", "h").select("n_nationkey", "current")
 
 
 @query("SELECT p_type AS kind, count(*) AS n FROM part GROUP BY p_type ORDER BY p_type")
 def a10_kind_histogram(t: Tables):
     """Units by kind."""
-    return t.part.groupBy(F.col("p_type").alias("kind")).agg(F.count("*").alias("n")).orderBy("kind")
+    return m.histogram(t.part, F.col("p_type").alias("kind"))
 
 
-@query("SELECT doc_id, n >= 20 AND single >= 0.7 * n AS glyph_spaced FROM (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: length(x) = 1)) AS single FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
+@query("SELECT doc_id, n >= 20 AND single >= 0.7 * n AS glyph_spaced FROM (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: length(x) = 1)) AS single FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents))")
 def a17_signature(t: Tables):
     """Whether most tokens of a text are single glyphs."""
-    w = F.split("text", " ")
-    return t.documents.select("doc_id", F.size(w).alias("n"), F.size(F.filter(w, lambda x: F.length(x) == 1)).alias("single")).select("doc_id", ((F.col("n") >= 20) & (F.col("single") >= 0.7 * F.col("n"))).alias("glyph_spaced"))
+    return t.documents.select("doc_id", m.glyph_signature(F.col("text")).alias("glyph_spaced"))
 
 
 @query("SELECT doc_id, third FROM (SELECT doc_id, instr(substr(text, b), ' the ') + b - 2 AS third FROM (SELECT doc_id, text, instr(substr(text, a), ' the ') + a - 1 + 5 AS b FROM (SELECT doc_id, text, instr(text, ' the ') + 5 AS a FROM documents WHERE instr(text, ' the ') > 0) WHERE instr(substr(text, a), ' the ') > 0) WHERE instr(substr(text, b), ' the ') > 0)")
@@ -274,60 +288,63 @@ def t03_finding_order(t: Tables):
 @query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END, c_custkey) AS place FROM customer")
 def t02_primary_first(t: Tables):
     """Packages ordered by a list of ranks, then by id."""
-    ranks = F.array(F.lit("MACHINERY"), F.lit("BUILDING"))
-    rank = F.when(F.array_position(ranks, F.col("c_mktsegment")) > 0, F.array_position(ranks, F.col("c_mktsegment"))).otherwise(9)
-    return t.customer.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(rank, "c_custkey")).cast("long").alias("place"))
+    return m.placed(t.customer, ["c_nationkey"], [m.rank_of(F.col("c_mktsegment"), ["MACHINERY", "BUILDING"]), "c_custkey"]).select("c_custkey", "place")
 
 
 @query("SELECT r_regionkey, sha256(string_agg(sha256(n_name), '' ORDER BY n_nationkey)) AS manifest FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
 def d05_manifest(t: Tables):
     """A manifest's hash over its parts' hashes in order."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", F.sha2("n_name", 256).alias("h")))), lambda x: x["h"])
-    return t.nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sha2(F.array_join(listed, ""), 256).alias("manifest"))
+    return plans.manifests(t.nation, ["n_regionkey"], "n_nationkey", "n_name").select(F.col("n_regionkey").alias("r_regionkey"), "manifest")
 
 
-@query("SELECT count(*) AS n_different FROM nation WHERE n_nationkey % 8 = 3")
+@query("SELECT n_nationkey AS path, 'different' AS state FROM nation WHERE n_nationkey % 8 = 3")
 def d06_rebuild(t: Tables):
-    """How many files a rebuild doesn't give again."""
-    built = t.nation.select("n_nationkey", F.sha2("n_name", 256).alias("h"))
-    there = built.withColumn("h", F.when(F.col("n_nationkey") % 8 == 3, "0").otherwise(F.col("h")))
-    return built.exceptAll(there).agg(F.count("*").alias("n_different"))
+    """Files that a rebuild doesn't give again."""
+    built = t.nation.select(F.col("n_nationkey").alias("path"), F.sha2("n_name", 256).alias("h"))
+    there = built.withColumn("h", F.when(F.col("path") % 8 == 3, "0").otherwise(F.col("h")))
+    return m.snapshot_differences(there, built, "path", "h")
 
 
-@query("SELECT event_id, event_id % 3 = 0 AS accepted FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'unknown' WHEN event_id % 3 <> 0 THEN 'foreign' WHEN event_id % 2 = 0 THEN 'accepted' WHEN event_id % 5 = 0 THEN 'conflict' ELSE 'repeated' END AS outcome FROM events")
 def m08_session_ingest(t: Tables):
-    """Responses that a session takes: the item is pending and the request is its own."""
-    rows = t.events.select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("request"))
-    answers = t.events.select("event_id", F.when(F.col("event_id") % 3 == 0, F.sha2(F.col("event_id").cast("string"), 256)).otherwise("x").alias("asked"))
-    return rows.join(answers, "event_id").select("event_id", (F.col("request") == F.col("asked")).alias("accepted"))
+    """What a session does with responses: taken, already there, of another request or to no item."""
+    k = F.col("event_id")
+    request = F.sha2(k.cast("string"), 256)
+    items = t.events.where("event_id % 11 <> 0").select("event_id", request.alias("request"), F.when(k % 2 == 1, F.when(k % 5 == 0, "other").otherwise("text")).alias("response"))
+    answers = t.events.select("event_id", F.when(k % 3 == 0, request).otherwise("x").alias("asked"), F.lit("text").alias("response"))
+    return plans.ingest(items, answers, "event_id", "request", "asked", "response").select("event_id", "outcome")
 
 
 @query("SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'misreading' WHEN 1 THEN 'clarification' ELSE 'unclassified' END AS kind FROM conversations WHERE turn = (SELECT min(turn) FROM conversations)")
 def m10_classify(t: Tables):
-    """Items classified from a map; the others stay unclassified."""
-    kinds = F.create_map(F.lit(0), F.lit("misreading"), F.lit(1), F.lit("clarification"))
-    first = t.conversations.agg(F.min("turn").alias("turn"))
-    return t.conversations.join(F.broadcast(first), "turn").select("conv_id", F.coalesce(kinds[(F.col("conv_id") % 3).cast("int")], F.lit("unclassified")).alias("kind"))
+    """Items classified by key; the others stay unclassified."""
+    first = t.conversations.where(F.col("turn") == t.conversations.agg(F.min("turn")).scalar()).select("conv_id")
+    classes = first.distinct().select("conv_id", F.when(F.col("conv_id") % 3 == 0, "misreading").when(F.col("conv_id") % 3 == 1, "clarification").alias("kind")).where("kind IS NOT NULL")
+    return plans.classified(first, classes, "conv_id", "kind").select("conv_id", "kind")
 
 
-@query("SELECT source, bool_and(doc_id % 97 <> 0) AS signed FROM documents GROUP BY source")
+@query("SELECT source, bool_and(doc_id % 97 <> 0) AS ids, bool_and(length(text) > 20) AS texts, bool_and(doc_id % 97 <> 0) AND bool_and(length(text) > 20) AS signed FROM documents GROUP BY source")
 def m13_sign_off(t: Tables):
     """Sections whose gates are all open."""
-    return t.documents.groupBy("source").agg(F.bool_and(F.col("doc_id") % 97 != 0).alias("signed"))
+    return plans.signed_off(t.documents, ["source"], {"ids": F.col("doc_id") % 97 != 0, "texts": F.length("text") > 20})
 
 
 @query("SELECT o_custkey, count(*) AS n_runs, sha256(string_agg(CAST(o_orderkey AS VARCHAR), '>' ORDER BY o_orderkey)) AS receipt FROM orders GROUP BY 1")
 def m14_receipt(t: Tables):
     """Receipts over the runs that led to a state."""
-    runs = F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string"))
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n_runs"), F.sha2(F.array_join(runs, ">"), 256).alias("receipt"))
+    return plans.receipts(t.orders, ["o_custkey"], "o_orderkey")
 
 
-@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.page') IS NULL THEN 'missing:page' ELSE 'ok' END AS code, lower(event_type) || '.' || event_id % 5 AS path FROM events")
+@query("""
+SELECT event_id, CASE WHEN json_extract_string(props, '$.page') IS NULL THEN 'RP001' ELSE 'RP002' END AS code, 'events.' || event_id % 5 || '.page' AS path,
+ CASE WHEN json_extract_string(props, '$.page') IS NULL THEN 'page is required' ELSE 'page is there' END AS message FROM events
+""")
 def f34_structured_errors(t: Tables):
-    """Errors as a stable code and a dotted path."""
-    page = F.get_json_object("props", "$.page")
-    return t.events.select("event_id", F.when(page.isNull(), "missing:page").otherwise("ok").alias("code"), F.concat_ws(".", F.lower("event_type"), (F.col("event_id") % 5).cast("string")).alias("path"))
+    """Errors as a stable code, a dotted path and a message."""
+    lacking = F.get_json_object("props", "$.page").isNull()
+    keyword, said = F.when(lacking, "required").otherwise("const"), F.when(lacking, "page  is\n required").otherwise("page is there ")
+    error = fields.structured_error([F.lit("events"), F.col("event_id") % 5, F.lit("page")], keyword, {"required": "RP001", "const": "RP002"}, said)
+    return t.events.select("event_id", error.alias("e")).select("event_id", "e.code", "e.path", "e.message")
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'approve' WHEN 'O' THEN 'revise' END AS choice FROM orders")
@@ -336,5 +353,4 @@ def f35_form_choices(t: Tables):
     box = lambda name, on: F.concat(F.lit("- ["), F.when(on, "x").otherwise(" "), F.lit(f"] {name}\n"))
     s = F.col("o_orderstatus")
     form = F.concat(box("approve", s.isin("F", "P")), box("revise", s.isin("O", "P")))
-    ticked = F.regexp_extract_all(form, F.lit(r"(?m)^- \[x\] (\w+)$"), F.lit(1))
-    return t.orders.select("o_orderkey", F.when(F.size(ticked) == 1, F.get(ticked, F.lit(0))).alias("choice"))
+    return t.orders.select("o_orderkey", fields.form_choice(form, ["approve", "revise"]).alias("choice"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import hashing, text
+from foliant.functions import records as fields
+from foliant.operators import catalog
 from foliant.queries.base import Tables, query
 
 NORM = "trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\\s+', ' ', 'g'))"
@@ -26,23 +28,17 @@ def f02_flat_text(t: Tables):
 @query()
 def f03_compact_view(t: Tables):
     """Glyph-spaced text glued, with offsets back into it."""
-    spaced = F.concat_ws(" ", F.split(F.substring("text", 1, 40), ""))
+    spaced = F.regexp_replace("text", r"(?<=\S)(?=\S)", " ")
     return t.documents.select("doc_id", text.compact_view(spaced).alias("v")).select("doc_id", F.col("v.text").alias("compact"), F.size("v.offsets").alias("n_offsets"), F.array_max("v.offsets").alias("last_offset"))
 
 
-@query("""
-SELECT p.page_id, d.doc_id FROM
- (SELECT page_id, lower(split_part(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), ' ', 1)) AS term FROM pages) p
- JOIN documents d ON d.doc_id % 50 = p.page_id % 50 AND length(term) > 0
-  AND CASE WHEN regexp_matches(term, '^[a-z0-9][a-z0-9 ._''’-]*$')
-      THEN regexp_matches(lower(d.text), '(^|[^a-z0-9])' || regexp_escape(term) || '($|[^a-z0-9])') ELSE contains(lower(d.text), term) END
-""")
+@query()
 def f04_grounded_terms(t: Tables):
-    """Which documents hold a page's leading term as a word of its own."""
+    """Which documents hold a page's leading term: as a word of its own if it is plain, anywhere in the text if not."""
     term = F.lower(F.split(F.trim(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)), " ")[0])
-    pages = t.pages.select("page_id", term.alias("term"), (F.col("page_id") % 50).alias("k")).where("length(term) > 0")
-    docs = t.documents.select("doc_id", F.lower("text").alias("t"), (F.col("doc_id") % 50).alias("k"))
-    return docs.join(pages, "k").where(text.grounded(F.col("t"), F.col("term"))).select("page_id", "doc_id")
+    pages = t.pages.select("page_id", term.alias("term")).where("length(term) > 0")
+    found = catalog.grounded_pairs(t.documents.select("doc_id", F.lower("text").alias("t")), "doc_id", "t", pages.select("term").distinct(), "term")
+    return found.join(pages, "term").select("page_id", "doc_id")
 
 
 @query("""
@@ -107,10 +103,12 @@ def f12_person_names(t: Tables):
 
 @query()
 def f13_japanese_names(t: Tables):
-    """Katakana and kanji names before a particle, and defined terms, in a fixed text set beside each region."""
+    """Katakana and kanji names before a particle, and defined terms, in documents, pages and a sentence of each region."""
     sample = F.lit("アラン・チューリングは論じた。山田太郎は述べた。「計算」とは何か。")
-    rows = t.region.select("r_regionkey", sample.alias("x"))
-    return rows.select("r_regionkey", F.array_join(F.regexp_extract_all("x", F.lit(text.KATAKANA_NAME), F.lit(1)), "|").alias("katakana"), F.array_join(F.regexp_extract_all("x", F.lit(text.KANJI_NAME), F.lit(1)), "|").alias("kanji"), F.array_join(F.regexp_extract_all("x", F.lit(text.QUOTED_TERM), F.lit(1)), "|").alias("terms"), F.length(F.regexp_replace("x", text.JAPANESE, "")).alias("n_other"))
+    rows = t.documents.select(F.concat(F.lit("doc:"), "doc_id").alias("key"), F.col("text").alias("x"))
+    rows = rows.unionByName(t.pages.select(F.concat(F.lit("page:"), "page_id").alias("key"), F.col("html").alias("x")))
+    rows = rows.unionByName(t.region.select(F.concat(F.lit("region:"), "r_regionkey").alias("key"), F.concat("r_name", F.lit(" "), sample).alias("x")))
+    return rows.select("key", *[F.array_join(F.regexp_extract_all("x", F.lit(p), F.lit(1)), "|").alias(k) for k, p in (("katakana", text.KATAKANA_NAME), ("kanji", text.KANJI_NAME), ("terms", text.QUOTED_TERM))], F.length(F.regexp_replace("x", text.JAPANESE, "")).alias("n_other"))
 
 
 @query("""
@@ -131,12 +129,11 @@ def f16_slug(t: Tables):
 
 
 @query("""
-SELECT event_id, k AS key, CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)
+SELECT event_id, '/' || k AS path, CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)
 """)
 def f18_leaves(t: Tables):
     """The leaves of each event's JSON properties."""
-    leaves = F.explode(F.from_json("props", "map<string,string>")).alias("key", "value")
-    return t.events.select("event_id", leaves)
+    return t.events.select("event_id", F.inline(fields.leaves("props")))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS first_page, CAST(l_quantity AS INT) + l_linenumber - 1 AS last_page FROM lineitem")
@@ -154,9 +151,8 @@ SELECT n_nationkey, CASE WHEN n_name ILIKE 'a%' THEN 'appendix' WHEN n_name ILIK
 def f20_classify(t: Tables):
     """Kinds by the first rule that a title meets, and confidence by format."""
     name = F.col("n_name")
-    kind = F.when(name.ilike("a%"), "appendix").when(name.ilike("%land") | name.ilike("%nia"), "part").when(F.length(name) > 8, "afterword").otherwise("chapter")
-    confidence = F.coalesce(F.element_at(F.create_map(F.lit(0), F.lit("high"), F.lit(1), F.lit("medium")), F.col("n_regionkey")), F.lit("low"))
-    return t.nation.select("n_nationkey", kind.alias("kind"), confidence.alias("confidence"))
+    kind = fields.first_rule([(name.ilike("a%"), "appendix"), (name.ilike("%land") | name.ilike("%nia"), "part"), (F.length(name) > 8, "afterword")], "chapter")
+    return t.nation.select("n_nationkey", kind.alias("kind"), fields.labelled(F.col("n_regionkey"), {0: "high", 1: "medium"}, "low").alias("confidence"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority END AS priority FROM orders")
@@ -215,20 +211,21 @@ def f26_escape(t: Tables):
 
 
 @query("""
-SELECT o_orderkey, o_orderkey % 5 <> 0 AS valid_date, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders
+SELECT o_orderkey, o_orderkey % 5 <> 0 AS valid_date, o_orderkey % 3 <> 0 AS valid_time, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders
 """)
 def f27_dates(t: Tables):
-    """ISO dates checked; every fifth has a thirteenth month."""
+    """ISO dates and times checked; every fifth date has a thirteenth month, every third time no zone."""
     iso = F.date_format("o_orderdate", "yyyy-MM-dd")
-    written = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.substring(iso, 1, 4), F.lit("-13-01"))).otherwise(iso)
-    return t.orders.select("o_orderkey", F.try_to_date(written, "yyyy-MM-dd").isNotNull().alias("valid_date"), iso.alias("iso"))
+    date = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.substring(iso, 1, 4), F.lit("-13-01"))).otherwise(iso)
+    time = F.concat(iso, F.when(F.col("o_orderkey") % 3 == 0, "T10:00:00").when(F.col("o_orderkey") % 3 == 1, "T10:00:00Z").otherwise("T23:59:59+09:00"))
+    return t.orders.select("o_orderkey", fields.is_iso_date(date).alias("valid_date"), fields.is_iso_datetime(time).alias("valid_time"), iso.alias("iso"))
 
 
 @query("SELECT c_custkey, isfinite(c_acctbal) AS finite, abs(c_acctbal - round(c_acctbal, 2)) <= 1e-9 AS to_cents, CAST(floor(100 * c_acctbal / 10000) AS BIGINT) AS percent FROM customer")
 def f28_numbers(t: Tables):
     """Finite numbers, tolerance and percentages."""
     x = F.col("c_acctbal")
-    return t.customer.select("c_custkey", (~F.isnan(x) & (F.abs(x) < float("inf"))).alias("finite"), (F.abs(x - F.round(x, 2)) <= 1e-9).alias("to_cents"), F.floor(100 * x / 10000).cast("long").alias("percent"))
+    return t.customer.select("c_custkey", fields.is_finite(x).alias("finite"), fields.within(x, F.round(x, 2), 1e-9).alias("to_cents"), fields.percentage(x, F.lit(10000)).alias("percent"))
 
 
 @query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(replace(p_name, ' ', ' | '), '|'), lambda x: trim(x)), lambda x: x <> ''), ',') AS entries, p_partkey % 2 = 0 OR len(string_split(p_name, ' ')) = len(list_distinct(string_split(p_name, ' '))) AND false AS is_unique FROM part")
@@ -249,5 +246,4 @@ def p04_unsafe_text(t: Tables):
 @query("SELECT user_id, event_type, any_value(label) AS label FROM (SELECT *, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View' ELSE 'Other' END AS label FROM events) GROUP BY ALL")
 def f38_labels(t: Tables):
     """Labels from a map, with one for all that it lacks."""
-    names = F.create_map(F.lit("click"), F.lit("Click"), F.lit("view"), F.lit("View"))
-    return t.events.groupBy("user_id", "event_type").agg(F.any_value(F.coalesce(names[F.col("event_type")], F.lit("Other"))).alias("label"))
+    return t.events.select("user_id", "event_type", fields.labelled(F.col("event_type"), {"click": "Click", "view": "View"}, "Other").alias("label")).distinct()

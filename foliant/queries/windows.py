@@ -138,5 +138,4 @@ def s07_nearby_page(t: Tables):
 @query(f"SELECT doc_id, CAST(min(n) AS BIGINT) AS page FROM (SELECT doc_id, length(line) % 3 = 0 AS label, lead(length(line)) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM ({_LINES})) WHERE label AND n IS NOT NULL GROUP BY doc_id")
 def s08_labelled_page(t: Tables):
     """The least page right behind a label line."""
-    nxt = F.expr("lead(length(line)) over (partition by doc_id order by pos)")
-    return _lines(t).select("doc_id", (F.length("line") % 3 == 0).alias("label"), nxt.alias("n")).where("label AND n IS NOT NULL").groupBy("doc_id").agg(F.min("n").cast("long").alias("page"))
+    return w.labelled(_lines(t), ["doc_id"], "pos", F.length("line") % 3 == 0, F.length("line").cast("long")).select("doc_id", F.col("found").alias("page"))

@@ -171,3 +171,13 @@ def test_versions_compare_and_swap(spark, tmp_path):
 def test_cycles_and_depth(spark):
     units = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4)], "u int, up int")
     assert sorted(r["u"] for r in references.cyclic(units, "u", "up").collect()) == [4, 5]
+
+
+def test_grounded_pairs_are_brute_force(spark):
+    texts = [(1, "an axis of ai, x.y z"), (2, "maintain"), (3, "人工知能だ"), (4, ""), (5, "état a.b"), (6, "the end of ai")]
+    terms = ["ai", "axis of", "知能", "x.y", "état", "é", "of ai", "end o", "b"]
+    docs = spark.createDataFrame(texts, "k int, t string")
+    held = spark.createDataFrame([(x,) for x in terms], "w string")
+    got = {(r["k"], r["w"]) for r in catalog.grounded_pairs(docs, "k", "t", held, "w").collect()}
+    pairs = docs.crossJoin(held).where(text.grounded(F.col("t"), F.col("w")))
+    assert got == {(r["k"], r["w"]) for r in pairs.collect()} and len(got) > 8
