@@ -8,15 +8,15 @@ from foliant.operators import extract
 from foliant.queries.base import Tables, query
 
 #: Texts made from documents' lines: heading marks by length, fences now and then.
-_MARKED = """SELECT doc_id, pos, CASE WHEN length(line) % 9 = 0 THEN '```' WHEN length(line) % 4 = 0 THEN repeat('#', CAST(length(line) % 3 + 1 AS INT)) || ' ' || substr(regexp_replace(line, '[^A-Za-z ]', '', 'g'), 1, 20) ELSE line END AS line
- FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en')"""
+_MARKED = """SELECT doc_id, pos, CASE WHEN length(line) % 9 = 0 THEN '```' WHEN length(line) % 4 = 0 THEN repeat('#', CAST(length(line) % 3 + 1 AS INT)) || ' ' || line ELSE line END AS line
+ FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"""
 _HEADINGS = f"""SELECT doc_id AS doc, pos, length(regexp_extract(line, '^(#+) ', 1)) AS level, trim(regexp_replace(regexp_extract(line, '^#+\\s+(.+?)\\s*$', 1), '\\s+', ' ', 'g')) AS title
  FROM (SELECT *, sum((line = '```')::INT) OVER (PARTITION BY doc_id ORDER BY pos) % 2 AS fenced FROM ({_MARKED})) WHERE fenced = 0 AND regexp_matches(line, '^#+\\s+\\S')"""
 
 
 def _marked(t: Tables, mark: str = "#"):
-    line = lambda x: F.when(F.length(x) % 9 == 0, F.lit("```")).when(F.length(x) % 4 == 0, F.concat(F.repeat(F.lit(mark), F.length(x) % 3 + 1), F.lit(" "), F.substring(F.regexp_replace(x, "[^A-Za-z ]", ""), 1, 20))).otherwise(x)
-    return t.documents.where("lang = 'en'").select(F.col("doc_id").alias("doc"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    line = lambda x: F.when(F.length(x) % 9 == 0, F.lit("```")).when(F.length(x) % 4 == 0, F.concat(F.repeat(F.lit(mark), F.length(x) % 3 + 1), F.lit(" "), x)).otherwise(x)
+    return t.documents.select(F.col("doc_id").alias("doc"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
 
 
 @query(_HEADINGS)
