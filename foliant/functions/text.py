@@ -119,18 +119,22 @@ def quoted(needle: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def positions(text: Column, needle: Column) -> Column:
-    """Starts of all non-overlapping occurrences: the running lengths between the pieces that splitting leaves."""
-    pieces = F.split(text, quoted(needle))
+def pattern_positions(text: Column, pattern: Column, length: Column) -> Column:
+    """Starts of all non-overlapping matches of a pattern whose matches have one length: the running lengths between the pieces that splitting leaves."""
+    pieces = F.split(text, pattern)
     sizes = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.length(x))
-    step = F.length(needle)
     folded = F.aggregate(
         sizes,
         F.struct(F.array().cast("array<int>").alias("found"), F.lit(0).alias("at")),
-        lambda a, n: F.struct(F.array_append(a["found"], a["at"] + n).alias("found"), (a["at"] + n + step).alias("at")),
+        lambda a, n: F.struct(F.array_append(a["found"], a["at"] + n).alias("found"), (a["at"] + n + length).alias("at")),
         lambda a: a["found"],
     )
-    return F.when(F.length(needle) > 0, folded).otherwise(F.array().cast("array<int>"))
+    return F.when(length > 0, folded).otherwise(F.array().cast("array<int>"))
+
+
+def positions(text: Column, needle: Column) -> Column:
+    """Starts of all non-overlapping occurrences of a needle."""
+    return pattern_positions(text, quoted(needle), F.length(needle))
 
 
 def slug(c: Column) -> Column:
