@@ -134,3 +134,23 @@ def key_differences(keys: Column, required: list[str], allowed: list[str] | None
     """Required keys that a record lacks, and keys that aren't allowed (by default the required ones), both sorted."""
     needed, known = (F.array(*[F.lit(x) for x in names]) for names in (required, allowed or required))
     return F.array_sort(F.array_except(needed, keys)), F.array_sort(F.array_except(keys, known))
+
+
+def sanitised_metadata(fields: Column, allowed: dict[str, int]) -> Column:
+    """A generator's metadata with the allowed fields alone, each on one safe line of at most so many characters; what isn't safe is left out."""
+    most = F.create_map(*[x for k, n in allowed.items() for x in (F.lit(k), F.lit(n))])
+    line = lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))
+    fits = lambda k, v: F.coalesce((F.length(line(v)) > 0) & (F.length(line(v)) <= F.try_element_at(most, k)) & ~v.rlike(r"[\x{00}-\x{08}\x{0b}-\x{1f}\x{7f}-\x{9f}\x{202a}-\x{202e}\x{2066}-\x{2069}]"), F.lit(False))
+    return F.transform_values(F.map_filter(fields, fits), lambda k, v: line(v))
+
+
+def edited_setting(text: Column, section: str, key: str, value: Column) -> Column:
+    """A settings text in which one key of a section has another value: its line is replaced, or added below the section's head; a section that isn't there is added at the end. Other lines stay as they are."""
+    head = rf"(?m)^\[\Q{section}\E\][ \t]*(?:#.*)?$"
+    within = rf"((?:\A|[\s\S]*?\n)\[\Q{section}\E\][ \t]*(?:#[^\n]*)?\n(?:(?!\[)[^\n]*\n)*?)\Q{key}\E[ \t]*=[^\n]*"
+    line = F.concat(F.lit(f"{key} = "), value)
+    safe = F.regexp_replace(line, r"([\\$])", r"\\$1")
+    ended = F.when(F.endswith(text, F.lit("\n")) | (text == ""), text).otherwise(F.concat(text, F.lit("\n")))
+    replaced = F.regexp_replace(ended, F.lit(rf"\A{within}"), F.concat(F.lit("$1"), safe))
+    below = F.regexp_replace(ended, F.lit(head), F.concat(F.lit(rf"[{section}]" + "\n"), safe))
+    return F.when(ended.rlike(rf"\A{within}"), replaced).when(ended.rlike(head), below).otherwise(F.concat(ended, F.lit(f"[{section}]\n"), line, F.lit("\n")))

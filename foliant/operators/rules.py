@@ -80,3 +80,22 @@ def rederived(rows: DataFrame, key: str, stated: str, again: Column) -> DataFram
 def order_key(path: Column) -> Column:
     """A sort key for paths: numbers before names, numbers by value."""
     return F.transform(F.split(path, "/"), lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lit("0"), F.lpad(x, 12, "0"))).otherwise(F.concat(F.lit("1"), x)))
+
+
+def errors(found: DataFrame) -> DataFrame:
+    """The findings that are errors."""
+    return found.where("severity = 'error'")
+
+
+def in_languages(rows: DataFrame, lang: str, wanted: list[str], known: list[str]) -> DataFrame:
+    """Rows of the wanted languages (all known ones if none are named); one that isn't known is an error."""
+    strange = sorted(set(wanted) - set(known))
+    if strange:
+        raise ValueError(f"unknown languages: {', '.join(strange)}")
+    return rows.where(F.col(lang).isin(*(wanted or known)))
+
+
+def supported(rows: DataFrame, version: str, versions: list[int]) -> DataFrame:
+    """The rows, or an error if one has a version that isn't supported."""
+    fits = F.coalesce(F.col(version).isin(*versions), F.lit(False))
+    return rows.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unsupported version "), F.coalesce(F.col(version).cast("string"), F.lit("none")))).cast("boolean")))

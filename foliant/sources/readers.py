@@ -7,13 +7,16 @@ they never cut.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import math
+import os
 import posixpath
 import re
 import shutil
 import subprocess
+import threading
 import tomllib
 import zipfile
 from collections.abc import Iterator
@@ -117,39 +120,98 @@ def epub(spark: SparkSession, path: str) -> DataFrame:
 # --- tools and adapters ---------------------------------------------------
 
 
-def pdf_text(spark: SparkSession, path: str, tool: str = "pdftotext", seconds: float = 60.0) -> DataFrame:
-    """path and text of PDF files through the local Poppler tool, on the executors."""
-    if shutil.which(tool) is None:
-        raise RuntimeError(f"reading PDF needs the tool {tool}, which isn't installed")
+class ToolError(RuntimeError):
+    """A tool that failed, took too long or gave too much; the message is one of a few."""
+
+
+def _output(command: list[str], given: bytes, seconds: float, most: int, env: dict[str, str] | None = None) -> bytes:
+    """What a command writes for some input, read as it comes: beyond the limits the command is killed."""
+    process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env, start_new_session=True)
+    out, late = bytearray(), threading.Event()
+
+    def stop() -> None:
+        late.set()
+        process.kill()
+
+    def feed() -> None:
+        with contextlib.suppress(BrokenPipeError, OSError):
+            process.stdin.write(given)
+            process.stdin.close()
+
+    clock, feeder = threading.Timer(seconds, stop), threading.Thread(target=feed, daemon=True)
+    clock.start()
+    feeder.start()
+    try:
+        while part := process.stdout.read1(1 << 16):
+            out += part
+            if len(out) > most:
+                raise ToolError("too much output")
+        if process.wait() and not late.is_set():
+            raise ToolError(f"exit {process.returncode}")
+    finally:
+        clock.cancel()
+        process.kill()
+        process.wait()
+        process.stdout.close()
+        feeder.join(1)
+        with contextlib.suppress(BrokenPipeError, OSError):
+            process.stdin.close()
+    if late.is_set():
+        raise ToolError("timeout")
+    return bytes(out)
+
+
+_PDF = "path string, title string, pages int, text string, error string"
+
+
+def pdf_text(spark: SparkSession, path: str, tool: str = "pdftotext", info: str = "pdfinfo", seconds: float = 60.0, most: int = 64 << 20, most_pages: int = 5_000) -> DataFrame:
+    """path, title, pages, text and error of PDF files through the local Poppler tools, on the executors.
+
+    Encrypted files, files of too many pages or with too much text, and texts
+    that don't have a form feed a page or are no UTF-8 have an error and no text.
+    """
+    for name in (tool, info):
+        if shutil.which(name) is None:
+            raise RuntimeError(f"reading PDF needs the tool {name}, which isn't installed")
+
+    def one(content: bytes) -> tuple[str | None, int | None, str | None, str | None]:
+        try:
+            said = dict(line.split(":", 1) for line in _output([info, "-"], content, seconds, 1 << 20).decode("utf-8", "replace").splitlines() if ":" in line)
+            title, pages = said.get("Title", "").strip() or None, int(said.get("Pages", "0").strip() or 0)
+            if not said.get("Encrypted", "no").strip().startswith("no"):
+                return None, pages, None, "encrypted"
+            if not 0 < pages <= most_pages:
+                return title, pages, None, "no pages" if not pages else "too many pages"
+            text = _output([tool, "-raw", "-enc", "UTF-8", "-", "-"], content, seconds, most).decode("utf-8")
+        except ToolError as e:
+            return None, None, None, str(e)
+        except ValueError:
+            return None, None, None, "output can't be read"
+        if title and (len(title) > 500 or any(ord(x) < 32 for x in title)):
+            title = None
+        return (title, pages, text, None) if text.count("\f") <= pages else (title, pages, None, "pages don't fit")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            got = [subprocess.run([tool, "-raw", "-enc", "UTF-8", "-", "-"], input=x, capture_output=True, timeout=seconds, check=True).stdout.decode() for x in part["content"]]
-            yield pd.DataFrame({"path": part["path"], "text": got})
+            rows = [(name, *one(content)) for name, content in zip(part["path"], part["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "title", "pages", "text", "error"]).astype({"pages": "Int32"})
 
-    return files(spark, path).where("format = 'pdf'").select("path", "content").mapInPandas(run, "path string, text string")
+    return files(spark, path).where("format = 'pdf'").select("path", "content").mapInPandas(run, _PDF)
 
 
 def adapter(requests: DataFrame, command: list[str], column: str = "request", seconds: float = 60.0, most: int = 2 << 20, keep_env: tuple[str, ...] = ("PATH", "LANG")) -> DataFrame:
     """Add ``response`` and ``error``: one JSON in, one JSON out of a local command per row.
 
-    The command gets an empty environment but for some names; it is ended when
-    it takes too long, and too much output is an error.
+    The command gets an empty environment but for some names; its output is read
+    as it comes, and it is ended when it takes too long or writes too much.
     """
     kind = T.StructType([*requests.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
 
     def one(request: str) -> tuple[str | None, str | None]:
-        import os
-
         try:
-            done = subprocess.run(command, input=request.encode(), capture_output=True, timeout=seconds, env={k: os.environ[k] for k in keep_env if k in os.environ}, check=False)
-        except subprocess.TimeoutExpired:
-            return None, "timeout"
-        if done.returncode:
-            return None, f"exit {done.returncode}"
-        if len(done.stdout) > most:
-            return None, "too much output"
-        text = done.stdout.decode("utf-8", "replace")
+            text = _output(command, request.encode(), seconds, most, {k: os.environ[k] for k in keep_env if k in os.environ}).decode("utf-8", "replace")
+        except ToolError as e:
+            return None, str(e)
         return (text, None) if strict_json_error(text) is None else (None, "invalid JSON")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,6 +222,12 @@ def adapter(requests: DataFrame, command: list[str], column: str = "request", se
     return requests.mapInPandas(run, kind)
 
 
+def resources(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("md", "json", "txt"), most: int = 1 << 20) -> DataFrame:
+    """name, kind, text and sha256 of packaged prompts, templates and schemas below a folder."""
+    found = texts(spark, path, most).withColumn("kind", F.lower(F.element_at(F.split("name", r"\."), -1)))
+    return found.where(F.col("kind").isin(*suffixes)).select("name", "kind", "text", "sha256")
+
+
 # --- JSON -----------------------------------------------------------------
 
 

@@ -6,8 +6,10 @@ import hashlib
 import io
 import json
 import os
+import posixpath
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,12 +90,17 @@ def probes(spark: SparkSession, sizes: list[int]) -> DataFrame:
     return rows.select("size", body.alias("body")).withColumn("sha256", F.sha2("body", 256))
 
 
-def transaction(folder: str, changes: dict[str, tuple[bytes | None, bytes]]) -> None:
+def transaction(folder: str, changes: dict[str, tuple[bytes | None, bytes]], allowed: Callable[[str], bool] | None = None, check: Callable[[str], None] | None = None) -> None:
     """Replace several files or none: name to (what is there now, what shall be).
 
     A record of the change is written first. What a crash leaves is settled by
-    ``recover``.
+    ``recover``. ``allowed`` says which names may be changed at all; ``check``
+    is called with the folder once all files are written, and if it raises, they
+    are put back.
     """
+    for name in changes:
+        if posixpath.isabs(name) or ".." in name.split("/") or allowed is not None and not allowed(name):
+            raise PermissionError(f"{name} may not be changed")
     for name, (before, _) in changes.items():
         if _read(f"{folder}/{name}") != before:
             raise RuntimeError(f"{name} isn't what the change was made from")
@@ -101,7 +108,33 @@ def transaction(folder: str, changes: dict[str, tuple[bytes | None, bytes]]) ->
     replace_json(f"{folder}/PREPARED.json", record)
     for name, (_, after) in changes.items():
         _write(f"{folder}/{name}", after)
-    os.unlink(f"{folder}/PREPARED.json")
+    try:
+        if check is not None:
+            check(folder)
+    except BaseException:
+        _put_back(folder, {name: before for name, (before, _) in changes.items()})
+        raise
+    finally:
+        os.unlink(f"{folder}/PREPARED.json")
+
+
+def _put_back(folder: str, contents: dict[str, bytes | None]) -> None:
+    for name, before in contents.items():
+        if before is not None:
+            _write(f"{folder}/{name}", before)
+        elif os.path.exists(f"{folder}/{name}"):
+            os.unlink(f"{folder}/{name}")
+
+
+def scaffold(folder: str, language: str, modules: dict[str, list[str]], authority: str) -> list[str]:
+    """An empty package to fill in: a manifest, and a table with its columns' names for each module. Nothing that is there is overwritten."""
+    manifest = {"version": 1, "language": language, "authority": authority, "modules": {name: {"mode": "provided", "file": f"{name}.csv"} for name in sorted(modules)}}
+    files = {"manifest.json": json.dumps(manifest, ensure_ascii=False, indent=2, sort_keys=True) + "\n"}
+    files |= {f"{name}.csv": ",".join(columns) + "\n" for name, columns in modules.items()}
+    os.makedirs(folder, exist_ok=True)
+    for name in sorted(files):
+        create_text(f"{folder}/{name}", files[name])
+    return sorted(files)
 
 
 def recover(folder: str) -> str:
@@ -120,12 +153,7 @@ def recover(folder: str) -> str:
         raise RuntimeError("a file was changed by something else")
     done = set(states) == {"after"}
     if not done:
-        for name, change in record.items():
-            if change["before"] is None:
-                if os.path.exists(f"{folder}/{name}"):
-                    os.unlink(f"{folder}/{name}")
-            else:
-                _write(f"{folder}/{name}", bytes.fromhex(change["before"]))
+        _put_back(folder, {name: None if change["before"] is None else bytes.fromhex(change["before"]) for name, change in record.items()})
     os.unlink(f"{folder}/PREPARED.json")
     return "committed" if done else "undone"
 
