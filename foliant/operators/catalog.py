@@ -78,7 +78,8 @@ def grounded_pairs(texts: DataFrame, key: str, text: str, terms: DataFrame, term
     words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[a-z0-9]+"), F.lit(0)))).alias("lead"))
     met = words.join(terms.where(plain).select(term, F.regexp_extract(term, "^[a-z0-9]+", 0).alias("lead")), "lead")
     others = terms.where(~plain & (F.length(term) > 0)).select(term, F.substring(term, 1, 2).alias("lead"))
-    starts = F.array_union(F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.substring(F.col(text), k, F.lit(2))), F.split(text, ""))
+    glyphs = F.split(text, "")
+    starts = F.array_union(F.zip_with(glyphs, F.slice(glyphs, 2, F.length(text)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), glyphs)
     near = texts.where(F.length(text) > 0).select(key, F.explode(starts).alias("lead")).join(others, "lead")
     asked = met.where(F.col(term) != F.col("lead")).select(key, term).unionByName(near.select(key, term)).distinct()
     checked = asked.join(texts.select(key, text), key).where(tx.grounded(F.col(text), F.col(term))).select(key, term)

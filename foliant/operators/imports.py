@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as tx
 from foliant.functions.entities import PLAIN_HEADING
 from foliant.functions.records import first_rule
+from foliant.operators.lineage import checkpointed
 from foliant.operators.references import merge_match, union
 
 #: The longest heading, and the most units of a plan (limits of the plan).
@@ -122,6 +123,7 @@ def apply_plan(units: DataFrame, existing: DataFrame, manual: bool = False) -> t
     Ambiguous and reused matches, and existing chapters that nothing matches, are
     findings (doc, code, subject); the plan must not be applied while there are any.
     """
+    units = checkpointed(units)  # read by several branches below
     tops = units.where(~F.col("kind").isin("book", "section"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "title"))), lambda x: x["title"])
     inner = units.where("kind = 'section'").groupBy(F.col("doc").alias("d"), F.col("parent_id").alias("p")).agg(listed.alias("sections"))
@@ -138,7 +140,8 @@ def apply_plan(units: DataFrame, existing: DataFrame, manual: bool = False) -> t
     found = proposed.withColumn("unit", scope(F.col("staging_id"))).join(by_name, "unit").drop("unit")
 
     old = existing.select(scope(F.col("id")).alias("matched"), F.col("id").alias("old_id"), *[F.col(c).alias(f"old_{c}") for c in ("kind", "title", "pages", "sections", "summary", "status")])
-    joined = found.join(old, "matched", "left")
+    found = checkpointed(found)
+    joined = checkpointed(found.join(old, "matched", "left"))
     # New chapters: their own id if it is free, else the next number that no chapter of the document has.
     own = joined.where("old_id IS NULL").withColumn("own", F.when(F.col("source_key").rlike(_ID), F.col("source_key")))
     taken = own.join(existing.select("doc", F.col("id").alias("own")), ["doc", "own"], "left_semi").select("doc", "own").distinct().withColumn("is_taken", F.lit(True))
