@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ways in which a package supplies a module (fixed values).
@@ -78,40 +78,76 @@ def adjudicate(findings: DataFrame, decisions: DataFrame, key: str) -> DataFrame
     return joined.withColumn("refused", F.col("decision").isNotNull() & F.col("_d").isNotNull()).withColumn("decision", F.coalesce("decision", "_d")).drop("_d")
 
 
+class _Store:
+    """A folder of any store that Spark can write to, through its file system API."""
+
+    def __init__(self, folder: str):
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise RuntimeError("a store is read in a session")
+        self.jvm, self.conf, self.folder = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder.rstrip("/")
+        self.files = self.path("").getFileSystem(self.conf)
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def exists(self, name: str) -> bool:
+        return self.files.exists(self.path(name))
+
+    def read(self, name: str) -> bytes:
+        stream = self.files.open(self.path(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def create(self, name: str, data: bytes) -> None:
+        """A new file; one that is there is an error."""
+        try:
+            stream = self.files.create(self.path(name), False)
+        except Py4JJavaError as e:
+            raise FileExistsError(f"{self.folder}/{name}") from e
+        stream.write(data)
+        stream.close()
+
+    def replace(self, name: str, data: bytes) -> None:
+        """A file in one step: written apart, then renamed over the old one."""
+        apart = f"{name}-{uuid.uuid4().hex}"
+        self.create(apart, data)
+        options = self.jvm.org.apache.hadoop.fs.Options.Rename
+        kinds = SparkSession.getActiveSession().sparkContext._gateway.new_array(options, 1)
+        kinds[0] = options.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").makeQualified(self.files.getUri(), self.files.getWorkingDirectory()).toUri(), self.conf).rename(self.path(apart), self.path(name), kinds)
+
+    def delete(self, name: str) -> None:
+        self.files.delete(self.path(name), False)
+
+
 def head(folder: str) -> str | None:
     """The version that a store's pointer names."""
-    try:
-        with open(os.path.join(folder, "HEAD.json"), encoding="utf-8") as f:
-            return json.load(f)["version"]
-    except FileNotFoundError:
-        return None
+    store = _Store(folder)
+    return json.loads(store.read("HEAD.json"))["version"] if store.exists("HEAD.json") else None
 
 
 def commit_version(df: DataFrame, folder: str, expected: str | None, version: str) -> str:
     """Write a version beside the others and move the pointer if it still names ``expected``.
 
     A version is a folder named by content; one that is there already is not
-    written again. The pointer file is replaced in one step, by one writer at a
-    time (the lock file), after the rows are complete.
+    written again. Pointer and lock lie in the store itself, wherever that is:
+    the pointer is replaced in one step, by one writer at a time, after the rows
+    are complete.
     """
-    lock = os.path.join(folder, "LOCK")
-    os.makedirs(folder, exist_ok=True)
-    handle = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    store = _Store(folder)
+    store.files.mkdirs(store.path(""))
+    store.create("LOCK", b"")
     try:
         if head(folder) != expected:
             raise RuntimeError(f"the store is at {head(folder)}, not at {expected}")
-        target = os.path.join(folder, f"v={version}")
-        if not os.path.exists(os.path.join(target, "_SUCCESS")):
-            df.write.mode("overwrite").parquet(target)
-        temporary = os.path.join(folder, f"HEAD-{uuid.uuid4().hex}")
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump({"version": version, "before": expected}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temporary, os.path.join(folder, "HEAD.json"))
+        if not store.exists(f"v={version}/_SUCCESS"):
+            df.write.mode("overwrite").parquet(f"{store.folder}/v={version}")
+        store.replace("HEAD.json", json.dumps({"version": version, "before": expected}).encode())
     finally:
-        os.close(handle)
-        os.unlink(lock)
+        store.delete("LOCK")
     return version
 
 

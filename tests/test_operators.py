@@ -165,6 +165,10 @@ def test_versions_compare_and_swap(spark, tmp_path):
     with pytest.raises(RuntimeError):
         plans.commit_version(spark.range(2), store, None, "b")
     plans.commit_version(spark.range(2), store, "a", "b")
+    (tmp_path / "store" / "LOCK").write_text("")
+    with pytest.raises(FileExistsError):
+        plans.commit_version(spark.range(3), store, "b", "c")
+    assert plans.head(str(tmp_path / "none")) is None
     assert plans.head(store) == "b" and spark.read.parquet(f"{store}/v=b").count() == 2
 
 
