@@ -85,15 +85,17 @@ def deduplicate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = Fals
 
 
 SQL = f"""
-WITH lines AS (
-  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1) || 'none') AS site, text FROM documents),
+lines AS (
+  SELECT r, doc_id, site, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
 spread AS (
   SELECT line, min(doc_id) AS keeper FROM lines WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')
   GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 kept AS (
-  SELECT doc_id, pos, line, keeper IS NULL OR keeper = doc_id AS stays FROM lines LEFT JOIN spread USING (line))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
-  md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS text_md5
-FROM kept GROUP BY doc_id
+  SELECT r, pos, line, keeper IS NULL OR doc_id IS NULL OR keeper = doc_id AS stays FROM lines LEFT JOIN spread USING (line)),
+counted AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (stays) AS text FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, md5(coalesce(counted.text, '')) AS text_md5
+FROM docs LEFT JOIN counted USING (r)
 """

@@ -192,7 +192,9 @@ def sample_of_labels(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN
     sample = materialise(first[0].unionByName(first[1]), "toxicity-labels")
     rows = text_of(docs).join(F.broadcast(sample), "doc_id")  # at most 2 * train_rows rows
     one = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
-    return materialise(one.select("doc_id", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "text"), "toxicity-sample")
+    held = one.select("doc_id", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    # Some megabytes that are worked on several times: a file for each core, which adaptive execution would put into one.
+    return materialise(held.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id"), "toxicity-sample")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -220,44 +222,54 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("feature", "fold").agg(*[F.sum(x).alias(x) for x in ("toxic", "other", "texts")])
 
 
-def clear_features(counted: DataFrame, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and scores of the clear features, learnt from all folds or from all but one."""
-    some = counted if without is None else counted.where(F.col("fold") != without)
-    each = some.groupBy("feature").agg(*[F.sum(x).alias(x) for x in ("toxic", "other", "texts")])
-    n1, n0 = (int(x or 0) for x in some.agg(F.sum("toxic"), F.sum("other")).first())
-    if not n1 or not n0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0)
-    prior = F.lit(PRIOR_LEAST) + PRIOR_STRENGTH * (F.col("toxic") + F.col("other")) / F.lit(float(n1 + n0))
-    a, b = F.col("toxic") + prior, F.col("other") + prior
-    odds = F.log(a / (n1 + PRIOR_STRENGTH - a)) - F.log(b / (n0 + PRIOR_STRENGTH - b))
-    found = each.where(F.col("texts") >= LEAST_TEXTS).select("feature", odds.alias("odds"), F.sqrt(1 / a + 1 / b).alias("error"))
-    found = found.withColumn("score", F.col("odds") - BOUND * F.col("error")).where((F.col("odds") >= LEAST_ODDS) & (F.col("odds") >= LEAST_Z * F.col("error")) & (F.col("score") >= LEAST_SCORE))
-    best = found.select("feature", "score").toPandas()  # features of the bounded sample
-    return best["feature"].to_numpy(dtype=np.int64).view(np.uint64), best["score"].to_numpy(dtype=np.float64)
+def clear_features(counted: DataFrame, without: tuple[int | None, ...] = (None,)) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and scores of the clear features, learnt from all folds (None) or from all but one, for each of ``without``; one pass for all."""
+    names = ("toxic", "other", "texts")
+    sums = {(r["fold"], x): int(r[x] or 0) for r in counted.groupBy("fold").agg(*[F.sum(x).alias(x) for x in names]).collect() for x in names}
+    inside = lambda x, k: F.col(x) if k is None else F.when(F.col("fold") != k, F.col(x)).otherwise(0)
+    each = counted.groupBy("feature").agg(*[F.sum(inside(x, k)).alias(f"{x}{i}") for i, k in enumerate(without) for x in names])
+    found = []
+    for i, k in enumerate(without):
+        n1, n0 = (sum(n for (fold, y), n in sums.items() if y == x and fold != k) for x in ("toxic", "other"))
+        toxic, other = F.col(f"toxic{i}"), F.col(f"other{i}")
+        prior = F.lit(PRIOR_LEAST) + PRIOR_STRENGTH * (toxic + other) / F.lit(float(max(1, n1 + n0)))
+        a, b = toxic + prior, other + prior
+        odds = F.log(a / (n1 + PRIOR_STRENGTH - a)) - F.log(b / (n0 + PRIOR_STRENGTH - b))
+        error = F.sqrt(1 / a + 1 / b)
+        clear = (F.col(f"texts{i}") >= LEAST_TEXTS) & (odds >= LEAST_ODDS) & (odds >= LEAST_Z * error) & (odds - BOUND * error >= LEAST_SCORE) & F.lit(n1 > 0 and n0 > 0)
+        found.append(F.when(clear, F.struct(F.lit(i).alias("set"), (odds - BOUND * error).alias("score"))))
+    best = each.select("feature", F.inline(F.array_compact(F.array(*found)))).toPandas()  # features of the bounded sample
+    parts = [best[best["set"] == i] for i in range(len(without))]
+    return [(x["feature"].to_numpy(dtype=np.int64).view(np.uint64), x["score"].to_numpy(dtype=np.float64)) for x in parts]
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
     """Fit features, chance and curve to the labelled rows that aren't held out."""
     rows = sample_of_labels(docs, labels, train_rows)
     counted = materialise(feature_counts(rows), "toxicity-counts")
-    features, odds = clear_features(counted)
+    (features, odds), *apart = clear_features(counted, (None, *range(FOLDS)))
     if {r["toxic"] for r in rows.select("toxic").distinct().collect()} != {0, 1} or not len(features):
         return Scorer(np.zeros(0, dtype=np.uint64), np.zeros(0))
-    apart = [clear_features(counted, k) for k in range(FOLDS)]
+
+    def each_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], pa.Array]]:
+        """Texts and labels of a batch by fold, a chunk at a time."""
+        texts, fold = texts_of(batch), batch.column(2).to_numpy()
+        for k in range(FOLDS):
+            mine = np.flatnonzero(fold == k)
+            part = [texts[x] for x in mine.tolist()]
+            for first, last in chunks(part):
+                yield k, part[first:last], batch.column(1).take(pa.array(mine[first:last]))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(*x) for x in apart]
         for batch in batches:
-            texts, fold = texts_of(batch), batch.column(2).to_pylist()
-            got: list[np.ndarray] = []
-            sizes: list[int] = []
-            for text, k in zip(texts, fold, strict=True):
-                found, counts = token_features([text])
-                got.append(scorers[k].token_scores(found)[1])
-                sizes.append(int(counts[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.array(got, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
-
-    met = rows.select("text", "toxic", "fold").mapInArrow(hits, "toxic int, n long, scores array<double>")
+            for k, texts, toxic in each_fold(batch):
+                found, counts = token_features(texts)
+                at, score = scorers[k].token_scores(found)
+                cuts = np.searchsorted(at, np.concatenate([[0], np.cumsum(counts)]))
+                yield pa.RecordBatch.from_arrays([toxic, pa.array(counts), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(score, pa.float64()))], ["toxic", "n", "scores"])
+
+    met = materialise(rows.select("text", "toxic", "fold").mapInArrow(hits, "toxic int, n long, scores array<double>"), "toxicity-hits", rows=2 * train_rows)
     sums = {r["toxic"]: (r["n"] or 0, r["hits"] or 0) for r in met.groupBy("toxic").agg(F.sum("n").alias("n"), F.sum(F.size("scores")).alias("hits")).collect()}
     chance = met.where("toxic = 0").select(F.explode("scores").alias("s")).groupBy(F.round("s", 1).alias("s")).count().toPandas()  # a row a tenth
     rate = {k: (h + 0.5) / (n + 1.0) for k, (n, h) in sums.items()}
@@ -272,8 +284,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> S
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(*x, scorer.miss) for x in apart]
         for batch in batches:
-            got = [next(iter(scorers[k].segments([text]))) for text, k in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([[s for _, _, s in found] for _, found in got], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
+            for k, texts, toxic in each_fold(batch):
+                got = list(scorers[k].segments(texts))
+                yield pa.RecordBatch.from_arrays([toxic, pa.array([n for n, _ in got], pa.int64()), pa.array([[s for _, _, s in found] for _, found in got], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
 
     known = rows.select("text", "toxic", "fold").mapInArrow(segments, "toxic int, n long, scores array<double>").toPandas()  # at most 2 * train_rows rows
     n, y = known["n"].to_numpy(dtype=float), known["toxic"].to_numpy(dtype=float)

@@ -90,7 +90,8 @@ def toxic_docs(spark):
 def test_log_odds_are_brute_force(spark):
     rows, docs, labels = toxic_docs(spark)
     counted = toxicity.feature_counts(toxicity.sample_of_labels(docs, spark.createDataFrame(labels, TOXIC_LABELS)))
-    got = dict(zip(*(x.tolist() for x in toxicity.clear_features(counted)), strict=True))
+    got = dict(zip(*(x.tolist() for x in toxicity.clear_features(counted)[0]), strict=True))
+    assert [len(x) for x, _ in toxicity.clear_features(counted, (None, 0, 1))][0] == len(got)
     held = dict(rows)
     sums = collections.defaultdict(lambda: [0, 0, 0])
     for k, _, y in labels:
