@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -89,7 +90,7 @@ def test_sql_gives_the_same_on_odd_tables(spark, odd_folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{odd_folder}/documents.parquet/*.parquet')")
     got, want = registry.QUERIES[name](spark, odd_folder).toPandas(), con.execute(registry.SQL[name]).df()
-    rows = lambda df: sorted(tuple("" if x is None or x != x else str(x).removesuffix(".0") for x in row) for row in df[sorted(df.columns)].itertuples(index=False, name=None))
+    rows = lambda df: sorted(tuple("" if pd.isna(x) else str(x).removesuffix(".0") for x in row) for row in df[sorted(df.columns)].itertuples(index=False, name=None))
     assert rows(got) == rows(want)
 
 
