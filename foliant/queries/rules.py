@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import hashing, text
 from foliant.functions import records as fields
 from foliant.operators import metrics as m
-from foliant.operators import plans, profiles, records, schemas
+from foliant.operators import manifests, plans, profiles, records, schemas
 from foliant.operators import references as ref
 from foliant.operators import rules as r
 from foliant.queries.base import Tables, query
@@ -95,13 +95,16 @@ def v08_rederived_ids(t: Tables):
 
 
 @query("""
-SELECT 'QA1' AS code, event_id FROM events WHERE event_id % 4 = 0 AND event_type = 'click' UNION ALL SELECT 'QA2', event_id FROM events WHERE event_id % 5 = 0
+SELECT 'CR04' AS code, event_id || '/review' AS path FROM events WHERE event_id % 4 = 0 AND event_type = 'click' UNION ALL SELECT 'CR05', event_id || '/evidence' FROM events WHERE event_id % 5 = 0
+ UNION ALL SELECT 'CR02', event_id || '/qa' FROM events WHERE event_id % 11 = 0
 """)
 def v09_run_rules(t: Tables):
-    """State, review and evidence of a run's candidates."""
-    rows = t.events.select("event_id", F.when(F.col("event_type") == "click", "accepted").otherwise("ready").alias("state"), F.when(F.col("event_id") % 4 != 0, "ann").alias("reviewer"), F.when(F.col("event_id") % 5 != 0, 1).alias("evidence"))
-    rules = [r.Rule("QA1", "reviewer", (F.col("state") == "accepted") & F.col("reviewer").isNull(), "accepted without a reviewer"), r.required("QA2", "evidence")]
-    return r.findings(rows, "event_id", rules).select("code", F.split("path", "/")[0].cast("long").alias("event_id"))
+    """State, QA, review and evidence of a run's candidates."""
+    k, accepted = F.col("event_id"), F.col("event_type") == "click"
+    reviewed = accepted & (k % 4 != 0)
+    sha = F.sha2("event_type", 256)
+    rows = t.events.select(k.cast("string").alias("candidate_id"), F.when(accepted, "accepted").otherwise("ready").alias("state"), (k % 11 != 0).alias("qa_passed"), F.array().cast("array<string>").alias("reasons"), F.when(k % 5 != 0, 1).alias("n_evidence"), F.when(reviewed, "ann").alias("reviewer"), F.when(reviewed, "2026-01-02T03:04:05Z").alias("reviewed_at"), sha.alias("record_sha256"), sha.alias("stated_sha256"))
+    return manifests.run_findings(rows).select("code", "path")
 
 
 @query("SELECT module, stated, n FROM (SELECT event_type AS module, count(*) AS n, count(*) + (event_type = 'view')::INT AS stated FROM events GROUP BY 1) WHERE stated <> n")
@@ -112,20 +115,29 @@ def v11_ledger_summary(t: Tables):
     return m.summary_faults(items, ["module"], stated).select("module", "stated", "n")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'both' ELSE 'none' END AS fault FROM customer WHERE (c_custkey % 3 = 0) = (c_custkey % 2 = 0)")
+@query("""
+SELECT * FROM (VALUES ('AI01', 'M4/mode'), ('AI02', 'M1/file'), ('AI03', 'M2/reason'), ('AI03', 'M3/file'), ('AI04', 'M2'), ('AI04', 'M3'), ('AI04', 'M4')) v(code, path)
+""")
 def v12_exactly_one(t: Tables):
-    """Records with both or none of two fields that exclude each other."""
-    rows = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, 1).alias("issue"), F.when(F.col("c_custkey") % 2 == 0, 1).alias("misreading"))
-    rule = r.exactly_one("AI1", "issue", "misreading")
-    return rows.where(rule.wrong).select("c_custkey", F.when(F.col("issue").isNotNull(), "both").otherwise("none").alias("fault"))
+    """What a package says of its modules, against its records."""
+    k = F.col("r_regionkey")
+    mode = F.when(k < 2, "provided").when(k == 2, "omit").when(k == 3, "generate").otherwise("later")
+    modules = t.region.select(F.concat(F.lit("M"), k).alias("module"), mode.alias("mode"), F.when(k.isin(0, 3), "x.csv").alias("file"), F.lit("").alias("reason"))
+    records = t.nation.select(F.concat(F.lit("M"), "n_regionkey").alias("module"), F.col("n_name").alias("id"))
+    return manifests.package_findings(modules, records).select("code", "path")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND NOT (c_custkey % 2 = 0 AND c_custkey % 5 <> 0)")
+@query("""
+SELECT 'AR02' AS code, c_custkey || '/reviewer' AS path FROM customer WHERE c_custkey % 3 <> 2 AND c_custkey % 5 = 0 UNION ALL SELECT 'AR03', c_custkey || '/note' FROM customer WHERE c_custkey % 3 = 1 AND c_custkey % 7 = 0
+ UNION ALL SELECT 'AR05', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 20 = 0
+""")
 def v13_dependent_fields(t: Tables):
-    """Records with a field but without those that it needs."""
-    k = F.col("c_custkey")
-    rows = t.customer.select(k, F.when(k % 3 == 0, 1).alias("decision"), F.when(k % 2 == 0, 1).alias("reviewer"), F.when(k % 5 != 0, 1).alias("reviewed_at"))
-    return rows.where(r.dependent("AR1", "decision", "reviewer", "reviewed_at").wrong).select("c_custkey")
+    """Decisions of a review without what they need, and history of another state."""
+    k, sha = F.col("c_custkey"), F.sha2("c_name", 256)
+    made = k % 3 != 2
+    units = t.customer.select(k.cast("string").alias("unit_id"), F.when(k % 3 == 0, "approve").when(k % 3 == 1, "revise").otherwise("pending").alias("choice"), F.when(made & (k % 5 != 0), "ann").alias("reviewer"), F.when(made, "2026-01-02T03:04:05Z").alias("reviewed_at"), sha.alias("before_sha256"), F.when((k % 3 == 1) & (k % 7 != 0), "why").alias("note"))
+    history = t.customer.where(k % 4 == 0).select(k.cast("string").alias("unit_id"), F.when(k % 20 == 0, F.sha2(F.lit("x"), 256)).otherwise(sha).alias("before_sha256"), sha.alias("after_sha256"))
+    return manifests.review_findings(units, history).select("code", "path")
 
 
 @query("""
@@ -157,11 +169,17 @@ def v17_binding(t: Tables):
     return ref.binding(runs, held, "p_partkey", ["source", "norm"]).select("p_partkey", "bound")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND length(trim(text)) < 60")
+@query("""
+SELECT 'QA02' AS code, key || '/criticism' AS path FROM (SELECT conv_id || ':' || turn AS key, text FROM conversations WHERE role = 'user') WHERE length(trim(text)) < 60
+ UNION ALL SELECT 'QA02', conv_id || ':' || turn || '/response' FROM conversations WHERE role = 'user' AND (conv_id % 7 = 0 OR length(trim(text)) < 60) UNION ALL SELECT 'QA05', conv_id || ':' || turn FROM conversations WHERE role = 'user' AND conv_id % 9 = 0
+""")
 def v18_plan_rules(t: Tables):
-    """Items of a plan whose facets say too little."""
-    rows = t.conversations.where("role = 'user'").withColumn("said", F.trim("text"))
-    return rows.where(r.sized("QP1", "said", 60).wrong).select("conv_id", "turn")
+    """Questions whose facets say too little, or whose chapters aren't there."""
+    k, said = F.col("conv_id"), F.col("text")
+    both = F.create_map(F.lit("criticism"), said, F.lit("response"), said)
+    asked = t.conversations.where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("source_key"), F.lit("misreading").alias("kind"), F.array(F.when(k % 9 == 0, "CH-9").otherwise("CH-1")).alias("chapter_ids"), F.when(k % 7 == 0, F.create_map(F.lit("criticism"), said)).otherwise(both).alias("facets"), F.lit(0).alias("char_start"), F.lit(5).alias("char_end"))
+    chapters = t.region.select(F.lit("CH-1").alias("chapter_id")).distinct()
+    return manifests.question_findings(asked, chapters, 60).select("code", "path")
 
 
 @query("SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\"}') AS review_sha FROM nation")
@@ -370,3 +388,15 @@ def f35_form_choices(t: Tables):
     s = F.col("o_orderstatus")
     form = F.concat(box("approve", s.isin("F", "P")), box("revise", s.isin("O", "P")))
     return t.orders.select("o_orderkey", fields.form_choice(form, ["approve", "revise"]).alias("choice"))
+
+
+@query("""
+SELECT 'WL02' AS code, event_id || '/candidate_ids' AS path FROM events WHERE event_id % 6 = 0 UNION ALL SELECT 'WL03', event_id || '/reason_code' FROM events WHERE event_id % 2 = 1 AND event_id % 5 = 0
+ UNION ALL SELECT 'WL05', CAST(event_id AS VARCHAR) FROM events WHERE event_id % 4 = 0 AND event_id % 6 <> 0
+""")
+def v11_ledger_rules(t: Tables):
+    """Work items whose end doesn't fit their candidates or reason."""
+    k = F.col("event_id")
+    made = (k % 2 == 0) & (k % 6 != 0)
+    work = t.events.select(k.cast("string").alias("work_id"), F.when(k % 2 == 0, "generated").otherwise("not_applicable").alias("status"), F.when((k % 2 == 1) & (k % 5 != 0), "none").alias("reason_code"), F.when(made, F.array(k.cast("string"))).otherwise(F.array().cast("array<string>")).alias("candidate_ids"))
+    return manifests.ledger_findings(work, t.events.where("event_id % 4 <> 0").select(k.cast("string").alias("candidate_id"))).select("code", "path")
