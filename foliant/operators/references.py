@@ -202,7 +202,8 @@ def merge_match(units: DataFrame, existing: DataFrame, unit: str, kind: str, tit
     keys = (lambda rows: [F.col(unit).cast("string").alias("k")]) if by_id else (lambda rows: [F.concat_ws("\x00", F.col(kind), norm(F.col(title))).alias("k")])
     theirs = existing.select(F.col(unit).alias("matched"), *keys(existing)).groupBy("k").agg(F.count("*").alias("n"), F.min("matched").alias("matched"))
     found = units.select(unit, *keys(units)).join(theirs, "k", "left")
-    times = F.count("*").over(Window.partitionBy("matched"))
+    # Units without a match each count for themselves, so that they don't meet in one task.
+    times = F.count("*").over(Window.partitionBy(F.coalesce(F.col("matched").cast("string"), F.concat(F.lit("\x00"), F.col(unit).cast("string")))))
     state = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").when(times > 1, "reused").otherwise("matched")
     return found.withColumn("state", state).select(unit, F.when(F.col("state") == "matched", F.col("matched")).alias("matched"), "state")
 
