@@ -12,10 +12,11 @@ log-likelihood ratio of meeting none, which is a little below zero.
 Per document one linear scan finds all maximal-scoring segments. A segment with
 score S is expected K n exp(-lambda S) times by chance in n tokens. Lambda starts
 from the positive root of the expected exponential of a token's score in other
-text and is fitted, with K, to the segments there (texts without any included). Segments
-count by the log of one plus the inverse of that number; their sum is the
-document's evidence, which is 0 where there are no segments, and a logistic
-curve turns it into a probability.
+text and is fitted, with K, to the segments there (texts without any included). The
+log of one plus the inverse of that number, for the segment least expected, is
+the document's evidence (0 where there is none, at most ``MOST_EVIDENCE``), and a logistic curve turns it
+into a probability: under chance the best score of a text follows the
+extreme-value law, so long texts need a better one.
 
 Chance and curve are fitted to labelled documents too, each scored by features
 that weren't learnt from its own fold (of ``FOLDS``), so they hold for new texts.
@@ -53,6 +54,8 @@ MOST_A_TEXT, LEAST_TEXTS = 3, 2
 LEAST_ODDS, LEAST_Z, BOUND, LEAST_SCORE = 2.0, 2.5, 1.5, 1.5
 PRIOR_STRENGTH, PRIOR_LEAST = 500.0, 0.5
 FOLDS = 4
+#: Evidence beyond which a text is no likelier to be toxic: one in so many e-folds by chance.
+MOST_EVIDENCE = 20.0
 THRESHOLD = 0.3
 
 
@@ -147,10 +150,10 @@ class Scorer:
         return [self.scale * s - chance for _, _, s in segments]
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        return float(np.logaddexp(0.0, self.significances(n, segments)).sum())
+        return float(min(np.logaddexp(0.0, max(self.significances(n, segments), default=-np.inf)), MOST_EVIDENCE))
 
     def score(self, evidence: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.offset, -40, 40))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -40, 40))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -296,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> S
     scorer.scale = float((len(beyond) + 1) / (np.maximum(beyond, 0).sum() + 1 / scorer.scale))
     scorer.log_k = float(np.log((len(by_chance) + 0.5) / max(1.0, n[y == 0].sum())) + scorer.scale * odds.min())
     x = np.array([scorer.evidence(int(k), [(0, 0, s) for s in found]) for k, found in zip(n, known["scores"], strict=True)])
-    scorer.slope, scorer.offset = _logistic(np.log1p(x), y)
+    scorer.slope, scorer.offset = _logistic(x, y)
     return scorer
 
 

@@ -124,8 +124,8 @@ def test_scores_are_brute_force(spark):
         scores = [max([odds[f] for f in row if f in odds], default=model.miss) for row in tokens]
         segments = naive_segments(scores)
         above = [model.scale * s - model.log_k - math.log(len(tokens)) for _, _, s in segments]
-        evidence = sum(math.log1p(math.exp(x)) for x in above)
-        assert got[k]["score"] == pytest.approx(1 / (1 + math.exp(-(model.slope * math.log1p(evidence) + model.offset))))
+        evidence = min(math.log1p(math.exp(max(above))), toxicity.MOST_EVIDENCE) if above else 0.0
+        assert got[k]["score"] == pytest.approx(1 / (1 + math.exp(-(model.slope * evidence + model.offset))))
         clear = [x for x, s in zip(segments, above, strict=True) if s > 0]
         assert [(s["first"], s["end"]) for s in got[k]["segments"]] == [x[:2] for x in clear]
     held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 == 2]
@@ -144,7 +144,7 @@ def test_toxicity_on_held_out_rows(spark, size):
     got = registry.op4_toxic_segments(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
     held = got[got["held_out"]]
     assert ((held["predicted"] == 1) & (held["toxic"] == 1)).sum() >= 0.9 * (held["toxic"] == 1).sum()
-    assert ((held["predicted"] == 1) & (held["toxic"] == 0)).sum() <= 0.02 * (held["toxic"] == 0).sum()
+    assert ((held["predicted"] == 1) & (held["toxic"] == 0)).sum() <= 0.01 * (held["toxic"] == 0).sum()
     assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all()
 
 
