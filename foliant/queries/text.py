@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.functions import hashing, text
+from foliant.functions import entities, hashing, text
 from foliant.functions import records as fields
 from foliant.operators import catalog
 from foliant.queries.base import Tables, query
@@ -96,8 +96,8 @@ def f12_acronyms(t: Tables):
 
 @query()
 def f12_person_names(t: Tables):
-    """Runs of two to four capitalised words, by document."""
-    found = F.explode(F.regexp_extract_all("text", F.lit(text.PERSON), F.lit(1))).alias("name")
+    """Names of two to four capitalised words by document, without stop phrases."""
+    found = F.explode(entities.english_names(F.col("text"))).alias("name")
     return t.documents.select("doc_id", found).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 

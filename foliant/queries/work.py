@@ -11,7 +11,7 @@ from foliant.operators import candidates, entities, extract, imports, profiles,
 from foliant.operators import rules as r
 from foliant.queries.base import Tables, query
 from foliant.queries.extract import _HEADINGS, _marked
-from foliant.sources import readers
+from foliant.sources import readers, sinks
 
 
 @query("SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"parts\":[{\"key\":' || n_regionkey || '}]}') AS semantic_sha FROM nation")
@@ -205,3 +205,42 @@ def v04_policies(t: Tables):
     projects = t.documents.select(F.col("source").alias("project")).distinct().select("project", F.lit(True).alias("release"), F.lit(True).alias("conformance"), F.lit("general-navigation").alias("profile"))
     policies = t.documents.select(F.col("source").alias("project"), F.col("lang").alias("policy"), F.lit("approved").alias("state")).distinct()
     return profiles.policy_findings(projects, policies).select("project", "code", "path")
+
+
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS facet, md5(text) AS value_md5, '/items/' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || '/' || role AS pointer FROM conversations WHERE text IS NOT NULL")
+def s19_structured_questions(t: Tables):
+    """Conversations as JSON texts of question items, read back with pointers."""
+    turns = t.conversations.where("text IS NOT NULL").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.create_map(x["role"], x["text"])).alias("items"))
+    rows = turns.select(F.col("conv_id").alias("path"), F.to_json(F.struct("items")).alias("text"))
+    return readers.qa_items(rows).select(F.col("path").alias("conv_id"), F.col("pos").cast("long").alias("pos"), "facet", F.md5("value").alias("value_md5"), "pointer")
+
+
+@query("SELECT p_partkey, 'P' || p_partkey AS source_key, p_name AS title, 'criticism' AS facet, p_type AS value FROM part UNION ALL SELECT p_partkey, 'P' || p_partkey, p_name, 'response', p_brand || ' it is' FROM part")
+def s20_outline_questions(t: Tables):
+    """Questions of star outlines with their keys and facets."""
+    body = F.concat(F.lit("* Parts\n** "), "p_name", F.lit("\n:PROPERTIES:\n:CUSTOM_ID: P"), "p_partkey", F.lit("\n:END:\n- Criticism :: "), "p_type", F.lit("\n- Response :: "), "p_brand", F.lit("\n  it is\n[fn:1] no facet\n"))
+    rows = t.part.select(F.col("p_partkey").alias("path"), body.alias("text"))
+    return readers.qa_outline(rows).select(F.col("path").alias("p_partkey"), "source_key", "title", "facet", "value")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'current' END AS state FROM documents")
+def s24_registered_sources(t: Tables):
+    """Registered sources against what is there now."""
+    k = F.col("doc_id")
+    there = t.documents.where(k % 5 != 0).select(k.cast("string").alias("name"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
+    sources = t.documents.select(k.cast("string").alias("name"), F.when(k % 3 == 0, "0").otherwise(F.sha2("text", 256)).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return readers.registered(sources, there).select("name", "state")
+
+
+@query("SELECT 1 AS n_pages, count(*) AS n_rows, false AS unsafe FROM lineitem WHERE l_quantity > 48")
+def k06_review_page(t: Tables):
+    """A read-only page of findings, escaped."""
+    found = t.lineitem.where("l_quantity > 48").select(F.lit("error").alias("severity"), F.lit("<Q1>").alias("code"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("path"), F.lit("a & b").alias("message"))
+    page = sinks.review_page(found, "Findings")
+    return page.select(F.lit(1).alias("n_pages"), F.size(F.regexp_extract_all("html", F.lit("<tr>"), F.lit(0))).cast("long").alias("n_rows"), F.contains("html", F.lit("<Q1>")).alias("unsafe"))
+
+
+@query("SELECT size, length(body) AS n, sha256(body) AS sha256 FROM (SELECT size, 'BEGIN' || chr(10) || repeat('.', size - 12) || chr(10) || 'END.' || chr(10) AS body FROM (SELECT unnest([64, 1000, 4096]) AS size))")
+def k07_probes(t: Tables):
+    """Texts of exact sizes."""
+    return sinks.probes(t.spark, [64, 1000, 4096]).select("size", F.length("body").cast("long").alias("n"), "sha256")
