@@ -20,13 +20,15 @@ import threading
 import tomllib
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.records import labelled
 from foliant.operators.extract import detect_format
 
 #: Bytes that a source may have.
@@ -354,15 +356,60 @@ def qa_items(rows: DataFrame, column: str = "text") -> DataFrame:
     return items.select("path", "pos", F.explode("item").alias("facet", "value")).withColumn("pointer", F.concat(F.lit("/items/"), "pos", F.lit("/"), "facet"))
 
 
-def qa_outline(rows: DataFrame, column: str = "text") -> DataFrame:
-    """The same of star outlines: level-2 headings with a CUSTOM_ID, facets as definition lists."""
-    blocks = rows.select("path", F.posexplode(F.split(column, r"(?m)^(?=\*\* )")).alias("pos", "block")).where("block LIKE '** %'")
+def qa_outline(rows: DataFrame, column: str = "text", kinds: dict[str, str] | None = None, kind: str = "unclassified") -> DataFrame:
+    """The same of star outlines: level-2 headings with a CUSTOM_ID, facets as definition lists up to a footnote or keyword.
+
+    ``char_start`` and ``char_end`` are the facet's place in the text, as it stands
+    there; ``kinds`` gives items a kind by their key, the others have ``kind``.
+    """
+    pieces = rows.select("path", F.posexplode(F.split(column, r"(?m)^(?=\*\* )")).alias("pos", "block"))
+    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = pieces.withColumn("begin", F.coalesce(F.sum(F.length("block")).over(before), F.lit(0))).where("block LIKE '** %'")
     body = F.regexp_replace("block", r"(?ms)^(\[fn:|#\+).*", "")
     key = F.regexp_extract("block", r"(?m)^\s*:CUSTOM_ID:\s*(\S+)\s*$", 1)
     pattern = r"(?ms)^- ([^\n:]+?) ::[ \t]*(.*?)(?=^- |\z)"
     zipped = F.arrays_zip(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("f"), F.regexp_extract_all(body, F.lit(pattern), F.lit(2)).alias("v"))
-    found = blocks.select("path", "pos", key.alias("source_key"), F.regexp_extract("block", r"^\*\* (.*)", 1).alias("title"), F.explode(zipped).alias("e"))
-    return found.select("path", "pos", "source_key", "title", F.lower(F.trim("e.f")).alias("facet"), F.trim(F.regexp_replace("e.v", r"\s+", " ")).alias("value"))
+    found = blocks.select("path", "pos", "block", "begin", key.alias("source_key"), F.regexp_extract("block", r"^\*\* (.*)", 1).alias("title"), F.explode(zipped).alias("e"))
+    said = F.regexp_replace("e.v", r"\s+$", "")
+    mark = F.concat(F.lit("\n- "), "e.f", F.lit(" ::"))
+    at = F.call_function("locate", mark, F.col("block"))
+    start = F.col("begin") + F.call_function("locate", said, F.col("block"), at + F.length(mark)) - 1
+    placed = found.withColumn("char_start", start.cast("long")).withColumn("char_end", (start + F.length(said)).cast("long"))
+    named = labelled(F.col("source_key"), dict(kinds or {}), kind)
+    return placed.select("path", "pos", "source_key", "title", named.alias("kind"), F.lower(F.trim("e.f")).alias("facet"), F.trim(F.regexp_replace("e.v", r"\s+", " ")).alias("value"), "char_start", "char_end")
+
+
+def author_package(spark: SparkSession, folder: str, columns: dict[str, dict[str, str]], legacy: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """An author's package: its modules (module, mode, file, reason) and records (module, pos, id, fields as a map of texts, lists joined by " | ").
+
+    The manifest names a JSON or CSV file for each module that it supplies.
+    ``columns`` has each module's columns as "text" or "list"; other columns are an error, as is a module that isn't known.
+    """
+    base = folder.rstrip("/")
+    held = json.loads(spark.read.text(f"{base}/manifest.json", wholetext=True).first()[0])
+    rows = [(name, x.get("mode"), x.get("file"), x.get("reason")) for name, x in sorted(held.get("modules", {}).items())]
+    strange = sorted({name for name, *_ in rows} - set(columns))
+    if strange:
+        raise ValueError(f"unknown modules: {', '.join(strange)}")
+    modules = spark.createDataFrame(rows, "module string, mode string, file string, reason string")
+    parts = []
+    for name, _, file, _ in rows:
+        if not file:
+            continue
+        if posixpath.isabs(file) or ".." in file.split("/"):
+            raise ValueError(f"{file} lies outside the package")
+        kinds = columns[name]
+        if file.endswith(".csv"):
+            table = list_csv(spark, f"{base}/{file}", kinds, legacy)
+        else:
+            schema = T.StructType([T.StructField(c, T.ArrayType(_S) if k == "list" else _S) for c, k in kinds.items()])
+            table = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{base}/{file}", multiLine=True)
+        values = [F.concat_ws(" | ", c) if k == "list" else F.col(c) for c, k in kinds.items()]
+        fields = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in kinds]), F.array(*values)), lambda k, v: v.isNotNull() & (v != ""))
+        # One small file a module: its rows come in their order.
+        parts.append(table.select(F.lit(name).alias("module"), F.monotonically_increasing_id().alias("pos"), F.col("id"), fields.alias("fields")))
+    empty = spark.createDataFrame([], "module string, pos long, id string, fields map<string,string>")
+    return modules, reduce(DataFrame.unionByName, parts, empty)
 
 
 def chapter_map(spark: SparkSession, path: str) -> DataFrame:

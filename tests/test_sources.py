@@ -76,6 +76,23 @@ def test_questions(spark):
     outline = "* Top\n** Q one\n:PROPERTIES:\n:CUSTOM_ID: q1\n:END:\n- Criticism :: it is\n  long\n- Response :: yes\n[fn:1] note\n** Q two\n- Impact :: none\n"
     rows = readers.qa_outline(spark.createDataFrame([("p", outline)], "path string, text string")).collect()
     assert [(r["source_key"], r["facet"], r["value"]) for r in rows] == [("q1", "criticism", "it is long"), ("q1", "response", "yes"), ("", "impact", "none")]
+    assert [outline[r["char_start"] : r["char_end"]] for r in rows] == ["it is\n  long", "yes", "none"]
+    kinds = readers.qa_outline(spark.createDataFrame([("p", outline)], "path string, text string"), kinds={"q1": "misreading"}).collect()
+    assert [r["kind"] for r in kinds] == ["misreading", "misreading", "unclassified"]
+
+
+def test_author_package(spark, tmp_path):
+    manifest = {"modules": {"claims": {"mode": "provided", "file": "claims.csv"}, "names": {"mode": "augment", "file": "names.json"}, "map": {"mode": "omit", "reason": "none"}}}
+    (tmp_path / "manifest.json").write_text(json.dumps(manifest))
+    (tmp_path / "claims.csv").write_text('id,text,chapters\nC1,"a, b",CH-1 | CH-2\nC2,c,\n')
+    (tmp_path / "names.json").write_text('[{"id": "N1", "name": "Ada", "aliases": ["x", "y"]}]')
+    columns = {"claims": {"id": "text", "statement": "text", "chapters": "list"}, "names": {"id": "text", "name": "text", "aliases": "list"}, "map": {}}
+    modules, records = readers.author_package(spark, str(tmp_path), columns, {"text": "statement"})
+    assert [(r["module"], r["mode"]) for r in modules.orderBy("module").collect()] == [("claims", "provided"), ("map", "omit"), ("names", "augment")]
+    got = {r["id"]: r["fields"] for r in records.collect()}
+    assert got == {"C1": {"id": "C1", "statement": "a, b", "chapters": "CH-1 | CH-2"}, "C2": {"id": "C2", "statement": "c"}, "N1": {"id": "N1", "name": "Ada", "aliases": "x | y"}}
+    with pytest.raises(ValueError, match="unknown modules: claims"):
+        readers.author_package(spark, str(tmp_path), {k: v for k, v in columns.items() if k != "claims"})
 
 
 def test_adapter(spark):
