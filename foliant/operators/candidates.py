@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The collection and the main field of each kind of item, and the module of each collection.
+from foliant.functions.records import labelled
+
+# The collection and the main field of each kind of item.
 COLLECTIONS = {"person": ("names", "name"), "term": ("glossary", "term"), "reference": ("references", "label")}
 #: States of a candidate from which a reviewer may accept it.
 OPEN = ("ready",)
@@ -22,8 +24,8 @@ def from_catalog(items: DataFrame, run: str) -> DataFrame:
     a person or term belongs to no chapter, else "ready". Ids depend on content,
     so the same catalogue gives the same candidates.
     """
-    collection = F.when(F.col("kind") == "person", "names").when(F.col("kind") == "term", "glossary").otherwise("references")
-    main = F.when(F.col("kind") == "person", "name").when(F.col("kind") == "term", "term").otherwise("label")
+    collection = labelled(F.col("kind"), {k: x for k, (x, _) in COLLECTIONS.items()}, "references")
+    main = labelled(F.col("kind"), {k: x for k, (_, x) in COLLECTIONS.items()}, "label")
     fields = F.map_filter(F.map_from_arrays(F.array(main, F.lit("chapter_id"), F.lit("url"), F.lit("status")), F.array("label", "chapter_id", "url", F.lit("draft"))), lambda k, v: v != "")
     reasons = F.array_compact(F.array(F.when(F.length("label") > 200, "too_long"), F.when((F.col("kind") != "reference") & (F.col("chapter_id") == ""), "unresolved_chapter")))
     rows = items.withColumn("collection", collection).withColumn("fields", fields).withColumn("reasons", reasons)
