@@ -109,14 +109,14 @@ def j09_work_matches(t: Tables):
 WITH a AS (SELECT c_custkey AS id, c_mktsegment AS kind, CASE WHEN c_custkey % 50 = 1 THEN 'twin' ELSE lower(c_name) END AS title FROM customer),
  b AS (SELECT c_custkey AS id, c_mktsegment AS kind, CASE WHEN c_custkey % 9 = 0 THEN 'same title' WHEN c_custkey = 1 THEN 'twin' ELSE lower(c_name) END AS title FROM customer WHERE c_custkey % 6 <> 0),
  one AS (SELECT kind, title, min(id) AS m, count(*) AS n FROM b GROUP BY ALL), j AS (SELECT a.id, m, n FROM a LEFT JOIN one ON a.kind = one.kind AND a.title = one.title)
-SELECT id, CASE WHEN n = 1 AND count(*) OVER (PARTITION BY m) = 1 THEN m END AS matched, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN count(*) OVER (PARTITION BY m) > 1 THEN 'reused' ELSE 'matched' END AS state FROM j
+SELECT id, CASE WHEN n = 1 AND count(*) OVER (PARTITION BY m) = 1 THEN CAST(m AS VARCHAR) ELSE '' END AS matched, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN count(*) OVER (PARTITION BY m) > 1 THEN 'reused' ELSE 'matched' END AS state FROM j
 """)
 def j12_merge_match(t: Tables):
     """Units matched by kind and normalised title: several are ambiguous, one that is matched twice is reused."""
     k = F.col("c_custkey")
     units = t.customer.select(k.alias("id"), F.col("c_mktsegment").alias("kind"), F.when(k % 50 == 1, " Twin ").otherwise(F.col("c_name")).alias("title"))
     there = t.customer.where(k % 6 != 0).select(k.alias("id"), F.col("c_mktsegment").alias("kind"), F.when(k % 9 == 0, "Same  title").when(k == 1, "twin").otherwise(F.col("c_name")).alias("title"))
-    return ref.merge_match(units, there, "id", "kind", "title")
+    return ref.merge_match(units, there, "id", "kind", "title").withColumn("matched", F.coalesce(F.col("matched").cast("string"), F.lit("")))
 
 
 @query("""

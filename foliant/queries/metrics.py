@@ -275,10 +275,10 @@ def p20_exempt_kinds(t: Tables):
     return records.lacking_required(rows, "kind", "summary", exempt).select("n_nationkey", "kind")
 
 
-@query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS number FROM part WHERE p_type LIKE 'S%' AND p_brand < 'Brand#4' UNION ALL SELECT p_brand, NULL, 0 FROM part GROUP BY p_brand HAVING count(*) FILTER (p_type LIKE 'S%' AND p_brand < 'Brand#4') = 0")
+@query("SELECT p_brand, CAST(p_partkey AS VARCHAR) AS part, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS number FROM part WHERE p_type LIKE 'S%' AND p_brand < 'Brand#4' UNION ALL SELECT p_brand, '', 0 FROM part GROUP BY p_brand HAVING count(*) FILTER (p_type LIKE 'S%' AND p_brand < 'Brand#4') = 0")
 def p06_approved_rules(t: Tables):
     """Approved policies, numbered; a note where there are drafts alone."""
-    return records.approved_rules(t.part.select("p_brand", "p_partkey", "p_type"), ["p_brand"], ["p_partkey"], F.col("p_type").like("S%") & (F.col("p_brand") < "Brand#4")).select("p_brand", "p_partkey", "number")
+    return records.approved_rules(t.part.select("p_brand", "p_partkey", "p_type"), ["p_brand"], ["p_partkey"], F.col("p_type").like("S%") & (F.col("p_brand") < "Brand#4")).select("p_brand", F.coalesce(F.col("p_partkey").cast("string"), F.lit("")).alias("part"), "number")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'removed' WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN 'changed' ELSE 'same' END AS change, CASE WHEN o_orderkey % 13 <> 0 THEN array_to_string(list_filter(['o_orderstatus', 'o_totalprice'], lambda f: (f = 'o_orderstatus' AND o_orderkey % 2 = 0) OR (f = 'o_totalprice' AND o_orderkey % 3 = 0)), ',') ELSE 'o_orderstatus,o_totalprice,o_custkey' END AS changed FROM orders")
