@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,22 @@ def window_hashes(text: str, width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def spans(points: np.ndarray, places: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """width, places and hashes (as of ``window_hashes``) of the windows at some places of each width, ascending; ``points`` are code points, a part of them is hashed at a time."""
+    points, widest = points.astype(np.uint64) + np.uint64(1), max(width for width, _ in places)
+    step = max(STEP, widest)
+    up, down = (_UP, _DOWN) if step == STEP else (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * step, x))]) for x in (_ODD, _INVERSE))
+    for first in range(0, len(points), step):
+        part = points[first : first + step + widest - 1]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)])])
+        for width, wanted in places:
+            at = wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, first + step)] - first
+            if len(at):
+                h = (sums[at + width] - sums[at]) * down[at]
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                yield width, at + first, h ^ (h >> np.uint64(32))
+
+
 def bitmap(rows: DataFrame, place: Column, bits: int) -> np.ndarray:
     """A bitmap of 2^bits bits with those at the rows' places set, built on the executors; its bytes, lowest bit first.
 

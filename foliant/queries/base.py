@@ -11,6 +11,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Bytes of a batch that goes to Python workers, and rows that are read from Parquet at once: rows are whole texts. A session may set its own.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
 class Tables:
     """The tables of a data folder, read when asked for."""
 
@@ -22,11 +26,14 @@ class Tables:
 
 
 def _reachable(spark: SparkSession) -> None:
-    """Python workers get the package's folder on their path."""
+    """Python workers get the package's folder on their path and batches of bounded size."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment
     if root not in known.get("PYTHONPATH", "").split(":"):
         known["PYTHONPATH"] = ":".join(filter(None, [root, known.get("PYTHONPATH", "")]))
+    for name, most in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, most)
 
 
 def query(sql: str | None = None) -> Callable:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import hashing, rolling, text
 from foliant.operators import catalog, extract, layout, metrics, plans, references, windows
+from foliant.registry import QUERIES
 
 
 def values(df, column):
@@ -185,3 +186,26 @@ def test_grounded_pairs_are_brute_force(spark):
     got = {(r["k"], r["w"]) for r in catalog.grounded_pairs(docs, "k", "t", held, "w").collect()}
     pairs = docs.crossJoin(held).where(text.grounded(F.col("t"), F.col("w")))
     assert got == {(r["k"], r["w"]) for r in pairs.collect()} and len(got) > 8
+
+
+def test_grounded_pairs_of_odd_terms(spark):
+    texts = [(1, "a" * 40 + " in, über-all x"), (2, "in,"), (3, None), (4, "über"), (4, "x in. 𝒳y"), (5, "𝒳"), (6, "pain, in.b" + " zz" * 9), (7, "r x"), (8, "y\n"), (9, "l’eau")]
+    terms = ["a" * 40, "a" * 39, "in,", "in.", "ü", "übe", "𝒳", "𝒳y", "x", "zz zz", "r", "y\n", "l’eau", "", None]
+    docs = spark.createDataFrame(texts, "k int, t string")
+    held = spark.createDataFrame([(x, n) for n, x in enumerate(terms)], "w string, n int")
+    got = sorted((r["k"], r["w"], r["n"]) for r in catalog.grounded_pairs(docs, "k", "t", held, "w").collect())
+    pairs = docs.crossJoin(held).where(text.grounded(F.col("t"), F.col("w")))
+    assert got == sorted((r["k"], r["w"], r["n"]) for r in pairs.collect()) and len(got) > 12
+
+
+def test_grounded_terms_are_classes_and_members(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES["f04_grounded_terms"](spark, folder).toPandas()
+    members, found = rows[rows["doc_id"].isna()], rows[rows["doc_id"].notna()]
+    got = members.merge(found, on="class_id")
+    term = F.lower(F.split(F.trim(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)), " ")[0])
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", term.alias("w")).where("length(w) > 0")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.lower("text").alias("t"))
+    want = docs.crossJoin(pages.select("w").distinct()).where(text.grounded(F.col("t"), F.col("w"))).join(pages, "w").select("page_id", "doc_id")
+    pairs = list(zip(got["page_id_x"].astype(int), got["doc_id_y"].astype(int), strict=True))
+    assert len(members) == pages.count() and sorted(pairs) == sorted(map(tuple, want.collect()))
