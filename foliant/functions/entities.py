@@ -52,6 +52,12 @@ def acronyms(text: Column) -> Column:
     return F.filter(found, lambda x: ~x.isin(*ACRONYM_STOP) & ~F.contains(x, F.lit(".")) & ~x.rlike("^[IVXLCDM]+$") & ~(x.rlike("^[A-Za-z]+$") & (F.length(x) > 8)))
 
 
+def no_acronym(label: str) -> bool:
+    """Whether what has the shape of an acronym isn't one, as in ``acronyms``."""
+    roman = not set(label) - set("IVXLCDM")
+    return label in ACRONYM_STOP or "." in label or roman or label.isascii() and label.isalpha() and len(label) > 8
+
+
 def english_names(text: Column) -> Column:
     """Runs of capitalised words in order, a stop phrase ahead of a name taken off (the longest), stop phrases left out."""
     longest = "|".join(rf"\Q{x}\E" for x in sorted(NAME_STOP, key=lambda x: (-len(x), x)))

@@ -44,10 +44,15 @@ def normalize_text(values: pd.Series) -> pd.Series:
     return values.map(normalized, na_action="ignore")
 
 
+def flattened(text: str) -> str:
+    """As ``normalized`` with letters' case kept."""
+    return " ".join(unicodedata.normalize("NFKC", text).split())
+
+
 @F.pandas_udf(T.StringType())
 def flat_text(values: pd.Series) -> pd.Series:
-    """As ``normalize_text`` with letters' case kept."""
-    return values.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()), na_action="ignore")
+    """``flattened`` as a column expression."""
+    return values.map(flattened, na_action="ignore")
 
 
 def normalize_ascii(c: Column) -> Column:

@@ -7,13 +7,18 @@ label, url, char_start, char_end (in the normalised text), confidence, reason.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import entities as en
 from foliant.functions import text as tx
+from foliant.functions.records import labelled
 from foliant.operators.catalog import with_chapter
-from foliant.operators.references import union
 
 #: The most places of an item (a limit of the catalogue: the first ones stay).
 MOST_PLACES = 200
@@ -21,84 +26,104 @@ MOST_PLACES = 200
 KINDS = ("person", "term", "reference")
 
 
-def views(texts: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, shown, norm, shown_compact, compact and offsets (of compact in norm)."""
-    held = texts.select(F.col(doc).alias("doc"), tx.flat_text(text).alias("shown"), tx.normalize_text(text).alias("norm"))
-    both = held.withColumn("c", tx.compact_view("norm")).withColumn("s", tx.compact_view("shown"))
-    return both.select("doc", "shown", "norm", F.col("s.text").alias("shown_compact"), F.col("c.text").alias("compact"), F.col("c.offsets").alias("offsets"))
-
-
-def _mentions(rows: DataFrame, kind: str, confidence: str, reason: Column | str, url: Column | str = "") -> DataFrame:
-    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
-    return rows.select("doc", F.lit(kind).alias("kind"), "label", as_column(url).alias("url"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.lit(confidence).alias("confidence"), as_column(reason).alias("reason"))
-
-
-def _in_source(rows: DataFrame) -> DataFrame:
-    """Places in compact texts (``at``, ``size``) as places in the normalised ones."""
-    return rows.withColumn("char_start", F.element_at("offsets", F.col("at") + 1)).withColumn("char_end", F.element_at("offsets", F.col("at") + F.col("size")) + 1)
-
-
-def latin_people(seen: DataFrame, vertical: bool = False) -> DataFrame:
-    """Names of several capitalised words that a verb of attribution or a person's mark follows."""
-    labels = seen.select("doc", "norm", F.explode(F.array_distinct(en.english_names(F.col("shown")))).alias("label")).withColumn("term", tx.normalize_text("label"))
-    places = labels.withColumn("char_start", F.explode(F.slice(tx.positions(F.col("norm"), F.col("term")), 1, MOST_PLACES))).withColumn("char_end", F.col("char_start") + F.length("term"))
-    after = tx.compact_view(F.substring("norm", F.col("char_end") + 1, F.lit(100)))["text"]
-    return _mentions(places.withColumn("after", after).where(en.latin_person(F.col("after"), vertical)), "person", "medium", "latin_multi_token_name_shape")
-
-
-def japanese_people(seen: DataFrame, vertical: bool = False) -> DataFrame:
-    """Names in katakana and kanji by the form of the name and what follows it."""
-    parts = []
-    shapes = (
-        (en.VERTICAL_KATAKANA_NAME if vertical else tx.KATAKANA_NAME, "vertical_katakana_person_context" if vertical else "katakana_attribution_context", False),
-        (en.VERTICAL_KANJI_NAME if vertical else tx.KANJI_NAME, "vertical_kanji_person_marker" if vertical else "kanji_attribution_context", True),
-    )
-    for pattern, reason, kanji in shapes:
-        labels = seen.select("doc", "compact", "offsets", F.explode(F.array_distinct(F.regexp_extract_all("compact", F.lit(pattern), F.lit(1)))).alias("label"))
-        places = labels.withColumn("at", F.explode(tx.positions(F.col("compact"), F.col("label")))).withColumn("size", F.length("label"))
-        after = F.substring("compact", F.col("at") + F.col("size") + 1, F.lit(80))
-        parts.append(_mentions(_in_source(places.where(en.japanese_person(F.col("label"), after, kanji, vertical))), "person", "low", reason))
-    return union(*parts)
-
-
-def terms(seen: DataFrame, vertical: bool = False) -> DataFrame:
-    """Defined terms, quoted or not, at their first place, and acronyms at all of theirs (as words of their own)."""
-    shapes = ((tx.QUOTED_TERM, "quoted_definition_shape", en.quoted_term_label), (en.DEFINED_TERM, "definition_shape", en.defined_term_label))
-    parts = []
-    for pattern, reason, fits in shapes:
-        labels = seen.select("doc", "compact", "offsets", F.explode(F.array_distinct(F.regexp_extract_all("shown_compact", F.lit(pattern), F.lit(1)))).alias("label"))
-        if vertical:
-            labels, reason = labels.where(fits(F.col("label"))), f"vertical_{reason}"
-        parts.append((labels, reason, "medium", 1))
-    capitals = seen.select("doc", "compact", "offsets", F.explode(F.array_distinct(en.acronyms(F.col("shown_compact")))).alias("label"))
-    parts.append((capitals, "uppercase_acronym_shape", "low", MOST_PLACES))
-    out = []
-    for labels, reason, confidence, most in parts:
-        keyed = labels.withColumn("term", tx.compact_view(tx.normalize_text("label"))["text"]).withColumn("size", F.length("term"))
-        places = keyed.withColumn("at", F.explode(F.slice(en.bounded_positions(F.col("compact"), F.col("term")), 1, most)))
-        out.append(_mentions(_in_source(places), "term", confidence, reason))
-    return union(*out)
-
-
-def addresses(seen: DataFrame) -> DataFrame:
-    """Web addresses and digital object identifiers, without marks that end the sentence around them."""
-    trailing = r"[.,;:!?)\]}）】」』]+$"
-    parts = []
-    for pattern, reason, label, url in (
-        (tx.URL, "explicit_http_url", F.regexp_replace(F.regexp_replace("found", r"(?i)^https?://", ""), r"/?(?:[?#].*)?$", ""), F.col("found")),
-        (tx.DOI, "explicit_doi", F.concat(F.lit("DOI "), "found"), F.concat(F.lit("https://doi.org/"), F.lower("found"))),
-    ):
-        held = seen.select("doc", "norm", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("shown", F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, trailing, "")))).alias("found"))
-        keyed = held.withColumn("term", tx.normalize_text("found"))
-        places = keyed.withColumn("char_start", F.explode(F.slice(tx.positions(F.col("norm"), F.col("term")), 1, MOST_PLACES))).withColumn("char_end", F.col("char_start") + F.length("term"))
-        parts.append(_mentions(places.withColumn("label", label), "reference", "high", reason, url))
-    return union(*parts)
+# What is looked for in which order, and how many places of each label stay.
+SHAPES = ("latin", "katakana", "kanji", "quoted", "defined", "acronym", "url", "doi")
+_PLACES = {"latin": MOST_PLACES, "quoted": 1, "defined": 1, "acronym": MOST_PLACES, "url": MOST_PLACES, "doi": MOST_PLACES}
+#: Marks that end the sentence around an address.
+_TRAILING = re.compile(r"[.,;:!?)\]}）】」』]+$")
+_STOP_AHEAD = re.compile("^(?:%s) " % "|".join(re.escape(x) for x in sorted(en.NAME_STOP, key=lambda x: (-len(x), x))))
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _starts(text: str, term: str, bounded: bool, most: int | None) -> list[int]:
+    """The first starts of non-overlapping occurrences of a term: as words of their own, if it is plain and that is asked for."""
+    found: list[int] = []
+    bounded = bounded and not set(term) - _ALNUM
+    at = text.find(term) if term else -1
+    while at >= 0 and (most is None or len(found) < most):
+        end = at + len(term)
+        fits = not bounded or (at == 0 or text[at - 1] not in _ALNUM) and (end == len(text) or text[end] not in _ALNUM)
+        if fits:
+            found.append(at)
+        at = text.find(term, end if fits else at + 1)
+    return found
+
+
+def _compact(flat: str) -> tuple[str, np.ndarray | None]:
+    """``compacted`` of a text with single blanks alone; no places where each character stays where it is."""
+    sizes = bytes(min(len(x), 2) for x in flat.split(" "))
+    if b"\x01\x01" not in sizes:
+        return flat, None
+    return tx.compacted(flat)
+
+
+def _labels(shown: str, shown_compact: str, compact: str, shapes: dict[str, re.Pattern]) -> Iterator[tuple[str, str]]:
+    """shape and label of what texts hold, each once."""
+    looked_at = {"latin": shown, "katakana": compact, "kanji": compact, "quoted": shown_compact, "defined": shown_compact, "acronym": shown_compact, "url": shown, "doi": shown}
+    for shape in SHAPES:
+        found = dict.fromkeys(shapes[shape].findall(looked_at[shape]))
+        if shape == "latin":
+            found = dict.fromkeys(_STOP_AHEAD.sub("", x) for x in found)
+        elif shape in ("url", "doi"):
+            found = dict.fromkeys(_TRAILING.sub("", x) for x in found)
+        for label in found:
+            if not (shape == "latin" and label in en.NAME_STOP or shape == "acronym" and en.no_acronym(label)):
+                yield shape, label
+
+
+def _places(text: str, shapes: dict[str, re.Pattern]) -> Iterator[tuple[str, str, int, int, str]]:
+    """shape, label, place in the normalised text and what follows (compact) of all that a text may mention."""
+    shown, norm = tx.flattened(text), tx.normalized(text)
+    shown_compact, (compact, offsets) = _compact(shown)[0], _compact(norm)
+    for shape, label in _labels(shown, shown_compact, compact, shapes):
+        if shape in ("latin", "url", "doi"):
+            term = tx.normalized(label)
+            for at in _starts(norm, term, False, _PLACES[shape]):
+                end = at + len(term)
+                yield shape, label, at, end, tx.compacted(norm[end : end + 100])[0] if shape == "latin" else ""
+        else:
+            term = label if shape in ("katakana", "kanji") else tx.compacted(tx.normalized(label))[0]
+            for at in _starts(compact, term, shape not in ("katakana", "kanji"), _PLACES.get(shape)):
+                end = at + len(term)
+                yield shape, label, *((at, end) if offsets is None else (int(offsets[at]), int(offsets[end - 1]) + 1)), compact[end : end + 80]
 
 
 def mentions(texts: DataFrame, doc: str, text: str, vertical: bool = False) -> DataFrame:
-    """All mentions of people, terms and references of each text."""
-    seen = views(texts, doc, text)
-    return union(latin_people(seen, vertical), japanese_people(seen, vertical), terms(seen, vertical), addresses(seen))
+    """All mentions of people, terms and references of each text.
+
+    A text is read once, in a task that holds one batch; its views don't leave it, only what
+    was found there does. Which Latin and Japanese names are people is decided by what follows them.
+    """
+    kana, kanji = (en.VERTICAL_KATAKANA_NAME, en.VERTICAL_KANJI_NAME) if vertical else (tx.KATAKANA_NAME, tx.KANJI_NAME)
+    # As in Java, classes and case are those of ASCII.
+    shapes = {k: re.compile(x, re.ASCII) for k, x in zip(SHAPES, (tx.PERSON, kana, kanji, tx.QUOTED_TERM, en.DEFINED_TERM, tx.ACRONYM, tx.URL, tx.DOI), strict=True)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                rows = [(k, *x) for k, value in enumerate(part.column(1).to_pylist()) if value for x in _places(value, shapes)]
+                at, *columns = zip(*rows, strict=True) if rows else ((),) * 6
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], ["doc", "shape", "found", "char_start", "char_end", "after"])
+
+    key = texts.schema[doc].dataType.simpleString()
+    seen = texts.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc {key}, shape string, found string, char_start long, char_end long, after string")
+    found, after, shape = F.col("found"), F.col("after"), F.col("shape")
+    fits = {"latin": en.latin_person(after, vertical), "katakana": en.japanese_person(found, after, False, vertical), "kanji": en.japanese_person(found, after, True, vertical)}
+    if vertical:
+        fits |= {"quoted": en.quoted_term_label(found), "defined": en.defined_term_label(found)}
+    meant = F.coalesce(*[F.when(shape == k, F.coalesce(c, F.lit(False))) for k, c in fits.items()], F.lit(True))
+    reasons = {
+        "latin": "latin_multi_token_name_shape", "katakana": "vertical_katakana_person_context" if vertical else "katakana_attribution_context",
+        "kanji": "vertical_kanji_person_marker" if vertical else "kanji_attribution_context", "quoted": "vertical_quoted_definition_shape" if vertical else "quoted_definition_shape",
+        "defined": "vertical_definition_shape" if vertical else "definition_shape", "acronym": "uppercase_acronym_shape", "url": "explicit_http_url", "doi": "explicit_doi",
+    }
+    label = F.when(shape == "url", F.regexp_replace(F.regexp_replace(found, r"(?i)^https?://", ""), r"/?(?:[?#].*)?$", "")).when(shape == "doi", F.concat(F.lit("DOI "), found)).otherwise(found)
+    url = F.when(shape == "url", found).when(shape == "doi", F.concat(F.lit("https://doi.org/"), F.lower(found))).otherwise("")
+    kind = F.when(shape.isin("latin", "katakana", "kanji"), "person").when(shape.isin("url", "doi"), "reference").otherwise("term")
+    confidence = F.when(shape.isin("url", "doi"), "high").when(shape.isin("latin", "quoted", "defined"), "medium").otherwise("low")
+    return seen.where(meant).select("doc", kind.alias("kind"), label.alias("label"), url.alias("url"), "char_start", "char_end", confidence.alias("confidence"), labelled(shape, reasons, "").alias("reason"))
 
 
 def items(found: DataFrame, spans: DataFrame) -> DataFrame:

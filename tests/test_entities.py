@@ -101,3 +101,19 @@ def test_mentions_and_items(spark):
     assert len({r["item_id"] for r in listed}) == len(listed)
     targets = entities.context_targets(entities.items(found, spans), 3).orderBy("target").collect()
     assert [r["target"] for r in targets] == [1, 2, 3] and all(r["kind"] == "person" for r in targets)
+
+
+def test_texts_are_read_once_and_stay_in_their_task(spark, tmp_path):
+    # Rows that were made of labels took their texts' views along to Python workers, and each kind read the texts anew.
+    spark.createDataFrame([(1, BOOK)], "doc int, t string").write.parquet(str(tmp_path / "t"))
+    plan = entities.mentions(spark.read.parquet(str(tmp_path / "t")), "doc", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Generate" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_places_of_labels_in_odd_texts(spark):
+    odd = "Ａｄａ Ｌｏｖｅｌａｃｅ argued. x Ada  Lovelace wrote AI AI2 A I U S A. Alan Turing arguedé. ſee HTTPS://Ex.org/ſ). A B C「 計 算 」とは。ＡＩとは何か「x y」と呼ばれる。XAI AI"
+    rows = entities.mentions(spark.createDataFrame([(1, odd), (2, " \n")], "doc int, t string"), "doc", "t").collect()
+    norm = tx.normalized(odd)
+    assert {(r["label"], norm[r["char_start"] : r["char_end"]]) for r in rows} >= {("Ada Lovelace", "ada lovelace"), ("計算", "計 算"), ("AI", "ai"), ("Ex.org/s", "https://ex.org/s")}
+    compact = tx.compacted(norm)[0]
+    assert sum(r["label"] == "AI" and r["reason"] == "uppercase_acronym_shape" for r in rows) == len(spark.createDataFrame([(compact,)], "t string").select(F.explode(en.bounded_positions(F.col("t"), F.lit("ai")))).collect())
