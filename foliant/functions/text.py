@@ -60,9 +60,13 @@ def normalize_ascii(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
 @F.pandas_udf(T.StringType())
 def unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
+    """Texts with character references decoded, a no-break space as a blank; one without its semicolon is text."""
+    return values.map(lambda x: _REFERENCE.sub(lambda m: " " if m[0] == "&nbsp;" else html.unescape(m[0]), x), na_action="ignore")
 
 
 def escape(c: Column) -> Column:
@@ -114,9 +118,9 @@ def safe_line(c: Column, most: int = 500) -> Column:
 _TRAILING = r"(?:\{#[-\w]+\}\s*)?(?:\s+:[\w@#%:.-]+:\s*)?(?:\s+#+\s*)?$"
 
 
-def clean_heading(c: Column) -> Column:
-    """A heading without closing marks, tags or anchor, entities decoded."""
-    return F.trim(unescape(F.regexp_replace(F.regexp_replace(c, _TRAILING, ""), r"\s+", " ")))
+def clean_heading(c: Column, marks: bool = True) -> Column:
+    """A heading without closing marks, tags or anchor (``marks``: a web page's title has none), entities decoded."""
+    return F.trim(unescape(F.regexp_replace(F.regexp_replace(c, _TRAILING, "") if marks else c, r"\s+", " ")))
 
 
 def quoted(needle: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors.exceptions.captured import SparkRuntimeException
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import hashing, rolling, text
 from foliant.operators import catalog, extract, layout, metrics, plans, references, windows
-from foliant.registry import QUERIES
+from foliant.registry import QUERIES, SQL
 
 
 def values(df, column):
@@ -209,3 +210,13 @@ def test_grounded_terms_are_classes_and_members(spark):
     want = docs.crossJoin(pages.select("w").distinct()).where(text.grounded(F.col("t"), F.col("w"))).join(pages, "w").select("page_id", "doc_id")
     pairs = list(zip(got["page_id_x"].astype(int), got["doc_id_y"].astype(int), strict=True))
     assert len(members) == pages.count() and sorted(pairs) == sorted(map(tuple, want.collect()))
+
+
+def test_titles_are_those_of_the_sql(spark, tmp_path):
+    titles = ["a &amp; b&amp", "x &lt;y&gt", "C #", "a {#b}", "&amp;lt; &quot;q&quot; &#39;", "&nbsp;a &nbsp; b", "  two\t\nlines ", "", "&;&#;", "x :tag:"]
+    rows = spark.createDataFrame([(k, f"<title>{x}</title>") for k, x in enumerate(titles)] + [(99, "none"), (100, None)], "page_id long, html string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(map(tuple, QUERIES["f05_clean_heading"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(SQL["f05_clean_heading"]).fetchall())
