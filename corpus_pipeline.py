@@ -19,8 +19,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: exact 5-word shingle similarity of 0.8 or more (operator 8's fingerprints reach few of these)."""
-    return simhash.keep_one(docs, copies.first_copies(docs))
+    """One document of each group that operator 8's fingerprints link, or exact 5-word shingle similarity of 0.8 or more, of which fingerprints reach few."""
+    return simhash.keep_one(docs, copies.first_copies(docs, simhash.near_duplicates(docs)))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

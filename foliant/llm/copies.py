@@ -315,12 +315,33 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, final
 
 
-def first_copies(docs: DataFrame) -> DataFrame:
-    """doc_id of the smallest document of each group of near copies, single documents too."""
+def _joined_by(docs: DataFrame, near: DataFrame, roots: DataFrame) -> DataFrame:
+    """node and root of all sets once the components of similar sets that a group of ``near`` (doc_id, component_id) reaches are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([set_key(x) for x in shingle_sets(texts)], pa.int64())], ["doc_id", "node"])
+
+    keyed = text_of(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, node long")
+    groups = keyed.join(near.where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct(), "doc_id").select("node", "component_id").distinct()
+    held = materialise(groups.join(roots, "node").select("root", "component_id").distinct(), "copies-groups")
+    low = held.groupBy("component_id").agg(F.min("root").alias("b"), F.max("root").alias("top")).where("b < top").select("component_id", "b")
+    further = components(held.join(low, "component_id").where("root > b").select(F.col("root").alias("a"), "b").distinct())
+    return roots.join(further.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+
+
+def first_copies(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """doc_id of the smallest document of each group of near copies, single documents too.
+
+    ``near`` has doc_id and component_id of groups that were found otherwise, as by
+    operator 8: their links and those of similar sets count alike, and no link is lost.
+    """
     spark = docs.sparkSession
     path = fresh_path(spark, "copies-firsts")
     with temporary(spark):
         sets, roots = similar_sets(docs)
+        if near is not None:
+            roots = _joined_by(docs, near, materialise(roots, "copies-roots"))
         placed = sets.join(roots.withColumnRenamed("node", "s"), "s").select("root", "least_id")
         placed.groupBy("root").agg(F.min("least_id").alias("doc_id")).where("doc_id IS NOT NULL").select("doc_id").write.parquet(path)
     return spark.read.parquet(path)

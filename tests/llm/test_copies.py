@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+import corpus_pipeline
 from foliant.llm import common, copies, simhash
 
 
@@ -125,3 +126,17 @@ def test_sketches_bound_what_sets_share():
         fits = copies.may_be_similar(copies.sketch(x), copies.sketch(y), n, m)
         assert fits or 5 * both < 4 * (n + m - both)
     assert not fits
+
+
+def test_the_stage_follows_fingerprints_and_similar_sets(spark):
+    # 1 and 2 have one fingerprint and few shingles in common; 2 and 3 have similar sets, as have 3 and 4; 5 is alone.
+    said = "the quick brown fox jumps over a lazy dog while it rains hard " * 60
+    tail = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    once = said.split()[:13]
+    texts = [said + tail("a", 30), said + tail("b", 30), " ".join(once) + " " + tail("b", 30), " ".join(once[2:]) + " " + tail("b", 30), tail("z", 40)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts, 1)], "doc_id long, text string")
+    fps = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert fps[2] == 1
+    assert {r["doc_id"] for r in copies.first_copies(docs).collect()} == {1, 2, 5}
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
