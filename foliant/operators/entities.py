@@ -3,6 +3,7 @@
 Texts are looked at in three views: as they are shown (labels), normalised
 (places), and compact (print that sets every glyph apart). A mention is doc, kind,
 label, url, char_start, char_end (in the normalised text), confidence, reason.
+Normalised labels and the text's length are known where it is read; a catalogue takes them from there.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ _PLACES = {"latin": MOST_PLACES, "quoted": 1, "defined": 1, "acronym": MOST_PLAC
 _TRAILING = re.compile(r"[.,;:!?)\]}）】」』]+$")
 _STOP_AHEAD = re.compile("^(?:%s) " % "|".join(re.escape(x) for x in sorted(en.NAME_STOP, key=lambda x: (-len(x), x))))
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+#: A blank between single glyphs, where there are single blanks alone.
+_JOINT = re.compile(rf" (?={tx.GLYPH}(?!\S))(?<=(?<!\S){tx.GLYPH} )")
 
 
 def _starts(text: str, term: str, bounded: bool, most: int | None) -> list[int]:
@@ -51,16 +54,18 @@ def _starts(text: str, term: str, bounded: bool, most: int | None) -> list[int]:
 
 def _compact(flat: str) -> tuple[str, np.ndarray | None]:
     """``compacted`` of a text with single blanks alone; no places where each character stays where it is."""
-    sizes = bytes(min(len(x), 2) for x in flat.split(" "))
-    if b"\x01\x01" not in sizes:
-        return flat, None
-    return tx.compacted(flat)
+    joints = [m.start() for m in _JOINT.finditer(flat)]
+    return (_JOINT.sub("", flat), np.delete(np.arange(len(flat)), joints)) if joints else (flat, None)
 
 
 def _labels(shown: str, shown_compact: str, compact: str, shapes: dict[str, re.Pattern]) -> Iterator[tuple[str, str]]:
     """shape and label of what texts hold, each once."""
     looked_at = {"latin": shown, "katakana": compact, "kanji": compact, "quoted": shown_compact, "defined": shown_compact, "acronym": shown_compact, "url": shown, "doi": shown}
+    # What a shape can't do without is looked for first.
+    absent = {"url": "://" not in shown, "doi": "10." not in shown} | dict.fromkeys(("katakana", "kanji", "quoted", "defined"), compact.isascii() and shown_compact.isascii())
     for shape in SHAPES:
+        if absent.get(shape):
+            continue
         found = dict.fromkeys(shapes[shape].findall(looked_at[shape]))
         if shape == "latin":
             found = dict.fromkeys(_STOP_AHEAD.sub("", x) for x in found)
@@ -71,28 +76,35 @@ def _labels(shown: str, shown_compact: str, compact: str, shapes: dict[str, re.P
                 yield shape, label
 
 
-def _places(text: str, shapes: dict[str, re.Pattern]) -> Iterator[tuple[str, str, int, int, str]]:
-    """shape, label, place in the normalised text and what follows (compact) of all that a text may mention."""
-    shown, norm = tx.flattened(text), tx.normalized(text)
+def _views(text: str) -> tuple[str, str]:
+    """``flattened`` and ``normalized`` text by one normalisation: case folding makes no white space."""
+    shown = tx.flattened(text)
+    return shown, shown.casefold()
+
+
+def _places(shown: str, norm: str, shapes: dict[str, re.Pattern]) -> Iterator[tuple[str, str, str, int, int, str]]:
+    """shape, label, key, place in the normalised text and what follows (compact) of all that a text may mention."""
     shown_compact, (compact, offsets) = _compact(shown)[0], _compact(norm)
     for shape, label in _labels(shown, shown_compact, compact, shapes):
+        key = tx.normalized(label)
         if shape in ("latin", "url", "doi"):
-            term = tx.normalized(label)
-            for at in _starts(norm, term, False, _PLACES[shape]):
-                end = at + len(term)
-                yield shape, label, at, end, tx.compacted(norm[end : end + 100])[0] if shape == "latin" else ""
+            named = f"https://doi.org/{key}" if shape == "doi" else key
+            for at in _starts(norm, key, False, _PLACES[shape]):
+                end = at + len(key)
+                yield shape, label, named, at, end, _compact(norm[end : end + 100].strip(" "))[0] if shape == "latin" else ""
         else:
-            term = label if shape in ("katakana", "kanji") else tx.compacted(tx.normalized(label))[0]
+            term = label if shape in ("katakana", "kanji") else _compact(key)[0]
             for at in _starts(compact, term, shape not in ("katakana", "kanji"), _PLACES.get(shape)):
                 end = at + len(term)
-                yield shape, label, *((at, end) if offsets is None else (int(offsets[at]), int(offsets[end - 1]) + 1)), compact[end : end + 80]
+                yield shape, label, key, *((at, end) if offsets is None else (int(offsets[at]), int(offsets[end - 1]) + 1)), compact[end : end + 80]
 
 
-def mentions(texts: DataFrame, doc: str, text: str, vertical: bool = False) -> DataFrame:
+def mentions(texts: DataFrame, doc: str, text: str, vertical: bool = False, keyed: bool = False) -> DataFrame:
     """All mentions of people, terms and references of each text.
 
     A text is read once, in a task that holds one batch; its views don't leave it, only what
     was found there does. Which Latin and Japanese names are people is decided by what follows them.
+    ``keyed``: with key (the normalised label, a reference's address) and n_chars (of the normalised text).
     """
     kana, kanji = (en.VERTICAL_KATAKANA_NAME, en.VERTICAL_KANJI_NAME) if vertical else (tx.KATAKANA_NAME, tx.KANJI_NAME)
     # As in Java, classes and case are those of ASCII.
@@ -102,13 +114,14 @@ def mentions(texts: DataFrame, doc: str, text: str, vertical: bool = False) -> D
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
-                rows = [(k, *x) for k, value in enumerate(part.column(1).to_pylist()) if value for x in _places(value, shapes)]
-                at, *columns = zip(*rows, strict=True) if rows else ((),) * 6
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], ["doc", "shape", "found", "char_start", "char_end", "after"])
+                views = ((k, *_views(value)) for k, value in enumerate(part.column(1).to_pylist()) if value)
+                rows = [(k, len(norm), *x) for k, shown, norm in views for x in _places(shown, norm, shapes)]
+                at, *columns = zip(*rows, strict=True) if rows else ((),) * 8
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], ["doc", "n_chars", "shape", "found", "key", "char_start", "char_end", "after"])
 
     key = texts.schema[doc].dataType.simpleString()
-    seen = texts.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc {key}, shape string, found string, char_start long, char_end long, after string")
+    seen = texts.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc {key}, n_chars long, shape string, found string, key string, char_start long, char_end long, after string")
     found, after, shape = F.col("found"), F.col("after"), F.col("shape")
     fits = {"latin": en.latin_person(after, vertical), "katakana": en.japanese_person(found, after, False, vertical), "kanji": en.japanese_person(found, after, True, vertical)}
     if vertical:
@@ -123,25 +136,30 @@ def mentions(texts: DataFrame, doc: str, text: str, vertical: bool = False) -> D
     url = F.when(shape == "url", found).when(shape == "doi", F.concat(F.lit("https://doi.org/"), F.lower(found))).otherwise("")
     kind = F.when(shape.isin("latin", "katakana", "kanji"), "person").when(shape.isin("url", "doi"), "reference").otherwise("term")
     confidence = F.when(shape.isin("url", "doi"), "high").when(shape.isin("latin", "quoted", "defined"), "medium").otherwise("low")
-    return seen.where(meant).select("doc", kind.alias("kind"), label.alias("label"), url.alias("url"), "char_start", "char_end", confidence.alias("confidence"), labelled(shape, reasons, "").alias("reason"))
+    return seen.where(meant).select("doc", kind.alias("kind"), label.alias("label"), url.alias("url"), "char_start", "char_end", confidence.alias("confidence"), labelled(shape, reasons, "").alias("reason"), *["key", "n_chars"] * keyed)
 
 
-def items(found: DataFrame, spans: DataFrame) -> DataFrame:
+def items(found: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """Mentions as catalogue items in order: doc, place, kind, label, url, chapter_id, n_places, first_start, reasons, item_id.
 
     A person is an item of its chapter, a term one of the chapter of its first
-    mention there, a reference one of the book. ``spans`` has doc, char_first, char_last, chapter_id.
+    mention there, a reference one of the book. ``spans`` has doc, char_first, char_last, chapter_id;
+    without them mentions say their chapter_id. Only mentions without a key are normalised.
+    One grouping by what makes an item: tasks that find mentions sum them up before they are dealt out.
     """
-    placed = with_chapter(found, spans).withColumn("norm", tx.normalize_text("label"))
-    resolved = F.when(F.col("chapter_id").isNotNull(), 0).otherwise(1)
-    first = Window.partitionBy("doc", "kind", "norm").orderBy(resolved, "char_start", "reason")
-    chapter = F.when(F.col("kind") == "reference", "").when(F.col("kind") == "term", F.first("chapter_id").over(first)).otherwise(F.col("chapter_id"))
-    keyed = placed.withColumn("chapter", F.coalesce(chapter.cast("string"), F.lit(""))).withColumn("key", F.when(F.col("kind") == "reference", tx.normalize_text("url")).otherwise(F.col("norm")))
-    order = F.struct("char_start", "reason")
+    placed = found if spans is None else with_chapter(found, spans)
+    kind, chapter = F.col("kind"), F.col("chapter_id").cast("string")
+    if "key" not in found.columns:
+        placed = placed.withColumn("key", tx.normalize_text(F.when(kind == "reference", F.col("url")).otherwise(F.col("label"))))
+    keyed = placed.withColumn("own", F.when(kind == "person", F.coalesce(chapter, F.lit(""))).otherwise(""))
+    # Places of two spellings may be the same: the order is one of all that is told apart.
+    order = F.struct("char_start", "reason", "label", "url")
+    earliest = F.struct(F.when(chapter.isNotNull(), 0).otherwise(1).alias("unresolved"), F.col("char_start"), F.col("reason"), chapter.alias("chapter"))
     starts = F.sort_array(F.collect_set("char_start"))
-    grouped = keyed.groupBy("doc", "kind", "key", "chapter").agg(
-        F.min_by("label", order).alias("label"), F.min_by("url", order).alias("url"), F.size(starts).alias("n_places"), F.element_at(starts, 1).alias("first_start"), F.slice(starts, 1, MOST_PLACES).alias("places"), F.sort_array(F.collect_set("reason")).alias("reasons")
+    grouped = keyed.groupBy("doc", "kind", "key", "own").agg(
+        F.min(earliest).alias("earliest"), F.min(order).alias("first"), F.size(starts).alias("n_places"), F.element_at(starts, 1).alias("first_start"), F.slice(starts, 1, MOST_PLACES).alias("places"), F.sort_array(F.collect_set("reason")).alias("reasons")
     )
+    grouped = grouped.withColumns({"label": F.col("first.label"), "url": F.col("first.url"), "chapter": F.when(kind == "term", F.coalesce("earliest.chapter", F.lit(""))).otherwise(F.col("own"))})
     content = F.array_join(F.array("kind", "key", "chapter", "url"), "\x00")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     place = F.row_number().over(Window.partitionBy("doc").orderBy(rank, "chapter", "key"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from foliant.functions import entities as en
 from foliant.functions import text as tx
 from foliant.operators import entities
+from foliant.registry import QUERIES
 
 BOOK = (
     "Ada Lovelace described the engine. Ada Lovelace walked. In New York nobody wrote. Machine Learning Alan Turing proposed a test. "
@@ -117,3 +118,45 @@ def test_places_of_labels_in_odd_texts(spark):
     assert {(r["label"], norm[r["char_start"] : r["char_end"]]) for r in rows} >= {("Ada Lovelace", "ada lovelace"), ("計算", "計 算"), ("AI", "ai"), ("Ex.org/s", "https://ex.org/s")}
     compact = tx.compacted(norm)[0]
     assert sum(r["label"] == "AI" and r["reason"] == "uppercase_acronym_shape" for r in rows) == len(spark.createDataFrame([(compact,)], "t string").select(F.explode(en.bounded_positions(F.col("t"), F.lit("ai")))).collect())
+
+
+ODD = "Ａｄａ Ｌｏｖｅｌａｃｅ argued. x Ada  Lovelace wrote AI AI2 A I U S A. Alan Turing arguedé. ſee HTTPS://Ex.org/ſ). A B C「 計 算 」とは。ＡＩとは何か「x y」と呼ばれる。XAI AI"
+
+
+def _whole(spark, tmp_path, query):
+    """What a query makes of BOOK, ODD, a text without a key and texts of nothing, and its plan."""
+    rows = [(1, BOOK), (2, ODD), (3, None), (4, " \n"), (None, "Ada Lovelace wrote of AI.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return QUERIES[query](spark, str(tmp_path))
+
+
+def _by_spans(spark, tmp_path):
+    texts = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    spans = texts.select(F.col("doc_id").alias("doc"), F.lit(0).alias("char_first"), F.length(tx.normalize_text("text")).alias("char_last"), F.lit("CH-01").alias("chapter_id"))
+    return entities.items(entities.mentions(texts, "doc_id", "text"), spans)
+
+
+def test_context_targets_read_texts_once(spark, tmp_path):
+    # Texts were normalised again for their lengths, and all mentions joined with them, dealt out four times and sorted before any was summed up.
+    got = _whole(spark, tmp_path, "t05_context_targets")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and "ArrowEvalPython" not in plan
+    want = entities.context_targets(_by_spans(spark, tmp_path)).select("doc", "target", "kind", "label")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 9
+
+
+def test_spellings_at_one_place_are_ordered(spark):
+    # The label of an item was that of whichever row came first.
+    rows = [(1, "reference", x, f"https://{x}", 5, 16, "high", "explicit_http_url") for x in ("ex.org/A", "ex.org/a")]
+    spans = spark.createDataFrame([(1, 0, 99, "CH-01")], "doc int, char_first int, char_last int, chapter_id string")
+    kinds = "doc int, kind string, label string, url string, char_start long, char_end long, confidence string, reason string"
+    got = [entities.items(spark.createDataFrame(x, kinds).coalesce(1), spans).collect() for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and [r["label"] for r in got[0]] == ["ex.org/A"]
+
+
+def test_compact_texts_are_those_of_any_white_space():
+    for text in (BOOK, ODD, "A B C d ef g h", "x", "", "a - b . c 計 算 z", "は U S A が"):
+        flat = tx.normalized(text)
+        compact, offsets = entities._compact(flat)
+        want, places = tx.compacted(flat)
+        assert compact == want and (list(range(len(flat))) if offsets is None else offsets.tolist()) == places.tolist()
