@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import entities as en
 from foliant.functions import text as tx
-from foliant.operators import entities
+from foliant.operators import candidates, entities
 from foliant.registry import QUERIES
 
 BOOK = (
@@ -145,6 +145,16 @@ def test_context_targets_read_texts_once(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 9
 
 
+def test_candidates_are_summed_up_where_mentions_are_found(spark, tmp_path):
+    # All mentions were joined with their documents and windowed before any was summed up.
+    got = _whole(spark, tmp_path, "m12_catalog_candidates")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("Aggregate [") == 1 and not {x for x in ("Join", "Window", "ArrowEvalPython") if x in plan}
+    want = candidates.from_catalog(_by_spans(spark, tmp_path), "run").select("doc", "candidate_id", "collection", "state", F.array_join("reasons", ","))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {(r["doc"] is None, r["state"]) for r in got.collect()} == {(False, "ready"), (True, "quarantined")}
+
+
 def test_spellings_at_one_place_are_ordered(spark):
     # The label of an item was that of whichever row came first.
     rows = [(1, "reference", x, f"https://{x}", 5, 16, "high", "explicit_http_url") for x in ("ex.org/A", "ex.org/a")]
