@@ -39,6 +39,14 @@ def content_id(prefix: str, size: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.array_join(F.array(*parts), "\x00"), 256), 1, size)))
 
 
+def upper_hex(value: Column, size: int) -> Column:
+    """The first digits (an even number) of a text's SHA-256 in capitals.
+
+    Not by ``upper``: an executor's first call of it (or of ``lower``) makes Spark's table of all characters' cases, gigabytes of garbage for which the heap grows.
+    """
+    return F.hex(F.unhex(F.substring(F.sha2(value, 256), 1, size)))
+
+
 def integrity_holds(df: DataFrame, field: str) -> Column:
     """Whether a record's own hash field is that of its other fields."""
     return F.col(field) == F.sha2(canonical_json(df, [c for c in df.columns if c != field]), 256)

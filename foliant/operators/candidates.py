@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.hashing import upper_hex
 from foliant.functions.records import labelled
 
 # The collection and the main field of each kind of item.
@@ -14,7 +15,7 @@ OPEN = ("ready",)
 
 
 def candidate_id(*parts: Column) -> Column:
-    return F.concat(F.lit("CA-"), F.upper(F.substring(F.sha2(F.array_join(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), "\x00"), 256), 1, 20)))
+    return F.concat(F.lit("CA-"), upper_hex(F.array_join(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), "\x00"), 20))
 
 
 def from_catalog(items: DataFrame, run: str) -> DataFrame:
@@ -29,7 +30,7 @@ def from_catalog(items: DataFrame, run: str) -> DataFrame:
     fields = F.map_filter(F.map_from_arrays(F.array(main, F.lit("chapter_id"), F.lit("url"), F.lit("status")), F.array("label", "chapter_id", "url", F.lit("draft"))), lambda k, v: v != "")
     reasons = F.array_compact(F.array(F.when(F.length("label") > 200, "too_long"), F.when((F.col("kind") != "reference") & (F.col("chapter_id") == ""), "unresolved_chapter")))
     rows = items.withColumn("collection", collection).withColumn("fields", fields).withColumn("reasons", reasons)
-    record = F.concat(F.upper(F.substring("collection", 1, 3)), F.lit("-"), F.upper(F.substring(F.sha2(F.col("item_id"), 256), 1, 12)))
+    record = F.concat(labelled(F.col("kind"), {k: x[:3].upper() for k, (x, _) in COLLECTIONS.items()}, "REF"), F.lit("-"), upper_hex(F.col("item_id"), 12))
     ids = candidate_id(F.lit(run), F.col("doc"), F.col("item_id"))
     return rows.select(F.lit(run).alias("run"), "doc", ids.alias("candidate_id"), "collection", record.alias("record_id"), "fields", "chapter_id", F.when(F.size("reasons") > 0, "quarantined").otherwise("ready").alias("state"), "reasons")
 

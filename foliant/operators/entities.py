@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import entities as en
 from foliant.functions import text as tx
+from foliant.functions.hashing import upper_hex
 from foliant.functions.records import labelled
 from foliant.operators.catalog import with_chapter
 
@@ -33,6 +34,8 @@ _PLACES = {"latin": MOST_PLACES, "quoted": 1, "defined": 1, "acronym": MOST_PLAC
 #: Marks that end the sentence around an address.
 _TRAILING = re.compile(r"[.,;:!?)\]}）】」』]+$")
 _STOP_AHEAD = re.compile("^(?:%s) " % "|".join(re.escape(x) for x in sorted(en.NAME_STOP, key=lambda x: (-len(x), x))))
+#: Shapes of names that are people or not by what follows each place.
+_JUDGED = ("latin", "katakana", "kanji")
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 #: A blank between single glyphs, where there are single blanks alone.
 _JOINT = re.compile(rf" (?={tx.GLYPH}(?!\S))(?<=(?<!\S){tx.GLYPH} )")
@@ -82,29 +85,44 @@ def _views(text: str) -> tuple[str, str]:
     return shown, shown.casefold()
 
 
-def _places(shown: str, norm: str, shapes: dict[str, re.Pattern]) -> Iterator[tuple[str, str, str, int, int, str]]:
-    """shape, label, key, place in the normalised text and what follows (compact) of all that a text may mention."""
+def _places(shown: str, norm: str, shapes: dict[str, re.Pattern]) -> Iterator[tuple[str, str, str, list[int], list[int], list[str]]]:
+    """shape, label, key, starts and ends in the normalised text (ascending) of all that a text may mention, and what follows (compact) where that decides."""
     shown_compact, (compact, offsets) = _compact(shown)[0], _compact(norm)
     for shape, label in _labels(shown, shown_compact, compact, shapes):
         key = tx.normalized(label)
         if shape in ("latin", "url", "doi"):
             named = f"https://doi.org/{key}" if shape == "doi" else key
-            for at in _starts(norm, key, False, _PLACES[shape]):
-                end = at + len(key)
-                yield shape, label, named, at, end, _compact(norm[end : end + 100].strip(" "))[0] if shape == "latin" else ""
+            starts = _starts(norm, key, False, _PLACES[shape])
+            ends = [at + len(key) for at in starts]
+            after = [_compact(norm[end : end + 100].strip(" "))[0] for end in ends] if shape in _JUDGED else []
         else:
-            term = label if shape in ("katakana", "kanji") else _compact(key)[0]
-            for at in _starts(compact, term, shape not in ("katakana", "kanji"), _PLACES.get(shape)):
-                end = at + len(term)
-                yield shape, label, key, *((at, end) if offsets is None else (int(offsets[at]), int(offsets[end - 1]) + 1)), compact[end : end + 80]
-
-
-def mentions(texts: DataFrame, doc: str, text: str, vertical: bool = False, keyed: bool = False) -> DataFrame:
+            named, term = key, label if shape in _JUDGED else _compact(key)[0]
+            starts = _starts(compact, term, shape not in _JUDGED, _PLACES.get(shape))
+            ends = [at + len(term) for at in starts]
+            after = [compact[end : end + 80] for end in ends] if shape in _JUDGED else []
+            if offsets is not None:
+                starts, ends = [int(offsets[at]) for at in starts], [int(offsets[end - 1]) + 1 for end in ends]
+        if starts:
+            yield shape, label, named, starts, ends, after
+
+
+def _rows(places: tuple[str, str, str, list[int], list[int], list[str]], summed: bool) -> Iterator[tuple[str, str, str, int, int, str, list[int] | None]]:
+    """A row for each place; ``summed``: one for all of a label that are meant or not alike."""
+    *named, starts, ends, after = places
+    if summed and not after:
+        yield *named, starts[0], ends[-1], "", starts
+    else:
+        for k, at in enumerate(starts):
+            yield *named, at, ends[k], after[k] if after else "", [at] if summed else None
+
+
+def mentions(texts: DataFrame, doc: str, text: str, vertical: bool = False, summed: bool = False) -> DataFrame:
     """All mentions of people, terms and references of each text.
 
     A text is read once, in a task that holds one batch; its views don't leave it, only what
     was found there does. Which Latin and Japanese names are people is decided by what follows them.
-    ``keyed``: with key (the normalised label, a reference's address) and n_chars (of the normalised text).
+    ``summed``: for a catalogue, with key (the normalised label, a reference's address), n_chars (of the normalised text)
+    and starts; all places of a label are one row, from the first start to the last end, if what follows them decides nothing.
     """
     kana, kanji = (en.VERTICAL_KATAKANA_NAME, en.VERTICAL_KANJI_NAME) if vertical else (tx.KATAKANA_NAME, tx.KANJI_NAME)
     # As in Java, classes and case are those of ASCII.
@@ -115,13 +133,13 @@ def mentions(texts: DataFrame, doc: str, text: str, vertical: bool = False, keye
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
                 views = ((k, *_views(value)) for k, value in enumerate(part.column(1).to_pylist()) if value)
-                rows = [(k, len(norm), *x) for k, shown, norm in views for x in _places(shown, norm, shapes)]
-                at, *columns = zip(*rows, strict=True) if rows else ((),) * 8
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], ["doc", "n_chars", "shape", "found", "key", "char_start", "char_end", "after"])
+                rows = [(k, len(norm), *row) for k, shown, norm in views for x in _places(shown, norm, shapes) for row in _rows(x, summed)]
+                at, *columns = zip(*rows, strict=True) if rows else ((),) * 9
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], ["doc", "n_chars", "shape", "found", "key", "char_start", "char_end", "after", "starts"])
 
     key = texts.schema[doc].dataType.simpleString()
-    seen = texts.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc {key}, n_chars long, shape string, found string, key string, char_start long, char_end long, after string")
+    seen = texts.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc {key}, n_chars long, shape string, found string, key string, char_start long, char_end long, after string, starts array<long>")
     found, after, shape = F.col("found"), F.col("after"), F.col("shape")
     fits = {"latin": en.latin_person(after, vertical), "katakana": en.japanese_person(found, after, False, vertical), "kanji": en.japanese_person(found, after, True, vertical)}
     if vertical:
@@ -133,10 +151,10 @@ def mentions(texts: DataFrame, doc: str, text: str, vertical: bool = False, keye
         "defined": "vertical_definition_shape" if vertical else "definition_shape", "acronym": "uppercase_acronym_shape", "url": "explicit_http_url", "doi": "explicit_doi",
     }
     label = F.when(shape == "url", F.regexp_replace(F.regexp_replace(found, r"(?i)^https?://", ""), r"/?(?:[?#].*)?$", "")).when(shape == "doi", F.concat(F.lit("DOI "), found)).otherwise(found)
-    url = F.when(shape == "url", found).when(shape == "doi", F.concat(F.lit("https://doi.org/"), F.lower(found))).otherwise("")
+    url = F.when(shape == "url", found).when(shape == "doi", F.col("key")).otherwise("")
     kind = F.when(shape.isin("latin", "katakana", "kanji"), "person").when(shape.isin("url", "doi"), "reference").otherwise("term")
     confidence = F.when(shape.isin("url", "doi"), "high").when(shape.isin("latin", "quoted", "defined"), "medium").otherwise("low")
-    return seen.where(meant).select("doc", kind.alias("kind"), label.alias("label"), url.alias("url"), "char_start", "char_end", confidence.alias("confidence"), labelled(shape, reasons, "").alias("reason"), *["key", "n_chars"] * keyed)
+    return seen.where(meant).select("doc", kind.alias("kind"), label.alias("label"), url.alias("url"), "char_start", "char_end", confidence.alias("confidence"), labelled(shape, reasons, "").alias("reason"), *["key", "n_chars", "starts"] * summed)
 
 
 def items(found: DataFrame, spans: DataFrame | None = None) -> DataFrame:
@@ -144,9 +162,11 @@ def items(found: DataFrame, spans: DataFrame | None = None) -> DataFrame:
 
     A person is an item of its chapter, a term one of the chapter of its first
     mention there, a reference one of the book. ``spans`` has doc, char_first, char_last, chapter_id;
-    without them mentions say their chapter_id. Only mentions without a key are normalised.
+    without them mentions say their chapter_id, and may be summed up. Only mentions without a key are normalised.
     One grouping by what makes an item: tasks that find mentions sum them up before they are dealt out.
     """
+    if spans is not None and "starts" in found.columns:
+        raise ValueError("Places that are summed up can't be told apart by spans.")
     placed = found if spans is None else with_chapter(found, spans)
     kind, chapter = F.col("kind"), F.col("chapter_id").cast("string")
     if "key" not in found.columns:
@@ -155,7 +175,7 @@ def items(found: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     # Places of two spellings may be the same: the order is one of all that is told apart.
     order = F.struct("char_start", "reason", "label", "url")
     earliest = F.struct(F.when(chapter.isNotNull(), 0).otherwise(1).alias("unresolved"), F.col("char_start"), F.col("reason"), chapter.alias("chapter"))
-    starts = F.sort_array(F.collect_set("char_start"))
+    starts = F.sort_array(F.array_distinct(F.flatten(F.collect_list("starts"))) if "starts" in placed.columns else F.collect_set("char_start"))
     grouped = keyed.groupBy("doc", "kind", "key", "own").agg(
         F.min(earliest).alias("earliest"), F.min(order).alias("first"), F.size(starts).alias("n_places"), F.element_at(starts, 1).alias("first_start"), F.slice(starts, 1, MOST_PLACES).alias("places"), F.sort_array(F.collect_set("reason")).alias("reasons")
     )
@@ -163,7 +183,7 @@ def items(found: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     content = F.array_join(F.array("kind", "key", "chapter", "url"), "\x00")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     place = F.row_number().over(Window.partitionBy("doc").orderBy(rank, "chapter", "key"))
-    return grouped.withColumn("item_id", F.concat(F.lit("CI-"), F.upper(F.substring(F.sha2(content, 256), 1, 20)))).withColumn("place", place).select("doc", "place", "kind", "label", "url", F.col("chapter").alias("chapter_id"), "n_places", "first_start", "places", "reasons", "item_id")
+    return grouped.withColumn("item_id", F.concat(F.lit("CI-"), upper_hex(content, 20))).withColumn("place", place).select("doc", "place", "kind", "label", "url", F.col("chapter").alias("chapter_id"), "n_places", "first_start", "places", "reasons", "item_id")
 
 
 def context_targets(found: DataFrame, limit: int | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Names, terms, acronyms and addresses: what is meant and what only looks so."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,35 @@ def test_candidates_are_summed_up_where_mentions_are_found(spark, tmp_path):
     assert {(r["doc"] is None, r["state"]) for r in got.collect()} == {(False, "ready"), (True, "quarantined")}
 
 
+def test_places_of_a_label_go_together_into_a_catalogue(spark):
+    # Each place was a row with the 80 characters behind it, of use or not, that was sorted in its task before it was summed up.
+    texts = spark.createDataFrame([(1, BOOK), (2, ODD), (3, None), (4, "AI " * 300 + "Ａi AI")], "doc int, t string")
+    by_place, summed = (entities.mentions(texts, "doc", "t", summed=x).withColumn("chapter_id", F.lit("CH-01")) for x in (False, True))
+    assert sorted(map(str, entities.items(by_place).collect())) == sorted(map(str, entities.items(summed).collect()))
+    rows = [r for r in summed.collect() if r["label"] == "AI" and r["doc"] == 4]
+    assert [(r["char_start"], r["char_end"], r["starts"]) for r in rows] == [(0, 599, list(range(0, 600, 3)))]
+    assert sum(len(r["starts"]) for r in summed.collect()) == by_place.count() > summed.count() + 199
+    with pytest.raises(ValueError):
+        entities.items(summed, spark.createDataFrame([(1, 0, 9, "CH-01")], "doc int, char_first int, char_last int, chapter_id string"))
+
+
+@pytest.mark.parametrize("query", ["m12_catalog_candidates", "t05_context_targets"])
+def test_catalogues_map_no_case_in_executors(spark, tmp_path, query):
+    # The first upper() of an executor made some gigabytes of garbage, just when results were written.
+    plan = _whole(spark, tmp_path, query)._jdf.queryExecution().optimizedPlan().toString()
+    assert "upper(" not in plan and "lower(" not in plan
+
+
+def test_ids_are_digits_in_capitals(spark):
+    rows = [(1, "term", "AGI", "", 5, 8, "low", "uppercase_acronym_shape", "CH-01"), (1, "reference", "DOI 10.1/A", "https://doi.org/10.1/a", 9, 13, "high", "explicit_doi", None)]
+    items = entities.items(spark.createDataFrame(rows, "doc int, kind string, label string, url string, char_start long, char_end long, confidence string, reason string, chapter_id string"))
+    got = {r["collection"]: (r["candidate_id"], r["record_id"]) for r in candidates.from_catalog(items, "run").collect()}
+    digits = lambda *x: hashlib.sha256("\0".join(x).encode()).hexdigest().upper()
+    for name, own in (("glossary", ("term", "agi", "CH-01", "")), ("references", ("reference", "https://doi.org/10.1/a", "", "https://doi.org/10.1/a"))):
+        item = f"CI-{digits(*own)[:20]}"
+        assert got[name] == (f"CA-{digits('run', '1', item)[:20]}", f"{name[:3].upper()}-{digits(item)[:12]}")
+
+
 def test_spellings_at_one_place_are_ordered(spark):
     # The label of an item was that of whichever row came first.
     rows = [(1, "reference", x, f"https://{x}", 5, 16, "high", "explicit_http_url") for x in ("ex.org/A", "ex.org/a")]
