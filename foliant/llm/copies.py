@@ -47,6 +47,8 @@ SIMILARITY = (4, 5)
 SAMPLE_ROWS = 16_384
 SAMPLE_COUNT = 4
 FREQUENT = 200_000
+#: Up to so many first shingles of all sets, no key is hot: the rows of any are few for a task, and need no plans of their own.
+FEW_ROWS = 1 << 18
 #: Sets, and shingles of sets, of a block that is compared with another one in a task.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 
@@ -260,7 +262,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 def _bucket_links(docs: DataFrame, sets: DataFrame, members: DataFrame, rows: int) -> DataFrame:
     """Links (a, b) between the components of similar sets; ``members`` has bucket, s, n and root."""
     sizes = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = spread_join(members, sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("s"), F.col("blocks")))
+    dealt = spread_join(members, sizes, "bucket", None if rows > FEW_ROWS else []).withColumn("i", F.pmod(F.xxhash64("s"), F.col("blocks")))
     cells = dealt.select("bucket", "s", "root", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     keyed = cells.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "s", "root")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
@@ -294,7 +296,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     number = sets.agg(F.sum(F.size("first"))).first()[0] or 0
     rows = sets.select("s", "n", F.explode("first").alias("h"))
     # One shuffle by shingle; the few shingles that very many sets begin with are aggregated before it.
-    hot = hot_keys(rows, "h")
+    hot = hot_keys(rows, "h") if number > FEW_ROWS else []
     group = Window.partitionBy("h")
     least = F.min(F.struct("s", "n"))
     columns = ["h", "s", "n", F.col("least.s").alias("a"), F.col("least.n").alias("m")]
@@ -305,10 +307,10 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         shared = shared.unionByName(often.join(F.broadcast(often.groupBy("h").agg(least.alias("least"))), "h").select(*columns))  # fewer than HOT_SHARE
     shared = materialise(shared, "copies-shared", rows=number)
     stars = shared.where("s > a").where(_fits("n", "m")).select("a", F.col("s").alias("b")).distinct()
-    root = components(_similar(docs, sets, stars, number, hot_keys(shared, "a")))
+    root = components(_similar(docs, sets, stars, number, hot_keys(shared, "a") if number > FEW_ROWS else []))
     placed = materialise(shared.select("h", "s", "n", "a").join(root.withColumnRenamed("node", "s"), "s", "left").select("h", "s", "n", "a", F.coalesce("root", "s").alias("root")), "copies-placed", rows=number)
     mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    members = materialise(spread_join(placed, mixed, "h", how="left_semi").select(F.col("a").alias("bucket"), "s", "n", "root").distinct(), "copies-open", rows=number)
+    members = materialise(spread_join(placed, mixed, "h", None if number > FEW_ROWS else [], how="left_semi").select(F.col("a").alias("bucket"), "s", "n", "root").distinct(), "copies-open", rows=number)
     further = components(_bucket_links(docs, sets, members, number))
     single = sets.select(F.col("s").alias("node")).join(root, "node", "left").select("node", F.coalesce("root", "node").alias("near"))
     final = single.join(further.select(F.col("node").alias("near"), F.col("root").alias("far")), "near", "left").select("node", F.coalesce("far", "near").alias("root"))

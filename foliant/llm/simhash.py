@@ -18,8 +18,9 @@ and where that is too full as well, the rows are joined on their one-bit flips
 No pair is lost at any size, and no task holds more than one bounded bucket.
 
 A bucket emits each linked fingerprint with the smallest one it reaches there, not
-pairs. Components are then found by minimum labels with pointer jumping over
-written tables.
+pairs. Components are then found in one task where the edges fit in it (at most
+``TASK_EDGES``), else by minimum labels with pointer jumping over written tables:
+a round is a dozen jobs, and each leaves threads and memory in the driver.
 
 Defined results: null text counts as empty (fingerprint zero); documents with a
 repeated doc_id each get a row; one without a doc_id gets its group's smallest, null if there is none; an empty table gives no rows; other columns are
@@ -45,6 +46,8 @@ BLOCKS = (22, 21, 21)
 CHUNK = 1 << 18
 #: The most fingerprints that are compared in one bucket.
 BUCKET_ROWS = 4096
+#: The most edges (16 bytes each) whose components are found in one task.
+TASK_EDGES = 1 << 18
 RADIUS = 2
 
 
@@ -136,6 +139,19 @@ def pairs_within(planes: np.ndarray, values: np.ndarray, queries: np.ndarray) ->
         yield mine[fits], other[fits]
 
 
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The roots once the edges (a, b) of indices are added; a root is its component's first index."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def bucket_roots(values: np.ndarray) -> np.ndarray:
     """For each of some distinct fingerprints, the index of its component's first one."""
     n = len(values)
@@ -143,15 +159,7 @@ def bucket_roots(values: np.ndarray) -> np.ndarray:
     step = max(1, 65_536 // planes.shape[1])
     for first in range(0, n, step):
         for a, b in pairs_within(planes, values, np.arange(first, min(n, first + step))):
-            while True:
-                x, y = root[a], root[b]
-                apart = x != y
-                if not apart.any():
-                    break
-                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-                while (root[root] != root).any():
-                    root = root[root]
+            root = _unite(root, a, b)
     return root
 
 
@@ -207,34 +215,51 @@ def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     number = distinct.count()
     size = lambda rows: rows.groupBy("bucket").agg(F.count("*").alias("n"))
 
-    def split(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows of buckets with two or more and with too many fingerprints."""
+    def split(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+        """Rows of buckets with two or more and with too many fingerprints; None where no bucket has too many."""
         counted = size(rows).where("n > 1")
         full = materialise(counted, name, rows=3 * number)
         few = rows.join(full.where(F.col("n") <= bucket_rows).select("bucket"), "bucket")
-        many = rows.join(full.where(F.col("n") > bucket_rows).select("bucket"), "bucket")
-        return few, many
+        crowded = full.where(F.col("n") > bucket_rows).select("bucket")
+        return few, None if crowded.isEmpty() else rows.join(crowded, "bucket")
 
     first = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _key(k, None).alias("bucket")) for k in range(3)])).alias("x")).select("fp", "x.block", "x.bucket")
+    if number <= bucket_rows:  # no bucket can have too many
+        return _bucket_edges(first).distinct()
     few, many = split(first, "simhash-buckets")
+    if many is None:
+        return _bucket_edges(few).distinct()
     second = many.select("fp", F.explode(F.array(*[F.when(F.col("block") == b, _key(b, s)) for b in range(3) for s in range(3)])).alias("bucket")).where("bucket IS NOT NULL")
     few2, many2 = split(second, "simhash-subbuckets")
+    within = _bucket_edges(few.select("bucket", "fp").union(few2.select("bucket", "fp")))
+    if many2 is None:
+        return within.distinct()
     flips = many2.select("fp").distinct().select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)))).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("near"))
     least = flips.groupBy("near").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("near", "b")
     by_flip = flips.join(least, "near").where("fp > b").select(F.col("fp").alias("a"), "b")
-    return _bucket_edges(few.select("bucket", "fp").union(few2.select("bucket", "fp"))).unionByName(by_flip).distinct()
+    return within.unionByName(by_flip).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node it reaches) of every node of the edges (a, b).
 
-    Each round, every node takes the smallest label next to it, then its
-    label's label. The tables of a round are written to the shared folder. A hub's
-    label goes to its neighbours by broadcast, and they meet in a partial minimum.
+    Up to ``TASK_EDGES`` edges are one task's work. Beyond, in each round every node
+    takes the smallest label next to it, then its label's label. The tables of a
+    round are written to the shared folder. A hub's label goes to its neighbours
+    by broadcast, and they meet in a partial minimum.
     """
     spark = edges.sparkSession
     found = materialise(edges.select("a", "b"), "components-found")
     most = 2 * found.count()
+    if most <= 2 * TASK_EDGES:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+            nodes, ends = np.unique(np.concatenate([np.zeros((2, 0), dtype=np.int64), *held], axis=1), return_inverse=True)
+            a, b = ends.reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[_unite(np.arange(len(nodes)), a, b)])], ["node", "root"])
+
+        return materialise(found.coalesce(1).mapInArrow(run, "node long, root long"), "components-labels", rows=most)
     both = materialise(found.union(found.select("b", "a")).distinct(), "components-edges", rows=most)
     path = write(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "components-labels", rows=most)
     hubs = hot_keys(both, "b")
@@ -266,7 +291,8 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least_id")
     linked = member.join(member.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
     whole = materialise(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-components", rows=number)
-    hot = [r["fp"] for r in whole.where(F.col("n") * HOT_SHARE > number).select("fp").collect()]  # fewer than HOT_SHARE
+    # Fewer than HOT_SHARE; documents that fit in a bucket fit in a task too, whatever they share.
+    hot = [r["fp"] for r in whole.where(F.col("n") * HOT_SHARE > number).select("fp").collect()] if number > bucket_rows else []
     joined = spread_join(fps, whole.select("fp", "component_id"), "fp", hot)
     return joined.coalesce(tasks_for(number)).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

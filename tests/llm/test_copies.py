@@ -140,3 +140,21 @@ def test_the_stage_follows_fingerprints_and_similar_sets(spark):
     assert {r["doc_id"] for r in copies.first_copies(docs).collect()} == {1, 2, 5}
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
+
+
+def test_near_copies_by_rounds_are_brute_force(spark, monkeypatch):
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "TASK_EDGES", -1)  # as for tables of any size
+    monkeypatch.setattr(copies, "FEW_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 400)
+    assert {r["doc_id"] for r in copies.first_copies(docs, simhash.near_duplicates(docs, 8)).collect()} == brute_first(rows)
+
+
+def test_the_stage_takes_few_jobs_on_few_rows(spark):
+    # Each job leaves threads and memory in the driver; on small tables many follow each other in seconds.
+    docs = spark.createDataFrame(near_rows(), "doc_id long, text string")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    assert corpus_pipeline.simhash_near_dedup(spark, docs, "").count() == len(brute_first(near_rows()))
+    assert jobs() - before <= 110

@@ -57,3 +57,18 @@ def test_keep_one_of_each(odd_docs, no_docs):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 6]
     assert simhash.near_duplicates(odd_docs).count() == 9
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("task_edges", [simhash.TASK_EDGES, -1])
+def test_components_of_edges(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(simhash, "TASK_EDGES", task_edges)
+    rng = np.random.default_rng(6)
+    chain = [(k + 1, k) for k in range(-40, 0)]
+    edges = [*chain, (5, 5), *((1000, 1001 + k) for k in range(50)), *((2000 + int(a), 2000 + int(b)) for a, b in rng.integers(0, 90, (60, 2)))]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == root and len(got) == len(root)
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
