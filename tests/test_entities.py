@@ -1,6 +1,7 @@
 """Names, terms, acronyms and addresses: what is meant and what only looks so."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,35 @@ def test_spellings_at_one_place_are_ordered(spark):
     assert got[0] == got[1] and [r["label"] for r in got[0]] == ["ex.org/A"]
 
 
+#: More places than an inventory takes of a label, and than a batch holds; who is meant is said behind the last ones alone.
+MANY = "AI " * 9000 + "Ada Lovelace walked. " * 230 + "Ada Lovelace argued. " * 3 + "See https://Ex.org/a " * 260 + "and 10.1234/AbC.5 " * 270 + "「計算モデル」とは。" + "計算モデルと、" * 240
+
+
+def test_mentions_are_all_there(spark, tmp_path):
+    # Latin names, acronyms and addresses ended at a label's 200th place, whether it was meant or not, quoted and defined terms at their first.
+    spark.createDataFrame([(1, BOOK), (2, MANY), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, "<p>" + MANY)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {}
+    for r in QUERIES["f12_mentions"](spark, str(tmp_path)).where("doc <> 'd1'").collect():
+        got.setdefault((r["doc"], r["kind"], r["label"], r["reason"]), []).append((r["char_start"], r["char_end"]))
+    looked_for = {
+        ("person", "Ada Lovelace", "latin_multi_token_name_shape"): "ada lovelace(?= argued)",
+        ("term", "AI", "uppercase_acronym_shape"): "(?<![a-z0-9])ai(?![a-z0-9])",
+        ("term", "計算モデル", "quoted_definition_shape"): "計算モデル",
+        ("reference", "Ex.org/a", "explicit_http_url"): "https://ex.org/a",
+        ("reference", "DOI 10.1234/AbC.5", "explicit_doi"): "10.1234/abc.5",
+    }
+    texts = {"d2": tx.normalized(MANY), "p2": tx.normalized("<p>" + MANY)}
+    want = {(doc, *k): [m.span() for m in re.finditer(x, norm)] for doc, norm in texts.items() for k, x in looked_for.items()}
+    assert {k: sorted(x) for k, x in got.items()} == want and [len(x) for x in want.values()][:5] == [3, 9000, 241, 260, 270]
+
+
+def test_batches_hold_so_many_places():
+    rows = [("x", None)] * 20000 + [("y", list(range(10000))), ("z", [1])]
+    parts = list(entities._batches(rows))
+    assert [x for part in parts for x in part] == rows and [len(x) for x in parts] == [8192, 8192, 3617, 1] and not list(entities._batches([]))
+
+
 def test_compact_texts_are_those_of_any_white_space():
     for text in (BOOK, ODD, "A B C d ef g h", "x", "", "a - b . c 計 算 z", "は U S A が"):
         flat = tx.normalized(text)
