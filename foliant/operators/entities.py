@@ -23,7 +23,7 @@ from foliant.functions.hashing import upper_hex
 from foliant.functions.records import labelled
 from foliant.operators.catalog import with_chapter
 
-#: The most places of a label or an item in an inventory of limited size (the first ones stay).
+#: The most places of a label or an item in an inventory of limited size (the first ones stay); queries ask for all.
 MOST_PLACES = 200
 #: Places that a batch holds, whatever the number of a label's places or a text's (its last row may hold more).
 BATCH_PLACES = 8192
